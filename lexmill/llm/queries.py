@@ -7,6 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexmill.llm._common import train_remainder
+from lexmill.llm.mixing import MIX_SQL
+
 
 def bpe_path() -> str:
     import public_tokenizers
@@ -31,16 +34,32 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_classes(_table(spark, sf_dir, "documents"), words=3, seed=42)
 
 
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexmill.llm.language import identify, learn
+
+    docs = _table(spark, sf_dir, "documents")
+    profiles = learn(docs.where(train_remainder("doc_id", 4) != 2))
+    return identify(docs, profiles).select("doc_id", (train_remainder("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lexmill.llm.tokens import token_counts
 
     return token_counts(_table(spark, sf_dir, "documents"), bpe_path(), limit=512)
 
 
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexmill.llm.mixing import mix
+
+    return mix(_table(spark, sf_dir, "documents"), weights=(3, 1, 2), share=1.5, cap=2.0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_packing": op2_packing,
     "op3_simhash": op3_simhash,
+    "op4_language": op4_language,
     "op6_token_counts": op6_token_counts,
+    "op7_mixing": op7_mixing,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op7_mixing": MIX_SQL}

@@ -54,12 +54,21 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_table(spark, sf_dir, "documents"), weights=(3, 1, 2), share=1.5, cap=2.0)
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexmill.llm.toxicity import learn, score_toxicity
+
+    docs, train = _table(spark, sf_dir, "documents"), train_remainder("doc_id", 4) != 2
+    lexicon = learn(docs.where(train), _table(spark, sf_dir, "labels").where(train), "toxic")
+    return score_toxicity(docs, lexicon).select("doc_id", (train_remainder("doc_id", 4) == 2).alias("held_out"), "score", "predicted")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_packing": op2_packing,
     "op3_simhash": op3_simhash,
     "op4_language": op4_language,
     "op6_token_counts": op6_token_counts,
     "op7_mixing": op7_mixing,
+    "op9_toxicity": op9_toxicity,
 }
 
 ORACLE_SQL: dict[str, str] = {"op7_mixing": MIX_SQL}

@@ -21,6 +21,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_embedding_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexmill.llm.embeddings import embedding_classes
+
+    return embedding_classes(_table(spark, sf_dir, "embeddings"), least=0.93)
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lexmill.llm.packing import pack
 
@@ -63,6 +69,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_embedding_classes": op1_embedding_classes,
     "op2_packing": op2_packing,
     "op3_simhash": op3_simhash,
     "op4_language": op4_language,

@@ -75,6 +75,16 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(docs, lexicon).select("doc_id", (train_remainder("doc_id", 4) == 2).alias("held_out"), "score", "predicted")
 
 
+def op10_ctw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexmill.llm.ctw import learn, score
+
+    docs = _table(spark, sf_dir, "documents")
+    model, words = learn(docs.where(train_remainder("doc_id", 5) != 1))
+    scored = score(docs, model, words)
+    held_out = (train_remainder("doc_id", 5) == 1).alias("held_out")
+    return scored.select("doc_id", held_out, "n_tokens", "n_known", "train_tokens", "base_score", "score", "n_bytes", "bits_per_byte")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_embedding_classes": op1_embedding_classes,
     "op2_packing": op2_packing,
@@ -84,6 +94,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_token_counts": op6_token_counts,
     "op7_mixing": op7_mixing,
     "op9_toxicity": op9_toxicity,
+    "op10_ctw": op10_ctw,
 }
 
 ORACLE_SQL: dict[str, str] = {"op7_mixing": MIX_SQL}

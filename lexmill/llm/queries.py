@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lexmill.llm._common import train_remainder
 from lexmill.llm.mixing import MIX_SQL
+from lexmill.llm.search import SEARCH_SQL
 
 
 def bpe_path(kind: str = "json") -> str:
@@ -67,6 +68,14 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_table(spark, sf_dir, "documents"), weights=(3, 1, 2), share=1.5, cap=2.0)
 
 
+def op8_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexmill.llm.search import top_k
+
+    docs = _table(spark, sf_dir, "documents")
+    queries = docs.where(F.col("doc_id") % 100 == 0).select(F.col("doc_id").alias("query_id"), "text")
+    return top_k(docs, queries, k=10)
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lexmill.llm.toxicity import learn, score_toxicity
 
@@ -93,8 +102,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_extraction": op5_extraction,
     "op6_token_counts": op6_token_counts,
     "op7_mixing": op7_mixing,
+    "op8_search": op8_search,
     "op9_toxicity": op9_toxicity,
     "op10_ctw": op10_ctw,
 }
 
-ORACLE_SQL: dict[str, str] = {"op7_mixing": MIX_SQL}
+ORACLE_SQL: dict[str, str] = {"op7_mixing": MIX_SQL, "op8_search": SEARCH_SQL}

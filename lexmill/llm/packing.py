@@ -27,12 +27,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from lexmill.llm._common import field
-from lexmill.llm.tokens import Cache, encoder, values
+from lexmill.llm.tokens import encoder
 
 #: Ids solved at once.
 RUN = 1 << 19
 
-
 def cuts(ids: np.ndarray, ends: np.ndarray, opens: np.ndarray, stride: int, sentence: float, hard: float) -> tuple[np.ndarray, np.ndarray]:
     """Cut positions inside and at the end of one document, and their penalties."""
     n = len(ids)
@@ -156,7 +155,6 @@ def pack(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
-        cache = Cache(enc, lambda ids: np.array(ids, "<u4").tobytes())
         ends, opens = np.zeros(max(enc.size, (end_id or 0) + 1), bool), np.zeros(max(enc.size, (end_id or 0) + 1), bool)
         for i in range(enc.size):
             s = enc.piece(i)
@@ -174,10 +172,8 @@ def pack(
         for batch in batches:
             types = types or [batch.schema.field(0).type, pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
             for key, body in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                body = body.as_py() or ""
-                found = values(body, cache) if body else []
-                ids = np.array(enc.ids(body), "<u4") if found is None else np.frombuffer(b"".join(found), "<u4")
-                ids = np.concatenate((ids, tail))
+                body = body.as_py()
+                ids = np.concatenate((enc.array(body), tail)).astype("<u4", copy=False) if body else tail
                 if not len(ids):
                     continue
                 stream.add(key, ids, *cuts(ids, ends, opens, stride, sentence_penalty, hard_penalty))

@@ -12,18 +12,30 @@ white space beside a space (two in a row, one at an end) are encoded whole.
 
 from __future__ import annotations
 
+import base64
 import json
 from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Pre-tokens longer than this are encoded each time, so that the cache's size in bytes is bounded too.
 LONGEST = 80
-CACHED = 1 << 18
+CACHED, CACHED_WORDS = 3 << 18, 1 << 17
+
+
+# The word pattern of byte-level vocabularies, and the letters that stand for bytes
+# in them (printable ones for themselves, the rest in order from U+0100).
+BYTE_LEVEL_WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+_PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+BYTE_LETTERS = {b: chr(b) for b in _PRINTABLE} | {b: chr(0x100 + k) for k, b in enumerate(b for b in range(256) if b not in set(_PRINTABLE))}
+
+
+END_OF_TEXT = "<|endoftext|>"
 
 
 class _Irregular(Exception):
@@ -31,7 +43,12 @@ class _Irregular(Exception):
 
 
 class Encoder:
-    """Texts to ids with the library a vocabulary file belongs to (``.json`` or ``.model``)."""
+    """Texts to ids with the library a vocabulary file belongs to (``.json``, ``.tiktoken`` or ``.model``).
+
+    A byte-level vocabulary gives the same ids from its ``.json`` and its ``.tiktoken`` file; the
+    latter is read as one whose word pattern is ``BYTE_LEVEL_WORDS`` and whose only special
+    string ends texts. It encodes whole texts about three times as fast.
+    """
 
     def __init__(self, path: str):
         if path.endswith(".json"):
@@ -46,6 +63,19 @@ class Encoder:
             self.splits = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not spec.get("normalizer")
             self.size, self.piece = tok.get_vocab_size(), lambda i: tok.decode([i], skip_special_tokens=False)
             self.vocabulary = tok.get_vocab
+            self.specials = [t.content for t in tok.get_added_tokens_decoder().values()]
+            self.model, self.words = tok.model, {}
+        elif path.endswith(".tiktoken"):
+            import tiktoken
+
+            with open(path, "rb") as f:
+                ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+            self.size, self.specials = len(ranks) + 1, [END_OF_TEXT]
+            tik = tiktoken.Encoding(Path(path).stem, pat_str=BYTE_LEVEL_WORDS.pattern, mergeable_ranks=ranks, special_tokens={END_OF_TEXT: len(ranks)})
+            self.ids = lambda text: tik.encode(text, allowed_special="all")
+            self.array = lambda text: tik.encode_to_numpy(text, allowed_special="all")
+            self.splits, self.vocabulary = False, dict
+            self.piece = lambda i: tik.decode([i])
         elif path.endswith(".model"):
             import sentencepiece
 
@@ -53,11 +83,33 @@ class Encoder:
             self.ids = lambda text: sp.encode(text, num_threads=1)
             self.splits, self.size = False, sp.get_piece_size()
             self.piece = lambda i: sp.id_to_piece(i).replace("▁", " ")
-            self.vocabulary = dict
+            self.vocabulary, self.specials = dict, []
         else:
             raise ValueError(f"not a vocabulary file this operator knows: {path}")
 
 
+    def array(self, text: str) -> np.ndarray:
+        return np.array(self.ids(text), np.uint32)
+
+    def chunk_ids(self, chunk: str) -> list[int]:
+        """ids of a space and a pre-token: the vocabulary's word pattern, then the library's model for each word."""
+        if "<" in chunk and any(s in chunk for s in self.specials):
+            return self.ids(" " + chunk)
+        if chunk.isascii() and chunk.isalpha():
+            return [t.id for t in self.model.tokenize("Ġ" + chunk)]  # letters after a space are one word
+        out: list[int] = []
+        for word in BYTE_LEVEL_WORDS.findall(" " + chunk):
+            known = self.words.get(word)
+            if known is None:
+                known = [t.id for t in self.model.tokenize("".join(map(BYTE_LETTERS.__getitem__, word.encode())))]
+                if len(word) <= LONGEST:
+                    if len(self.words) >= CACHED_WORDS:
+                        self.words.clear()
+                    self.words[word] = known
+            out += known
+        return out
+
+
 _encoders: dict[str, Encoder] = {}
 
 
@@ -80,7 +132,7 @@ class Cache(dict):
         if known is None:
             if not chunk or chunk[0].isspace() or chunk[-1].isspace():
                 raise _Irregular
-            known = self.value(self.enc.ids(" " + chunk))
+            known = self.value(self.enc.chunk_ids(chunk))
         if len(chunk) <= LONGEST:
             if len(self) >= CACHED:
                 self.clear()
@@ -110,7 +162,7 @@ def vocabulary_lengths(path: str) -> dict[str, int]:
         return {}
     words = {enc.piece(i) for i in enc.vocabulary().values()}
     words = {w[1:] for w in words if len(w) > 1 and w[0] == " " and not w[1].isspace() and not w[-1].isspace() and "�" not in w}
-    return {w: len(enc.ids(" " + w)) for w in sorted(words)}
+    return {w: len(enc.chunk_ids(w)) for w in sorted(words)}
 
 
 _caches: dict[str, Cache] = {}

@@ -1 +1 @@
-
+"""Named queries over the standard tables."""

@@ -97,18 +97,31 @@ def chunks(c: Column, size: int, overlap: int, least_step: int = 120) -> Column:
     return F.when(t == "", F.array().cast("array<string>")).otherwise(F.transform(starts, lambda s: F.substring(t, s + 1, F.lit(size))))
 
 
+def bound(c: Column, use) -> Column:
+    """``use`` of a value that is computed once, however often ``use`` names it."""
+    return F.transform(F.array(c), use)[0]
+
+
 def char_ngrams(c: Column, n: int = 2) -> Column:
     """Distinct n-grams of characters; a shorter text is one n-gram, an empty text none."""
-    m = F.length(c)
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(m - (n - 1), F.lit(1))), lambda i: F.substring(c, i, F.lit(n))))
-    return F.when(m == 0, F.array().cast("array<string>")).otherwise(grams)
+
+    def grams(t: Column) -> Column:
+        m = F.length(t)
+        found = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(m - (n - 1), F.lit(1))), lambda i: F.substring(t, i, F.lit(n))))
+        return F.when(m == 0, F.array().cast("array<string>")).otherwise(found)
+
+    return bound(c, grams)
 
 
 def word_ngrams(words: Column, n: int = 2) -> Column:
     """Distinct n-grams of words."""
-    m = F.size(words)
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(m - (n - 1), F.lit(1))), lambda i: F.array_join(F.slice(words, i, n), " ")))
-    return F.when(m < n, F.array().cast("array<string>")).otherwise(grams)
+
+    def grams(w: Column) -> Column:
+        m = F.size(w)
+        found = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(m - (n - 1), F.lit(1))), lambda i: F.array_join(F.slice(w, i, n), " ")))
+        return F.when(m < n, F.array().cast("array<string>")).otherwise(found)
+
+    return bound(words, grams)
 
 
 def jaccard(a: Column, b: Column) -> Column:

@@ -17,16 +17,24 @@ from pyspark.sql import functions as F
 from lexmill.functions import text as X
 
 
-@F.pandas_udf("double")
-def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+def ratio(a: Column | str, b: Column | str) -> Column:
     """Ratcliff-Obershelp similarity of two texts; null counts as empty."""
-    return pd.Series([SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b, strict=True)])
 
+    @F.pandas_udf("double")
+    def run(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([SequenceMatcher(None, p or "", q or "").ratio() for p, q in zip(x, y, strict=True)])
 
-@F.pandas_udf("double")
-def lcs_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+    return run(a, b)
+
+
+def lcs_ratio(a: Column | str, b: Column | str) -> Column:
     """Longest common subsequence over the longer length."""
-    return pd.Series([_lcs(x or "", y or "") for x, y in zip(a, b, strict=True)])
+
+    @F.pandas_udf("double")
+    def run(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([_lcs(p or "", q or "") for p, q in zip(x, y, strict=True)])
+
+    return run(a, b)
 
 
 def _lcs(a: str, b: str) -> float:
@@ -39,28 +47,43 @@ def _lcs(a: str, b: str) -> float:
     return float(row[-1]) / max(len(a), len(b))
 
 
-@F.pandas_udf("array<struct<tag:string,a:string,b:string>>")
-def word_diff(a: pd.Series, b: pd.Series) -> pd.Series:
+def word_diff(a: Column | str, b: Column | str) -> Column:
     """Edit steps between two texts, word by word."""
-    out = []
-    for x, y in zip(a, b, strict=True):
-        p, q = (x or "").split(), (y or "").split()
-        steps = SequenceMatcher(None, p, q, autojunk=False).get_opcodes()
-        out.append([{"tag": t, "a": " ".join(p[i:j]), "b": " ".join(q[k:m])} for t, i, j, k, m in steps])
-    return pd.Series(out)
+
+    @F.pandas_udf("array<struct<tag:string,a:string,b:string>>")
+    def run(x: pd.Series, y: pd.Series) -> pd.Series:
+        out = []
+        for p, q in zip(x, y, strict=True):
+            p, q = (p or "").split(), (q or "").split()
+            steps = SequenceMatcher(None, p, q, autojunk=False).get_opcodes()
+            out.append([{"tag": t, "a": " ".join(p[i:j]), "b": " ".join(q[k:m])} for t, i, j, k, m in steps])
+        return pd.Series(out)
+
+    return run(a, b)
 
 
-def candidates(a: DataFrame, b: DataFrame, block: str, text: str = "text", least_length: float = 0.4, n: int = 3, least_shared: int = 2) -> DataFrame:
-    """Pairs of one block whose texts share n-grams and are of like length: (block, a_idx, b_idx, a_text, b_text).
+def candidates(a: DataFrame, b: DataFrame, block: str, text: str = "text", least_length: float = 0.4, n: int = 3, least_jaccard: float = 0.3) -> DataFrame:
+    """Pairs of one block of like length whose n-gram sets have a Jaccard of ``least_jaccard`` or more.
 
-    Meets on (block, n-gram), so texts with none in common are never paired.
+    (block, a_idx, b_idx, a_text, b_text). Sets that are so alike share one of their rarest
+    n-grams, so only those meet: of m n-grams all but the commonest ``least_jaccard`` m - 1.
     """
-    side = lambda rows, s: rows.select(block, F.col("idx").alias(f"{s}_idx"), F.col(text).alias(f"{s}_text"), F.explode(X.char_ngrams(X.compact(F.col(text)), n)).alias("gram"))
-    met = side(a, "a").drop("a_text").join(side(b, "b").drop("b_text"), [block, "gram"]).groupBy(block, "a_idx", "b_idx").agg(F.count("*").alias("shared")).where(F.col("shared") >= least_shared)
-    texts = lambda rows, s: rows.select(block, F.col("idx").alias(f"{s}_idx"), F.col(text).alias(f"{s}_text"))
-    pairs = met.join(texts(a, "a"), [block, "a_idx"]).join(texts(b, "b"), [block, "b_idx"])
-    x, y = F.length("a_text"), F.length("b_text")
-    return pairs.where(F.least(x, y) >= least_length * F.greatest(x, y))
+    grams = X.char_ngrams(X.compact(F.col(text)), n)
+    whole = lambda rows, s: rows.select(block, F.lit(s).alias("side"), F.col("idx").cast("long").alias("idx"), F.col(text).alias("text"), grams.alias("grams"))
+    left, right = whole(a, "a"), whole(b, "b")
+    slim = [block, "side", "idx", F.length("text").alias("len"), F.size("grams").alias("m"), F.explode("grams").alias("gram")]
+    dealt = left.select(*slim).unionByName(right.select(*slim))
+    rare = dealt.join(dealt.groupBy(block, "gram").agg(F.count("*").alias("df")), [block, "gram"])
+    rank = F.row_number().over(Window.partitionBy(block, "side", "idx").orderBy("df", "gram"))
+    rare = rare.withColumn("_r", rank).where(F.col("_r") <= F.col("m") - F.ceil(F.col("m") * least_jaccard) + 1)
+    side = lambda s: rare.where(F.col("side") == s).select(block, "gram", F.col("idx").alias(f"{s}_idx"), F.col("len").alias(f"{s}_len"), F.col("m").alias(f"{s}_m"))
+    like = (F.least("a_len", "b_len") >= least_length * F.greatest("a_len", "b_len")) & (F.least("a_m", "b_m") >= least_jaccard * F.greatest("a_m", "b_m"))
+    met = side("a").join(side("b"), [block, "gram"]).where(like).select(block, "a_idx", "b_idx").distinct()
+    texts = lambda rows, s: rows.select(block, F.col("idx").alias(f"{s}_idx"), F.col("text").alias(f"{s}_text"), F.col("grams").alias(f"{s}_grams"))
+    pairs = met.join(texts(left, "a"), [block, "a_idx"]).join(texts(right, "b"), [block, "b_idx"])
+    common = F.size(F.array_intersect("a_grams", "b_grams"))
+    alike = common >= least_jaccard * (F.size("a_grams") + F.size("b_grams") - common)
+    return pairs.where(alike).drop("a_grams", "b_grams")
 
 
 def scored(pairs: DataFrame, least: float, score: Column | None = None) -> DataFrame:
@@ -134,7 +157,7 @@ def assignment(gain: np.ndarray) -> list[tuple[int, int]]:
 def with_exact(a: DataFrame, b: DataFrame, block: str, least: float, text: str = "text") -> DataFrame:
     """Exact pairs first (the k-th of equals with the k-th), then greedy fuzzy ones of what is left."""
     nth = lambda rows: rows.withColumn("_nth", F.row_number().over(Window.partitionBy(block, text).orderBy("idx")))
-    exact = nth(a).select(block, text, "_nth", F.col("idx").alias("a_idx")).join(nth(b).select(block, text, "_nth", F.col("idx").alias("b_idx")), [block, text, "_nth"]).select(block, "a_idx", "b_idx", F.lit(1.0).alias("score"))
+    exact = nth(a).select(block, text, "_nth", F.col("idx").alias("a_idx")).join(nth(b).select(block, text, "_nth", F.col("idx").alias("b_idx")), [block, text, "_nth"]).select(block, F.col("a_idx").cast("long").alias("a_idx"), F.col("b_idx").cast("long").alias("b_idx"), F.lit(1.0).alias("score"))
     rest_a = a.join(exact.select(block, F.col("a_idx").alias("idx")), [block, "idx"], "left_anti")
     rest_b = b.join(exact.select(block, F.col("b_idx").alias("idx")), [block, "idx"], "left_anti")
     return exact.unionByName(greedy(scored(candidates(rest_a, rest_b, block, text), least), block))

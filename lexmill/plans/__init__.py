@@ -1 +1,12 @@
 """Named queries over the standard tables."""
+
+from importlib import import_module
+
+MODULES = ("usage", "texts", "findings", "comparison", "sources")
+
+
+def all_queries():
+    """The registry, with the queries of all modules in it."""
+    for m in MODULES:
+        import_module(f"lexmill.plans.{m}")
+    return import_module("lexmill.plans.registry")

@@ -37,14 +37,15 @@ def letters() -> np.ndarray:
 
 
 def grams(text: str) -> np.ndarray:
-    """n-grams of 1 to 3 letters of a text as integers, repeats included; separators are 0."""
+    """n-grams of 1 to 3 letters of a text as integers, repeats included; a separator counts as 1, a letter as its code point."""
     a = np.frombuffer(text.lower().encode("utf-32-le"), np.uint32).astype(np.int64)
-    a = np.where(letters()[a], a, 0)
-    a = np.concatenate(([0], a[(a > 0) | (np.concatenate(([1], a[:-1])) > 0)], [0]))
+    a = np.where(letters()[a], a, 1)
+    a = np.concatenate(([1], a[(a > 1) | (np.concatenate(([65], a[:-1])) > 1)], [1]))
+    letter = a > 1
     two = (a[:-1] << 21) | a[1:]
     three = (two[:-1] << 21) | a[2:]
     # an n-gram has a letter, and separators only at its ends
-    return np.concatenate((a[a > 0], two[two > 0], three[(a[1:-1] > 0)]))
+    return np.concatenate((a[letter], two[letter[:-1] | letter[1:]], three[letter[1:-1]]))
 
 
 def top(found: np.ndarray, depth: int) -> np.ndarray:

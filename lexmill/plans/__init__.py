@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("usage", "texts", "findings", "comparison", "sources")
+MODULES = ("usage", "texts", "findings", "comparison", "sources", "proof")
 
 
 def all_queries():

@@ -75,8 +75,8 @@ def tm_contained(t):
 
 
 def _sides(t):
-    """Sentences of two halves of the shorter documents of each source."""
-    rows = G.exploded(t.documents.where("length(text) < 2000"), X.sentences(F.col("text"), 5)).join(t.documents.select("doc_id", "source"), "doc_id")
+    """Sentences of two halves of the documents of each source."""
+    rows = G.exploded(t.documents, X.sentences(F.col("text"), 5)).join(t.documents.select("doc_id", "source"), "doc_id")
     rows = rows.select("source", "doc_id", (F.col("doc_id") * 10000 + F.col("idx")).alias("idx"), "text")
     return rows.where("(doc_id div 20) % 2 = 0"), rows.where("(doc_id div 20) % 2 = 1")
 
@@ -106,7 +106,7 @@ def aligned_turns(t):
 
 def _neighbours(t):
     b = F.lead("text").over(Window.partitionBy("conv_id").orderBy("turn"))
-    return t.conversations.select("conv_id", "turn", F.left("text", F.lit(200)).alias("a"), F.left(b, F.lit(200)).alias("b")).where("b is not null")
+    return t.conversations.select("conv_id", "turn", F.col("text").alias("a"), b.alias("b")).where("b is not null")
 
 
 @query()

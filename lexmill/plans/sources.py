@@ -23,12 +23,12 @@ def html_title_text(t):
 
 
 @query("""
-WITH inc AS (SELECT doc_id, lang, source FROM documents WHERE doc_id % 3 = 0), st AS (SELECT doc_id, lang, CASE WHEN doc_id % 2 = 0 THEN source ELSE 'old' END AS source FROM documents WHERE doc_id % 5 <> 0)
+WITH inc AS (SELECT doc_id, lang, source FROM documents WHERE lang <> 'de'), st AS (SELECT doc_id, lang, CASE WHEN n_chars > 900 THEN source ELSE 'old' END AS source FROM documents WHERE source <> 'src7')
 SELECT inc.doc_id, CASE WHEN st.doc_id IS NULL THEN 'created' WHEN st.source = inc.source THEN 'skipped' ELSE 'updated' END AS action FROM inc LEFT JOIN st USING (doc_id)
 """)
 def rule_import_counts(t):
-    rows = t.documents.select("doc_id", "lang", "source").where("doc_id % 3 = 0")
-    stored = t.documents.where("doc_id % 5 <> 0").select("doc_id", "lang", F.when(F.col("doc_id") % 2 == 0, F.col("source")).otherwise("old").alias("source"))
+    rows = t.documents.select("doc_id", "lang", "source").where("lang <> 'de'")
+    stored = t.documents.where("source <> 'src7'").select("doc_id", "lang", F.when(F.col("n_chars") > 900, F.col("source")).otherwise("old").alias("source"))
     return sinks.import_plan(stored, rows, "doc_id", ["lang", "source"])
 
 

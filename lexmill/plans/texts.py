@@ -109,14 +109,14 @@ def text_units(t):
     return t.documents.select("doc_id", X.text_units(F.col("text")).alias("units"), F.regexp_count("text", F.lit(X.TOKEN)).cast("long").alias("words"))
 
 
-_PAIRS = "(SELECT conv_id, turn, left(text, 200) AS a, lead(left(text, 200)) OVER (PARTITION BY conv_id ORDER BY turn) AS b FROM conversations)"
+_PAIRS = "(SELECT conv_id, turn, text AS a, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS b FROM conversations)"
 
 
 def _pairs(t):
     from pyspark.sql import Window
 
-    b = F.lead(F.left("text", F.lit(200))).over(Window.partitionBy("conv_id").orderBy("turn"))
-    return t.conversations.select("conv_id", "turn", F.left("text", F.lit(200)).alias("a"), b.alias("b")).where("b is not null")
+    b = F.lead("text").over(Window.partitionBy("conv_id").orderBy("turn"))
+    return t.conversations.select("conv_id", "turn", F.col("text").alias("a"), b.alias("b")).where("b is not null")
 
 
 @query(f"""

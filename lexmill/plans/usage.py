@@ -268,13 +268,13 @@ def composite_stats(t):
 
 
 @query("""
-WITH a AS (SELECT lower(o_orderpriority) AS rule, lower(o_orderstatus) AS category, CAST(o_orderkey % 100 AS INTEGER) AS confidence FROM orders WHERE o_orderkey % 3 = 0),
-b AS (SELECT lower(o_orderpriority) AS rule, lower(o_orderstatus) AS category, CAST(o_orderkey % 97 AS INTEGER) AS confidence FROM orders WHERE o_custkey % 50 = 0)
+WITH a AS (SELECT lower(o_orderpriority) AS rule, lower(o_orderstatus) AS category, CAST(o_orderkey % 100 AS INTEGER) AS confidence FROM orders WHERE o_totalprice > 250000),
+b AS (SELECT lower(o_orderpriority) AS rule, lower(o_orderstatus) AS category, CAST(o_orderkey % 97 AS INTEGER) AS confidence FROM orders WHERE o_orderdate >= DATE '1998-01-01' AND o_orderpriority <> '2-HIGH')
 SELECT rule, category, CASE WHEN bool_or(m = 'a') AND bool_or(m = 'b') THEN 'a,b' WHEN bool_or(m = 'a') THEN 'a' ELSE 'b' END AS models, max(confidence) AS best,
   least(99, max(confidence) + 8 * (count(DISTINCT m) - 1)) AS consensus
 FROM (SELECT *, 'a' AS m FROM a UNION ALL SELECT *, 'b' FROM b) GROUP BY ALL
 """)
 def merge_two_models(t):
     side = lambda cond, n, m: t.orders.where(cond).select(F.col("o_orderpriority").alias("rule"), F.col("o_orderstatus").alias("category"), (F.col("o_orderkey") % n).cast("int").alias("confidence"), F.lit(m).alias("model"))
-    merged = R.merge_by_key(side("o_orderkey % 3 = 0", 100, "a"), side("o_custkey % 50 = 0", 97, "b"), ["rule", "category"], "confidence")
+    merged = R.merge_by_key(side("o_totalprice > 250000", 100, "a"), side("o_orderdate >= DATE'1998-01-01' AND o_orderpriority <> '2-HIGH'", 97, "b"), ["rule", "category"], "confidence")
     return merged.withColumn("models", F.array_join("models", ","))

@@ -36,9 +36,9 @@ def compare(a: DataFrame, b: DataFrame, key: str, least: float = 0.70) -> DataFr
     Equal names meet first, the k-th with the k-th; names left over pair greedily by similarity;
     the rest is only_a or only_b. Values are equal up to spaces, case and signs.
     """
-    ordered = Window.partitionBy(key, "k").orderBy("ord")
-    side = lambda rows, s: rows.withColumn("k", name_key(F.col("name"))).withColumn("nth", F.row_number().over(ordered)).select(key, "k", "nth", F.col("ord").alias(f"ord_{s}"), F.col("name").alias(f"name_{s}"), F.col("value").alias(f"value_{s}"))
-    both = side(a, "a").join(side(b, "b"), [key, "k", "nth"], "full")
+    ordered = Window.partitionBy(key, "_k").orderBy("ord")
+    side = lambda rows, s: rows.withColumn("_k", name_key(F.col("name"))).withColumn("nth", F.row_number().over(ordered)).select(key, "_k", "nth", F.col("ord").alias(f"ord_{s}"), F.col("name").alias(f"name_{s}"), F.col("value").alias(f"value_{s}"))
+    both = side(a, "a").join(side(b, "b"), [key, "_k", "nth"], "full")
     exact = both.where("ord_a is not null and ord_b is not null")
     left = both.where("ord_b is null").select(key, F.col("ord_a").alias("idx"), F.col("name_a").alias("text"), "value_a")
     right = both.where("ord_a is null").select(key, F.col("ord_b").alias("idx"), F.col("name_b").alias("text"), "value_b")

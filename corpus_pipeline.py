@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from lexmill.llm import language as _language
 from lexmill.llm import toxicity as _toxicity
-from lexmill.llm._common import cut, free_name
+from lexmill.llm._common import cut, free_name, small_batches
 from lexmill.llm.mixing import mixed_documents
 from lexmill.llm.packing import pack
 from lexmill.llm.queries import bpe_path
@@ -25,6 +25,7 @@ TOXIC = 0.5
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents whose language is one of those that the table is labelled with."""
+    small_batches(spark)
     found = free_name(docs, "found_language")
     profiles = _language.learn(docs)
     known = (F.col(found)["lang_pred"] != _language.UNDETERMINED) & (F.col(found)["score"] >= LEAST_LANGUAGE_SCORE)
@@ -33,6 +34,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents that are not toxic, as the labelled ones among them show it."""
+    small_batches(spark)
     score = free_name(docs, "toxicity")
     lexicon = _toxicity.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return docs.withColumn(score, _toxicity.toxicity(lexicon, F.col("text"))).where(F.col(score) < TOXIC).select(*docs.columns)
@@ -43,6 +45,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     Rows without an id name no group's document; one stays of each text.
     """
+    small_batches(spark)
     least, nth = free_name(docs, "least_id"), free_name(docs, "nth")
     classes = simhash_classes(docs)
     kept = classes.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias(least)).distinct()
@@ -58,6 +61,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sequences of at most 2048 tokens: a row for each piece, with its ids."""
+    small_batches(spark)
     return pack(docs, bpe_path("tiktoken"), window=2048, end_id=1)
 
 

@@ -36,6 +36,17 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows that Spark hands to a Python worker at once.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Ask for batches of few rows unless the session already does: texts are long, and a worker holds a batch."""
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(setting)) > BATCH_ROWS or int(spark.conf.get(setting)) <= 0:
+        spark.conf.set(setting, BATCH_ROWS)
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """``name``, made longer until no column of ``df`` has it (Spark ignores case)."""
     taken = {c.lower() for c in df.columns}

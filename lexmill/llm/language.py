@@ -24,7 +24,7 @@ DEPTH = 400
 ORDERS = 3
 UNDETERMINED = "und"
 #: Training texts counted at once, in characters.
-CHUNK = 1 << 22
+CHUNK = 1 << 20
 
 _letters: list[np.ndarray] = []
 

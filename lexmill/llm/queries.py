@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.llm._common import train_remainder
+from lexmill.llm._common import small_batches, train_remainder
 from lexmill.llm.mixing import MIX_SQL
 from lexmill.llm.search import SEARCH_SQL
 
@@ -20,6 +20,7 @@ def bpe_path(kind: str = "json") -> str:
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -33,6 +33,8 @@ from lexmill.llm._common import cut
 #: Labelled rows that learning reads at most, by hash of their id.
 SAMPLE = 20_000
 SHORTEST, LONGEST = 3, 12
+#: Features that a task counts before it hands their sums on.
+FEATURES_HELD = 1 << 18
 
 # Letters that look like Latin ones, and characters that stand for letters.
 LOOKALIKES = dict(zip("аеорсухіјѕԁһӏкмтвнοανρτυικɑɡıℓ", "aeopcyxijsdhlkmtbhoavptuikagil", strict=True))
@@ -118,13 +120,20 @@ def _counted(rows: DataFrame, of) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = (Counter(), Counter())
+
+        def made() -> Iterator[pa.RecordBatch]:
+            every = list(seen[0].keys() | seen[1].keys())
+            columns = [pa.array(every, pa.string()), *(pa.array([seen[k][x] for x in every], pa.int64()) for k in (1, 0))]
+            seen[0].clear()
+            seen[1].clear()
+            yield pa.RecordBatch.from_arrays(columns, names=["feature", "toxic", "clean"])
+
         for batch in batches:
             for body, toxic in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
                 seen[1 if toxic else 0].update(of(folded(body.as_py())))
-        every = list(seen[0].keys() | seen[1].keys())
-        for k in range(0, len(every), 100_000):
-            part = every[k : k + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), pa.array([seen[1][x] for x in part], pa.int64()), pa.array([seen[0][x] for x in part], pa.int64())], names=["feature", "toxic", "clean"])
+                if len(seen[0]) + len(seen[1]) >= FEATURES_HELD:
+                    yield from made()
+        yield from made()
 
     return rows.mapInArrow(count, "feature string, toxic long, clean long").groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 

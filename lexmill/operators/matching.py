@@ -230,3 +230,16 @@ def aligned_in_order(a: DataFrame, b: DataFrame, block: str, text: str = "text",
 def combined_similarity(edit: Column, bigrams: Column, words: Column) -> Column:
     """.3 edit + .3 word bigrams + .4 word overlap, rounded to 4 digits."""
     return F.round(0.3 * edit + 0.3 * bigrams + 0.4 * words, 4)
+
+
+def clause_similarity(a: Column, b: Column, lcs: Column) -> Column:
+    """.45 character bigrams + .55 longest common subsequence, .95 at least where one holds the other."""
+    x, y = X.compact(a), X.compact(b)
+    score = 0.45 * X.jaccard(X.char_ngrams(x), X.char_ngrams(y)) + 0.55 * lcs
+    holds = (F.length(x) > 0) & (F.length(y) > 0) & (F.contains(x, y) | F.contains(y, x))
+    return F.round(F.when(holds, F.greatest(F.lit(0.95), score)).otherwise(score), 4)
+
+
+def topic_match(a: DataFrame, b: DataFrame, block: str, text: str = "text") -> DataFrame:
+    """Titles paired one to one: equal ones first, then those with a ratio of .85 or more."""
+    return with_exact(a, b, block, 0.85, text)

@@ -82,3 +82,22 @@ def page_text(pages: DataFrame, html: str = "html") -> DataFrame:
         body = F.replace(body, F.lit(ref), F.lit(char))
     body = F.regexp_replace(F.regexp_replace(body, r"[ \t\r]+", " "), r" ?\n[ \n]*", "\n")
     return pages.select(*(c for c in pages.columns if c != html), title.alias("title"), F.trim(F.regexp_replace(body, r"^\n+|\n+$", "")).alias("text"))
+
+
+def page_of(snippets: DataFrame, pages: DataFrame, key: str = "doc_id", page: str = "page_num", probe: int = 40) -> DataFrame:
+    """Each snippet (key, snippet) with the first page that holds its start, 0 if none does."""
+    found = snippets.join(pages.select(F.col(key).alias("_key"), F.col(page).alias("_page"), F.col("text").alias("_text")), (F.col(key) == F.col("_key")) & (F.trim(F.left("snippet", F.lit(probe))) != "") & F.contains("_text", F.trim(F.left("snippet", F.lit(probe)))), "left")
+    return found.groupBy(*snippets.columns).agg(F.coalesce(F.min("_page"), F.lit(0)).alias("page"))
+
+
+def longest(rows: DataFrame, key: str, order: str, text: str = "text", k: int = 3) -> DataFrame:
+    """The k longest texts of each key; of equals the earlier."""
+    rank = F.row_number().over(Window.partitionBy(key).orderBy(F.desc(F.length(text)), order))
+    return rows.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
+def preview(rows: DataFrame, order: list, n: int = 20, columns: int = 12) -> DataFrame:
+    """The head of a table: its first rows in order, its first columns, and how many rows and columns it has."""
+    total = rows.agg(F.count("*").alias("total_rows"))
+    head = rows.orderBy(*order).limit(n).select(*rows.columns[:columns])
+    return head.join(F.broadcast(total)).withColumn("total_columns", F.lit(len(rows.columns)))

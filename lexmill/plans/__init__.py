@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("usage", "texts", "findings", "comparison", "sources", "proof", "templates")
+MODULES = ("usage", "texts", "findings", "comparison", "sources", "proof", "templates", "extras")
 
 
 def all_queries():

@@ -26,8 +26,9 @@ from pyspark.sql import functions as F
 from lexmill.llm._common import cut
 from lexmill.llm.graph import components
 
-#: Vectors of one bucket that one piece of work compares with each other or with as many others.
-CHUNK = 512
+#: Vectors of one bucket that a piece of work compares with each other or with as many others: an
+#: eighth of the bucket between these, so that the pieces of a large bucket spread over the tasks.
+SMALLEST, CHUNK = 64, 1024
 SALTS = 16
 
 
@@ -187,7 +188,8 @@ def embedding_classes(
     dealt = hashed.select("label", "size", "rep", F.explode("codes").alias("bucket"))
     sizes = dealt.groupBy(*keys).agg(F.count("*").alias("m")).where("m > 1")
     met = cut(dealt.join(sizes, keys), "embedding-buckets")
-    chunks = F.ceil(F.col("m") / CHUNK).cast("int")
+    chunk = F.greatest(F.lit(min(SMALLEST, CHUNK)), F.least(F.lit(CHUNK), F.ceil(F.col("m") / 8)))
+    chunks = F.ceil(F.col("m") / chunk).cast("int")
     met = met.withColumn("chunks", chunks).withColumn("c", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("o")
     met = met.select(*keys, "rep", "c", other).select(

@@ -124,9 +124,9 @@ def pack(
     tokenizer: str,
     window: int = 2048,
     end_id: int | None = 1,
-    sentence_penalty: float = 4.0,
-    hard_penalty: float = 32.0,
-    stride: int = 64,
+    sentence_penalty: float = 1.0,
+    hard_penalty: float = 6.0,
+    stride: int = 16,
     text: str = "text",
     doc_id: str = "doc_id",
 ) -> DataFrame:

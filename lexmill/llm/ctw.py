@@ -8,10 +8,12 @@ trusts itself over the child on the path, so a prediction mixes the estimates of
 A path ends at the deepest context that training has seen.
 
 Training counts words and (DEPTH + 1)-grams of bytes in the tasks, sums them in one
-aggregation, and folds the tree level by level with DataFrame functions. Nodes are broadcast in
-a table of ``SLOTS`` places, which bounds its size whatever the corpus; where nodes compete
-for a place the one with most counts stays and the others' paths end above them. The table
-holds whole keys, so no node is ever taken for another.
+aggregation, and folds the tree level by level with DataFrame functions, then goes down again
+from the root, so that each node knows what a path that ends there predicts. All nodes stay in
+tables, and so do the probabilities of all grams seen. The most frequent grams, at most
+``GRAMS``, are broadcast, which bounds their size whatever the corpus; the rest of a document's
+grams meet their probabilities in a join, and grams that training has not seen meet the nodes
+of their paths.
 
 Beside it stands a smoothed unigram model of words. Its most frequent words are broadcast, at
 most ``FREQUENT``; the rest of a document's words meet their counts in a join.
@@ -23,7 +25,7 @@ import math
 import uuid
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +38,7 @@ from pyspark.sql import types as T
 from lexmill.llm._common import cut, field
 
 DEPTH = 5
-SLOTS = 1 << 21
+GRAMS = 1 << 21
 FREQUENT = 1 << 18
 #: Bytes handled at once.
 CHUNK = 1 << 22
@@ -138,53 +140,82 @@ def _log_gamma(x: Column) -> Column:
     return (y - 0.5) * F.log(y) - y + 0.5 * math.log(2 * math.pi) + 1 / (12 * y) - 1 / (360 * y * y * y) - F.log(way)
 
 
-def tree(counts: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """key, n, p (of a 1) and trust of every node, from rows (key, n) of grams.
-
-    key holds the depth, the context's bytes and the bits before, in this order from the top.
-    """
-    byte, n = F.col("key").bitwiseAND(255), F.col("n")
-    decisions = F.array(
+def _decisions(key: Column) -> Column:
+    """The eight decisions of a gram's last byte: the bits before, after a 1, and the bit."""
+    byte = key.bitwiseAND(255)
+    return F.array(
         *(
             F.struct(F.shiftright(byte, 8 - j).bitwiseOR(1 << j).alias("bits"), F.shiftright(byte, 7 - j).bitwiseAND(1).alias("bit"))
             for j in range(8)
         )
     )
-    rows = counts.select(F.shiftright("key", 8).alias("context"), "n", F.inline(decisions))
+
+
+def _last(context: Column, k: int) -> Column:
+    return context.bitwiseAND((1 << (8 * k)) - 1)
+
+
+def tree(counts: DataFrame, depth: int = DEPTH) -> list[DataFrame]:
+    """The nodes of each depth from 0, from rows (key, n) of grams.
+
+    context, bits; n0, n1; mixed, the probability of a 1 where a path ends at the node; sure and
+    open, what the path to it has settled of this and the weight that it leaves to the nodes below.
+    """
+    n = F.col("n")
+    rows = counts.select(F.shiftright("key", 8).alias("context"), "n", F.inline(_decisions(F.col("key"))))
     level = rows.groupBy("context", "bits").agg(F.sum(F.when(F.col("bit") == 0, n).otherwise(0)).alias("n0"), F.sum(F.when(F.col("bit") == 1, n).otherwise(0)).alias("n1"))
     n0, n1 = F.col("n0").cast("double"), F.col("n1").cast("double")
     own = _log_gamma(n0 + 0.5) + _log_gamma(n1 + 0.5) - _log_gamma(n0 + n1 + 1.0) - math.log(math.pi)
     level = level.withColumns({"own": own, "below": F.lit(None).cast("double")})
-    found = []
+    levels = []
     for k in range(depth, -1, -1):
         if k < depth:
-            level = level.groupBy(F.col("context").bitwiseAND((1 << (8 * k)) - 1).alias("context"), "bits").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.sum("weighted").alias("below"))
+            level = level.groupBy(_last(F.col("context"), k).alias("context"), "bits").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.sum("weighted").alias("below"))
             level = level.withColumn("own", own)
         both = F.greatest("own", "below") + F.log1p(F.exp(-F.abs(F.col("own") - F.col("below")))) - math.log(2)
         level = cut(level.withColumn("weighted", F.coalesce(both, F.col("own"))), f"ctw-{k}")
-        trust = F.when(F.col("below").isNull(), 1.0).otherwise(1 / (1 + F.exp(F.least(F.lit(700.0), F.col("below") - F.col("own")))))
-        key = F.lit(k).cast("long") * (1 << (8 * depth + 8)) + F.col("context") * 256 + F.col("bits")
-        found.append(level.select(key.alias("key"), (F.col("n0") + F.col("n1")).alias("n"), ((n1 + 0.5) / (n0 + n1 + 1.0)).alias("p"), trust.alias("trust")))
-    out = found[0]
-    for f in found[1:]:
-        out = out.union(f)
-    return out
-
-
-def _slot(key, slots: int):
-    """The place of a key below 2^62, the same for numbers and columns; nothing overflows."""
-    if isinstance(key, Column):
-        h = key.bitwiseAND((1 << 31) - 1) * 1_000_003 + F.shiftright(key, 31) * 7_654_321
-        return h.bitwiseXOR(F.shiftright(h, 21)).bitwiseAND(slots - 1)
-    h = (key & ((1 << 31) - 1)) * 1_000_003 + (key >> 31) * 7_654_321
-    return (h ^ (h >> 21)) & (slots - 1)
+        levels.insert(0, level)
+    trust = F.when(F.col("below").isNull(), 1.0).otherwise(1 / (1 + F.exp(F.least(F.lit(700.0), F.col("below") - F.col("own")))))
+    p, sure, left = (n1 + 0.5) / (n0 + n1 + 1.0), F.col("sure"), F.col("open")
+    for k, level in enumerate(levels):
+        if k:
+            above = _few(levels[k - 1].select(F.col("context").alias("up"), "bits", "sure", "open"), k - 1)
+            level = level.withColumn("up", _last(F.col("context"), k - 1)).join(above, ["up", "bits"])
+        else:
+            level = level.withColumns({"sure": F.lit(0.0), "open": F.lit(1.0)})
+        said = [(sure + left * p).alias("mixed"), (sure + left * trust * p).alias("sure"), (left * (1 - trust)).alias("open")]
+        levels[k] = cut(level.select("context", "bits", "n0", "n1", *said), f"ctw-down-{k}")
+    return levels
+
+
+def _few(nodes: DataFrame, k: int) -> DataFrame:
+    """Nodes of depth k for a join: at most 256^k contexts, which are broadcast where this is few."""
+    return F.broadcast(nodes) if k < 2 else nodes
+
+
+def _gram_logs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """key, n and log10 probability of the grams seen, from deepest contexts with their nodes, ascending by bits."""
+    for batch in batches:
+        context, nodes = batch.column(0).to_numpy(), batch.column(1)
+        row = np.repeat(np.arange(len(context)), nodes.value_lengths().to_numpy(zero_copy_only=False))
+        bits, mixed, *n = (nodes.flatten().field(f).to_numpy(zero_copy_only=False) for f in ("bits", "mixed", "n0", "n1"))
+        keys = row << 8 | bits
+        ends = [np.flatnonzero((bits >= 128) & (n[bit] > 0)) for bit in (0, 1)]
+        at = np.concatenate(ends)
+        byte = np.concatenate([(bits[e] << 1 | bit) & 255 for bit, e in enumerate(ends)])
+        logs = np.zeros(len(at))
+        for j in range(8):
+            p = mixed[np.searchsorted(keys, row[at] << 8 | byte >> (8 - j) | 1 << j)]
+            logs += np.log10(np.where(byte >> (7 - j) & 1, p, 1 - p))
+        times = np.concatenate([n[bit][e] for bit, e in enumerate(ends)])
+        yield pa.RecordBatch.from_arrays([pa.array(context[row[at]] << 8 | byte), pa.array(times), pa.array(logs)], names=["key", "n", "log"])
 
 
 @dataclass
 class Model:
+    #: frequent grams, ascending, and their log10 probabilities
     keys: np.ndarray
-    p: np.ndarray
-    trust: np.ndarray
+    logs: np.ndarray
     #: hashes of frequent words, ascending, and their counts
     words: np.ndarray
     counts: np.ndarray
@@ -193,39 +224,58 @@ class Model:
     texts: int
     depth: int = DEPTH
     name: str = ""
+    #: (key, n, log) of all grams seen, and the nodes of each depth; these stay on the driver's side
+    grams: DataFrame | None = None
+    levels: list[DataFrame] | None = None
 
     def norm(self) -> float:
         return self.train_tokens + 0.5 * (self.distinct + 1)
 
+    def logs_of(self, keys: DataFrame) -> DataFrame:
+        """(key, log): log10 probability of the last byte of each gram after the others, for distinct keys."""
+        met = cut(keys.join(self.grams.select("key", "log"), "key", "left"), "ctw-met")
+        rows = met.where("log is null").select("key", F.inline(_decisions(F.col("key"))))
+        for k in range(self.depth, -1, -1):
+            nodes = self.levels[k].select((F.col("context") * 256 + F.col("bits")).alias("node"), F.col("mixed").alias(f"mixed{k}"))
+            rows = rows.withColumn("node", _last(F.shiftright("key", 8), k) * 256 + F.col("bits")).join(_few(nodes, k), "node", "left").drop("node")
+        mixed = F.coalesce(*(f"mixed{k}" for k in range(self.depth, -1, -1)), F.lit(0.5))
+        unseen = rows.groupBy("key").agg(F.sum(F.log10(F.when(F.col("bit") == 1, mixed).otherwise(1 - mixed))).alias("log"))
+        return met.where("log is not null").unionByName(unseen)
+
     def log10_of(self, codes: np.ndarray) -> np.ndarray:
         """log10 probability of the last byte of each gram after the others."""
-        out = np.zeros(len(codes))
-        byte, context = codes & 255, codes >> 8
-        for j in range(8):
-            bits, bit = (byte >> (8 - j)) | (1 << j), (byte >> (7 - j)) & 1
-            mixed, some = np.full(len(codes), 0.5), np.zeros(len(codes), bool)
-            for k in range(self.depth, -1, -1):
-                key = (k << (8 * self.depth + 8)) + ((context & ((1 << (8 * k)) - 1)) << 8) + bits
-                at = _slot(key, len(self.keys))
-                seen = self.keys[at] == key
-                p, t = self.p[at], np.where(some, self.trust[at], 1.0)
-                mixed = np.where(seen, t * p + (1 - t) * mixed, mixed)
-                some |= seen
-            out += np.log10(np.where(bit == 1, mixed, 1 - mixed))
-        return out
-
-    def scores(self, texts: list[bytes], memo: Memo) -> np.ndarray:
-        """log10 probability of each text (words joined by one space) with its end."""
+        kinds, place = np.unique(codes, return_inverse=True)
+        keys = self.grams.sparkSession.createDataFrame([(int(k),) for k in kinds], "key long")
+        return self.logs_of(keys).toArrow().sort_by("key")["log"].to_numpy()[place]
+
+    def frequent(self, codes: np.ndarray) -> np.ndarray:
+        """The same for frequent grams, nan for others."""
+        if not len(self.keys):
+            return np.full(len(codes), np.nan)
+        at = np.minimum(np.searchsorted(self.keys, codes), len(self.keys) - 1)
+        return np.where(self.keys[at] == codes, self.logs[at], np.nan)
+
+    def scores(self, texts: list[bytes], memo: Memo) -> tuple[np.ndarray, pa.Array]:
+        """For each text (words joined by one space) with its end: log10 probability of its frequent grams, and key and times of the others."""
         codes, starts = grams(texts, self.depth)
         at = memo.place(codes)
         logs = memo.logs[at]
         new = memo.keys[at] != codes
         if new.any():
             kinds, place = np.unique(codes[new], return_inverse=True)
-            found = self.log10_of(kinds)
+            found = self.frequent(kinds)
             logs[new] = found[place]
             memo.put(kinds, found)
-        return np.add.reduceat(logs, starts)
+        odd = np.flatnonzero(np.isnan(logs))
+        logs[odd] = 0.0
+        text, key = np.searchsorted(starts, odd, "right") - 1, codes[odd]
+        order = np.lexsort((key, text))
+        text, key = text[order], key[order]
+        first = np.flatnonzero(np.concatenate(([True], (text[1:] != text[:-1]) | (key[1:] != key[:-1])))[: len(key)])
+        times = np.diff(np.append(first, len(key)))
+        offsets = np.searchsorted(text[first], np.arange(len(texts) + 1)).astype(np.int32)
+        rows = pa.StructArray.from_arrays([pa.array(key[first]), pa.array(times.astype(np.int64))], names=["key", "times"])
+        return np.add.reduceat(logs, starts), pa.ListArray.from_arrays(pa.array(offsets), rows)
 
 
 class Memo:
@@ -252,13 +302,29 @@ def learn(rows: DataFrame, text: str = "text") -> tuple[Model, DataFrame]:
     words = counts.where(F.col("kind") == _WORD).select("key", "n")
     total = words.agg(F.count("*").alias("distinct"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
     texts = counts.where(F.col("kind") == _TEXTS).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    best = tree(counts.where(F.col("kind") == _GRAM).select("key", "n"))
-    best = best.groupBy(_slot(F.col("key"), SLOTS).alias("slot")).agg(F.max(F.struct("n", "key", "p", "trust")).alias("b")).select("slot", "b.key", "b.p", "b.trust").toArrow()
-    keys, p, trust = np.full(SLOTS, -1, np.int64), np.full(SLOTS, 0.5), np.ones(SLOTS, np.float32)
-    at = best["slot"].to_numpy()
-    keys[at], p[at], trust[at] = best["key"].to_numpy(), best["p"].to_numpy(), best["trust"].to_numpy()
+    levels = tree(counts.where(F.col("kind") == _GRAM).select("key", "n"))
+    nodes = levels[DEPTH].groupBy("context").agg(F.sort_array(F.collect_list(F.struct("bits", "mixed", "n0", "n1"))).alias("nodes"))
+    seen = cut(nodes.mapInArrow(_gram_logs, "key long, n long, log double"), "ctw-grams")
+    best = seen.where(_size("n") >= _least_size(seen)).select("key", "log").toArrow().sort_by("key")
     often = words.orderBy(F.desc("n"), "key").limit(FREQUENT).toArrow().sort_by("key")
-    return Model(keys, p, trust, often["key"].to_numpy(), often["n"].to_numpy(), total["n"] + texts, total["distinct"] + (texts > 0), texts, name=uuid.uuid4().hex), words
+    model = Model(best["key"].to_numpy(), best["log"].to_numpy(), often["key"].to_numpy(), often["n"].to_numpy(), total["n"] + texts, total["distinct"] + (texts > 0), texts, name=uuid.uuid4().hex, grams=seen, levels=levels)
+    return model, words
+
+
+def _size(n: str) -> Column:
+    """A class of like counts."""
+    return F.floor(F.log2(n) * 16)
+
+
+def _least_size(seen: DataFrame) -> int:
+    """The least class of counts from which on there are no more than ``GRAMS`` grams."""
+    total, least = 0, 1 << 20
+    for r in seen.groupBy(_size("n").alias("size")).count().orderBy(F.desc("size")).collect():
+        total += r["count"]
+        if total > GRAMS:
+            break
+        least = r["size"]
+    return least
 
 
 class _Known(dict):
@@ -295,7 +361,7 @@ def score(docs: DataFrame, model: Model, words: DataFrame, text: str = "text", d
     columns are ignored; an empty table gives an empty result; a model of no texts gives every
     bit a half.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    sent = docs.sparkSession.sparkContext.broadcast(replace(model, grams=None, levels=None))
     schema = T.StructType(
         [
             field(docs, doc_id, "doc_id"),
@@ -306,6 +372,7 @@ def score(docs: DataFrame, model: Model, words: DataFrame, text: str = "text", d
             T.StructField("score", T.DoubleType()),
             T.StructField("n_bytes", T.LongType()),
             T.StructField("rare", T.ArrayType(T.LongType())),
+            T.StructField("grams", T.ArrayType(T.StructType([T.StructField("key", T.LongType()), T.StructField("times", T.LongType())]))),
         ]
     )
 
@@ -333,6 +400,7 @@ def score(docs: DataFrame, model: Model, words: DataFrame, text: str = "text", d
                     base[k], seen[k] = np.nansum(logs) + end, len(ws) - len(odd) + (m.texts > 0)
                     rare.append(np.fromiter((xxhash.xxh64_intdigest(ws[j]) for j in odd), np.uint64, len(odd)).view(np.int64))
                 texts = [b" ".join(ws) for ws in waiting]
+                scores, odd = m.scores(texts, memo)
                 yield pa.RecordBatch.from_arrays(
                     [
                         ids.slice(at, n),
@@ -340,9 +408,10 @@ def score(docs: DataFrame, model: Model, words: DataFrame, text: str = "text", d
                         pa.array([len(ws) + 1 for ws in waiting], pa.int64()),
                         pa.array(seen),
                         pa.array(base),
-                        pa.array(m.scores(texts, memo)),
+                        pa.array(scores),
                         pa.array([len(t) + 1 for t in texts], pa.int64()),
                         pa.array(rare, pa.list_(pa.int64())),
+                        odd,
                     ],
                     names=schema.names,
                 )
@@ -354,7 +423,10 @@ def score(docs: DataFrame, model: Model, words: DataFrame, text: str = "text", d
         F.sum(F.col("times") * F.log10((F.coalesce("n", F.lit(0)) + 0.5) / model.norm())).alias("rest"),
         F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("found"),
     )
-    out = rows.drop("rare").join(met, "row", "left")
+    odd = rows.select("row", F.inline("grams"))
+    odd = odd.join(model.logs_of(odd.select("key").distinct()), "key").groupBy("row").agg(F.sum(F.col("times") * F.col("log")).alias("deep"))
+    out = rows.drop("rare", "grams").join(met, "row", "left").join(odd, "row", "left")
+    out = out.withColumn("score", F.col("score") + F.coalesce("deep", F.lit(0.0)))
     return out.select(
         "doc_id",
         "n_tokens",

@@ -264,3 +264,17 @@ def test_probabilities_of_a_byte_sum_to_one(spark):
     for context in (b"c abc"[-5:], b"\n\n\n\n\n", b"qqqqq"):
         codes = np.array([int.from_bytes(context + bytes([b]), "big") for b in range(256)])
         assert (10 ** model.log10_of(codes)).sum() == pytest.approx(1)
+
+
+def test_rare_grams_meet_their_probabilities(spark, monkeypatch):
+    rows = [(i, " ".join(f"{w}{(i * 7 + k) % 13}" for k, w in enumerate("oak elm ash fir yew".split()))) for i in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    train = docs.where("doc_id % 3 > 0")
+    log10_of = plain_ctw([t.encode() for i, t in rows if i % 3], ctw.DEPTH)
+    for most in (0, 60, 1 << 21):
+        monkeypatch.setattr(ctw, "GRAMS", most, raising=False)
+        monkeypatch.setattr(ctw, "SLOTS", max(most, 1), raising=False)
+        model, words = ctw.learn(train)
+        assert len(model.keys) <= max(most, 1)
+        got = {r["doc_id"]: r["score"] for r in ctw.score(docs, model, words).collect()}
+        assert got == {i: pytest.approx(log10_of(t.encode()), rel=1e-6) for i, t in rows}

@@ -111,18 +111,35 @@ def optimal(pairs: DataFrame, block: str) -> DataFrame:
     """One-to-one pairs of each block with the greatest sum of scores; unpaired rows score nothing."""
 
     def choose(rows: pd.DataFrame) -> pd.DataFrame:
-        a, b = sorted(rows["a_idx"].unique()), sorted(rows["b_idx"].unique())
-        at_a, at_b = {x: i for i, x in enumerate(a)}, {x: i for i, x in enumerate(b)}
-        gain = np.zeros((len(a), len(b)))
-        for x, y, s in zip(rows["a_idx"], rows["b_idx"], rows["score"], strict=True):
-            gain[at_a[x], at_b[y]] = max(gain[at_a[x], at_b[y]], s)
-        found = [(a[i], b[j], gain[i, j]) for i, j in assignment(gain) if gain[i, j] > 0]
+        found = []
+        for _, part in rows.groupby(linked(rows["a_idx"].to_numpy(), rows["b_idx"].to_numpy())):
+            a, b = sorted(part["a_idx"].unique()), sorted(part["b_idx"].unique())
+            at_a, at_b = {x: i for i, x in enumerate(a)}, {x: i for i, x in enumerate(b)}
+            gain = np.zeros((len(a), len(b)))
+            for x, y, s in zip(part["a_idx"], part["b_idx"], part["score"], strict=True):
+                gain[at_a[x], at_b[y]] = max(gain[at_a[x], at_b[y]], s)
+            found += [(a[i], b[j], gain[i, j]) for i, j in assignment(gain) if gain[i, j] > 0]
         return pd.DataFrame({block: [rows[block].iloc[0]] * len(found), "a_idx": [f[0] for f in found], "b_idx": [f[1] for f in found], "score": [f[2] for f in found]})
 
     rows = pairs.select(block, "a_idx", "b_idx", "score")
     return rows.groupBy(block).applyInPandas(choose, rows.schema)
 
 
+def linked(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For each pair the number of its connected component: pairs that share no index, over any steps, do not compete."""
+    root: dict[tuple[str, int], tuple[str, int]] = {}
+
+    def top(x: tuple[str, int]) -> tuple[str, int]:
+        while (up := root.setdefault(x, x)) != x:
+            root[x] = x = root[up]
+        return x
+
+    for x, y in zip(a, b, strict=True):
+        root[top(("a", x))] = top(("b", y))
+    number: dict[tuple[str, int], int] = {}
+    return np.array([number.setdefault(top(("a", x)), len(number)) for x in a], np.int64)
+
+
 def assignment(gain: np.ndarray) -> list[tuple[int, int]]:
     """Row and column pairs of a matrix with the greatest sum: shortest augmenting paths with potentials."""
     if gain.shape[0] > gain.shape[1]:

@@ -87,8 +87,11 @@ def document_differences(t):
 
 @query()
 def lines_greedy_compare(t):
-    rows = t.conversations.select("conv_id", "turn", "text")
-    return C.lines_greedy(rows.where("turn = 0").select("conv_id", "text"), rows.where("turn = 2").select("conv_id", "text"), "conv_id")
+    """Every turn beside the next but one."""
+    kind = t.conversations.select("conv_id", "turn").schema
+    pair = lambda turn: t.conversations.select(F.to_json(F.struct("conv_id", turn.cast(kind["turn"].dataType).alias("turn"))).alias("pair"), "text")
+    out = C.lines_greedy(pair(F.col("turn")), pair(F.col("turn") - 2), "pair")
+    return out.withColumn("pair", F.from_json("pair", kind)).select("pair.*", *out.columns[1:])
 
 
 @query(r"""
@@ -164,5 +167,5 @@ def rule_trigger_counts(t):
 @query()
 def gold_assignment(t):
     gold = G.exploded(t.benchmark, X.sentences(F.col("text"), 5), "item_id").select(F.lit("all").alias("key"), (F.col("item_id") * 100 + F.col("idx")).alias("idx"), "text")
-    found = G.exploded(t.documents.join(t.labels.where('toxic = 1'), 'doc_id', 'left_semi'), X.sentences(F.col("text"), 5)).select(F.lit("all").alias("key"), (F.col("doc_id") * 10000 + F.col("idx")).alias("idx"), "text")
+    found = G.exploded(t.documents, X.sentences(F.col("text"), 5)).select(F.lit("all").alias("key"), (F.col("doc_id") * 10000 + F.col("idx")).alias("idx"), "text")
     return E.gold_assignment(gold, found, "key", 0.6)

@@ -314,3 +314,34 @@ def test_streams(spark, tmp_path):
     assert [(r["n"], r["hits"], r["hit_rate"]) for r in got] == [(4, 2, 50.0)]
     got = run_stream(spark, rows, schema, f"{tmp_path}/4", lambda s: logs.answered_within(s.where("kind = 'a'"), s.where("kind = 'b'").withColumn("user", F.lit(1).cast("long")), "user", "ts"))
     assert len(got) == 2
+
+
+def test_optimal_by_component_equals_the_whole_matrix(spark):
+    r = random.Random(5)
+    rows = [("k", i, j, round(r.random(), 3) + 0.01) for i in range(14) for j in range(14) if r.random() < 0.12]
+    gain = np.zeros((14, 14))
+    for _, i, j, s in rows:
+        gain[i, j] = s
+    got = matching.optimal(spark.createDataFrame(rows, "b string, a_idx long, b_idx long, score double"), "b").collect()
+    assert len({p["a_idx"] for p in got}) == len({p["b_idx"] for p in got}) == len(got)
+    assert sum(p["score"] for p in got) == pytest.approx(sum(gain[i, j] for i, j in matching.assignment(gain)))
+    assert len(set(matching.linked(np.array([1, 1, 2, 3]), np.array([2, 3, 1, 3])))) == 2
+
+
+def test_lines_greedy_compare_takes_every_turn_and_the_next_but_one(spark):
+    from lexmill.plans import all_queries
+
+    sf = "/root/testdata/sf0.001"
+    turns = spark.read.parquet(f"{sf}/conversations.parquet").where("trim(text) <> ''").select("conv_id", "turn").distinct().collect()
+    seen = {(r["conv_id"], r["turn"]) for r in turns}
+    got = {(r["conv_id"], r["turn"]) for r in all_queries().QUERIES["lines_greedy_compare"](spark, sf).collect()}
+    assert got <= {(c, k) for c, k in seen if (c, k + 2) in seen} and {k for _, k in got} > {0}
+
+
+def test_gold_assignment_finds_passages_in_documents_of_any_label(spark):
+    from lexmill.plans import all_queries
+
+    sf = "/root/testdata/sf0.001"
+    toxic = {r["doc_id"] for r in spark.read.parquet(f"{sf}/labels.parquet").where("toxic = 1").collect()}
+    got = {r["b_idx"] // 10000 for r in all_queries().QUERIES["gold_assignment"](spark, sf).collect()}
+    assert got - toxic

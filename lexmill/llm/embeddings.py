@@ -6,8 +6,8 @@ hashes make a bucket of one of ``tables``. Multiprobe: a vector also enters the
 swap one hash for its second largest coordinate. Vectors that share a bucket are candidates;
 every candidate pair is verified by cosine in double precision.
 
-Equal vectors are one row with a count. Buckets of one vector go before any vector is moved.
-A bucket of many is cut into chunks and each pair of chunks is a piece of work of its own, so
+Rows get keys of their own, so ids may repeat or be null. Equal vectors are one row with a
+count. Buckets of one vector go before any vector is moved. A bucket of many is cut into chunks and each pair of chunks is a piece of work of its own, so
 no task holds a whole bucket. Pairs are never written: a piece of work yields, for each vector,
 the links it found and one neighbour of its component there. A pair that meets in several
 buckets counts in the first of them only.
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexmill.llm._common import cut
+from lexmill.llm._common import cut, join_spread
 from lexmill.llm.graph import components
 
 #: Vectors of one bucket that a piece of work compares with each other or with as many others: an
@@ -171,23 +171,27 @@ def embedding_classes(
 
     Rows link if their labels are equal and not null, their vectors of one length, and their
     cosine is ``least`` or more. Null, empty and zero vectors and those with null or non-finite
-    components link with nothing. Rows that repeat a vector link with each other; a repeated
-    vec_id counts as often as it occurs, and its rows get the same class. Other columns are
-    ignored; an empty table gives an empty result.
+    components link with nothing. Each row counts for itself: rows that repeat a vector link with
+    each other, whether or not they repeat the vec_id, and rows of one vec_id with different
+    vectors have links of their own. component_id is the least vec_id that is not null among the
+    rows reachable, null if there is none; kept is false where either is null. Labels may be of
+    any type that compares. Other columns are ignored; an empty table gives an empty result.
     """
     spark = table.sparkSession
     v = F.col(embedding)
     fine = F.col(label).isNotNull() & v.isNotNull() & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
-    rows = table.select(F.col(vec_id).alias("vec_id"), F.col(label).cast("long").alias("label"), v.alias("vector"), F.coalesce(fine, F.lit(False)).alias("fine"))
-    good = rows.where("fine")
+    rows = table.select(F.monotonically_increasing_id().alias("row"), F.col(vec_id).alias("vec_id"), F.col(label).alias("label"), v.alias("vector"), F.coalesce(fine, F.lit(False)).alias("fine"))
+    rows = cut(rows, "embedding-rows")
     equal = ["label", "vector"]
-    reps = cut(good.groupBy(*equal).agg(F.min("vec_id").alias("rep"), F.count("*").alias("n")), "embedding-reps")
+    reps = rows.where("fine").groupBy(*equal).agg(F.min("row").alias("rep"), F.min("vec_id").alias("least"), F.count("*").alias("n"))
 
     hashed = cut(reps.withColumn("codes", _codes(F.col("vector"), tables, functions, seed)).withColumn("size", F.size("vector")), "embedding-codes")
+    reps = hashed.select(*equal, "rep", "least", "n")
     keys = ["label", "size", "bucket"]
     dealt = hashed.select("label", "size", "rep", F.explode("codes").alias("bucket"))
-    sizes = dealt.groupBy(*keys).agg(F.count("*").alias("m")).where("m > 1")
-    met = cut(dealt.join(sizes, keys), "embedding-buckets")
+    sizes = cut(dealt.groupBy(*keys).agg(F.count("*").alias("m")).where("m > 1"), "embedding-sizes")
+    shared = sizes.agg(F.coalesce(F.sum("m"), F.lit(0))).first()[0]
+    met = cut(join_spread(dealt, sizes, keys, "m", shared), "embedding-buckets")
     chunk = F.greatest(F.lit(min(SMALLEST, CHUNK)), F.least(F.lit(CHUNK), F.ceil(F.col("m") / 8)))
     chunks = F.ceil(F.col("m") / chunk).cast("int")
     met = met.withColumn("chunks", chunks).withColumn("c", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int"))
@@ -195,21 +199,25 @@ def embedding_classes(
     met = met.select(*keys, "rep", "c", other).select(
         *keys, "rep", F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j"), F.when(F.col("c") == F.col("o"), 2).otherwise((F.col("c") > F.col("o")).cast("int")).alias("side")
     )
-    work = met.join(hashed.select("rep", "label", "n", "vector", "codes"), ["rep", "label"])
+    work = met.join(hashed.select("rep", "n", "vector", "codes"), "rep")
     order = [*keys, "i", "j"]
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     found = work.select(*order, "side", "rep", "n", "codes", "vector").repartition(parts, *order).sortWithinPartitions(*order).mapInArrow(_compare(least, functions + 1), "rep long, links long, near long")
     found = cut(found, "embedding-links")
 
     roots = components(found.select(F.col("rep").alias("a"), F.col("near").alias("b")))
-    info = reps.select("rep", "n").join(found.groupBy("rep").agg(F.sum("links").alias("links")), "rep", "left").join(roots.withColumnRenamed("node", "rep"), "rep", "left")
-    info = info.where("n > 1 or links is not null").select("rep", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("root", "rep").alias("root"))
+    linked = found.groupBy("rep").agg(F.sum("links").alias("links")).join(roots.withColumnRenamed("node", "rep"), "rep", "left")
+    info = hashed.select("rep", "least", "n").join(linked, "rep", "left").where("n > 1 or links is not null")
+    info = cut(info.select("rep", "least", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("root", "rep").alias("root")), "embedding-info")
+    named = info.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("size"))
+    info = join_spread(info, named, ["root"], "size", info.count()).select("rep", "n_links", "component_id")
 
     # a vector that many rows repeat is met by as many salts as spread it
     salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
-    salted = rows.withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.lit(SALTS)).cast("int"))
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int"))
     twice = reps.where("n > 1").select(*equal, "rep", salts)
-    named = salted.join(twice, [*equal, "salt"], "left").select("vec_id", "salt", F.when(F.col("fine"), F.coalesce("rep", "vec_id")).alias("rep"))
-    out = named.join(info.select("*", salts), ["rep", "salt"], "left")
-    component = F.coalesce("root", "vec_id")
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (F.col("vec_id") == component).alias("kept"))
+    fine_rows = salted.where("fine").join(twice, [*equal, "salt"], "left").select("row", "vec_id", "salt", F.coalesce("rep", "row").alias("rep"))
+    out = fine_rows.join(info.select("*", salts), ["rep", "salt"], "left").select("vec_id", "n_links", F.when(F.col("n_links").isNull(), F.col("vec_id")).otherwise(F.col("component_id")).alias("component_id"))
+    others = rows.where("not fine").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    out = out.union(others)
+    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)).alias("kept"))

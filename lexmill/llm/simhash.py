@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexmill.llm._common import cut
+from lexmill.llm._common import cut, free_name, join_spread
 from lexmill.llm.graph import components
 
 #: Fingerprints that share a key up to which its pairs are joined; beyond, neighbours link them.
@@ -64,14 +64,15 @@ def close_links(fingerprints: DataFrame, fp: str = "fp") -> DataFrame:
     block = lambda k: F.shiftrightunsigned(fp, 16 * k).bitwiseAND(0xFFFF)
     keys = [F.struct(F.lit(t).alias("t"), F.shiftleft(block(i), 16).bitwiseOR(block(j)).alias("key")) for t, (i, j) in enumerate(combinations(range(4), 2))]
     dealt = fingerprints.select(fp, F.inline(F.array(*keys)))
-    sizes = dealt.groupBy("t", "key").agg(F.count("*").alias("n")).where("n > 1")
-    shared = cut(dealt.join(sizes, ["t", "key"]).select("t", "key", "n", F.col(fp).alias("a")), "simhash-keys")
+    sizes = cut(dealt.groupBy("t", "key").agg(F.count("*").alias("n")).where("n > 1"), "simhash-sizes")
+    total = sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    shared = cut(join_spread(dealt, sizes, ["t", "key"], "n", total).select("t", "key", "n", F.col(fp).alias("a")), "simhash-keys")
     few = shared.where(F.col("n") <= PAIRED)
     pairs = few.join(few.select("t", "key", F.col("a").alias("b")), ["t", "key"]).where("a < b and bit_count(a ^ b) <= 2").select("a", "b")
     many = shared.where(F.col("n") > PAIRED).select("a").distinct()
     near = F.array(F.col("a"), *(F.col("a").bitwiseXOR(F.lit(1 << k if k < 63 else -(1 << 63)).cast("long")) for k in range(64)))
     met = many.select("a", F.explode(near).alias("mid"))
-    least = met.groupBy("mid").agg(F.min("a").alias("b"), F.count("*").alias("n")).where("n > 1").select("mid", "b")
+    least = met.groupBy("mid").agg(F.min("a").alias("b"), F.count("*").alias("n")).where("n > 1").select("mid", "b")  # at most 65 have a value
     linked = met.join(least, "mid").where("a <> b and bit_count(a ^ b) <= 2").select("a", "b")
     return pairs.union(linked).distinct()
 
@@ -86,12 +87,33 @@ def simhash_classes(docs: DataFrame, words: int = 3, seed: int = 42, text: str =
     columns are ignored; an empty table gives an empty result.
     """
     rows = cut(docs.select(F.col(doc_id).alias("doc_id"), fingerprint(F.col(text), words, seed).alias("fp")), "simhash")
-    nodes = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    roots = components(close_links(nodes.select("fp")))
-    rooted = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = rooted.join(named, "root").select("fp", "component_id")
+    nodes = cut(_classes(rows), "simhash-nodes")
+    named = nodes.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("n"))
+    classes = join_spread(nodes.select("fp", "root"), named, ["root"], "n", nodes.count()).select("fp", "component_id")
     # a fingerprint that many rows share is met by as many salts as spread it
     salted = classes.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    rows = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+    rows = rows.withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
     return rows.join(salted, ["fp", "salt"]).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def simhash_representatives(docs: DataFrame, words: int = 3, seed: int = 42, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """The columns of ``docs``, one row of each component of ``simhash_classes``.
+
+    It is the row of least doc_id, null ids last; of several such rows, one. Rows are told apart
+    by themselves, not by their ids: documents of one id stay both unless their texts are near
+    duplicates, and a row without an id goes if another row of its component stays.
+    """
+    row, fp = free_name(docs, "row"), free_name(docs, "fp")
+    rows = cut(docs.select("*", F.monotonically_increasing_id().alias(row), fingerprint(F.col(text), words, seed).alias(fp)), "simhash-rows")
+    slim = rows.select(F.col(doc_id).alias("doc_id"), F.col(row).alias("row"), F.col(fp).alias("fp"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first")
+    kept = _classes(slim, first).groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row").alias(row))
+    return rows.join(kept, row, "left_semi").select(*docs.columns)
+
+
+def _classes(rows: DataFrame, first: Column | None = None) -> DataFrame:
+    """root of each fingerprint with a doc_id of its rows, or with ``first``, an aggregate of them."""
+    first = F.min("doc_id").alias("doc_id") if first is None else first
+    nodes = cut(rows.groupBy("fp").agg(first), "simhash-fingerprints")
+    roots = components(close_links(nodes.select("fp")))
+    return nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))

@@ -61,6 +61,17 @@ def test_simhash_on_odd_rows(spark):
     assert simhash.simhash_classes(empty_docs(spark)).count() == 0
 
 
+def test_one_row_of_each_group_stays(spark):
+    a, b = words(50, 200), words(51, 200)
+    rows = [(5, a), (5, b), (7, a), (None, b), (None, words(52, 90)), (None, words(52, 90)), (8, "x" * 3), (8, "x" * 3), (9, b + " " + b)]
+    docs = with_clashes(spark.createDataFrame(rows, "doc_id long, text string"), "row", "fp")
+    out = simhash.simhash_representatives(docs)
+    assert out.columns == docs.columns
+    got = sorted((str(r["doc_id"]), r["text"]) for r in out.collect())
+    assert got == sorted([("5", a), ("5", b), ("None", words(52, 90)), ("8", "xxx")] + ([("9", rows[8][1])] if (plain_fingerprint(rows[8][1]) ^ plain_fingerprint(b)).bit_count() > 2 else []))
+    assert simhash.simhash_representatives(empty_docs(spark)).count() == 0
+
+
 @pytest.mark.parametrize("paired", [64, 2])
 def test_links_with_and_without_hot_keys(spark, monkeypatch, paired):
     monkeypatch.setattr(simhash, "PAIRED", paired)
@@ -97,8 +108,13 @@ def plain_embeddings(rows, least):
         count[b] += 1
     least_id = {}
     for k, r in enumerate(rows):
-        least_id[root[k]] = min(r[0], least_id.get(root[k], r[0]))
-    return sorted((r[0], int(count[k]), least_id[root[k]], r[0] == least_id[root[k]]) for k, r in enumerate(rows))
+        if r[0] is not None:
+            least_id[root[k]] = min(r[0], least_id.get(root[k], r[0]))
+    return [(r[0], int(count[k]), least_id.get(root[k]), r[0] is not None and r[0] == least_id[root[k]]) for k, r in enumerate(rows)]
+
+
+def in_order(rows):
+    return sorted(map(tuple, rows), key=str)
 
 
 def vectors():
@@ -119,11 +135,49 @@ def vectors():
 def test_embeddings_against_all_pairs(spark, monkeypatch, chunk):
     monkeypatch.setattr(embeddings, "CHUNK", chunk)
     table = with_clashes(spark.createDataFrame(vectors(), "vec_id long, embedding array<float>, label int"), "n_links", "kept", "size", "codes")
-    got = sorted(tuple(r) for r in embeddings.embedding_classes(table).collect())
-    assert got == plain_embeddings(vectors(), 0.93)
+    assert in_order(embeddings.embedding_classes(table).collect()) == in_order(plain_embeddings(vectors(), 0.93))
     assert embeddings.embedding_classes(table.limit(0)).count() == 0
 
 
+def test_embeddings_with_repeated_and_null_ids(spark):
+    rows = [(None if k % 7 == 0 else k // 3, v, label) for k, (_, v, label) in enumerate(vectors())]
+    near = [3.0, 1.0, *[0.25] * 6]
+    rows += [(1, near, 5), (1, [x + 0.01 for x in near], 5), (2, [x - 0.01 for x in near], 5), (None, near, 5), (None, [0.0, 1.0] * 4, 6), (None, [0.0, 1.0] * 4, 6)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    assert in_order(embeddings.embedding_classes(table).collect()) == in_order(plain_embeddings(rows, 0.93))
+
+
+def test_labels_of_any_type(spark):
+    rows = [(k, v, None if label is None else f"name {label}") for k, v, label in vectors()]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")
+    assert in_order(embeddings.embedding_classes(table).collect()) == in_order(plain_embeddings(rows, 0.93))
+
+
+def test_links_found_of_planted_pairs(spark):
+    """End to end: of all pairs that a comparison of everything finds, some 98 in 100."""
+    rng = np.random.default_rng(5)
+    base = rng.standard_normal((250, 64))
+    rows = []
+    for b in base:
+        for c in (1.0, rng.uniform(0.93, 0.97), rng.uniform(0.9, 0.95)):
+            n = rng.standard_normal(64)
+            n -= (n @ b) / (b @ b) * b
+            n *= np.linalg.norm(b) / np.linalg.norm(n)
+            rows.append((len(rows), [float(np.float32(x)) for x in c * b + np.sqrt(1 - c * c) * n], 1))
+    want = {r[0]: r[1] for r in plain_embeddings(rows, 0.93)}
+    got = {r["vec_id"]: r["n_links"] for r in embeddings.embedding_classes(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect()}
+    assert all(got[k] <= n for k, n in want.items()) and sum(got.values()) >= 0.97 * sum(want.values()) > 0
+
+
+def test_hot_keys_are_joined_without_their_shuffle(spark):
+    from lexmill.llm._common import join_spread
+
+    rows = spark.range(2000).selectExpr("if(id < 1500, 0, id) k", "id")
+    table = rows.groupBy("k").count()
+    got = join_spread(rows, table, ["k"], "count", 2000)
+    assert sorted(map(tuple, got.collect())) == sorted((0 if i < 1500 else i, i, 1500 if i < 1500 else 1) for i in range(2000))
+
+
 def test_recall_at_the_threshold():
     rng = np.random.default_rng(1)
     a = rng.standard_normal((3000, 64))

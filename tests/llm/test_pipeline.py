@@ -42,6 +42,13 @@ def test_one_document_of_each_group_stays(spark):
     assert kept == Counter(groups)
 
 
+def test_documents_of_one_id_are_told_apart(spark):
+    rows = [(5, words(1, 60)), (5, words(2, 60)), (6, words(1, 60)), (None, words(2, 60)), (None, words(3, 60))]
+    docs = spark.createDataFrame([(i, t, "en", "a", 0) for i, t in rows], odd_docs(spark).schema)
+    kept = sorted(r["text"] for r in P.near_duplicates(spark, docs, SF).collect())
+    assert kept == sorted(words(k, 60) for k in (1, 2, 3))
+
+
 def test_run_packs_whole_documents(spark):
     out = P.run(spark, SF).collect()
     texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}

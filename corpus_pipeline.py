@@ -6,16 +6,16 @@ and read again before the next. All but the last return the columns of documents
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexmill.llm import language as _language
 from lexmill.llm import toxicity as _toxicity
-from lexmill.llm._common import cut, free_name, small_batches
+from lexmill.llm._common import cut, discard, free_name, scratch, small_batches
 from lexmill.llm.mixing import mixed_documents
 from lexmill.llm.packing import pack
 from lexmill.llm.queries import bpe_path
-from lexmill.llm.simhash import simhash_classes
+from lexmill.llm.simhash import simhash_representatives
 
 #: A text nearer to no language's profile than this is rejected.
 LEAST_LANGUAGE_SCORE = 0.2
@@ -41,17 +41,9 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of least id of each group, once where its row repeats.
-
-    Rows without an id name no group's document; one stays of each text.
-    """
+    """Keeps one row of each group of near duplicates, that of least id; ids may repeat or be null."""
     small_batches(spark)
-    least, nth = free_name(docs, "least_id"), free_name(docs, "nth")
-    classes = simhash_classes(docs)
-    kept = classes.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias(least)).distinct()
-    once = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))
-    rows = docs.join(kept, docs["doc_id"] == kept[least], "left_semi").withColumn(nth, once).where(F.col(nth) == 1).select(*docs.columns)
-    return rows.unionByName(docs.where("doc_id is null").dropDuplicates(["text"]))
+    return simhash_representatives(docs)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -79,6 +71,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = cut(stage(spark, docs, sf_dir), f"pipeline-{k}")
+    before = None
+    for k, (_, stage) in enumerate(STAGES):
+        with scratch(spark):
+            docs = cut(stage(spark, docs, sf_dir), f"pipeline-{k}", keep=True)
+        discard(before)
+        before = docs
     return docs

@@ -84,14 +84,23 @@ def hits(text: str, automaton) -> list[tuple[int, int, float]]:
     if not len(automaton):
         return []
     best: dict[int, tuple[int, float]] = {}
-    spared: list[tuple[int, int]] = []
+    spared: dict[int, int] = {}  # start -> farthest end
     for end, (size, weight) in automaton.iter(text):
         start = end + 1 - size
         if weight is None:
-            spared.append((start, end + 1))
+            spared[start] = max(end + 1, spared.get(start, 0))
         elif start not in best or best[start][1] < weight:
             best[start] = end + 1, weight
-    return [(s, e, w) for s, (e, w) in best.items() if not any(a <= s and e <= b for a, b in spared)]
+    if not spared:
+        return [(s, e, w) for s, (e, w) in best.items()]
+    out, reach, ahead, k = [], 0, sorted(spared), 0
+    for s in sorted(best):  # an exception that began before covers a match if it also ends after it
+        while k < len(ahead) and ahead[k] <= s:
+            reach = max(reach, spared[ahead[k]])
+            k += 1
+        if best[s][0] > reach:
+            out.append((s, *best[s]))
+    return out
 
 
 def features(text: str, found: list[tuple[int, int, float]]) -> tuple[float, float]:
@@ -155,11 +164,12 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", text: str =
     """A lexicon of at most ``most`` entries from at most ``sample`` labelled documents.
 
     Null labels and ids are skipped; an id labelled twice counts as its larger label; without
-    a toxic and a clean document the lexicon is empty and every score small.
+    a toxic and a clean document the lexicon is empty and every score small. An id that several
+    rows have counts once, with the least of their texts.
     """
     chosen = labels.where(F.col(label).isNotNull() & F.col(doc_id).isNotNull()).groupBy(doc_id).agg((F.max(label) > 0).alias("toxic")).orderBy(F.xxhash64(doc_id), doc_id).limit(sample)
-    rows = docs.select(F.col(doc_id), F.coalesce(F.col(text), F.lit("")).alias("text")).join(F.broadcast(chosen), doc_id).select("text", "toxic")
-    rows = cut(rows, "toxicity-sample")
+    rows = docs.select(F.col(doc_id), F.coalesce(F.col(text), F.lit("")).alias("text")).join(F.broadcast(chosen), doc_id)
+    rows = cut(rows.groupBy(doc_id).agg(F.min("text").alias("text"), F.first("toxic").alias("toxic")).select("text", "toxic"), "toxicity-sample")
     n = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if len(n) < 2:
         return Lexicon({})
@@ -192,7 +202,7 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", text: str =
         return out
 
     spared = _counted(rows, phrases).where(F.col("clean") >= max(3, n_clean // 2000)).collect() if weights else []
-    exceptions = sorted(r["feature"] for r in spared if _odds(r["toxic"], r["clean"], n_toxic, n_clean)[0] < 0.5)[:most]
+    exceptions = sorted(r["feature"] for r in spared if _odds(r["toxic"], r["clean"], n_toxic, n_clean)[0] < 0.5)
 
     lexicon = Lexicon(weights, exceptions)
     seen = rows.select(_features(lexicon, F.col("text")).alias("f"), "toxic").select("f.*", "toxic").toPandas()

@@ -49,18 +49,22 @@ def source_targets(sized: DataFrame, weights: Sequence[float], slopes: Sequence[
     sources = ranges.groupBy("source").agg(F.sum("words").alias("source_size"), F.map_from_entries(F.collect_list(F.struct("bucket", "words"))).alias("words"))
     filled = F.transform(F.sequence(F.lit(0), F.lit(BUCKETS - 1)), lambda b: F.coalesce(F.col("words")[b.cast("long")], F.lit(0)).cast("long"))
     ahead = F.aggregate("filled", F.array(F.lit(0).cast("long")), lambda acc, w: F.concat(acc, F.array(F.element_at(acc, -1) + w)))
+    before = sources.withColumn("filled", filled).select("source", ahead.alias("before"))
+    # the windows over all sources see three numbers of each, not its ranges
+    slim = ranges.groupBy("source").agg(F.sum("words").alias("source_size"))
     rank = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
     cycle = lambda xs: F.element_at(F.array(*(F.lit(float(x)) for x in xs)), (rank % len(xs) + 1).cast("int"))
-    sources = sources.withColumn("filled", filled).select("source", "source_size", ahead.alias("before"), cycle(weights).alias("weight"), cycle(slopes).alias("slope"), (F.lit(float(cap)) * F.col("source_size")).alias("most"))
+    slim = slim.select("source", "source_size", cycle(weights).alias("weight"), cycle(slopes).alias("slope"), (F.lit(float(cap)) * F.col("source_size")).alias("most"))
     # water level: sources in the order in which they reach their caps
     by_cap = Window.orderBy(F.col("most") / F.col("weight"), F.col("source").asc_nulls_last())
     spent = F.coalesce(F.sum("most").over(by_cap.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
     waiting = F.sum("weight").over(by_cap.rowsBetween(0, Window.unboundedFollowing))
     everything = F.sum("source_size").over(Window.partitionBy())
-    leveled = sources.withColumn("level", (F.lit(float(share)) * everything - spent) / waiting)
+    leveled = slim.withColumn("level", (F.lit(float(share)) * everything - spent) / waiting)
     level = F.min(F.when(F.col("level") <= F.col("most") / F.col("weight"), F.struct(F.col("most") / F.col("weight"), "level"))).over(Window.partitionBy())
     target = F.least("most", F.coalesce(level["level"] * F.col("weight"), F.col("most")))
-    return leveled.select("source", "source_size", target.alias("target"), "slope", "before")
+    leveled = leveled.select(F.col("source").alias("of"), "source_size", target.alias("target"), "slope")
+    return before.join(leveled, F.col("source").eqNullSafe(F.col("of"))).select("source", "source_size", "target", "slope", "before")
 
 
 def _placed(docs, weights, slopes, share, cap, whole_documents, text, doc_id, source, keep) -> DataFrame:

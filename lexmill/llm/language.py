@@ -12,6 +12,7 @@ the driver sees.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,6 +28,7 @@ UNDETERMINED = "und"
 CHUNK = 1 << 20
 
 _letters: list[np.ndarray] = []
+_OTHER = re.compile(r"[\W\d_]")
 
 
 def letters() -> np.ndarray:
@@ -48,9 +50,35 @@ def grams(text: str) -> np.ndarray:
     return np.concatenate((a[letter], two[letter[:-1] | letter[1:]], three[letter[1:-1]]))
 
 
-def top(found: np.ndarray, depth: int) -> np.ndarray:
+def pieces(text: str) -> Iterator[str]:
+    """A text cut between words into pieces of about ``CHUNK`` characters; their n-grams are together the text's."""
+    at = 0
+    while len(text) - at > CHUNK:
+        gap = _OTHER.search(text, at + CHUNK)
+        while gap and text[gap.start()].isalpha():  # letters that the pattern does not count as such
+            gap = _OTHER.search(text, gap.end())
+        if not gap:
+            break
+        yield text[at : gap.start()]
+        at = gap.start()
+    yield text[at:]
+
+
+def counted(parts: Iterator[str]) -> tuple[np.ndarray, np.ndarray]:
+    """n-grams and how often they occur in all ``parts``."""
+    codes, counts = np.empty(0, np.int64), np.empty(0, np.int64)
+    for part in parts:
+        more, n = np.unique(grams(part), return_counts=True)
+        if len(codes):
+            both, at = np.unique(np.concatenate((codes, more)), return_inverse=True)
+            codes, counts = both, np.bincount(at, np.concatenate((counts, n))).astype(np.int64)
+        else:
+            codes, counts = more, n
+    return codes, counts
+
+
+def top(codes: np.ndarray, counts: np.ndarray, depth: int) -> np.ndarray:
     """The most frequent n-grams in order; ties by code."""
-    codes, counts = np.unique(found, return_counts=True)
     return codes[np.argsort(-counts, kind="stable")[:depth]]
 
 
@@ -65,7 +93,7 @@ class Profiles:
             self.ranks[np.searchsorted(self.codes, ranked[name]), k] = np.arange(len(ranked[name]))
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        mine = top(grams(text), self.depth) if text else np.empty(0, np.int64)
+        mine = top(*counted(pieces(text)), self.depth) if text else np.empty(0, np.int64)
         if not len(mine) or not self.names:
             return UNDETERMINED, 0.0
         at = np.searchsorted(self.codes, mine)
@@ -86,7 +114,7 @@ def learn(rows: DataFrame, text: str = "text", lang: str = "lang", depth: int =
         sums: dict[str, tuple[np.ndarray, np.ndarray]] = {}
 
         def add(name: str) -> None:
-            codes, counts = np.unique(grams("\n".join(waiting.pop(name))), return_counts=True)
+            codes, counts = counted(p for joined in ["\n".join(waiting.pop(name))] for p in pieces(joined))
             sizes[name] = 0
             if name in sums:
                 old, before = sums[name]

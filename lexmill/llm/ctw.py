@@ -22,6 +22,7 @@ most ``FREQUENT``; the rest of a document's words meet their counts in a join.
 from __future__ import annotations
 
 import math
+import re
 import uuid
 from collections import Counter
 from collections.abc import Iterator
@@ -43,6 +44,7 @@ FREQUENT = 1 << 18
 #: Bytes handled at once.
 CHUNK = 1 << 22
 _WORD, _GRAM, _TEXTS = 0, 1, 2
+_SPACE = re.compile(rb"[ \t-\r]")
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -50,18 +52,35 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode().lower().split()
 
 
-def grams(texts: list[bytes], depth: int = DEPTH) -> tuple[np.ndarray, np.ndarray]:
+def parts_of(text: str | None, chunk: int | None = None) -> Iterator[tuple[bytes, list[bytes], bytes]]:
+    """The words of a text in parts of about ``chunk`` bytes, with what stands before and after them.
+
+    Before are the ``DEPTH`` bytes ahead of the part, line ends at the start of a text; after it a
+    space, or the line end that ends a text. The parts' bytes, one after the other, are the words
+    joined by single spaces and the end.
+    """
+    body, at, before = (text or "").encode().lower().rstrip(), 0, b"\n" * DEPTH
+    chunk = CHUNK if chunk is None else chunk
+    while len(body) - at > chunk and (gap := _SPACE.search(body, at + chunk)):
+        words, at = body[at : gap.start()].split(), gap.end()
+        if words:
+            yield before, words, b" "
+            before = (before + b" ".join(words[-DEPTH:]) + b" ")[-DEPTH:]
+    yield before, body[at:].split(), b"\n"
+
+
+def grams(texts: list[bytes], depth: int = DEPTH, before: bytes | None = None, after: bytes = b"\n") -> tuple[np.ndarray, np.ndarray]:
     """The byte and the ``depth`` before it, as one number, for each byte and the end of each text; where each text begins.
 
-    Before a text stand line ends, and one ends it.
+    Before a text stand line ends, and one ends it, unless ``before`` and ``after`` say else.
     """
-    pad = b"\n" * depth
-    a = np.frombuffer(pad + b"".join(t + b"\n" + pad for t in texts), np.uint8).astype(np.int64)
+    pad = b"\n" * depth if before is None else before
+    a = np.frombuffer(b"".join(pad + t + after for t in texts), np.uint8).astype(np.int64)
     code = _joined(a, depth + 1)
-    sizes = np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts))
+    sizes = np.fromiter((len(t) + len(after) for t in texts), np.int64, len(texts))
     starts = np.concatenate(([0], np.cumsum(sizes)[:-1])).astype(np.int64)
     keep = np.ones(len(code), bool)
-    ends = np.cumsum(sizes + depth) - depth
+    ends = np.cumsum(sizes + depth)[:-1] - depth
     for k in range(depth):
         keep[ends + k] = False
     return code[keep], starts
@@ -79,18 +98,6 @@ def _joined(a: np.ndarray, n: int) -> np.ndarray:
     return code
 
 
-def _batches(texts: Iterator[bytes]) -> Iterator[list[bytes]]:
-    waiting, size = [], 0
-    for t in texts:
-        waiting.append(t)
-        size += len(t) + 1
-        if size >= CHUNK:
-            yield waiting
-            waiting, size = [], 0
-    if waiting:
-        yield waiting
-
-
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """kind, key, n of a task's texts: hashed words, grams, and the number of texts."""
     words: Counter[bytes] = Counter()
@@ -108,22 +115,34 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words)).view(np.int64)
         return rows(_WORD, keys, np.fromiter(words.values(), np.int64, len(words)))
 
-    def bodies() -> Iterator[bytes]:
-        nonlocal texts
-        for batch in batches:
-            for body in batch.column(0):
-                w = words_of(body.as_py())
-                words.update(w)
-                texts += 1
-                yield b" ".join(w)
+    waiting: list[bytes] = []
 
-    for part in _batches(bodies()):
-        seen.append(np.unique(grams(part)[0], return_counts=True))
+    def add(*more) -> None:
+        nonlocal seen
+        seen.append(np.unique(grams(*more)[0], return_counts=True))
         if sum(len(k) for k, _ in seen) > 1 << 21:
             seen = [merged()]
-        if len(words) > 1 << 19:
-            yield word_rows()
-            words.clear()
+
+    size = 0
+    for batch in batches:
+        for body in batch.column(0):
+            texts += 1
+            for before, w, after in parts_of(body.as_py()):
+                words.update(w)
+                part = b" ".join(w)
+                if after == b"\n" and len(part) < CHUNK and before == b"\n" * DEPTH:
+                    waiting.append(part)
+                    size += len(part) + 1
+                else:
+                    add([part], DEPTH, before, after)
+                if size >= CHUNK:
+                    add(waiting)
+                    waiting, size = [], 0
+                if len(words) > 1 << 19:
+                    yield word_rows()
+                    words.clear()
+    if waiting:
+        add(waiting)
     if words:
         yield word_rows()
     if seen:
@@ -255,9 +274,9 @@ class Model:
         at = np.minimum(np.searchsorted(self.keys, codes), len(self.keys) - 1)
         return np.where(self.keys[at] == codes, self.logs[at], np.nan)
 
-    def scores(self, texts: list[bytes], memo: Memo) -> tuple[np.ndarray, pa.Array]:
+    def scores(self, texts: list[bytes], memo: Memo, before: bytes | None = None, after: bytes = b"\n") -> tuple[np.ndarray, pa.Array]:
         """For each text (words joined by one space) with its end: log10 probability of its frequent grams, and key and times of the others."""
-        codes, starts = grams(texts, self.depth)
+        codes, starts = grams(texts, self.depth, before, after)
         at = memo.place(codes)
         logs = memo.logs[at]
         new = memo.keys[at] != codes
@@ -305,8 +324,8 @@ def learn(rows: DataFrame, text: str = "text") -> tuple[Model, DataFrame]:
     levels = tree(counts.where(F.col("kind") == _GRAM).select("key", "n"))
     nodes = levels[DEPTH].groupBy("context").agg(F.sort_array(F.collect_list(F.struct("bits", "mixed", "n0", "n1"))).alias("nodes"))
     seen = cut(nodes.mapInArrow(_gram_logs, "key long, n long, log double"), "ctw-grams")
-    best = seen.where(_size("n") >= _least_size(seen)).select("key", "log").toArrow().sort_by("key")
-    often = words.orderBy(F.desc("n"), "key").limit(FREQUENT).toArrow().sort_by("key")
+    best = seen.where(_size("n") >= _least_size(seen, GRAMS)).select("key", "log").toArrow().sort_by("key")
+    often = words.where(_size("n") >= _least_size(words, FREQUENT)).toArrow().sort_by("key")
     model = Model(best["key"].to_numpy(), best["log"].to_numpy(), often["key"].to_numpy(), often["n"].to_numpy(), total["n"] + texts, total["distinct"] + (texts > 0), texts, name=uuid.uuid4().hex, grams=seen, levels=levels)
     return model, words
 
@@ -316,12 +335,12 @@ def _size(n: str) -> Column:
     return F.floor(F.log2(n) * 16)
 
 
-def _least_size(seen: DataFrame) -> int:
-    """The least class of counts from which on there are no more than ``GRAMS`` grams."""
+def _least_size(counted: DataFrame, most: int) -> int:
+    """The least class of counts from which on there are no more than ``most`` rows."""
     total, least = 0, 1 << 20
-    for r in seen.groupBy(_size("n").alias("size")).count().orderBy(F.desc("size")).collect():
+    for r in counted.groupBy(_size("n").alias("size")).count().orderBy(F.desc("size")).collect():
         total += r["count"]
-        if total > GRAMS:
+        if total > most:
             break
         least = r["size"]
     return least
@@ -383,39 +402,53 @@ def score(docs: DataFrame, model: Model, words: DataFrame, text: str = "text", d
             _kept[m.name] = _Known(m), Memo()
         (known, memo), row = _kept[m.name], TaskContext.get().partitionId() << 33
         end = math.log10(((m.texts or 0) + 0.5) / m.norm())
+
+        def looked_up(words: list[bytes]) -> tuple[float, int, np.ndarray]:
+            """Base score of the frequent words, their number, and hashes of the others."""
+            logs = np.fromiter(map(known.__getitem__, words), np.float64, len(words))
+            odd = np.flatnonzero(np.isnan(logs))
+            return np.nansum(logs), len(words) - len(odd), np.fromiter((xxhash.xxh64_intdigest(words[j]) for j in odd), np.uint64, len(odd)).view(np.int64)
+
+        def made(ids, row, tokens, seen, base, scores, sizes, rare, odd) -> pa.RecordBatch:
+            columns = [ids, pa.array(np.arange(row, row + len(ids))), pa.array(tokens, pa.int64()), pa.array(seen, pa.int64()), pa.array(base, pa.float64()), pa.array(scores, pa.float64()), pa.array(sizes, pa.int64())]
+            return pa.RecordBatch.from_arrays([*columns, pa.array(rare, pa.list_(pa.int64())), odd], names=schema.names)
+
+        def together(ids, row, waiting: list[list[bytes]]) -> pa.RecordBatch:
+            base, seen, rare = zip(*map(looked_up, waiting), strict=True)
+            texts = [b" ".join(ws) for ws in waiting]
+            scores, odd = m.scores(texts, memo)
+            return made(ids, row, [len(ws) + 1 for ws in waiting], [n + (m.texts > 0) for n in seen], [b + end for b in base], scores, [len(t) + 1 for t in texts], rare, odd)
+
+        def by_parts(one, row, text: str) -> pa.RecordBatch:
+            """A long text: what its parts say, added up."""
+            tokens, seen, base, total, size, rare, odd = 1, m.texts > 0, end, 0.0, 0, [], []
+            for before, ws, after in parts_of(text, CHUNK):
+                b, n, h = looked_up(ws)
+                part = b" ".join(ws)
+                s, o = m.scores([part], memo, before, after)
+                tokens, seen, base, total, size = tokens + len(ws), seen + n, base + b, total + float(s[0]), size + len(part) + len(after)
+                rare.append(h)
+                odd.append(o.flatten())
+            return made(one, row, [tokens], [int(seen)], [base], [total], [size], [np.concatenate(rare)], pa.ListArray.from_arrays(pa.array([0, sum(map(len, odd))], pa.int32()), pa.concat_arrays(odd)))
+
         for batch in batches:
             ids, bodies = batch.column(0), batch.column(1)
             at, waiting, size = 0, [], 0
             for i in range(len(bodies)):
-                w = words_of(bodies[i].as_py())
-                waiting.append(w)
-                size += sum(map(len, w)) + len(w)
-                if size < CHUNK and i + 1 < len(bodies):
+                text = bodies[i].as_py()
+                long = text is not None and len(text) > CHUNK
+                if (long or size >= CHUNK) and waiting:
+                    yield together(ids.slice(at, len(waiting)), row, waiting)
+                    row, at, waiting, size = row + len(waiting), at + len(waiting), [], 0
+                if long:
+                    yield by_parts(ids.slice(i, 1), row, text)
+                    row, at = row + 1, i + 1
                     continue
-                n = len(waiting)
-                base, seen, rare = np.empty(n), np.empty(n, np.int64), []
-                for k, ws in enumerate(waiting):
-                    logs = np.fromiter(map(known.__getitem__, ws), np.float64, len(ws))
-                    odd = np.flatnonzero(np.isnan(logs))
-                    base[k], seen[k] = np.nansum(logs) + end, len(ws) - len(odd) + (m.texts > 0)
-                    rare.append(np.fromiter((xxhash.xxh64_intdigest(ws[j]) for j in odd), np.uint64, len(odd)).view(np.int64))
-                texts = [b" ".join(ws) for ws in waiting]
-                scores, odd = m.scores(texts, memo)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        ids.slice(at, n),
-                        pa.array(np.arange(row, row + n)),
-                        pa.array([len(ws) + 1 for ws in waiting], pa.int64()),
-                        pa.array(seen),
-                        pa.array(base),
-                        pa.array(scores),
-                        pa.array([len(t) + 1 for t in texts], pa.int64()),
-                        pa.array(rare, pa.list_(pa.int64())),
-                        odd,
-                    ],
-                    names=schema.names,
-                )
-                row, at, waiting, size = row + n, i + 1, [], 0
+                waiting.append(words_of(text))
+                size += len(text or "")
+            if waiting:
+                yield together(ids.slice(at), row, waiting)
+                row += len(waiting)
 
     rows = cut(docs.select(doc_id, text).mapInArrow(run, schema), "ctw-scores")
     met = rows.select("row", F.explode("rare").alias("key")).groupBy("row", "key").agg(F.count("*").alias("times"))

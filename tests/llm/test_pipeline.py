@@ -34,6 +34,26 @@ def test_language_stage_rejects_texts_without_letters(spark):
     assert kept.isdisjoint({1, 2, 3, 9}) and {4, 5, 6, 8} <= kept
 
 
+#: An article of a public declaration in languages that the tables lack, and text that is none.
+FOREIGN = [
+    "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem.",
+    "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto.",
+    "Все люди рождаются свободными и равными в своем достоинстве и правах. Они наделены разумом и совестью.",
+    "Bütün insanlar hür, haysiyet ve haklar bakımından eşit doğarlar. Akıl ve vicdana sahiptirler.",
+    "人人生而自由,在尊严和权利上一律平等。他们赋有理性和良心。",
+]
+JUNK = ["QWxsIGh1bWFuIGJlaW5ncyBhcmUgYm9ybiBmcmVl" * 4, "0x00 0x7f 0xff " * 20, "kqzx vvwq jjxk zzqw xkcd qqqq wvxz " * 5]
+
+
+def test_language_stage_rejects_other_languages_and_junk(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    planted = spark.createDataFrame([(-1 - k, t, None, "planted", 0) for k, t in enumerate(FOREIGN + JUNK)], docs.schema)
+    kept = {r["doc_id"] for r in P.language(spark, docs.unionByName(planted), SF).collect()}
+    assert min(kept) >= 0 and len(kept) == docs.select("doc_id").distinct().count()
+    french = {r["doc_id"] for r in P.language(spark, docs, SF, wanted=["fr"]).collect()}
+    assert french and french < kept
+
+
 def test_one_document_of_each_group_stays(spark):
     rows = [(k, words(k // 3, 60) + " " + words(0, 1)) for k in range(60)] + [(5, words(1, 60) + " " + words(0, 1))]
     docs = spark.createDataFrame([(i, t, "en", "a", 0) for i, t in rows], odd_docs(spark).schema)

@@ -4,6 +4,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -73,6 +74,16 @@ def test_language_of_odd_rows(spark):
     assert {r["lang_pred"] for r in language.identify(docs, nothing).collect()} == {"und"}
 
 
+def test_long_texts_are_counted_in_pieces(monkeypatch):
+    text = " ".join(t for _, t, *_ in odd_rows() if t and len(t) < 20_000) * 3
+    whole = [x.tolist() for x in language.counted([text])]
+    monkeypatch.setattr(language, "CHUNK", 100)
+    parts = list(language.pieces(text))
+    assert len(parts) > 100 and "".join(parts) == text
+    assert [x.tolist() for x in language.counted(parts)] == whole
+    assert list(language.pieces("a" * 500)) == ["a" * 500] and list(language.pieces("")) == [""]
+
+
 def test_language_held_out_accuracy(spark):
     from lexmill.llm.queries import op4_language
 
@@ -99,6 +110,41 @@ def test_lexicon_and_exceptions():
     assert toxicity.hits(" fool ", toxicity.Lexicon({}).automaton()) == []
 
 
+def plain_hits(text, weights, exceptions):
+    """Every entry looked for at every place, every match held against every exception."""
+    spared = [(k, k + len(e)) for e in exceptions for k in range(len(text)) if text.startswith(e, k)]
+    out = []
+    for k in range(len(text)):
+        here = [(w, len(e)) for e, w in weights.items() if text.startswith(e, k)]
+        if here:
+            w = max(x for x, _ in here)
+            ends = {k + n for x, n in here if x == w}
+            if not any(a <= k and e <= b for a, b in spared for e in ends):
+                out.append((k, w))
+    return out
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_matches_against_a_plain_search(seed):
+    r = random.Random(seed)
+    letters = lambda n: "".join(r.choice("ab") for _ in range(n))
+    weights = {f" {letters(r.randint(1, 4))}" + r.choice(["", " "]): round(r.random(), 6) for _ in range(12)}
+    exceptions = sorted({f" {letters(r.randint(1, 4))} " + r.choice(["", f"{letters(2)} "]) for _ in range(8)})
+    a = toxicity.Lexicon(weights, exceptions).automaton()
+    for _ in range(60):
+        text = toxicity.folded(" ".join(letters(r.randint(1, 6)) for _ in range(r.randint(0, 30))))
+        assert sorted((s, w) for s, _, w in toxicity.hits(text, a)) == plain_hits(text, weights, exceptions if len(weights) else [])
+
+
+def test_matching_is_linear():
+    import time
+
+    a = toxicity.Lexicon({" bad": 1.0}, [" bad day "]).automaton()
+    text = " bad day bad" * 200_000 + " "
+    began = time.process_time()
+    assert len(toxicity.hits(text, a)) == 200_000 and time.process_time() - began < 20
+
+
 def test_toxicity_learns_words_and_spares_clean_ones(spark):
     r = random.Random(3)
     vocabulary = ["".join(r.choice("abcdeghi") for _ in range(5)) for _ in range(200)]
@@ -243,6 +289,30 @@ def test_context_tree_against_plain_recursion(spark):
         assert r["bits_per_byte"] == pytest.approx(-r["score"] * math.log2(10) / (len(body(t)) + 1))
 
 
+def test_long_texts_are_scored_in_parts(spark, monkeypatch):
+    rows = [(1, "abc abd  abe\taaa " * 9), (2, "xyz abc"), (3, None), (4, " \n" * 40), (5, "abc   " + " " * 70), (6, "q" * 90), (7, "ab " * 30 + "  ")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    score = lambda: {r["doc_id"]: tuple(r[1:]) for r in ctw.score(docs, *ctw.learn(docs)).collect()}
+
+    def counted():
+        batch = pa.RecordBatch.from_arrays([pa.array([t for _, t in rows])], names=["text"])
+        total = Counter()
+        for b in ctw._count(iter([batch])):
+            for r in b.to_pylist():
+                total[r["kind"], r["key"]] += r["n"]
+        return total
+
+    whole, counts = score(), counted()
+    for chunk in (7, 16, 33):
+        monkeypatch.setattr(ctw, "CHUNK", chunk)
+        assert {i for i, t in rows if len(list(ctw.parts_of(t))) > 1} >= {1, 7}
+        for i, t in rows:
+            parts = list(ctw.parts_of(t))
+            assert b"".join(b" ".join(w) + after for _, w, after in parts) == b" ".join(ctw.words_of(t)) + b"\n"
+        assert counted() == counts
+        assert score() == {k: pytest.approx(v) for k, v in whole.items()}
+
+
 def test_rare_words_meet_their_counts(spark, monkeypatch):
     docs = spark.createDataFrame([(1, "a a a b b c"), (2, "c d d e")], "doc_id long, text string")
     whole = {r["doc_id"]: (r["n_known"], r["base_score"]) for r in ctw.score(docs, *ctw.learn(docs)).collect()}

@@ -48,15 +48,22 @@ def token_key(c: Column) -> Column:
     return F.concat(F.lit(" "), F.array_join(tokens(c), " "), F.lit(" "))
 
 
-METADATA = r"\b(?:english|chinese|bilingual|draft|final)\b"
-VERSION = r"\b(?:v|ver|version)\s*\d+(?:\.\d+)+\b|\b\d+(?:\.\d+){2,}\b"
-CODE = r"\b[a-z]*\d[a-z0-9.+_-]*\b"
+#: Words that say how a text was made, not what it says: names of languages, and states. Callers have their own.
+METADATA_WORDS = ("english", "german", "french", "spanish", "chinese", "japanese", "draft", "revised")
+LOCALE = r"\b[a-z]{2}-[a-z]{2}\b"
+VERSION = r"\bv(?:er|ersion)?\.? ?\d[\d.]*|\b\d+\.\d+\.\d[\d.]*"
+CODE = r"\b\w*\d[\w.+-]*"
 
 
-def without_metadata(c: Column) -> Column:
-    """Collapsed lower-case text without locale words and version numbers."""
-    out = F.regexp_replace(F.lower(collapsed(c)), r"[_/+]+", " ")
-    return F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(out, VERSION, " "), METADATA, " "), r"\s+", " "))
+def metadata_pattern(words: Sequence[str] = METADATA_WORDS) -> str:
+    """Locales, versions and the given words, as one pattern for lower-case text."""
+    return "|".join([LOCALE, VERSION, *(rf"\b{w}\b" for w in words)])
+
+
+def without_metadata(c: Column, words: Sequence[str] = METADATA_WORDS) -> Column:
+    """Collapsed lower-case text without locales, version numbers and the given words."""
+    out = F.regexp_replace(F.lower(collapsed(c)), r"[_/]+", " ")
+    return F.trim(F.regexp_replace(F.regexp_replace(out, metadata_pattern(words), " "), r"\s+", " "))
 
 
 def text_units(c: Column) -> Column:
@@ -86,6 +93,32 @@ def paragraphs(c: Column, least: int = 5) -> Column:
     return F.filter(found, lambda s: F.length(s) >= least)
 
 
+def blank_line_paragraphs(c: Column, least: int = 5) -> Column:
+    """Parts between blank lines; a line that begins with a capital, a digit or a CJK character opens one too."""
+    marked = F.regexp_replace(text_of(c), r"\n([A-Z0-9\x{4E00}-\x{9FFF}])", "\n\n$1")
+    found = F.transform(F.split(marked, r"\n\s*\n"), lambda s: F.trim(s))
+    return F.filter(found, lambda s: F.length(s) >= least)
+
+
+#: Ways to end a sentence: pattern, what stands for it with a mark where the sentence ends, and the least length.
+MARK = "␞"
+SENTENCE_FORMS = {
+    "either": (r"([。；！？])|([.;!?])\s+", "$1$2" + MARK, 2),
+    "spaced": (r"([.!?;。！？；])\s+", "$1" + MARK, 2),
+    "capital": (r"([.!])\s+([A-Z])", "$1" + MARK + "$2", 5),
+    "whole": (r"([.!?])(\s)|(\n+)", "$1$2$3" + MARK, 1),
+}
+
+
+def sentences_by(c: Column, form: str) -> Column:
+    """Sentences in one of ``SENTENCE_FORMS``, trimmed except in the form ``whole``, which loses nothing."""
+    pattern, instead, least = SENTENCE_FORMS[form]
+    t = text_of(c) if form == "whole" else collapsed(c)
+    found = F.split(F.regexp_replace(t, pattern, instead), MARK)
+    found = found if form == "whole" else F.transform(found, lambda s: F.trim(s))
+    return F.filter(found, lambda s: F.length(s) >= least)
+
+
 def lines(c: Column) -> Column:
     return F.split(text_of(c), "\n")
 
@@ -136,6 +169,33 @@ def overlap(a: Column, b: Column) -> Column:
     return F.when(larger == 0, 0.0).otherwise(F.size(F.array_intersect(a, b)) / larger)
 
 
+def symmetric_difference(a: Column, b: Column) -> Column:
+    """Members of just one of two sets."""
+    return F.array_union(F.array_except(a, b), F.array_except(b, a))
+
+
+def common_prefix(a: Column, b: Column) -> Column:
+    """Length of the beginning that two texts share."""
+    n = F.least(F.length(text_of(a)), F.length(text_of(b)))
+    return F.when(n == 0, 0).otherwise(F.size(F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda k: F.left(text_of(a), k) == F.left(text_of(b), k))))
+
+
+def prefix_similarity(a: Column, b: Column, base: float = 0.60, share: float = 0.25) -> Column:
+    """base + share times the common beginning over the longer length; 0 if that is under two characters or 0.3."""
+
+    def score(n: Column) -> Column:
+        part = n / F.greatest(F.length(text_of(a)), F.length(text_of(b)), F.lit(1))
+        return F.when((n >= 2) & (part >= 0.3), base + share * part).otherwise(0.0)
+
+    return bound(common_prefix(a, b), score)
+
+
+def edit_ratio(a: Column, b: Column) -> Column:
+    """1 - 2 edits / both lengths, at least 0: never above the ratio of matched characters."""
+    both = F.length(text_of(a)) + F.length(text_of(b))
+    return F.when(both == 0, 1.0).otherwise(F.greatest(F.lit(0.0), 1 - 2 * F.levenshtein(text_of(a), text_of(b)) / both))
+
+
 def edit_similarity(a: Column, b: Column, longest: int = 15) -> Column:
     """1 - edit distance / longer length of short texts; 0 where one is longer than ``longest`` or both are empty."""
     most = F.greatest(F.length(a), F.length(b))
@@ -164,6 +224,74 @@ def language_by_script(c: Column, hints: dict[str, Sequence[str]], marks: dict[s
     return found.otherwise(F.array_max(F.array(*scores))["name"])
 
 
+def language_by_share(c: Column, least: float = 0.25) -> Column:
+    """zh if at least this share of the characters is CJK, else en; unknown without a character."""
+    n = F.length(text_of(c))
+    return F.when(n == 0, "unknown").when(F.regexp_count(text_of(c), F.lit(CJK)) / n >= least, "zh").otherwise("en")
+
+
+def language_by_majority(c: Column) -> Column:
+    """zh or en, as CJK characters or Latin letters are more; unknown where neither."""
+    zh, en = F.regexp_count(text_of(c), F.lit(CJK)), F.regexp_count(text_of(c), F.lit("[A-Za-z]"))
+    return F.when(zh > en, "zh").when(en > zh, "en").otherwise("unknown")
+
+
+def language_of_document(c: Column, least_words: int = 5, factor: int = 2) -> Column:
+    """english with enough Latin words, ``factor`` for each CJK character; else chinese."""
+    zh, words = F.regexp_count(text_of(c), F.lit(CJK)), F.regexp_count(text_of(c), F.lit(r"[A-Za-z]{2,}"))
+    return F.when((words >= least_words) & (words >= F.greatest(F.lit(1), zh * factor)), "english").otherwise("chinese")
+
+
+# Column headers that name a language.
+HEADER_LANGUAGES = {"zh": "zh", "zhcn": "zh", "cn": "zh", "chinese": "zh", "中文": "zh", "en": "en", "enus": "en", "english": "en", "英文": "en", "ja": "ja", "jajp": "ja", "japanese": "ja", "日文": "ja", "ko": "ko", "kokr": "ko", "korean": "ko", "韩文": "ko"}
+
+
+def header_language(c: Column) -> Column:
+    """The language that a column header names, in any case, with any separators; null for others."""
+    return F.element_at(F.create_map(*(F.lit(x) for kv in HEADER_LANGUAGES.items() for x in kv)), F.lower(F.regexp_replace(text_of(c), r"[\s_-]+", "")))
+
+
+def plain_markdown(c: Column) -> Column:
+    """Markdown as plain text: marks of headings, quotes, emphasis, code, links and tables go, their words stay."""
+    out = text_of(c)
+    for pattern, instead in PLAIN_MARKDOWN:
+        out = F.regexp_replace(out, pattern, instead)
+    return F.trim(out)
+
+
+PLAIN_MARKDOWN = (
+    (r"(?m)^[ |:-]*-{3,}[ |:-]*$", ""),
+    (r"(?m)^ *(?:#{1,6}|>) *", ""),
+    (r"!?\[([^\]\n]*)\]\([^)\n]*\)", "$1"),
+    (r"\*\*([^*\n]+)\*\*", "$1"),
+    (r"\*([^*\n]+)\*", "$1"),
+    (r"`+([^`\n]+)`+", "$1"),
+    (r"(?m)^[ |]+|[ |]+$", ""),
+    (r"\n{3,}", "\n\n"),
+)
+
+#: What taking text out of laid-out pages leaves behind: control characters, broken words, rows of dots, missing spaces.
+EXTRACT_REPAIRS = (
+    (r"\r\n?", "\n"),
+    (r"[\x00-\x08\x0B\x0E-\x1F\x7F]", ""),
+    (r"([A-Za-z])-\n([a-z])", "$1$2"),
+    (r"(?m)^.{2,80}?\.{3,} *\d+ *$\n?", ""),
+    (r"\.{4,}", " "),
+    (r"(\d)(mL|mm|cm|kg|mg|GB|MB|rpm|min)\b", "$1 $2"),
+    (r"(\d) *(?:℃|° *C)", "$1 °C"),
+    (r"[ \t]{2,}", " "),
+    (r"\n{3,}", "\n\n"),
+)
+
+
+def cleaned_extract(c: Column) -> Column:
+    """Text as ``EXTRACT_REPAIRS`` leave it, in their order, trimmed."""
+    out = text_of(c)
+    for pattern, instead in EXTRACT_REPAIRS:
+        out = F.regexp_replace(out, pattern, instead)
+    return F.trim(out)
+
+
 def masked(c: Column, pattern: str, mark: str = "#") -> Column:
     """Text with every character of a one-character pattern replaced: lengths and offsets stay."""
     return F.regexp_replace(text_of(c), pattern, mark)

@@ -74,11 +74,51 @@ def merged_neighbours(diffs: DataFrame, key: str, order: str, kind: str = "type"
     return rows.groupBy(key, "_run", kind).agg(F.min(order).alias("first"), F.count("*").alias("n"), F.array_join(F.transform(parts, lambda p: p[text]), " ").alias(text)).drop("_run")
 
 
-def rollup(pairs: DataFrame, topics_a: DataFrame, topics_b: DataFrame, key: str) -> DataFrame:
-    """Package comparison: how many topics are identical, changed, removed and added, and the overall similarity."""
-    return M.fuzzy_jaccard(pairs, topics_a, topics_b, key).join(
-        pairs.groupBy(key).agg(F.count_if(F.col("score") >= 0.99).alias("identical"), F.count_if((F.col("score") < 0.99) & (F.col("score") >= 0.7)).alias("changed"), F.count_if(F.col("score") < 0.7).alias("rewritten")), key, "left"
-    ).fillna(0, ["identical", "changed", "rewritten"]).withColumns({"removed": F.col("n_a") - F.col("pairs"), "added": F.col("n_b") - F.col("pairs")})
+# From which similarity a topic has each state.
+TOPIC_STATES = ((0.99, "same"), (0.95, "high"), (0.85, "mostly"), (0.70, "partly"), (0.50, "low"), (0.0, "very_low"))
+
+
+def topic_state(similarity: Column) -> Column:
+    out = None
+    for least, name in TOPIC_STATES:
+        out = F.when(similarity >= least, name) if out is None else out.when(similarity >= least, name)
+    return out
+
+
+def rollup(topics: DataFrame, key: str) -> DataFrame:
+    """A package comparison from its topics (key, similarity; null where only one side has it, side a or b):
+    topics on each side, matched, in each of six states, the mean similarity and the weighted one (1 from .99, a half from .70)."""
+    s, matched = F.col("similarity"), F.col("similarity").isNotNull()
+    points = F.when(s >= 0.99, 1.0).when(s >= 0.70, 0.5).when(matched, 0.0)
+    return topics.groupBy(key).agg(
+        F.count_if(matched).alias("matched"),
+        F.count_if(~matched & (F.col("side") == "a")).alias("only_a"),
+        F.count_if(~matched & (F.col("side") == "b")).alias("only_b"),
+        *(F.count_if(topic_state(s) == name).alias(name) for _, name in TOPIC_STATES),
+        F.round(F.coalesce(F.avg(s), F.lit(0.0)), 4).alias("mean"),
+        F.round(F.coalesce(F.avg(points), F.lit(0.0)), 4).alias("weighted"),
+    )
+
+
+# What a source promises that its package must hold: name and pattern of a line.
+PROMISES = {
+    "notes": r"(?im)^\s*(?:[-*]\s+)?(?:note|notice|caution|warning|danger)\b",
+    "tables": r"(?im)^\s*table\s+\d+",
+    "figures": r"(?im)^\s*figure\s+\d+",
+    "ordered": r"(?m)^\s*\d+[.)]\s",
+    "unordered": r"(?m)^\s*[-*+]\s",
+    "images": r"!\[[^\]]*\]\([^)]+\)",
+}
+
+
+def verify_package(sources: DataFrame, package: DataFrame, key: str, promises: dict[str, str] | None = None, text: str = "text") -> DataFrame:
+    """(key, promise, expected, found, status) for each promise of each source: what its package's topics together hold."""
+    promises = promises or PROMISES
+    counts = lambda rows: rows.groupBy(key).agg(*(F.sum(F.regexp_count(X.text_of(F.col(text)), F.lit(p))).cast("long").alias(n) for n, p in promises.items()))
+    stacked = lambda rows, value: counts(rows).select(key, F.inline(F.array(*(F.struct(F.lit(n).alias("promise"), F.col(n).alias(value)) for n in promises))))
+    both = stacked(sources, "expected").join(stacked(package, "found"), [key, "promise"], "left").fillna(0, ["found"])
+    status = F.when(F.col("found") == F.col("expected"), "ok").when(F.col("found") < F.col("expected"), "missing").otherwise("more")
+    return both.where("expected > 0 or found > 0").withColumn("status", status)
 
 
 def lines_greedy(a: DataFrame, b: DataFrame, key: str, text: str = "text") -> DataFrame:

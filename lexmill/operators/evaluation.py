@@ -36,7 +36,7 @@ def gold_hits(gold: DataFrame, issues: DataFrame, key: str, context: int = 40) -
 
 def gold_assignment(gold: DataFrame, issues: DataFrame, key: str, least: float = 0.5) -> DataFrame:
     """One-to-one pairs of gold texts and issues of each key (key, idx, text) with the greatest total ratio."""
-    return M.optimal(M.scored(M.candidates(gold, issues, key, n=2), least), key)
+    return M.optimal(M.alike(gold, issues, key, least), key)
 
 
 def scores(rows: DataFrame, by: Sequence[str], truth: Column, guess: Column) -> DataFrame:

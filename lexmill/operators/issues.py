@@ -86,6 +86,7 @@ def mixed_forms(docs: DataFrame, forms: dict[str, str], keep: Sequence[str] = ("
 class Scoring:
     """Points of the value score, and which rules and texts it favours."""
 
+    # The points.
     base: int = 50
     severity: dict[str, int] = field(default_factory=lambda: {"fatal": 25, "serious": 18, "general": 6, "suggestion": -8})
     source: dict[str, int] = field(default_factory=lambda: {"rule": 8, "term": 6, "ai": -2, "spellcheck": 0})
@@ -121,6 +122,7 @@ def value_score(s: Scoring) -> Column:
     return F.greatest(F.lit(0), F.least(F.lit(100), score))
 
 
+# Ranks of severities and sources.
 SEVERITY_RANK = {"fatal": 4, "serious": 3, "general": 2, "suggestion": 1}
 SOURCE_RANK = {"rule": 4, "term": 3, "grammar": 2, "ai": 1, "spellcheck": 0}
 
@@ -188,26 +190,6 @@ def layers(rows: DataFrame, rules: dict[str, str], default: str = "content") ->
     return rows.groupBy(layer.alias("layer")).agg(F.count("*").alias("n"))
 
 
-REJECTIONS = ("missing_text", "no_change", "not_in_content", "spacing_only", "numbers_changed", "aggressive_rewrite")
-
-
-def validation(candidates: DataFrame, least_jaccard: float = 0.5) -> DataFrame:
-    """accepted and reason of suggested changes (original_text, suggestion, content): the first rejection that applies."""
-    a, b, content = (X.text_of(F.col(c)) for c in ("original_text", "suggestion", "content"))
-    digits = lambda c: F.array_sort(F.regexp_extract_all(c, F.lit(r"\d+"), 0))
-    words = lambda c: F.array_distinct(X.tokens(c))
-    reason = (
-        F.when((F.trim(a) == "") | (F.trim(b) == ""), "missing_text")
-        .when(X.collapsed(a) == X.collapsed(b), "no_change")
-        .when(~F.contains(X.compact(content), X.compact(a)), "not_in_content")
-        .when(X.compact(a) == X.compact(b), "spacing_only")
-        .when(digits(a) != digits(b), "numbers_changed")
-        .when((F.size(words(a)) >= 4) & (X.jaccard(words(a), words(b)) < least_jaccard), "aggressive_rewrite")
-        .otherwise("accepted")
-    )
-    return candidates.withColumn("reason", reason).withColumn("accepted", F.col("reason") == "accepted")
-
-
 def _is(word: str):
     return lambda w: w == word
 

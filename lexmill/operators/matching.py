@@ -6,7 +6,7 @@ take the highest ratio first and, of equals, the earliest pair; optimal choices
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from difflib import SequenceMatcher
 
 import numpy as np
@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexmill.functions import text as X
+from lexmill.operators.graph import components
+from lexmill.operators.spread import cut
 
 
 def ratio(a: Column | str, b: Column | str) -> Column:
@@ -65,7 +67,8 @@ def word_diff(a: Column | str, b: Column | str) -> Column:
 def candidates(a: DataFrame, b: DataFrame, block: str, text: str = "text", least_length: float = 0.4, n: int = 3, least_jaccard: float = 0.3) -> DataFrame:
     """Pairs of one block of like length whose n-gram sets have a Jaccard of ``least_jaccard`` or more.
 
-    (block, a_idx, b_idx, a_text, b_text). Sets that are so alike share one of their rarest
+    (block, a_idx, b_idx, a_text, b_text). This is a condition of its own, which a memory's fuzzy
+    search states; it is not implied by a ratio, for which see ``alike``. Sets that are so alike share one of their rarest
     n-grams, so only those meet: of m n-grams all but the commonest ``least_jaccard`` m - 1.
     """
     grams = X.char_ngrams(X.compact(F.col(text)), n)
@@ -90,54 +93,115 @@ def scored(pairs: DataFrame, least: float, score: Column | None = None) -> DataF
     return pairs.withColumn("score", score if score is not None else ratio("a_text", "b_text")).where(F.col("score") >= least)
 
 
+#: Rows of a side that a piece of work compares with as many of the other.
+CHUNK = 512
+
+
+def _letters(texts: list[str], names: dict[str, int]) -> np.ndarray:
+    """How often each text has each character."""
+    out = np.zeros((len(names), len(texts)), np.int32)
+    for k, t in enumerate(texts):
+        for c in t:
+            out[names[c], k] += 1
+    return out
+
+
+def near(a: list[str], b: list[str], least: float, score: Callable[[str, str], float] | None = None) -> list[tuple[int, int, float]]:
+    """All pairs of texts whose ratio is ``least`` or more.
+
+    A ratio is at most twice the characters in common, in any order, over both lengths; pairs
+    that this rules out are not compared. ``score`` may raise a ratio, and is tried on all pairs.
+    """
+    if not a or not b:
+        return []
+    names = {c: i for i, c in enumerate(sorted(set("".join(a)) & set("".join(b))))}
+    common = np.zeros((len(a), len(b)), np.int32)
+    for x, y in zip(_letters([[c for c in t if c in names] for t in a], names), _letters([[c for c in t if c in names] for t in b], names), strict=True):
+        rows, cols = np.flatnonzero(x), np.flatnonzero(y)
+        common[np.ix_(rows, cols)] += np.minimum.outer(x[rows], y[cols])
+    both = np.fromiter(map(len, a), np.int64)[:, None] + np.fromiter(map(len, b), np.int64)
+    able = 2.0 * common >= least * both - 1e-9
+    out = []
+    for j in range(len(b)):
+        m = SequenceMatcher(None, "", b[j])
+        for i in range(len(a)) if score else np.flatnonzero(able[:, j]):
+            best = score(a[i], b[j]) if score else 0.0
+            if able[i, j] and best < 1.0:
+                m.set_seq1(a[i])
+                best = max(best, m.ratio())
+            if best >= least:
+                out.append((int(i), j, best))
+    return out
+
+
+def alike(a: DataFrame, b: DataFrame, block: str, least: float, text: str = "text", score: Callable[[str, str], float] | None = None) -> DataFrame:
+    """(block, a_idx, b_idx, score): every pair of one block with a ratio of ``least`` or more.
+
+    A block is two documents, or as much as is to be compared with each other. Its rows meet in
+    pieces of at most about ``CHUNK`` rows of each side, so a large block is spread over the tasks.
+    """
+    parts = lambda rows, name: rows.groupBy(block).agg(F.ceil(F.count("*") / CHUNK).cast("int").alias(name))
+    sizes = parts(a, "_na").join(parts(b, "_nb"), block)
+
+    def dealt(rows: DataFrame, mine: str, other: str, i: str, j: str) -> DataFrame:
+        rows = rows.select(block, F.col("idx").cast("long").alias("idx"), X.text_of(F.col(text)).alias("text")).join(sizes, block)
+        own = F.pmod(F.xxhash64("idx"), F.col(mine)).cast("int")
+        return rows.select(block, "idx", "text", own.alias(i), F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias(j))
+
+    def meet(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("idx")
+        left, right = rows[rows["_side"] == 0], rows[rows["_side"] == 1]
+        found = near(left["text"].tolist(), right["text"].tolist(), least, score)
+        x, y = left["idx"].to_numpy(), right["idx"].to_numpy()
+        key = pd.Series([rows[block].iloc[0]] * len(found), dtype=None if found and rows[block].dtype.kind in "iuf" else object)
+        return pd.DataFrame({block: key, "a_idx": [x[i] for i, _, _ in found], "b_idx": [y[j] for _, j, _ in found], "score": [s for _, _, s in found]})
+
+    left, right = dealt(a, "_na", "_nb", "_i", "_j"), dealt(b, "_nb", "_na", "_j", "_i")
+    both = left.withColumn("_side", F.lit(0)).unionByName(right.withColumn("_side", F.lit(1)))
+    schema = f"`{block}` {a.schema[block].dataType.simpleString()}, a_idx long, b_idx long, score double"
+    return both.groupBy(block, "_i", "_j").applyInPandas(meet, schema)
+
+
+def _by_component(pairs: DataFrame, block: str, choose: Callable[[pd.DataFrame], pd.DataFrame]) -> DataFrame:
+    """``choose`` on each connected component of the pairs: pairs that share no row, over any steps, do not compete."""
+    rows = cut(pairs.select(block, "a_idx", "b_idx", "score"), "pairs")
+    node = lambda side: F.xxhash64(F.col(block), F.lit(side), F.col(f"{side}_idx"))
+    rows_at = rows.withColumn("_node", node("a"))
+    roots = components(rows.select(node("a").alias("a"), node("b").alias("b")))
+    named = rows_at.join(roots.select(F.col("node").alias("_node"), F.col("root").alias("_root")), "_node").drop("_node")
+    return named.groupBy("_root").applyInPandas(lambda g: choose(g.drop(columns="_root")).astype({block: object} if g[block].dtype.kind not in "iuf" else {}), rows.schema)
+
+
 def greedy(pairs: DataFrame, block: str) -> DataFrame:
     """One-to-one pairs of each block, best score first, then the earliest indexes."""
 
     def choose(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["score", "a_idx", "b_idx"], ascending=[False, True, True], kind="stable")
-        used_a, used_b, keep = set(), set(), []
-        for i, a, b in zip(rows.index, rows["a_idx"], rows["b_idx"], strict=True):
-            if a not in used_a and b not in used_b:
-                used_a.add(a)
-                used_b.add(b)
+        used, keep = set(), []
+        for i, k, a, b in zip(rows.index, rows[block], rows["a_idx"], rows["b_idx"], strict=True):
+            if (k, "a", a) not in used and (k, "b", b) not in used:
+                used |= {(k, "a", a), (k, "b", b)}
                 keep.append(i)
-        return rows.loc[keep, [block, "a_idx", "b_idx", "score"]]
+        return rows.loc[keep]
 
-    rows = pairs.select(block, "a_idx", "b_idx", "score")
-    return rows.groupBy(block).applyInPandas(choose, rows.schema)
+    return _by_component(pairs, block, choose)
 
 
 def optimal(pairs: DataFrame, block: str) -> DataFrame:
     """One-to-one pairs of each block with the greatest sum of scores; unpaired rows score nothing."""
 
     def choose(rows: pd.DataFrame) -> pd.DataFrame:
-        found = []
-        for _, part in rows.groupby(linked(rows["a_idx"].to_numpy(), rows["b_idx"].to_numpy())):
+        out = []
+        for name, part in rows.groupby(block):
             a, b = sorted(part["a_idx"].unique()), sorted(part["b_idx"].unique())
             at_a, at_b = {x: i for i, x in enumerate(a)}, {x: i for i, x in enumerate(b)}
             gain = np.zeros((len(a), len(b)))
             for x, y, s in zip(part["a_idx"], part["b_idx"], part["score"], strict=True):
                 gain[at_a[x], at_b[y]] = max(gain[at_a[x], at_b[y]], s)
-            found += [(a[i], b[j], gain[i, j]) for i, j in assignment(gain) if gain[i, j] > 0]
-        return pd.DataFrame({block: [rows[block].iloc[0]] * len(found), "a_idx": [f[0] for f in found], "b_idx": [f[1] for f in found], "score": [f[2] for f in found]})
-
-    rows = pairs.select(block, "a_idx", "b_idx", "score")
-    return rows.groupBy(block).applyInPandas(choose, rows.schema)
+            out += [(name, a[i], b[j], gain[i, j]) for i, j in assignment(gain) if gain[i, j] > 0]
+        return pd.DataFrame(out, columns=[block, "a_idx", "b_idx", "score"])
 
-
-def linked(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """For each pair the number of its connected component: pairs that share no index, over any steps, do not compete."""
-    root: dict[tuple[str, int], tuple[str, int]] = {}
-
-    def top(x: tuple[str, int]) -> tuple[str, int]:
-        while (up := root.setdefault(x, x)) != x:
-            root[x] = x = root[up]
-        return x
-
-    for x, y in zip(a, b, strict=True):
-        root[top(("a", x))] = top(("b", y))
-    number: dict[tuple[str, int], int] = {}
-    return np.array([number.setdefault(top(("a", x)), len(number)) for x in a], np.int64)
+    return _by_component(pairs, block, choose)
 
 
 def assignment(gain: np.ndarray) -> list[tuple[int, int]]:
@@ -171,13 +235,36 @@ def assignment(gain: np.ndarray) -> list[tuple[int, int]]:
     return sorted((int(i), int(j)) for j, i in enumerate(mate) if i >= 0)
 
 
-def with_exact(a: DataFrame, b: DataFrame, block: str, least: float, text: str = "text") -> DataFrame:
-    """Exact pairs first (the k-th of equals with the k-th), then greedy fuzzy ones of what is left."""
+def exact_pairs(a: DataFrame, b: DataFrame, block: str, text: str = "text") -> DataFrame:
+    """Rows with equal texts, the k-th of a text with the k-th."""
     nth = lambda rows: rows.withColumn("_nth", F.row_number().over(Window.partitionBy(block, text).orderBy("idx")))
-    exact = nth(a).select(block, text, "_nth", F.col("idx").alias("a_idx")).join(nth(b).select(block, text, "_nth", F.col("idx").alias("b_idx")), [block, text, "_nth"]).select(block, F.col("a_idx").cast("long").alias("a_idx"), F.col("b_idx").cast("long").alias("b_idx"), F.lit(1.0).alias("score"))
+    side = lambda rows, name: nth(rows).select(block, text, "_nth", F.col("idx").cast("long").alias(name))
+    return side(a, "a_idx").join(side(b, "b_idx"), [block, text, "_nth"]).select(block, "a_idx", "b_idx", F.lit(1.0).alias("score"))
+
+
+def with_exact(a: DataFrame, b: DataFrame, block: str, least: float, text: str = "text") -> DataFrame:
+    """Exact pairs first, then greedy fuzzy ones of what is left."""
+    exact = exact_pairs(a, b, block, text)
     rest_a = a.join(exact.select(block, F.col("a_idx").alias("idx")), [block, "idx"], "left_anti")
     rest_b = b.join(exact.select(block, F.col("b_idx").alias("idx")), [block, "idx"], "left_anti")
-    return exact.unionByName(greedy(scored(candidates(rest_a, rest_b, block, text), least), block))
+    return exact.unionByName(greedy(alike(rest_a, rest_b, block, least, text), block))
+
+
+def by_chapter(a: DataFrame, b: DataFrame, block: str, chapter: str, least: float = 0.80, text: str = "text") -> DataFrame:
+    """Exact pairs first, then greedy ones within equal chapters, then of what is left anywhere in the block.
+
+    a and b have a chapter column besides idx and text; null chapters are one.
+    """
+    within = F.to_json(F.struct(F.col(block).alias("block"), F.coalesce(chapter, F.lit("")).alias("chapter")))
+    first = exact_pairs(a, b, block, text)
+    rest = lambda rows, side, done: rows.join(done.select(block, F.col(f"{side}_idx").alias("idx")), [block, "idx"], "left_anti")
+    a1, b1 = rest(a, "a", first), rest(b, "b", first)
+    keyed = lambda rows: rows.withColumn("_within", within)
+    same = greedy(alike(keyed(a1), keyed(b1), "_within", least, text), "_within")
+    names = keyed(a1).select("_within", F.col(block)).distinct()
+    same = cut(same.join(names, "_within").select(block, "a_idx", "b_idx", "score"), "chapter-pairs")
+    last = greedy(alike(rest(a1, "a", same), rest(b1, "b", same), block, least, text), block)
+    return first.unionByName(same).unionByName(last)
 
 
 def fuzzy_jaccard(pairs: DataFrame, a: DataFrame, b: DataFrame, block: str) -> DataFrame:
@@ -249,12 +336,41 @@ def combined_similarity(edit: Column, bigrams: Column, words: Column) -> Column:
     return F.round(0.3 * edit + 0.3 * bigrams + 0.4 * words, 4)
 
 
-def clause_similarity(a: Column, b: Column, lcs: Column) -> Column:
-    """.45 character bigrams + .55 longest common subsequence, .95 at least where one holds the other."""
+def indel_ratio(a: Column | str, b: Column | str) -> Column:
+    """Twice the longest common subsequence over both lengths; 1 for two empty texts."""
+
+    @F.pandas_udf("double")
+    def run(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([1.0 if not p and not q else 2 * _lcs(p or "", q or "") * max(len(p or ""), len(q or "")) / (len(p or "") + len(q or "")) for p, q in zip(x, y, strict=True)])
+
+    return run(a, b)
+
+
+def longest_common(a: Column | str, b: Column | str) -> Column:
+    """Length of the longest common substring."""
+
+    @F.pandas_udf("int")
+    def run(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([SequenceMatcher(None, p or "", q or "", autojunk=False).find_longest_match().size for p, q in zip(x, y, strict=True)])
+
+    return run(a, b)
+
+
+def clause_similarity(a: Column, b: Column, lcs: Column, verbs: Sequence[str] = ()) -> Column:
+    """.45 character bigrams + .55 longest common subsequence, or the share of a's n-grams that b holds, if more.
+
+    .95 at least where one holds the other; .05 more for a verb in common; 1 at most, and for equal texts.
+    """
     x, y = X.compact(a), X.compact(b)
     score = 0.45 * X.jaccard(X.char_ngrams(x), X.char_ngrams(y)) + 0.55 * lcs
-    holds = (F.length(x) > 0) & (F.length(y) > 0) & (F.contains(x, y) | F.contains(y, x))
-    return F.round(F.when(holds, F.greatest(F.lit(0.95), score)).otherwise(score), 4)
+    grams = F.array_distinct(F.concat(*(X.char_ngrams(x, n) for n in (2, 3, 4))))
+    covered = F.size(F.filter(grams, lambda g: F.contains(y, g))) / F.greatest(F.size(grams), F.lit(1))
+    some = (F.length(x) > 0) & (F.length(y) > 0)
+    score = F.when(F.contains(x, y) | F.contains(y, x), F.greatest(F.lit(0.95), lcs)).otherwise(F.greatest(score, covered))
+    shared = F.lit(False)
+    for v in verbs:
+        shared = shared | (F.contains(x, F.lit(v)) & F.contains(y, F.lit(v)))
+    return F.round(F.when(~some, 0.0).when(x == y, 1.0).otherwise(F.least(F.lit(1.0), score + F.when(shared, 0.05).otherwise(0.0))), 4)
 
 
 def topic_match(a: DataFrame, b: DataFrame, block: str, text: str = "text") -> DataFrame:

@@ -40,18 +40,18 @@ def clauses(c: Column, least: int = 2) -> Column:
     return F.filter(parts, lambda p: F.length(p) >= least)
 
 
-def unknown_words(docs: DataFrame, dictionary: DataFrame, whitelist: DataFrame, doc_id: str = "doc_id", text: str = "text", least: int = 3, most: int = 20) -> DataFrame:
+def unknown_words(docs: DataFrame, dictionary: DataFrame, whitelist: DataFrame, doc_id: str = "doc_id", text: str = "text", least: int = 3, most: int | None = None) -> DataFrame:
     """(doc_id, word, n) of words that neither the dictionary (word, any case) nor the whitelist (word, exact) has.
 
     Each word is looked up once for the whole corpus; occurrences are counted before the joins
-    and reported up to ``most``.
+    and reported up to ``most`` if that is given.
     """
     words = docs.select(doc_id, F.explode(F.regexp_extract_all(X.text_of(F.col(text)), F.lit(r"\p{L}+"), 0)).alias("word")).where(F.length("word") >= least)
     counts = words.groupBy(doc_id, "word").agg(F.count("*").alias("n"))
     known = dictionary.select(F.lower("word").alias("_known")).distinct()
     fine = whitelist.select(F.col("word").alias("_fine")).distinct()
     left = counts.join(known, F.lower("word") == F.col("_known"), "left_anti").join(fine, F.col("word") == F.col("_fine"), "left_anti")
-    return left.withColumn("n", F.least("n", F.lit(most)))
+    return left.withColumn("n", F.least("n", F.lit(most))) if most else left
 
 
 def corrections(unknown: DataFrame, dictionary: DataFrame, most: int = 3, distance: int = 2) -> DataFrame:

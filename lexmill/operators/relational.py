@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexmill.operators.spread import cut
+
 
 def filtered(rows: DataFrame, **wanted) -> DataFrame:
     """Rows equal to every given value; a parameter that is None filters nothing, a list means any of it."""
@@ -101,23 +104,22 @@ def within_budget(rows: DataFrame, key: str, order: Sequence[Column | str], size
     return rows.withColumn("used", F.sum(size).over(w)).where(F.col("used") <= budget)
 
 
-def subtree(nodes: DataFrame, roots: Column, node: str = "node", parent: str = "parent", most: int = 32) -> DataFrame:
-    """node, depth and path of all nodes below the roots; a path never meets a node twice.
+def subtree(nodes: DataFrame, roots: Column, node: str = "node", parent: str = "parent") -> DataFrame:
+    """node, depth and path of all nodes below the roots, however deep; a path never meets a node twice.
 
-    Runs as a recursive query of at most ``most`` levels.
+    Level by level: each joins the children of the one before and is written once.
     """
-    spark = nodes.sparkSession
-    nodes.select(F.col(node).alias("node"), F.col(parent).alias("parent"), roots.alias("is_root")).createOrReplaceTempView("lexmill_nodes")
-    return spark.sql(
-        f"""
-        WITH RECURSIVE tree (node, depth, path) AS (
-          SELECT node, 0, CAST(node AS STRING) FROM lexmill_nodes WHERE is_root
-          UNION ALL
-          SELECT n.node, t.depth + 1, concat(t.path, '/', n.node) FROM tree t JOIN lexmill_nodes n ON n.parent = t.node
-          WHERE t.depth < {most - 1} AND NOT contains(concat('/', t.path, '/'), concat('/', n.node, '/')))
-        SELECT node, depth, path FROM tree
-        """
-    )
+    rows = cut(nodes.select(F.col(node).alias("node"), F.col(parent).alias("parent"), F.coalesce(roots, F.lit(False)).alias("is_root")), "tree-nodes")
+    children = rows.select(F.col("node").alias("child"), "parent").where("parent is not null")
+    level = rows.where("is_root").select("node", F.lit(0).alias("depth"), F.array(F.col("node").cast("string")).alias("way"))
+    levels = [level]
+    while True:
+        below = level.join(children, level["node"] == children["parent"]).where(~F.array_contains("way", F.col("child").cast("string")))
+        level = cut(below.select(F.col("child").alias("node"), (F.col("depth") + 1).alias("depth"), F.concat("way", F.array(F.col("child").cast("string"))).alias("way")), "tree-level")
+        if level.isEmpty():
+            break
+        levels.append(level)
+    return reduce(DataFrame.union, levels).select("node", "depth", F.array_join("way", "/").alias("path"))
 
 
 def merge_by_key(a: DataFrame, b: DataFrame, key: Sequence[str], score: str, bonus: int = 8, most: int = 99) -> DataFrame:

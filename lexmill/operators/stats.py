@@ -162,3 +162,18 @@ def next_key(keys: DataFrame, column: str, prefix: str = "R", width: int = 3) ->
     """The key after the largest one: prefix and a number with leading zeros; 1 if there is none."""
     number = F.substring(F.max(column), len(prefix) + 1, 20).cast("int")
     return keys.agg(F.format_string(f"{prefix}%0{width}d", F.coalesce(number, F.lit(0)) + 1).alias("next_key"))
+
+
+def usage_map(rows: DataFrame, request: str, provider: str) -> DataFrame:
+    """A row for each request type: its calls, and a map of provider to calls."""
+    found = rows.groupBy(request, provider).agg(F.count("*").alias("n"))
+    return found.groupBy(request).agg(F.sum("n").alias("calls"), F.map_from_entries(F.sort_array(F.collect_list(F.struct(provider, "n")))).alias("providers"))
+
+
+def effectiveness(rows: DataFrame, rule: str, category: str, high: Column, document: str, top: int = 20) -> DataFrame:
+    """(grouping, name, n, high, high_rate, documents) in total, by category, and for the ``top`` rules with most findings."""
+    found = rows.groupingSets([[], [category], [rule]], rule, category).agg(F.grouping_id().alias("level"), F.count("*").alias("n"), F.count_if(high).alias("high"), F.countDistinct(document).alias("documents"))
+    kind = F.when(F.col("level") == 3, "total").when(F.col("level") == 1, "rule").otherwise("category")
+    found = found.select(kind.alias("grouping"), F.coalesce(rule, category, F.lit("all")).alias("name"), "n", "high", rate(F.col("high"), F.col("n")).alias("high_rate"), "documents")
+    rank = F.row_number().over(Window.partitionBy("grouping").orderBy(F.desc("n"), "name"))
+    return found.withColumn("_n", rank).where((F.col("grouping") != "rule") | (F.col("_n") <= top)).drop("_n")

@@ -11,22 +11,22 @@ from lexmill.operators import memory as T
 from lexmill.operators import params as P
 from lexmill.operators import quality as Y
 from lexmill.operators import segments as G
-from lexmill.plans.registry import query
+from lexmill.plans.registry import NTH, query
 
 
 def _memory(t):
     """Sentences of the benchmark passages as entries, each with an invented translation."""
     rows = G.exploded(t.benchmark, X.sentences(F.col("text"), 5), "item_id")
-    return rows.select((F.col("item_id") * 1000 + F.col("idx")).alias("entry_ord"), F.col("text").alias("source_text"), F.concat(F.lit("t:"), "text").alias("translated_text"))
+    return rows.select((F.col("item_id") * NTH + F.col("idx")).alias("entry_ord"), F.col("text").alias("source_text"), F.concat(F.lit("t:"), "text").alias("translated_text"))
 
 
 def _asked(t):
     rows = G.exploded(t.documents, X.sentences(F.col("text"), 5))
-    return rows.select((F.col("doc_id") * 10000 + F.col("idx")).alias("query_id"), "doc_id", "text")
+    return rows.select((F.col("doc_id") * NTH + F.col("idx")).alias("query_id"), "doc_id", "text")
 
 
 _SENT = r"list_filter(list_transform(regexp_extract_all(text, '[^.!?\n]+[.!?]*'), lambda z: trim(z, ' ')), lambda z: length(z) >= 5)"
-_META = r"trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(trim(regexp_replace(x, '\s+', ' ', 'g'), ' ')), '[_/+]+', ' ', 'g'), '\b(?:v|ver|version)\s*\d+(?:\.\d+)+\b|\b\d+(?:\.\d+){2,}\b', ' ', 'g'), '\b(?:english|chinese|bilingual|draft|final)\b', ' ', 'g'), '\s+', ' ', 'g'), ' ')"
+_META = rf"trim(regexp_replace(regexp_replace(regexp_replace(lower(trim(regexp_replace(x, '\s+', ' ', 'g'), ' ')), '[_/]+', ' ', 'g'), '{X.metadata_pattern()}', ' ', 'g'), '\s+', ' ', 'g'), ' ')"
 _TIERS = [
     r"lower(trim(regexp_replace(x, '\s+', ' ', 'g'), ' '))",
     r"lower(regexp_replace(x, '[^\p{L}\p{N}]+', '', 'g'))",
@@ -36,14 +36,14 @@ _TIERS = [
     rf"array_to_string(regexp_extract_all({_META}, '[\p{{L}}\p{{N}}]+'), ' ')",
 ]
 _TM = f"""
-q AS (SELECT doc_id * 10000 + i - 1 AS query_id, doc_id, x FROM (SELECT doc_id, unnest(s) AS x, unnest(range(1, len(s) + 1)) AS i FROM (SELECT doc_id, {_SENT} AS s FROM documents))),
-m AS (SELECT item_id * 1000 + i - 1 AS entry_ord, x FROM (SELECT item_id, unnest(s) AS x, unnest(range(1, len(s) + 1)) AS i FROM (SELECT item_id, {_SENT} AS s FROM benchmark))),
+q AS (SELECT doc_id * {NTH} + i - 1 AS query_id, doc_id, x FROM (SELECT doc_id, unnest(s) AS x, unnest(range(1, len(s) + 1)) AS i FROM (SELECT doc_id, {_SENT} AS s FROM documents))),
+m AS (SELECT item_id * {NTH} + i - 1 AS entry_ord, x FROM (SELECT item_id, unnest(s) AS x, unnest(range(1, len(s) + 1)) AS i FROM (SELECT item_id, {_SENT} AS s FROM benchmark))),
 qk AS ({' UNION ALL '.join(f"SELECT query_id, {i} AS tier, {k} AS key FROM q" for i, k in enumerate(_TIERS))}),
 mk AS ({' UNION ALL '.join(f"SELECT entry_ord, x, {i} AS tier, {k} AS key FROM m" for i, k in enumerate(_TIERS))}),
 mm AS (SELECT tier, key, min(entry_ord) AS entry_ord, arg_min(x, entry_ord) AS source FROM mk WHERE key <> '' GROUP BY ALL),
 h AS (SELECT query_id, min(tier) AS tier, arg_min(entry_ord, tier) AS entry_ord, arg_min(source, tier) AS source FROM qk JOIN mm USING (tier, key) GROUP BY 1)
 """
-_REASON = "CASE tier " + " ".join(f"WHEN {i} THEN '{n}'" for i, (n, _) in enumerate(T.TIERS)) + " END"
+_REASON = "CASE tier " + " ".join(f"WHEN {i} THEN '{n}'" for i, n in enumerate(T.TIERS)) + " END"
 
 
 @query(f"WITH {_TM} SELECT q.query_id, {_REASON} AS reason, entry_ord, 't:' || source AS translated FROM q LEFT JOIN h USING (query_id)")
@@ -65,7 +65,7 @@ def tm_coverage(t):
 @query()
 def tm_fuzzy(t):
     asked, bank = _asked(t), _memory(t)
-    left = asked.join(T.exact_tiers(asked, bank).where("reason is null").select("query_id"), "query_id").where("length(text) >= 20")
+    left = asked.join(T.exact_tiers(asked, bank).where("reason is null").select("query_id"), "query_id")
     return T.fuzzy_tail(left, bank, 0.8)
 
 
@@ -75,27 +75,26 @@ def tm_contained(t):
 
 
 def _sides(t):
-    """Sentences of two halves of the documents of each source."""
-    rows = G.exploded(t.documents, X.sentences(F.col("text"), 5)).join(t.documents.select("doc_id", "source"), "doc_id")
-    rows = rows.select("source", "doc_id", (F.col("doc_id") * 10000 + F.col("idx")).alias("idx"), "text")
-    return rows.where("(doc_id div 20) % 2 = 0"), rows.where("(doc_id div 20) % 2 = 1")
+    """Sentences of the first and of the second document of each pair of documents."""
+    rows = G.exploded(t.documents, X.sentences(F.col("text"), 5)).select((F.col("doc_id") / 2).cast("long").alias("pair"), (F.col("doc_id") % 2).alias("side"), "idx", "text")
+    return rows.where("side = 0").drop("side"), rows.where("side = 1").drop("side")
 
 
 @query()
 def fuzzy_sentence_match(t):
-    return M.with_exact(*_sides(t), "source", 0.80)
+    return M.with_exact(*_sides(t), "pair", 0.80)
 
 
 @query()
 def fuzzy_jaccard(t):
     a, b = _sides(t)
-    return M.fuzzy_jaccard(M.with_exact(a, b, "source", 0.80), a, b, "source")
+    return M.fuzzy_jaccard(M.with_exact(a, b, "pair", 0.80), a, b, "pair")
 
 
 @query()
 def optimal_assignment(t):
     a, b = _sides(t)
-    return M.optimal(M.scored(M.candidates(a, b, "source"), 0.5), "source")
+    return M.optimal(M.alike(a, b, "pair", 0.5), "pair")
 
 
 @query()
@@ -131,14 +130,16 @@ def similarity_buckets(t):
 
 
 @query(r"""
-WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(0, len(string_split(text, chr(10))))) AS ord FROM documents),
-x AS (SELECT doc_id, ord, regexp_extract(line, '^\s*([^:|]{1,200}?)\s*:\s*(\S.*?)\s*$', 1) AS n1, regexp_extract(line, '^\s*([^:|]{1,200}?)\s*:\s*(\S.*?)\s*$', 2) AS v1,
-  regexp_extract(line, '^\s*\|?\s*([^|]+?)\s*\|\s*([^|]+?)\s*\|?\s*$', 1) AS n2, regexp_extract(line, '^\s*\|?\s*([^|]+?)\s*\|\s*([^|]+?)\s*\|?\s*$', 2) AS v2, regexp_matches(line, '^\s*([^:|]{1,200}?)\s*:\s*(\S.*?)\s*$') AS colon FROM l),
-y AS (SELECT doc_id, ord, CASE WHEN colon THEN n1 ELSE n2 END AS name, CASE WHEN colon THEN v1 ELSE v2 END AS value FROM x)
-SELECT doc_id, ord, name, value FROM y WHERE name <> '' AND value <> '' AND length(name) <= 40 AND NOT regexp_matches(value, '^[-=\s]+$')
+WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS raw, unnest(range(0, len(string_split(text, chr(10))))) AS ord FROM documents),
+m AS (SELECT doc_id, ord, regexp_replace(raw, '^\s*(?:[-*•+]|\d+[.)])\s+', '') AS line, trim(lead(raw) OVER (PARTITION BY doc_id ORDER BY ord), ' ') AS below FROM l),
+x AS (SELECT doc_id, ord, line, below, regexp_extract(line, '^\s*([^:|]{1,200}?)\s*:\s*(\S.*?)\s*$', 1) AS n1, regexp_extract(line, '^\s*([^:|]{1,200}?)\s*:\s*(\S.*?)\s*$', 2) AS v1,
+  regexp_extract(line, '^\s*\|?\s*([^|]+?)\s*\|\s*([^|]+?)\s*\|?\s*$', 1) AS n2, regexp_extract(line, '^\s*\|?\s*([^|]+?)\s*\|\s*([^|]+?)\s*\|?\s*$', 2) AS v2, regexp_matches(line, '^\s*([^:|]{1,200}?)\s*:\s*(\S.*?)\s*$') AS colon FROM m),
+y AS (SELECT *, CASE WHEN colon THEN n1 ELSE n2 END AS n3, CASE WHEN colon THEN v1 ELSE v2 END AS v3, NOT regexp_matches(line, '[\d:|]') AND regexp_matches(coalesce(below, ''), '^[<>≤≥±~]?\s*\d') AS over_ FROM x),
+z AS (SELECT doc_id, ord, CASE WHEN n3 = '' AND over_ THEN trim(line, ' ') ELSE n3 END AS name, CASE WHEN n3 = '' AND over_ THEN below ELSE v3 END AS value FROM y)
+SELECT doc_id, ord, name, value FROM z WHERE name <> '' AND value <> '' AND length(name) <= 40 AND NOT regexp_matches(value, '^[-=\s]+$')
 """)
 def param_extraction(t):
-    return P.extract(t.documents).withColumn("ord", F.col("ord").cast("long"))
+    return P.extract(t.documents, two_lines=True).withColumn("ord", F.col("ord").cast("long"))
 
 
 @query()

@@ -11,7 +11,7 @@ from lexmill.operators import matching as M
 from lexmill.operators import memory as T
 from lexmill.operators import segments as G
 from lexmill.plans.findings import RULES, _rules_sql
-from lexmill.plans.registry import query
+from lexmill.plans.registry import NTH, query
 
 GLOSSARY = {"the": "der", "tion": "ung", "ment": "heit", "ing": "end"}
 
@@ -49,11 +49,6 @@ def model_findings_normalized(t):
     return I.normalized_candidates(rows, "doc_id", "order", least=88).select("doc_id", "rule", F.col("nth").cast("long").alias("nth"))
 
 
-@query(f"WITH h AS ({_rules_sql()}) SELECT severity AS reason, count(*) AS n FROM h GROUP BY 1")
-def drop_reason_counts(t):
-    return I.reason_counts(I.detect(t.documents, RULES).withColumnRenamed("severity", "reason"))
-
-
 @query(r"""
 WITH c AS (SELECT doc_id, k, x, lower(regexp_replace(x, '[^\p{L}\p{N}]+', '', 'g')) AS key FROM (SELECT doc_id, unnest(p) AS x, unnest(range(0, len(p))) AS k FROM (SELECT doc_id, list_filter(list_transform(string_split_regex(text, '[,;:.!?\n]+'), lambda z: trim(z, ' ')), lambda z: z <> '') AS p FROM documents))),
 m AS (SELECT key, arg_min(x, (item_id, k)) AS hit FROM (SELECT item_id, k, x, lower(regexp_replace(x, '[^\p{L}\p{N}]+', '', 'g')) AS key FROM (SELECT item_id, unnest(p) AS x, unnest(range(0, len(p))) AS k FROM (SELECT item_id, list_filter(list_transform(string_split_regex(text, '[,;:.!?\n]+'), lambda z: trim(z, ' ')), lambda z: z <> '') AS p FROM benchmark))) WHERE key <> '' GROUP BY 1)
@@ -61,7 +56,7 @@ SELECT doc_id AS query_id, string_agg(coalesce('t:' || hit, x), ', ' ORDER BY k)
 """)
 def tm_by_clauses(t):
     parts = F.filter(F.transform(F.split("text", r"[,;:.!?\n]+"), lambda p: F.trim(p)), lambda p: p != "")
-    bank = G.exploded(t.benchmark, parts, "item_id").select((F.col("item_id") * 10000 + F.col("idx")).alias("entry_ord"), F.col("text").alias("source_text"), F.concat(F.lit("t:"), "text").alias("translated_text"))
+    bank = G.exploded(t.benchmark, parts, "item_id").select((F.col("item_id") * NTH + F.col("idx")).alias("entry_ord"), F.col("text").alias("source_text"), F.concat(F.lit("t:"), "text").alias("translated_text"))
     return T.by_clauses(t.documents, bank, query_id="doc_id")
 
 

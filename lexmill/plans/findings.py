@@ -158,23 +158,6 @@ def voice_features(t):
     return rows.select("doc_id", n.cast("long").alias("sentences"), F.round(F.when(n > 0, total / n).otherwise(0.0), 6).alias("mean_length"), F.coalesce(F.array_max("s"), F.lit(0)).cast("long").alias("longest"), "commas", F.round(F.col("commas") / F.greatest(n, F.lit(1)), 3).alias("commas_per_sentence"))
 
 
-@query(r"""
-WITH c AS (SELECT conv_id, turn, text AS content, left(text, 40) AS original_text, CASE turn % 6 WHEN 0 THEN left(text, 40) WHEN 1 THEN replace(left(text, 40), ' ', '  ') WHEN 2 THEN left(text, 20) || ' 17' WHEN 3 THEN '' WHEN 4 THEN reverse(left(text, 40)) ELSE left(text, 39) END AS suggestion FROM conversations),
-w AS (SELECT *, trim(regexp_replace(original_text, '\s+', ' ', 'g'), ' ') AS ca, trim(regexp_replace(suggestion, '\s+', ' ', 'g'), ' ') AS cb, lower(regexp_replace(original_text, '\s+', '', 'g')) AS xa, lower(regexp_replace(suggestion, '\s+', '', 'g')) AS xb,
-  lower(regexp_replace(content, '\s+', '', 'g')) AS xc, list_sort(regexp_extract_all(original_text, '\d+')) AS da, list_sort(regexp_extract_all(suggestion, '\d+')) AS db,
-  list_distinct(regexp_extract_all(lower(original_text), '[\p{L}\p{N}]+')) AS wa, list_distinct(regexp_extract_all(lower(suggestion), '[\p{L}\p{N}]+')) AS wb FROM c),
-r AS (SELECT conv_id, turn, CASE WHEN trim(original_text, ' ') = '' OR trim(suggestion, ' ') = '' THEN 'missing_text' WHEN ca = cb THEN 'no_change' WHEN NOT contains(xc, xa) THEN 'not_in_content' WHEN xa = xb THEN 'spacing_only'
-  WHEN da <> db THEN 'numbers_changed' WHEN len(wa) >= 4 AND len(list_intersect(wa, wb))::DOUBLE / nullif(len(list_distinct(list_concat(wa, wb))), 0) < 0.5 THEN 'aggressive_rewrite' ELSE 'accepted' END AS reason FROM w)
-SELECT *, reason = 'accepted' AS accepted FROM r
-""")
-def issue_validation(t):
-    a = F.left("text", F.lit(40))
-    k = F.col("turn") % 6
-    changed = F.when(k == 0, a).when(k == 1, F.replace(a, F.lit(" "), F.lit("  "))).when(k == 2, F.concat(F.left("text", F.lit(20)), F.lit(" 17"))).when(k == 3, F.lit("")).when(k == 4, F.reverse(a)).otherwise(F.left("text", F.lit(39)))
-    rows = t.conversations.select("conv_id", "turn", F.col("text").alias("content"), a.alias("original_text"), changed.alias("suggestion"))
-    return I.validation(rows).select("conv_id", "turn", "reason", "accepted")
-
-
 @query(f"""
 WITH h AS ({_rules_sql('doc_id, source AS src', 'doc_id, src')}), r AS (SELECT src AS document, doc_id % 50 AS run, list_sort(list_distinct(list(rule))) AS rules, count(*) AS n FROM h GROUP BY ALL),
 x AS (SELECT *, lag(rules) OVER w AS rb, lag(n) OVER w AS nb FROM r WINDOW w AS (PARTITION BY document ORDER BY run))

@@ -11,13 +11,13 @@ from lexmill.operators import issues as I
 from lexmill.operators import proofing as P
 from lexmill.operators import segments as G
 from lexmill.plans.findings import RULES, _rules_sql
-from lexmill.plans.registry import query
+from lexmill.plans.registry import NTH, query
 
 
 @query(r"""
 WITH w AS (SELECT doc_id, unnest(regexp_extract_all(text, '\p{L}+')) AS word FROM documents), c AS (SELECT doc_id, word, count(*) AS n FROM w WHERE length(word) >= 3 GROUP BY ALL),
 d AS (SELECT DISTINCT lower(unnest(regexp_extract_all(text, '\p{L}+'))) AS word FROM conversations), l AS (SELECT DISTINCT unnest(regexp_extract_all(text, '\p{L}+')) AS word FROM benchmark)
-SELECT doc_id, word, least(n, 20) AS n FROM c WHERE lower(word) NOT IN (SELECT word FROM d) AND word NOT IN (SELECT word FROM l)
+SELECT doc_id, word, n FROM c WHERE lower(word) NOT IN (SELECT word FROM d) AND word NOT IN (SELECT word FROM l)
 """)
 def spelling_unknown(t):
     words = lambda d: d.select(F.explode(F.regexp_extract_all("text", F.lit(r"\p{L}+"), 0)).alias("word"))
@@ -127,13 +127,13 @@ def annotation_summary(t):
 
 @query(f"""
 WITH h AS ({_rules_sql()}), i AS (SELECT doc_id, rule, lower(regexp_replace(original_text, '\\s+', '', 'g')) AS o, lower(regexp_replace(concat_ws(' ', rule, category, original_text, suggestion), '\\s+', '', 'g')) AS blob FROM h),
-g AS (SELECT doc_id, doc_id AS gold_id, left(text, 30) AS selected, lang AS comment, CASE WHEN doc_id % 3 = 0 THEN 'R00' || (doc_id % 8 + 1) END AS rule FROM documents)
+g AS (SELECT doc_id, doc_id AS gold_id, text AS selected, lang AS comment, CASE WHEN doc_id % 3 = 0 THEN 'R00' || (doc_id % 8 + 1) END AS rule FROM documents)
 SELECT gold_id, doc_id, g.rule, EXISTS (SELECT 1 FROM i WHERE i.doc_id = g.doc_id AND (coalesce(i.rule = g.rule, false)
   OR (length(s) >= 2 AND contains(blob, s)) OR (length(c) >= 2 AND contains(blob, c)) OR (length(o) >= 2 AND contains(s, o)) OR (length(left(s, 40)) >= 2 AND contains(blob, left(s, 40))))) AS found
 FROM (SELECT *, lower(regexp_replace(selected, '\\s+', '', 'g')) AS s, lower(regexp_replace(comment, '\\s+', '', 'g')) AS c FROM g) g
 """)
 def gold_annotation_match(t):
-    gold = t.documents.select("doc_id", F.col("doc_id").alias("gold_id"), F.left("text", F.lit(30)).alias("selected"), F.col("lang").alias("comment"), F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("R00"), F.col("doc_id") % 8 + 1)).alias("rule"))
+    gold = t.documents.select("doc_id", F.col("doc_id").alias("gold_id"), F.col("text").alias("selected"), F.col("lang").alias("comment"), F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("R00"), F.col("doc_id") % 8 + 1)).alias("rule"))
     found = I.detect(t.documents, RULES).withColumn("blob", I.blob())
     return E.gold_hits(gold, found, "doc_id").select("gold_id", "doc_id", "rule", "found")
 
@@ -156,16 +156,17 @@ def document_stats(t):
 
 
 @query("""
-SELECT n_name AS rule, coalesce(n, 0) AS triggers, last AS last_triggered FROM nation LEFT JOIN (SELECT c_nationkey, count(*) AS n, max(c_custkey) AS last FROM customer WHERE c_acctbal > 9000 GROUP BY 1) ON c_nationkey = n_nationkey
+SELECT n_name AS rule, coalesce(n, 0) AS triggers, last AS last_triggered FROM nation LEFT JOIN (SELECT c_nationkey * 2 AS c_nationkey, count(*) AS n, max(c_custkey) AS last FROM customer GROUP BY 1) ON c_nationkey = n_nationkey
 """)
 def rule_trigger_counts(t):
     rules = t.nation.select("n_nationkey", F.col("n_name").alias("rule"))
-    hits = t.customer.where("c_acctbal > 9000").select(F.col("c_nationkey").alias("n_nationkey"), "c_custkey")
+    hits = t.customer.select((F.col("c_nationkey") * 2).alias("n_nationkey"), "c_custkey")
     return E.trigger_counts(rules, hits, "n_nationkey", "c_custkey").drop("n_nationkey")
 
 
 @query()
 def gold_assignment(t):
-    gold = G.exploded(t.benchmark, X.sentences(F.col("text"), 5), "item_id").select(F.lit("all").alias("key"), (F.col("item_id") * 100 + F.col("idx")).alias("idx"), "text")
-    found = G.exploded(t.documents, X.sentences(F.col("text"), 5)).select(F.lit("all").alias("key"), (F.col("doc_id") * 10000 + F.col("idx")).alias("idx"), "text")
-    return E.gold_assignment(gold, found, "key", 0.6)
+    """The sentences of a conversation's user are its gold rows, those of the assistant what was found."""
+    rows = G.exploded(t.conversations.withColumn("key", F.struct("conv_id", "turn", "role")), X.sentences(F.col("text"), 5), "key")
+    rows = rows.select("key.conv_id", "key.role", (F.col("key.turn").cast("long") * NTH + F.col("idx")).alias("idx"), "text")
+    return E.gold_assignment(rows.where("role = 'user'"), rows.where("role = 'assistant'"), "conv_id", 0.6)

@@ -23,18 +23,18 @@ def html_title_text(t):
 
 
 @query("""
-WITH inc AS (SELECT doc_id, lang, source FROM documents WHERE lang <> 'de'), st AS (SELECT doc_id, lang, CASE WHEN n_chars > 900 THEN source ELSE 'old' END AS source FROM documents WHERE source <> 'src7')
-SELECT inc.doc_id, CASE WHEN st.doc_id IS NULL THEN 'created' WHEN st.source = inc.source THEN 'skipped' ELSE 'updated' END AS action FROM inc LEFT JOIN st USING (doc_id)
+WITH inc AS (SELECT doc_id, lang, source FROM documents), st AS (SELECT doc_id + 100 AS doc_id, lang, CASE WHEN n_chars > 900 THEN source ELSE 'old' END AS source FROM documents)
+SELECT inc.doc_id, CASE WHEN st.doc_id IS NULL THEN 'created' WHEN st.source = inc.source AND st.lang = inc.lang THEN 'skipped' ELSE 'updated' END AS action FROM inc LEFT JOIN st USING (doc_id)
 """)
 def rule_import_counts(t):
-    rows = t.documents.select("doc_id", "lang", "source").where("lang <> 'de'")
-    stored = t.documents.where("source <> 'src7'").select("doc_id", "lang", F.when(F.col("n_chars") > 900, F.col("source")).otherwise("old").alias("source"))
+    rows = t.documents.select("doc_id", "lang", "source")
+    stored = t.documents.select((F.col("doc_id") + 100).alias("doc_id"), "lang", F.when(F.col("n_chars") > 900, F.col("source")).otherwise("old").alias("source"))
     return sinks.import_plan(stored, rows, "doc_id", ["lang", "source"])
 
 
-@query("SELECT DISTINCT user_id, event_type FROM events e WHERE ts >= TIMESTAMP '2024-01-20' AND NOT EXISTS (SELECT 1 FROM events s WHERE s.ts < TIMESTAMP '2024-01-05' AND s.user_id = e.user_id AND s.event_type = e.event_type)")
+@query("SELECT DISTINCT user_id, event_type FROM events e WHERE ts >= TIMESTAMP '2024-01-05' AND NOT EXISTS (SELECT 1 FROM events s WHERE s.ts < TIMESTAMP '2024-01-05' AND s.user_id = e.user_id AND s.event_type = e.event_type)")
 def trace_sync_new_rows(t):
-    rows, stored = t.events.where("ts >= '2024-01-20'").select("user_id", "event_type"), t.events.where("ts < '2024-01-05'")
+    rows, stored = t.events.where("ts >= '2024-01-05'").select("user_id", "event_type"), t.events.where("ts < '2024-01-05'")
     return sinks.new_rows(rows, stored, ["user_id", "event_type"])
 
 

@@ -10,15 +10,15 @@ from lexmill.operators import relational as R
 from lexmill.operators import retrieval as Q
 from lexmill.operators import segments as G
 from lexmill.operators import templates as L
-from lexmill.plans.registry import query
+from lexmill.plans.registry import NTH, query
 
 GRAMMAR = L.Grammar(actions=("the", "and", "is", "la", "der"), conditions=("with", "for", "que"), articles=("of", "to"))
 
 
 @query()
 def template_candidates(t):
-    sentences = G.exploded(t.conversations, X.sentences(F.col("text"), 15), "conv_id").select((F.col("conv_id") * 10000 + F.col("idx")).alias("idx"), "text")
-    templates = G.exploded(t.benchmark, X.sentences(F.col("text"), 15), "item_id").select((F.col("item_id") * 1000 + F.col("idx")).alias("idx"), "text")
+    sentences = G.exploded(t.conversations, X.sentences(F.col("text"), 15), "conv_id").select((F.col("conv_id") * NTH + F.col("idx")).alias("idx"), "text")
+    templates = G.exploded(t.benchmark, X.sentences(F.col("text"), 15), "item_id").select((F.col("item_id") * NTH + F.col("idx")).alias("idx"), "text")
     return L.kept(L.candidates(sentences, templates, GRAMMAR), pending=0.4)
 
 

@@ -194,10 +194,10 @@ def page_text(t):
 
 @query("""
 WITH l AS (SELECT DISTINCT source, trim(unnest(string_split(text, chr(10))), ' ') AS line, doc_id FROM documents),
-a AS (SELECT line, doc_id AS a_order, row_number() OVER (PARTITION BY line ORDER BY doc_id) AS nth FROM l WHERE source < 'src14' AND length(line) >= 5),
-b AS (SELECT line, doc_id AS b_order, row_number() OVER (PARTITION BY line ORDER BY doc_id) AS nth FROM l WHERE source >= 'src14' AND length(line) >= 5)
+a AS (SELECT line, doc_id AS a_order, row_number() OVER (PARTITION BY line ORDER BY doc_id) AS nth FROM l WHERE source < 'src14' AND line <> ''),
+b AS (SELECT line, doc_id AS b_order, row_number() OVER (PARTITION BY line ORDER BY doc_id) AS nth FROM l WHERE source >= 'src14' AND line <> '')
 SELECT line, a_order, b_order FROM a JOIN b USING (line, nth)
 """)
 def exact_multiset_match(t):
-    rows = t.documents.select("source", F.explode(X.lines(F.col("text"))).alias("line"), "doc_id").withColumn("line", F.trim("line")).distinct().where(F.length("line") >= 5)
+    rows = t.documents.select("source", F.explode(X.lines(F.col("text"))).alias("line"), "doc_id").withColumn("line", F.trim("line")).distinct().where("line <> ''")
     return R.multiset_match(rows.where("source < 'src14'"), rows.where("source >= 'src14'"), "line", "doc_id", "doc_id")

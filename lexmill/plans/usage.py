@@ -30,12 +30,12 @@ def hit_rate_daily(t):
 
 
 @query("""
-WITH f AS (SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n, count(*) FILTER (value >= 50) AS hits FROM events WHERE props LIKE '%9%' GROUP BY ALL)
+WITH f AS (SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n, count(*) FILTER (props LIKE '%9%') AS hits FROM events GROUP BY ALL)
 SELECT d.day, k.event_type, coalesce(n, 0) AS n, coalesce(hits, 0) AS hits, coalesce(round(hits::DOUBLE / n::DOUBLE * 100::DOUBLE, 1), 0::DOUBLE) AS hit_rate
 FROM (SELECT DISTINCT day FROM f) d CROSS JOIN (SELECT DISTINCT event_type FROM f) k LEFT JOIN f ON f.day = d.day AND f.event_type = k.event_type
 """)
 def hit_rate_by_type_daily(t):
-    found = S.daily_rate(t.events.where(F.col("props").contains("9")), "ts", F.expr(HIT), by=["event_type"]).withColumn("day", F.date_format("day", "yyyy-MM-dd"))
+    found = S.daily_rate(t.events, "ts", F.col("props").contains("9"), by=["event_type"]).withColumn("day", F.date_format("day", "yyyy-MM-dd"))
     return S.with_spine(found, ["day"], ["event_type"], {"n": 0, "hits": 0, "hit_rate": 0.0})
 
 
@@ -104,14 +104,14 @@ def semi_join_active(t):
 
 
 @query("""
-WITH q AS (SELECT l_suppkey % 2 AS side, 'part-' || l_partkey AS name, CAST(sum(l_quantity) AS BIGINT) AS value FROM lineitem WHERE l_returnflag = 'R' GROUP BY ALL),
+WITH q AS (SELECT l_suppkey % 2 AS side, l_returnflag || '-part-' || l_partkey AS name, CAST(sum(l_quantity) AS BIGINT) AS value FROM lineitem GROUP BY ALL),
 a AS (SELECT name, value FROM q WHERE side = 0), b AS (SELECT name, value FROM q WHERE side = 1)
 SELECT coalesce(a.name, b.name) AS name, a.value AS value_a, b.value AS value_b,
   CASE WHEN a.name IS NULL THEN 'only_b' WHEN b.name IS NULL THEN 'only_a' WHEN a.value = b.value THEN 'same' ELSE 'different' END AS status
 FROM a FULL JOIN b ON a.name = b.name
 """)
 def param_full_outer_exact(t):
-    rows = t.lineitem.where("l_returnflag = 'R'").groupBy((F.col("l_suppkey") % 2).alias("side"), F.concat(F.lit("part-"), "l_partkey").alias("name")).agg(F.sum("l_quantity").cast("long").alias("value"))
+    rows = t.lineitem.groupBy((F.col("l_suppkey") % 2).alias("side"), F.concat("l_returnflag", F.lit("-part-"), "l_partkey").alias("name")).agg(F.sum("l_quantity").cast("long").alias("value"))
     return R.compare_by_key(rows.where("side = 0").select("name", "value"), rows.where("side = 1").select("name", "value"), ["name"], "value")
 
 
@@ -267,14 +267,18 @@ def composite_stats(t):
     )
 
 
-@query("""
-WITH a AS (SELECT lower(o_orderpriority) AS rule, lower(o_orderstatus) AS category, CAST(o_orderkey % 100 AS INTEGER) AS confidence FROM orders WHERE o_totalprice > 250000),
-b AS (SELECT lower(o_orderpriority) AS rule, lower(o_orderstatus) AS category, CAST(o_orderkey % 97 AS INTEGER) AS confidence FROM orders WHERE o_orderdate >= DATE '1998-01-01' AND o_orderpriority <> '2-HIGH')
-SELECT rule, category, CASE WHEN bool_or(m = 'a') AND bool_or(m = 'b') THEN 'a,b' WHEN bool_or(m = 'a') THEN 'a' ELSE 'b' END AS models, max(confidence) AS best,
+_SIDE = "SELECT lower(o_orderpriority) AS rule, lower(o_orderstatus) AS category, 'c' || (o_custkey % {a}) AS chapter, 'o' || (o_orderkey % {b}) AS original_text, 's' || (o_orderkey % 2) AS suggestion, CAST(o_orderkey % {n} AS INTEGER) AS confidence, '{m}' AS m FROM orders"
+
+
+@query(f"""
+SELECT rule, category, chapter, original_text, suggestion, CASE WHEN bool_or(m = 'a') AND bool_or(m = 'b') THEN 'a,b' WHEN bool_or(m = 'a') THEN 'a' ELSE 'b' END AS models, max(confidence) AS best,
   least(99, max(confidence) + 8 * (count(DISTINCT m) - 1)) AS consensus
-FROM (SELECT *, 'a' AS m FROM a UNION ALL SELECT *, 'b' FROM b) GROUP BY ALL
+FROM ({_SIDE.format(a=7, b=11, n=100, m='a')} UNION ALL {_SIDE.format(a=5, b=13, n=97, m='b')}) GROUP BY ALL
 """)
 def merge_two_models(t):
-    side = lambda cond, n, m: t.orders.where(cond).select(F.col("o_orderpriority").alias("rule"), F.col("o_orderstatus").alias("category"), (F.col("o_orderkey") % n).cast("int").alias("confidence"), F.lit(m).alias("model"))
-    merged = R.merge_by_key(side("o_totalprice > 250000", 100, "a"), side("o_orderdate >= DATE'1998-01-01' AND o_orderpriority <> '2-HIGH'", 97, "b"), ["rule", "category"], "confidence")
+    def side(a, b, n, m):
+        c = lambda p, k, size: F.concat(F.lit(p), (F.col(k) % size).cast("string"))
+        return t.orders.select(F.col("o_orderpriority").alias("rule"), F.col("o_orderstatus").alias("category"), c("C", "o_custkey", a).alias("chapter"), c("o", "o_orderkey", b).alias("original_text"), c("S", "o_orderkey", 2).alias("suggestion"), (F.col("o_orderkey") % n).cast("int").alias("confidence"), F.lit(m).alias("model"))
+
+    merged = R.merge_by_key(side(7, 11, 100, "a"), side(5, 13, 97, "b"), ["rule", "category", "chapter", "original_text", "suggestion"], "confidence")
     return merged.withColumn("models", F.array_join("models", ","))

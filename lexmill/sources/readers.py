@@ -88,13 +88,13 @@ def parse_html(html: str | None) -> tuple[str, str]:
     return " ".join("".join(p.titles).split()), "\n".join(x for x in lines if x)
 
 
-def html_pages(pages: DataFrame, html: str = "html", most_bytes: int = 5 << 20) -> DataFrame:
-    """Pages with title and text in place of their markup; larger pages are refused with nulls."""
+def html_pages(pages: DataFrame, html: str = "html", most_bytes: int | None = None) -> DataFrame:
+    """Pages with title and text in place of their markup; pages above ``most_bytes``, if given, are refused with nulls."""
 
     @F.pandas_udf("title string, text string")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
-            yield pd.DataFrame([parse_html(t) if t is None or len(t.encode()) <= most_bytes else (None, None) for t in texts], columns=["title", "text"])
+            yield pd.DataFrame([parse_html(t) if not most_bytes or t is None or len(t.encode()) <= most_bytes else (None, None) for t in texts], columns=["title", "text"])
 
     return pages.select(*(c for c in pages.columns if c != html), run(F.col(html)).alias("p")).select("*", "p.*").drop("p")
 
@@ -126,19 +126,159 @@ def zipped_xml_text(member: str, keep: Sequence[str]) -> Parser:
     return parse
 
 
+def _members(data: bytes):
+    import io
+    import zipfile
+
+    return zipfile.ZipFile(io.BytesIO(data))
+
+
+def _xml(data: bytes):
+    from xml.etree import ElementTree
+
+    return ElementTree.fromstring(data)
+
+
+def _tag(e) -> str:
+    return e.tag.rpartition("}")[2]
+
+
+def _text(e) -> str:
+    return " ".join("".join(e.itertext()).split())
+
+
+def sheet_rows(data: bytes) -> list[tuple[str, int, list[str]]]:
+    """(sheet, row, cells) of a workbook: texts, numbers and gaps at their places, sheets in their order."""
+    with _members(data) as z:
+        names = set(z.namelist())
+        shared = [_text(e) for e in _xml(z.read("xl/sharedStrings.xml")) if _tag(e) == "si"] if "xl/sharedStrings.xml" in names else []
+        links = {e.get("Id"): e.get("Target").lstrip("/").removeprefix("xl/") for e in _xml(z.read("xl/_rels/workbook.xml.rels"))}
+        out = []
+        for sheet in (e for e in _xml(z.read("xl/workbook.xml")).iter() if _tag(e) == "sheet"):
+            part = links[next(v for k, v in sheet.attrib.items() if k.endswith("}id"))]
+            for row in (e for e in _xml(z.read(f"xl/{part}")).iter() if _tag(e) == "row"):
+                cells: list[str] = []
+                for c in row:
+                    letters = re.match("[A-Z]*", c.get("r", ""))[0]
+                    at = 0
+                    for x in letters:
+                        at = at * 26 + ord(x) - 64
+                    cells += [""] * (at - 1 - len(cells))
+                    value = next((x.text or "" for x in c if _tag(x) == "v"), "")
+                    cells.append(shared[int(value)] if c.get("t") == "s" else _text(c) if c.get("t") == "inlineStr" else value)
+                if any(cells):
+                    out.append((sheet.get("name"), int(row.get("r", len(out) + 1)), cells))
+        return out
+
+
+def document_text(data: bytes) -> str:
+    """Paragraphs of a word-processing file in order, the rows of its tables as cells between bars."""
+
+    def parts(e) -> Iterator[str]:
+        for x in e:
+            if _tag(x) == "p":
+                yield _text(x)
+            elif _tag(x) == "tbl":
+                for row in (r for r in x if _tag(r) == "tr"):
+                    yield "| " + " | ".join(" ".join(filter(None, parts(c))) for c in row if _tag(c) == "tc") + " |"
+            else:
+                yield from parts(x)
+
+    with _members(data) as z:
+        return "\n".join(filter(None, parts(_xml(z.read("word/document.xml")))))
+
+
+def document_comments(data: bytes) -> list[tuple[str, str, str]]:
+    """(author, date, text) of the comments in a word-processing file."""
+    with _members(data) as z:
+        if "word/comments.xml" not in z.namelist():
+            return []
+        return [tuple(next((v for k, v in e.attrib.items() if k.endswith(n)), "") for n in ("author", "date")) + (_text(e),) for e in _xml(z.read("word/comments.xml")) if _tag(e) == "comment"]
+
+
+def map_topics(data: bytes) -> list[tuple[int, str, str, list[str]]]:
+    """(ord, href, navtitle, path) of a map's topic references, depth first; path holds the titles above and its own."""
+    out: list[tuple[int, str, str, list[str]]] = []
+
+    def walk(e, above: list[str]) -> None:
+        for x in e:
+            if _tag(x) in ("topicref", "chapter", "topichead", "appendix"):
+                inner = next((_text(t) for t in x.iter() if _tag(t) == "navtitle"), "")
+                title = x.get("navtitle") or inner
+                path = above + [title] if title else above
+                if x.get("href"):
+                    out.append((len(out), x.get("href"), title, path))
+                walk(x, path)
+            elif _tag(x) not in ("topicmeta", "title"):
+                walk(x, above)
+
+    walk(_xml(data), [])
+    return out
+
+
+def exploded_files(files: DataFrame, parse: Callable[[bytes], list[tuple]], schema: str) -> DataFrame:
+    """A row for each tuple that ``parse`` makes of a binary file (path, content), beside its path; unreadable files give none."""
+    names = [x.strip().split()[0] for x in schema.split(",")]
+
+    def one(data) -> list[dict]:
+        try:
+            return [dict(zip(names, row, strict=True)) for row in parse(bytes(data))] if data is not None else []
+        except Exception:
+            return []
+
+    @F.pandas_udf("array<struct<" + ",".join(x.strip().replace(" ", ":", 1) for x in schema.split(",")) + ">>")
+    def run(contents: pd.Series) -> pd.Series:
+        return contents.map(one)
+
+    return files.select("path", F.inline(run("content")))
+
+
+def workbook_rows(files: DataFrame) -> DataFrame:
+    """(path, sheet, row, cells) of workbooks."""
+    return exploded_files(files, sheet_rows, "sheet string, row int, cells array<string>")
+
+
+def comments(files: DataFrame) -> DataFrame:
+    """(path, author, date, text) of the comments in word-processing files."""
+    return exploded_files(files, document_comments, "author string, date string, text string")
+
+
+def topics(files: DataFrame) -> DataFrame:
+    """(path, ord, href, navtitle, way) of maps."""
+    return exploded_files(files, map_topics, "ord int, href string, navtitle string, way array<string>")
+
+
+HEADING = r"^(?:chapter\s+\d+|appendix\s+[a-z]|\d+(?:\.\d+)*\.?)\s+\p{L}.{0,80}$"
+
+
+def chapters(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", heading: str = HEADING) -> DataFrame:
+    """(doc_id, ord, title, n_lines, content) of the chapters of plain text, by lines that look like headings and are no row of contents."""
+    from pyspark.sql import Window
+
+    rows = docs.select(doc_id, F.posexplode(X.lines(F.col(text))).alias("line_no", "line"))
+    line = F.trim("line")
+    is_heading = F.lower(line).rlike(heading) & ~line.rlike(r"\.{3,}|[.;,]$")
+    rows = rows.withColumn("title", F.when(is_heading, line))
+    rows = rows.withColumn("ord", F.sum(F.col("title").isNotNull().cast("int")).over(Window.partitionBy(doc_id).orderBy("line_no")))
+    body = F.array_sort(F.collect_list(F.when(F.col("title").isNull(), F.struct("line_no", "line"))))
+    out = rows.groupBy(doc_id, "ord").agg(F.coalesce(F.max("title"), F.lit("")).alias("title"), F.count("*").alias("n_lines"), F.array_join(F.transform(body, lambda x: x["line"]), "\n").alias("content"))
+    return out.withColumns({"ord": F.col("ord").cast("int"), "content": F.trim("content")}).where("ord > 0 or content <> ''")
+
+
 def pdf_text(data: bytes) -> str:
+    """Pages between form feeds, the blocks of a page from top to bottom."""
     try:
         import fitz
     except ImportError as e:
         raise RuntimeError("PDF files need the PyMuPDF library") from e
     with fitz.open(stream=data, filetype="pdf") as doc:
-        return "\f".join(page.get_text() for page in doc)
+        return "\f".join("\n".join(b[4].strip() for b in sorted(page.get_text("blocks"), key=lambda b: (round(b[1] / 4), b[0])) if b[4].strip()) for page in doc)
 
 
 PARSERS |= {
-    "docx": zipped_xml_text(r"word/document\.xml", ("p",)),
+    "docx": document_text,
     "pptx": zipped_xml_text(r"ppt/slides/slide\d+\.xml", ("p",)),
-    "xlsx": zipped_xml_text(r"xl/sharedStrings\.xml", ("si",)),
+    "xlsx": lambda b: "\n".join("\t".join(cells) for _, _, cells in sheet_rows(b)),
     "idml": zipped_xml_text(r"Stories/.*\.xml", ("Content",)),
     "dita": xml_text,
     "xlf": lambda b: xml_text(b, ("source",)),
@@ -182,20 +322,38 @@ SOURCE_NAMES = ("source", "source_text", "src", "original", "en", "english")
 TARGET_NAMES = ("target", "translation", "translated_text", "tgt", "de", "german", "fr", "french", "zh", "chinese")
 
 
-def memory_entries(table: DataFrame, source: str | None = None, target: str | None = None) -> DataFrame:
-    """(entry_ord, source_text, translated_text) of a table whose columns are named or recognised by name.
+def memory_entries(table: DataFrame, source: str | None = None, target: str | None = None, order: str | None = None) -> DataFrame:
+    """(entry_ord, source_text, translated_text) of a table whose columns are named, or recognised by name or as a language.
 
-    Rows without either text go. Entries keep the order of the files.
+    Rows without either text go. entry_ord is the column ``order``; without one, entries are
+    numbered as Spark reads them, which is the order of the file only while it is one split.
     """
     lower = {c.lower().strip().replace(" ", "_"): c for c in table.columns}
-    source = source or next((lower[n] for n in SOURCE_NAMES if n in lower), None)
-    target = target or next((lower[n] for n in TARGET_NAMES if n in lower and lower[n] != source), None)
+    spoken = [c for c in table.columns if re.sub(r"[\s_-]+", "", c.lower()) in X.HEADER_LANGUAGES]
+    source = source or next((lower[n] for n in SOURCE_NAMES if n in lower), None) or next(iter(spoken), None)
+    target = target or next((lower[n] for n in TARGET_NAMES if n in lower and lower[n] != source), None) or next((c for c in spoken if c != source), None)
     if not source or not target:
         raise ValueError(f"no source and target column among {table.columns}")
-    rows = table.select(F.monotonically_increasing_id().alias("entry_ord"), F.trim(F.col(source)).alias("source_text"), F.trim(F.col(target)).alias("translated_text"))
+    number = F.col(order) if order else F.monotonically_increasing_id()
+    rows = table.select(number.alias("entry_ord"), F.trim(F.col(source)).alias("source_text"), F.trim(F.col(target)).alias("translated_text"))
     return rows.where("source_text <> '' and translated_text <> ''")
 
 
+def workbook_entries(files: DataFrame) -> DataFrame:
+    """Entries of workbooks whose first rows name a source and a target column, in order of rows, sheet by sheet."""
+    from pyspark.sql import Window
+
+    rows = workbook_rows(files)
+    w = Window.partitionBy("path", "sheet").orderBy("row").rowsBetween(Window.unboundedPreceding, 0)
+    names = F.transform(F.first("cells").over(w), lambda c: F.lower(F.regexp_replace(F.trim(c), r"[\s_-]+", "")))
+    known = lambda xs: F.array(*(F.lit(x.replace("_", "")) for x in xs))
+    rows = rows.withColumns({"_n": F.row_number().over(w.rowsBetween(Window.unboundedPreceding, 0)), "_h": names})
+    first = lambda xs: F.coalesce(F.array_min(F.filter(F.transform(known(xs), lambda n: F.array_position("_h", n)), lambda p: p > 0)), F.lit(0)).cast("int")
+    rows = rows.withColumns({"_s": first(SOURCE_NAMES), "_t": first(TARGET_NAMES)}).where("_n > 1 and _s > 0 and _t > 0")
+    out = rows.select("path", "sheet", "row", F.trim(F.try_element_at("cells", F.col("_s"))).alias("source_text"), F.trim(F.try_element_at("cells", F.col("_t"))).alias("translated_text"))
+    return out.where("source_text <> '' and translated_text <> ''")
+
+
 def memory_file(spark: SparkSession, path: str) -> DataFrame:
     """Entries of a CSV, TSV or JSON memory."""
     if path.endswith(".json"):

@@ -43,3 +43,39 @@ def export(rows: DataFrame, path: str, kind: str = "json") -> None:
         rows.select(*flat).write.option("header", "true").option("escape", '"').csv(path)
     else:
         raise ValueError(f"unknown kind: {kind}")
+
+
+def topic_files(sections: DataFrame, doc_id: str = "doc_id", kind: str = "md") -> DataFrame:
+    """(path, content) of one file for each section (doc_id, ord, level, title, content), as Markdown, CSV lines or DITA topics."""
+    escaped = lambda c: F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    name = F.concat(F.lit("t"), F.col(doc_id).cast("string"), F.lit("_"), F.col("ord").cast("string"))
+    quoted = lambda c: F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))
+    paragraphs = F.array_join(F.transform(F.filter(F.split("content", r"\n+"), lambda p: F.trim(p) != ""), lambda p: F.concat(F.lit("<p>"), escaped(F.trim(p)), F.lit("</p>"))), "")
+    forms = {
+        "md": F.concat(F.repeat(F.lit("#"), F.greatest("level", F.lit(1))), F.lit(" "), "title", F.lit("\n\n"), "content", F.lit("\n")),
+        "csv": F.concat_ws(",", F.col(doc_id).cast("string"), F.col("ord").cast("string"), quoted(F.col("title")), quoted(F.col("content"))),
+        "dita": F.concat(F.lit('<topic id="'), name, F.lit('"><title>'), escaped(F.col("title")), F.lit("</title><body>"), paragraphs, F.lit("</body></topic>")),
+    }
+    if kind not in forms:
+        raise ValueError(f"unknown kind: {kind}")
+    return sections.select(F.concat(name, F.lit(f".{kind}")).alias("path"), forms[kind].alias("content"))
+
+
+def write_archives(files: DataFrame, path: str, key: str = "archive") -> None:
+    """A row for each archive (archive, content as a zip of its files (archive, path, content)), written as Parquet.
+
+    An archive is as large as one document's files; these meet in one task.
+    """
+    import io
+    import zipfile
+
+    import pandas as pd
+
+    def packed(group: pd.DataFrame) -> pd.DataFrame:
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+            for name, content in sorted(zip(group["path"], group["content"], strict=True)):
+                z.writestr(zipfile.ZipInfo(name), content or "")
+        return pd.DataFrame({key: [group[key].iloc[0]], "content": [out.getvalue()]})
+
+    files.groupBy(key).applyInPandas(packed, f"{key} {files.schema[key].dataType.simpleString()}, content binary").write.parquet(path)

@@ -40,3 +40,43 @@ def answered_within(questions: DataFrame, answers: DataFrame, session: str, ts:
     a = answers.withWatermark(ts, late).select(F.col(session).alias("_session"), F.col(ts).alias("answered"))
     met = (F.col("session") == F.col("_session")) & (F.col("answered") > F.col("asked")) & (F.col("answered") <= F.col("asked") + F.expr(f"INTERVAL {most}"))
     return q.join(a, met).drop("_session")
+
+
+def recent_requests(events: DataFrame, ts: str, by: str, window: str = "60 seconds", slide: str = "10 seconds", late: str = "1 minute") -> DataFrame:
+    """Requests of each sliding window and group: what a limit of so many a minute looks at."""
+    out = events.withWatermark(ts, late).groupBy(F.window(ts, window, slide), by).agg(F.count("*").alias("requests"))
+    return out.select(F.col("window.start").alias("start"), F.col("window.end").alias("end"), by, "requests")
+
+
+def cache_hits(events: DataFrame, ts: str, key: str, keep: str) -> DataFrame:
+    """Batch form: each event with hit, whether its key was used within ``keep`` before it."""
+    from pyspark.sql import Window
+
+    before = F.lag(ts).over(Window.partitionBy(key).orderBy(ts))
+    return events.withColumn("hit", F.coalesce(F.col(ts) <= before + F.expr(f"INTERVAL {keep}"), F.lit(False)))
+
+
+def cache_hits_stream(events: DataFrame, ts: str, key: str, keep_seconds: int, late: str = "1 minute") -> DataFrame:
+    """Streaming form: key, ts and hit of each event; a key's state ends ``keep_seconds`` after its last event."""
+    import pandas as pd
+    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+    def run(name, batches, state: GroupState):
+        if state.hasTimedOut:
+            state.remove()
+            return
+        (last,) = state.get if state.exists else (None,)
+        for rows in batches:
+            rows = rows.sort_values(ts)
+            hits = []
+            for at in rows[ts]:
+                at_ms = int(pd.Timestamp(at).timestamp() * 1000)
+                hits.append(last is not None and at_ms - last <= keep_seconds * 1000)
+                last = at_ms if last is None else max(last, at_ms)
+            yield pd.DataFrame({key: rows[key], ts: rows[ts], "hit": hits})
+        state.update((last,))
+        state.setTimeoutTimestamp(max(last + keep_seconds * 1000, state.getCurrentWatermarkMs() + 1))
+
+    kind = events.schema[key].dataType.simpleString()
+    slim = events.select(key, ts).withWatermark(ts, late)
+    return slim.groupBy(key).applyInPandasWithState(run, f"{key} {kind}, {ts} timestamp, hit boolean", "last long", "append", GroupStateTimeout.EventTimeTimeout)

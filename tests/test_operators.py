@@ -5,13 +5,14 @@ import io
 import itertools
 import random
 import zipfile
+from difflib import SequenceMatcher
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from lexmill.functions import text as X
-from lexmill.operators import compare, evaluation, issues, matching, memory, params, proofing, providers, quality, relational, segments, stats, templates
+from lexmill.operators import cat, compare, evaluation, grammar, issues, matching, memory, params, proofing, providers, quality, relational, review, segments, stats, templates
 from lexmill.sources import readers, sinks
 from lexmill.streaming import logs
 
@@ -28,7 +29,7 @@ def one(spark, text, column):
         (" A b\tC ", X.compact, "abc"),
         ("Föö-1, b!", X.letters_digits, "föö1b"),
         ("One two, THREE", X.tokens, ["one", "two", "three"]),
-        ("Guide v1.2.3 English final", X.without_metadata, "guide"),
+        ("Guide v1.2.3 English final", lambda c: X.without_metadata(c, ("english", "final")), "guide"),
         ("don't re-check 中文 a1", X.text_units, 5),
         ("press key k12 version 2.0.1 now", X.translatable_units, 3),
         ("Hi. You there?\nYes", X.sentences, ["Hi.", "You there?", "Yes"]),
@@ -130,12 +131,6 @@ def test_issue_cases(spark):
     assert [r["rule"] for r in issues.ordered(spark.createDataFrame(rows, schema).withColumn("score", issues.value_score(issues.Scoring()))).collect()][:2] == ["A", "B"]
 
 
-def test_validation_reasons(spark):
-    rows = [("", "x", "c"), ("a b", "a  b", "a b"), ("zz", "y", "abc"), ("a b", "ab", "a b"), ("use 5 ml", "use 6 ml", "use 5 ml"), ("one two three four", "five six seven eight", "one two three four"), ("the cat sat there", "the cat sat here", "the cat sat there")]
-    got = issues.validation(spark.createDataFrame(rows, "original_text string, suggestion string, content string")).collect()
-    assert [r["reason"] for r in got] == ["missing_text", "no_change", "not_in_content", "spacing_only", "numbers_changed", "aggressive_rewrite", "accepted"]
-
-
 def test_spans_keep_offsets(spark):
     docs = spark.createDataFrame([(1, "é aa b aaa"), (2, None)], "doc_id long, text string")
     got = issues.detect_spans(docs, [issues.Rule("r", "a+")]).orderBy("start").collect()
@@ -143,6 +138,164 @@ def test_spans_keep_offsets(spark):
     assert issues.replaced_terms(docs, {"aa": "zz"}).collect()[0]["n"] == 1
 
 
+def test_every_reason_of_rejection(spark):
+    content = "the red pump must be started by the user of thatin use 5 ml of it in the morning click the icon der Hund mark the names of"
+    rows = [
+        ("", "x", "d", "missing_original_text"),
+        ("red pump", "", "", "missing_suggestion_and_description"),
+        ("red pump", "x", "no change needed", "explicit_no_change"),
+        ("red pump", "x", "as the style guide says", "audit_basis_leak"),
+        ("blue pump", "x", "d", "original_text_not_found"),
+        ("ed pump", "x", "d", "truncated_word_fragment"),
+        ("red pump", "<b>Red</b>, pump!", "d", "noop_suggestion"),
+        ("use 5 ml", "use it 5ml", "d", "number_unit_spacing_regression"),
+        ("use 5 ml", "use 6 ml", "d", "protected_meaning_changed"),
+        ("user of thatin", "user of thitan", "d", "protected_meaning_changed"),
+        ("must be started by the user", "will need somebody who begins", "d", "aggressive_rewrite"),
+        ("the names of", "the names of all persons", "d", "speculative_completion"),
+        ("mark the names of", "mark the names in", "button label", "low_value_ui_bracket_labeling"),
+        ("click the icon", "click this icon", "missing icon", "visual_control_ambiguity"),
+        ("der hund", "die hund", "d", "low_value_cn_term_swap"),
+        ("in the morning", "in a morning", "d", "low_value_english_rewrite"),
+        ("red pump", "red pumps", "d", "accepted"),
+    ]
+    table = spark.createDataFrame([(k, *r[:3], content) for k, r in enumerate(rows)], "k int, original_text string, suggestion string, description string, content string").selectExpr("*", "'' rule", "'' category", "'' chapter", "'' audit_basis")
+    checks = review.Checks(no_change="no change needed", basis="style guide", protected=(("thatin", "thitan"),), label_report="button label", label_text="^mark", control_report="missing icon", control_text="^click", swaps=(("der", "die"),))
+    got = {r["k"]: r["reason"] for r in review.checked(table, checks).collect()}
+    assert [got[k] for k in range(len(rows))] == [r[3] for r in rows]
+    assert {r[3] for r in rows} == {*review.REASONS, "accepted"}
+    other = review.checked(table.selectExpr("*", "'rule' source"), checks)
+    assert other.where("not accepted").count() == 0
+
+
+def sentences_of(seed, n):
+    r = random.Random(seed)
+    base = ["".join(r.choice("abcdefgh ") for _ in range(r.randint(5, 30))) for _ in range(n // 2)]
+    changed = lambda t: "".join(r.choice("abc") if r.random() < 0.15 else c for c in t)
+    return base + [changed(t) for t in base] + ["", "a"]
+
+
+@pytest.mark.parametrize("least", [0.5, 0.8])
+def test_alike_finds_every_pair(spark, monkeypatch, least):
+    monkeypatch.setattr(matching, "CHUNK", 7)
+    a, b = sentences_of(1, 30), sentences_of(2, 20) + sentences_of(1, 10)
+    table = lambda xs: spark.createDataFrame([(k % 2, k, t) for k, t in enumerate(xs)] + [(5, 0, "only here")], "b int, idx int, text string")
+    got = {(r["a_idx"], r["b_idx"]): r["score"] for r in matching.alike(table(a), table(b).where("b < 5"), "b", least).collect()}
+    want = {(i, j): SequenceMatcher(None, x, y).ratio() for i, x in enumerate(a) for j, y in enumerate(b) if i % 2 == j % 2}
+    assert got == {k: pytest.approx(v) for k, v in want.items() if v >= least}
+
+
+def plain_greedy(pairs):
+    used, out = set(), set()
+    for s, i, j in sorted(((-s, i, j) for i, j, s in pairs)):
+        if ("a", i) not in used and ("b", j) not in used:
+            used |= {("a", i), ("b", j)}
+            out.add((i, j))
+    return out
+
+
+def test_greedy_by_component(spark):
+    r = random.Random(9)
+    pairs = [(i, j, round(r.random(), 2)) for i in range(25) for j in range(25) if r.random() < 0.08]
+    rows = spark.createDataFrame([("k", *p) for p in pairs] + [("other", 0, 0, 0.5)], "b string, a_idx long, b_idx long, score double")
+    got = {(p["a_idx"], p["b_idx"]) for p in matching.greedy(rows, "b").where("b = 'k'").collect()}
+    assert got == plain_greedy(pairs)
+
+
+def test_chapters_first(spark):
+    a, b = sentences_of(3, 20), sentences_of(3, 20)[::-1]
+    table = lambda xs, n: spark.createDataFrame([(1, k, t, None if k % n == 0 else f"c{k % n}") for k, t in enumerate(xs)], "p int, idx int, text string, chapter string")
+    x, y = table(a, 3), table(b, 4)
+    got = {(r["a_idx"], r["b_idx"]) for r in matching.by_chapter(x, y, "p", "chapter", 0.6).collect()}
+    exact, left_a, left_b = set(), set(range(len(a))), set(range(len(b)))
+    for t in dict.fromkeys(a):
+        i, j = [k for k in sorted(left_a) if a[k] == t], [k for k in sorted(left_b) if b[k] == t]
+        exact |= set(zip(i, j, strict=False))
+    left_a, left_b = left_a - {i for i, _ in exact}, left_b - {j for _, j in exact}
+    ratio = lambda i, j: SequenceMatcher(None, a[i], b[j]).ratio()
+    chapter = lambda k, n: 0 if k % n == 0 else k % n
+    same = set()
+    for c in range(4):
+        same |= plain_greedy([(i, j, ratio(i, j)) for i in left_a for j in left_b if chapter(i, 3) == c == chapter(j, 4) and ratio(i, j) >= 0.6])
+    left_a, left_b = left_a - {i for i, _ in same}, left_b - {j for _, j in same}
+    assert got == exact | same | plain_greedy([(i, j, ratio(i, j)) for i in left_a for j in left_b if ratio(i, j) >= 0.6])
+
+
+def test_likeness_of_names():
+    assert params.name_likeness("Rated Power", "rated power") == 1.0
+    assert params.name_likeness("voltage", "voltags") == pytest.approx(1 - 1 / 7)
+    assert params.name_likeness("working temperature", "working pressure range") == pytest.approx(0.60 + 0.25 * 8 / 22)
+    assert params.name_likeness("abc", "xyz") == 0.0
+
+
+def test_sentence_windows(spark):
+    docs = spark.createDataFrame([(1, "if cold, wait, when hot, if dry, add water; stop, if")], "doc_id int, text string")
+    got = [r["window"] for r in grammar.sentence_windows(docs, "^(?:if|when)").orderBy("idx").collect()]
+    assert got == ["if cold, wait", "when hot, if dry", "add water", "stop", "if"]
+
+
+def test_ranked_entries(spark):
+    rows = [(1, "Open the lid now", 1, "Open the lid", "t1"), (1, "Open the lid now", 2, "Open the lid now!", "t2"), (1, "Open the lid now", 3, "Shut", "t3"), (2, "Turn it off", 4, "Turn it of", "t4")]
+    pairs = spark.createDataFrame(rows, "query_id int, text string, entry_ord int, source_text string, translated_text string")
+    got = {r["query_id"]: (r["entry_ord"], r["translated"], r["similarity"]) for r in memory.ranked(pairs).collect()}
+    assert got[1] == (2, "t2", 1.0) and got[2][:2] == (4, "t4") and 0.9 < got[2][2] < 1
+
+
+def test_similarity_of_sentences(spark):
+    pairs = [("open the lid, then wait", "open the lid, then wait"), ("open the lid", "open the lid and wait for it"), ("abc", "xyz"), ("", "x")]
+    rows = spark.createDataFrame(pairs, "a string, b string").withColumns({"l": matching.lcs_ratio("a", "b"), "c": matching.longest_common("a", "b"), "i": matching.indel_ratio("a", "b")})
+    got = rows.select(cat.sentence_similarity(F.col("a"), F.col("b"), F.col("l"), F.col("c")).alias("s"), "c", "i").collect()
+    assert got[0]["s"] == 1.0 and got[1]["s"] > 0.8 and got[2]["s"] == 0.0 and got[3]["s"] == 0.0
+    assert [r["c"] for r in got] == [23, 12, 0, 0] and got[1]["i"] == pytest.approx(2 * 12 / (12 + 28)) and got[2]["i"] == 0.0
+
+
+def zipped(members):
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        for name, body in members.items():
+            z.writestr(name, body)
+    return bytearray(out.getvalue())
+
+
+def test_workbooks_maps_and_comments(spark):
+    book = zipped(
+        {
+            "xl/workbook.xml": '<w xmlns:r="r"><sheets><sheet name="S1" r:id="i1"/></sheets></w>',
+            "xl/_rels/workbook.xml.rels": '<R><Relationship Id="i1" Target="worksheets/sheet1.xml"/></R>',
+            "xl/sharedStrings.xml": "<sst><si><t>Source</t></si><si><t>target</t></si><si><t>lid</t></si></sst>",
+            "xl/worksheets/sheet1.xml": '<s><d><row r="1"><c r="A1" t="s"><v>0</v></c><c r="C1" t="s"><v>1</v></c></row><row r="2"><c r="A2" t="s"><v>2</v></c><c r="B2"><v>4.5</v></c><c r="C2" t="inlineStr"><is><t>Deckel</t></is></c></row></d></s>',
+        }
+    )
+    word = zipped({"word/document.xml": "<d><p><t>One</t></p><tbl><tr><tc><p><t>a</t></p></tc><tc><p><t>b</t></p></tc></tr></tbl></d>", "word/comments.xml": '<c xmlns:w="w"><comment w:author="Al" w:date="2024"><p><t>why</t></p></comment></c>'})
+    ditamap = bytearray(b'<map><topicref href="a.dita" navtitle="A"><topicref href="b.dita"><topicmeta><navtitle>B</navtitle></topicmeta></topicref></topicref></map>')
+    files = spark.createDataFrame([("m.xlsx", book), ("w.docx", word), ("x.ditamap", ditamap), ("bad.xlsx", bytearray(b"no"))], "path string, content binary")
+    assert [(r["row"], list(r["cells"])) for r in readers.workbook_rows(files.where("path like '%.xlsx'")).orderBy("row").collect()] == [(1, ["Source", "", "target"]), (2, ["lid", "4.5", "Deckel"])]
+    assert [(r["source_text"], r["translated_text"]) for r in readers.workbook_entries(files).collect()] == [("lid", "Deckel")]
+    assert [tuple(r) for r in readers.comments(files).collect()] == [("w.docx", "Al", "2024", "why")]
+    assert [(r["href"], list(r["way"])) for r in readers.topics(files).orderBy("ord").collect()] == [("a.dita", ["A"]), ("b.dita", ["A", "B"])]
+    text = {r["path"]: r["text"] for r in readers.parse_files(files).collect()}
+    assert text["w.docx"] == "One\n| a | b |" and text["m.xlsx"] == "Source\t\ttarget\nlid\t4.5\tDeckel"
+
+
+def test_archives_of_topic_files(spark, tmp_path):
+    sections = spark.createDataFrame([(1, 0, 1, "T <1>", "a\n\nb & c"), (1, 1, 2, "U", "d")], "doc_id int, ord int, level int, title string, content string")
+    made = {r["path"]: r["content"] for r in sinks.topic_files(sections, kind="dita").collect()}
+    assert made["t1_0.dita"] == '<topic id="t1_0"><title>T &lt;1&gt;</title><body><p>a</p><p>b &amp; c</p></body></topic>'
+    assert sinks.topic_files(sections, kind="md").collect()[1]["content"] == "## U\n\nd\n"
+    sinks.write_archives(sinks.topic_files(sections).select(F.lit("one").alias("archive"), "*"), f"{tmp_path}/z")
+    (row,) = spark.read.parquet(f"{tmp_path}/z").collect()
+    assert zipfile.ZipFile(io.BytesIO(bytes(row["content"]))).namelist() == ["t1_0.md", "t1_1.md"]
+
+
+def test_cache_state_ends(spark, tmp_path):
+    rows = [("a", dt.datetime(2024, 1, 1, 0, 0, 0)), ("a", dt.datetime(2024, 1, 1, 0, 0, 8)), ("a", dt.datetime(2024, 1, 1, 0, 0, 30)), ("b", dt.datetime(2024, 1, 1, 0, 0, 31))]
+    schema = "key string, ts timestamp"
+    got = run_stream(spark, rows, schema, f"{tmp_path}/c", lambda s: logs.cache_hits_stream(s, "ts", "key", 10))
+    assert sorted((r["key"], r["ts"].second, r["hit"]) for r in got) == [("a", 0, False), ("a", 8, True), ("a", 30, False), ("b", 31, False)]
+    batch = logs.cache_hits(spark.createDataFrame(rows, schema), "ts", "key", "10 SECONDS").orderBy("ts").collect()
+    assert [r["hit"] for r in batch] == [False, True, False, False]
+
+
 @pytest.mark.parametrize("seed", range(40))
 def test_assignment_is_optimal(seed):
     r = np.random.default_rng(seed)
@@ -325,7 +478,6 @@ def test_optimal_by_component_equals_the_whole_matrix(spark):
     got = matching.optimal(spark.createDataFrame(rows, "b string, a_idx long, b_idx long, score double"), "b").collect()
     assert len({p["a_idx"] for p in got}) == len({p["b_idx"] for p in got}) == len(got)
     assert sum(p["score"] for p in got) == pytest.approx(sum(gain[i, j] for i, j in matching.assignment(gain)))
-    assert len(set(matching.linked(np.array([1, 1, 2, 3]), np.array([2, 3, 1, 3])))) == 2
 
 
 def test_lines_greedy_compare_takes_every_turn_and_the_next_but_one(spark):

@@ -155,7 +155,7 @@ def test_every_reason_of_rejection(spark):
         ("the names of", "the names of all persons", "d", "speculative_completion"),
         ("mark the names of", "mark the names in", "button label", "low_value_ui_bracket_labeling"),
         ("click the icon", "click this icon", "missing icon", "visual_control_ambiguity"),
-        ("der hund", "die hund", "d", "low_value_cn_term_swap"),
+        ("der hund mark the names", "die hund mark the names", "d", "low_value_cn_term_swap"),
         ("in the morning", "in a morning", "d", "low_value_english_rewrite"),
         ("red pump", "red pumps", "d", "accepted"),
     ]

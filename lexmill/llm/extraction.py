@@ -20,7 +20,7 @@ from lexmill.llm.html_blocks import Block, blocks, features, text_features
 from lexmill.llm.html_labelled import labelled_pages
 
 #: Labelled pages that a model is trained on.
-TRAIN_PAGES = 1200
+TRAIN_PAGES = 1600
 
 
 @dataclass
@@ -67,30 +67,30 @@ class Crf:
         return "\n".join(b.text for b, y in zip(page, self.decode(self.scores(page)), strict=True) if y)
 
 
-def fit(pages: Sequence[str], ridge: float = 1.0, rounds: int = 120) -> Crf:
-    """Weights of most likelihood on labelled pages (see ``html_labelled``), by gradient steps with momentum."""
-    seen = [p for h in pages if (p := blocks(h, marks=True))]
-    found = [features(p) for p in seen]
-    names = {f: i for i, f in enumerate(sorted({f for p in found for b in p for f in b}))}
-    longest = max(map(len, seen))
-    y = np.full((len(seen), longest), -1)
-    rows, cols = [], []
-    for i, p in enumerate(seen):
-        for k, b in enumerate(p):
-            y[i, k] = int(b.mark == "1")
-            rows += [i * longest + k] * len(found[i][k])
-            cols += [names[f] for f in found[i][k]]
-    rows, cols = np.array(rows), np.array(cols)
-    there, n = y >= 0, len(seen)
-    first = np.zeros_like(there)
-    first[:, 0] = True
-    w, trans, start = np.zeros(len(names)), np.zeros((2, 2)), np.zeros(2)
-    rates = [np.zeros_like(v) for v in (w, trans, start)]
-    speeds = [np.zeros_like(v) for v in (w, trans, start)]
-    for t in range(1, rounds + 1):
+class Labelled:
+    """Labelled pages as arrays: the features of each block and its label, -1 beyond a page's end."""
+
+    def __init__(self, pages: Sequence[str]):
+        seen = [p for h in pages if (p := blocks(h, marks=True))]
+        found = [features(p) for p in seen]
+        self.names = {f: i for i, f in enumerate(sorted({f for p in found for b in p for f in b}))}
+        self.n, self.longest = len(seen), max(map(len, seen))
+        self.y = np.full((self.n, self.longest), -1)
+        rows, cols = [], []
+        for i, p in enumerate(seen):
+            for k, b in enumerate(p):
+                self.y[i, k] = int(b.mark == "1")
+                rows += [i * self.longest + k] * len(found[i][k])
+                cols += [self.names[f] for f in found[i][k]]
+        self.rows, self.cols = np.array(rows), np.array(cols)
+
+    def slopes(self, w: np.ndarray, trans: np.ndarray, start: np.ndarray, ridge: float) -> tuple[float, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Log likelihood of the labels less the ridge's penalty, and its slopes, by the forward-backward recursion."""
+        n, longest, y = self.n, self.longest, self.y
+        there = y >= 0
         e = np.zeros((n, longest, 2))
-        e[:, :, 1] = np.bincount(rows, w[cols], n * longest).reshape(n, longest)
-        ahead = np.full((n, longest, 2), 0.0)
+        e[:, :, 1] = np.bincount(self.rows, w[self.cols], n * longest).reshape(n, longest)
+        ahead = np.zeros((n, longest, 2))
         ahead[:, 0] = start + e[:, 0]
         for k in range(1, longest):
             both = ahead[:, k - 1, :, None] + trans
@@ -106,20 +106,27 @@ def fit(pages: Sequence[str], ridge: float = 1.0, rounds: int = 120) -> Crf:
             pairs += (p * there[:, k + 1, None, None]).sum(axis=0)
         chance = np.exp(ahead + behind - total[:, None, None])[:, :, 1] * there
         off = ((y == 1) - chance) * there
-        seen_pairs = np.zeros((2, 2))
-        np.add.at(seen_pairs, (y[:, :-1][there[:, 1:]], y[:, 1:][there[:, 1:]]), 1)
-        starts = np.bincount(y[:, 0], minlength=2)
-        p0 = chance[:, 0].sum()
-        slopes = (
-            np.bincount(cols, off.ravel()[rows], len(names)) - ridge * w,
-            seen_pairs - pairs - ridge * trans,
-            starts - np.array([n - p0, p0]) - ridge * start,
-        )
-        for v, g, m, r in zip((w, trans, start), slopes, speeds, rates, strict=True):
+        seen_pairs, later = np.zeros((2, 2)), there[:, 1:]
+        np.add.at(seen_pairs, (y[:, :-1][later], y[:, 1:][later]), 1)
+        starts, p0 = np.bincount(y[:, 0], minlength=2), chance[:, 0].sum()
+        likelihood = (e[:, :, 1] * (y == 1)).sum() + (seen_pairs * trans).sum() + starts @ start - total.sum() - ridge / 2 * ((w**2).sum() + (trans**2).sum() + (start**2).sum())
+        slopes = np.bincount(self.cols, off.ravel()[self.rows], len(self.names)) - ridge * w, seen_pairs - pairs - ridge * trans, starts - np.array([n - p0, p0]) - ridge * start
+        return float(likelihood), slopes
+
+
+def fit(pages: Sequence[str], ridge: float = 1.0, rounds: int = 120) -> Crf:
+    """Weights of most likelihood on labelled pages (see ``html_labelled``), by gradient steps with momentum."""
+    seen = Labelled(pages)
+    found = np.zeros(len(seen.names)), np.zeros((2, 2)), np.zeros(2)
+    rates, speeds = ([np.zeros_like(v) for v in found] for _ in range(2))
+    for t in range(1, rounds + 1):
+        _, slopes = seen.slopes(*found, ridge)
+        for v, g, m, r in zip(found, slopes, speeds, rates, strict=True):
             m += 0.1 * (g - m)
             r += 0.01 * (g * g - r)
             v += 0.15 * (m / (1 - 0.9**t)) / (np.sqrt(r / (1 - 0.99**t)) + 1e-6)
-    return Crf({f: float(w[i]) for f, i in names.items()}, tuple(tuple(map(float, r)) for r in trans), tuple(map(float, start)))
+    w, trans, start = found
+    return Crf({f: float(w[i]) for f, i in seen.names.items()}, tuple(tuple(map(float, r)) for r in trans), tuple(map(float, start)))
 
 
 @cache

@@ -81,7 +81,7 @@ class _Parser(HTMLParser):
         own = ["in=" + tag] if tag in BLOCK_TAGS else []
         for name, value in attrs:
             if name in ("class", "id", "role") and value:
-                own += ["named=" + w.lower() for w in _WORD.findall(value)[:12]]
+                own += ["named=" + w.lower() for w in _WORD.findall(value)]
             elif self.marks and name == "data-main":
                 mark = value
         around = around.union(own) if own else around
@@ -95,8 +95,15 @@ class _Parser(HTMLParser):
         self.pop(tag)
 
     def handle_startendtag(self, tag: str, attrs) -> None:
-        if tag in VOID_TAGS:
-            self.handle_starttag(tag, attrs)
+        """As in browsers, the slash of ``<div/>`` means nothing; such a script still runs to its end tag."""
+        self.handle_starttag(tag, attrs)
+        if tag in self.CDATA_CONTENT_ELEMENTS:
+            self.set_cdata_mode(tag)
+
+    def parse_comment(self, i: int, report: bool = True) -> int:
+        """A comment that nothing closes runs to the end of the page."""
+        end = super().parse_comment(i, report)
+        return len(self.rawdata) if end < 0 else end
 
     def handle_data(self, data: str) -> None:
         if not self.hidden:
@@ -133,8 +140,6 @@ def text_features(page: list[Block], k: int) -> list[str]:
         f"stop={b.text[-1] in '.!?…:;”\"'}",
         f"words={min(words, 4) if words < 4 else 4 if words < 12 else 12}",
         f"tag={b.tag},size={size // 2}",
-        f"first={k == 0}",
-        f"last={k == len(page) - 1}",
     ]
     if "©" in b.text:
         out.append("copyright")

@@ -7,6 +7,7 @@ nearest such element around a block gives its label.
 from __future__ import annotations
 
 import random
+import re
 
 SYLLABLES = "an be co da el fi go ha il jo ke lo mi na or pe qu ra so ti un ve wi xa yo ze für ción eau".split()
 
@@ -69,53 +70,73 @@ class _Maker:
         return self.wrap(0, "div", ("share", "social", "share-buttons", "tags", "toolbar"), self.links("span"))
 
     # main text
-    def article(self) -> str:
-        parts = [f"<h1>{self.phrase(1, 9)}{self.r.choice(('', '', '.'))}</h1>"] if self.r.random() < 0.85 else []
-        if parts and self.r.random() < 0.2:
-            parts = [f"<header>{parts[0]}<p>{self.phrase(3, 12)}</p></header>"]
-        for _ in range(self.r.randint(1, 14)):
-            x = self.r.random()
-            if x < 0.55:
-                parts.append(f"<p>{self.sentences(7)}</p>")
-            elif x < 0.65:
-                parts.append(f"<p>{self.r.choice((self.phrase(1, 3) + '.', self.phrase(1, 4)))}</p>")
-            elif x < 0.71:
-                parts.append(f"<p><b>{self.sentences(3)}<br><p>{self.sentences(3)}</p>")
-            elif x < 0.78:
-                parts.append(f"<h{(h := self.r.randint(2, 4))}>{self.phrase(1, 6)}</h{h}>")
-            elif x < 0.85:
-                parts.append("<ul>" + "".join(f"<li>{self.sentences(1)}</li>" for _ in range(self.r.randint(2, 5))) + "</ul>")
-            elif x < 0.89:
-                parts.append(f"<blockquote><p>{self.sentences(3)}</p></blockquote>")
-            elif x < 0.92:
-                parts.append(f"<pre>{self.phrase(3, 20)}</pre>")
-            elif x < 0.95:
-                parts.append("<table>" + "".join(f"<tr><td>{self.phrase(1, 3)}</td><td>{self.phrase(1, 4)}</td></tr>" for _ in range(self.r.randint(2, 4))) + "</table>")
-            elif x < 0.98:
-                parts.append(f'<p>{self.phrase(2, 9)} <a href="/{self.word()}">{self.phrase(1, 3)}</a> {self.sentences(2)}</p>')
-            else:
-                parts.append(f"<div>{self.sentences(5)}</div>")
-            if self.r.random() < 0.05:
-                parts.append(self.r.choice((self.ad, self.share, self.aside))())
-        if self.r.random() < 0.12:
-            parts.append(self.r.choice((self.comments, self.share, self.form))())
+    def part(self) -> str:
         x = self.r.random()
         if x < 0.55:
-            return self.wrap(1, "article", ("", "", "post", "article", "entry"), "".join(parts))
-        if x < 0.75:
-            return self.wrap(1, "main", ("", "content", "main"), "".join(parts))
-        return self.wrap(1, self.r.choice(("div", "div", "section")), ("content", "article-body", "post", "entry-content", "main-content", "story", "text", ""), "".join(parts))
+            return f"<p>{self.sentences(7)}</p>"
+        if x < 0.65:
+            return f"<p>{self.r.choice((self.phrase(1, 3) + '.', self.phrase(1, 4)))}</p>"
+        if x < 0.71:
+            return f"<p><b>{self.sentences(3)}<br><p>{self.sentences(3)}</p>"
+        if x < 0.78:
+            return f"<h{(h := self.r.randint(2, 4))}>{self.phrase(1, 6)}</h{h}>"
+        if x < 0.85:
+            return "<ul>" + "".join(f"<li>{self.sentences(1)}</li>" for _ in range(self.r.randint(2, 5))) + "</ul>"
+        if x < 0.89:
+            return f"<blockquote><p>{self.sentences(3)}</p></blockquote>"
+        if x < 0.92:
+            return f"<pre>{self.phrase(3, 20)}</pre>"
+        if x < 0.95:
+            return "<table>" + "".join(f"<tr><td>{self.phrase(1, 3)}</td><td>{self.phrase(1, 4)}</td></tr>" for _ in range(self.r.randint(2, 4))) + "</table>"
+        if x < 0.98:
+            return f'<p>{self.phrase(2, 9)} <a href="/{self.word()}">{self.phrase(1, 3)}</a> {self.sentences(2)}</p>'
+        return f"<div>{self.sentences(5)}</div>"
+
+    def article(self) -> str:
+        """The main text, in an element that says so, in one that does not, or in none at all."""
+        if self.r.random() < 0.15:  # one paragraph is all
+            parts, more = [f"<p>{self.sentences(5)}</p>"], []
+        else:
+            parts = [f"<h1>{self.phrase(1, 9)}{self.r.choice(('', '', '.'))}</h1>"] if self.r.random() < 0.8 else []
+            if parts and self.r.random() < 0.2:
+                parts = [f"<header>{parts[0]}<p>{self.phrase(3, 12)}</p></header>"]
+            for _ in range(self.r.randint(1, 14)):
+                parts.append(self.part())
+                if self.r.random() < 0.05:
+                    parts.append(self.r.choice((self.ad, self.share, self.aside))())
+            more = [self.r.choice((self.comments, self.share, self.form))()] if self.r.random() < 0.12 else []
+        x = self.r.random()
+        if x < 0.42:
+            return self.wrap(1, "article", ("", "", "post", "article", "entry"), "".join(parts + more))
+        if x < 0.56:
+            return self.wrap(1, "main", ("", "content", "main"), "".join(parts + more))
+        if x < 0.72:
+            return self.wrap(1, self.r.choice(("div", "div", "section")), ("content", "article-body", "post", "entry-content", "main-content", "story", "text"), "".join(parts + more))
+        if x < 0.84:
+            return self.wrap(1, self.r.choice(("div", "div", "section", "td")), ("",), "".join(parts))
+        mark = lambda p: p if "data-main" in p else _OUTER.sub(r'<\1 data-main="1">', p)
+        return "".join(map(mark, parts))
 
     def page(self) -> str:
         r = self.r
         before = [f() for f in (self.header, self.nav, self.ad, self.notice, self.form, self.aside) if r.random() < 0.45]
         after = [f() for f in (self.share, self.aside, self.ad, self.comments, self.form, self.notice, self.nav, self.footer) if r.random() < 0.4]
         r.shuffle(before)
-        body = "".join([*before, self.article(), *after])
+        if r.random() < 0.15:
+            before, after = [], []
+        article = self.article()
+        if article.startswith("<td"):
+            before, after = [f"<table><tr><td>{''.join(before)}</td>"], [f"<td>{''.join(after)}</td></tr></table>"]
+        body = "".join([*before, article, *after])
         if r.random() < 0.4:
             body = f'<div{self.attr("wrapper", "container", "page", "site", "")}>{body}</div>'
         end = "</body></html>" if r.random() < 0.85 else ""
-        return f'<!DOCTYPE html><html><head><meta charset="utf-8"><title data-main="0">{self.phrase(1, 8)}</title><style>p{{margin:0}}</style><script>var a="</p>";</script></head><body data-main="0">{body}{end}'
+        head = f'<head><meta charset="utf-8"><title data-main="0">{self.phrase(1, 8)}</title><style>p{{margin:0}}</style><script>var a="</p>";</script></head>' if r.random() < 0.7 else ""
+        return f'<!DOCTYPE html><html>{head}<body data-main="0">{body}{end}'
+
+
+#: Start tags of main text that stands in no element of its own.
+_OUTER = re.compile(r"<(p|h[1-6]|ul|blockquote|pre|table|div|header)>")
 
 
 def labelled_pages(n: int, seed: int = 5) -> list[str]:

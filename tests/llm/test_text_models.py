@@ -195,7 +195,7 @@ def test_blocks():
 def test_labelled_pages_held_out():
     model = default_model()
     right = total = 0
-    for html in labelled_pages(150, seed=77):
+    for html in labelled_pages(300, seed=77):
         page = blocks(html, marks=True)
         for b, y in zip(page, model.decode(model.scores(page)), strict=True):
             total += 1
@@ -203,6 +203,41 @@ def test_labelled_pages_held_out():
     assert right / total > 0.98
 
 
+LAYOUTS = {
+    "one paragraph": ("<html><body><article><p>{a}</p></article></body></html>", "{a}"),
+    "straight under body": ("<html><body><h1>{t}</h1><p>{a}</p><p>{b}</p></body></html>", "{t}\n{a}\n{b}"),
+    "no names": ("<body><nav><a href=/>Home</a> <a href=/n>News</a></nav><div><p>{a}</p><p>{b}</p><p>{c}</p></div><footer>&copy; 2020 x</footer></body>", "{a}\n{b}\n{c}"),
+    "names only": ("<body><div class='site-header'><div>Site</div></div><div id=content><h2>{t}</h2><p>{a}</p></div><div class='col sidebar'><p>{b}</p></div><div class=copyright>&copy; x</div></body>", "{t}\n{a}"),
+    "table": ("<body><table><tr><td><ul><li><a href=/>Home</a></li><li><a href=/b>More</a></li></ul></td><td><p>{a}</p><p>{b}</p></td></tr></table></body>", "{a}\n{b}"),
+    "slash in script": ("<body><article><script src=x />var a='<p>no</p>';</script><p>{a}</p><div/><p>{b}</p></article></body>", "{a}\n{b}"),
+    "open comment": ("<body><article><p>{a}</p><p>{b}</p></article><!-- <p>{c}</p></body></html>", "{a}\n{b}"),
+    "long class": ("<body><article><p>{a}</p></article><div class='" + "p4 m2 flex row wide tall big box item cell unit part grid sidebar comments'" + "><p>{b}</p></div></body>", "{a}"),
+}
+
+
+@pytest.mark.parametrize("name", LAYOUTS)
+def test_layouts(name):
+    html, want = LAYOUTS[name]
+    said = {"t": "A day at the river", "a": "The boats came in early. All of them had fish, and the market opened at noon.", "b": "Later the wind turned, and nobody went out again until the next morning.", "c": "That was all for the week, as the harbour master said."}
+    assert default_model().main_text(html.format(**said)) == want.format(**said)
+
+
+def test_slopes_against_differences():
+    from lexmill.llm.extraction import Labelled
+
+    seen, rng = Labelled(labelled_pages(6, seed=3)), np.random.default_rng(0)
+    at = rng.normal(size=len(seen.names)), rng.normal(size=(2, 2)), rng.normal(size=2)
+    _, slopes = seen.slopes(*at, 0.7)
+    for v, g in zip(at, slopes, strict=True):
+        for k in list(np.ndindex(v.shape))[:40]:
+            said = []
+            for step in (1e-5, -2e-5):
+                v[k] += step
+                said.append(seen.slopes(*at, 0.7)[0])
+            v[k] += 1e-5
+            assert (said[0] - said[1]) / 2e-5 == pytest.approx(g[k], abs=1e-3)
+
+
 def test_viterbi_against_all_labellings():
     from itertools import product
 

@@ -1,16 +1,18 @@
-"""Exact top-k search by BM25 over a sharded inverted index with block-max pruning.
-
-Index. Each task turns its rows into shards of at most ``SHARD`` documents: postings by term,
-documents in order, cut into blocks of ``BLOCK``. Document frequencies, the number of documents
-and their mean length are summed over all shards, so every shard scores with global statistics.
-
-Search. The WAND bound of a block is the sum over the query's terms of weight times the greatest
-impact in the block. Terms go from rare to common in ``STEPS`` fixed by weight. After each step
-the k-th best sum so far is a threshold that the final one cannot fall below; blocks whose sums
-plus the bounds of the terms still to come stay under it are skipped, and their postings of later
-terms are never read. What is left is summed whole, so each shard's top k is exact, and so is
-their merge. The terms that many of a shard's documents have are summed first, for many queries
-together. Scores are compared to six digits, so equal documents tie.
+"""Exact top-k search by BM25 over a sharded inverted index with block-max WAND.
+
+Index. Each task turns its rows into shards of at most ``SHARD`` documents and about ``POSTINGS``
+postings. Within a shard, documents lie in order of their most frequent term and of their length,
+so that neighbours are alike; postings by term are cut into blocks of ``BLOCK`` documents, each
+with its greatest impact. Document frequencies, the number of documents and their mean length are
+summed over all shards, so every shard scores with global statistics.
+
+Search. The WAND bound of a block of documents is the sum over the query's terms of weight times
+the greatest impact in the block. Blocks are taken in falling order of their bounds, in ``WAVES``;
+their documents are scored whole, and the k-th best score so far is the threshold that the next
+blocks' bounds must reach. The postings of a block that stays below it are never read. So each
+shard's top k is exact, and so is their merge. Scores are rounded to six digits, so that equal
+documents tie; a tie goes to the smaller id within a shard already, and no shard gives a query
+more than k hits.
 
 Queries reach the shards in blocks of at most ``SENT`` bytes, each broadcast in turn.
 """
@@ -24,6 +26,7 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
@@ -33,14 +36,13 @@ from pyspark.sql import types as T
 from lexmill.llm._common import cut
 
 K1, B = 1.2, 0.75
-SHARD = 1 << 14
+SHARD, POSTINGS = 1 << 14, 1 << 22
 BLOCK = 64
-#: Weights (inverse document frequencies) at which a step ends.
-STEPS = (4.0, 2.0, 1.0, 0.5)
+#: Blocks that are scored before the threshold is looked at again: so many first, then all that are left.
+WAVES = (8, 64)
+#: A score this much below another may be equal to it when both are rounded.
+SLACK = 1.000001e-6
 SENT = 32 << 20
-#: Share of a shard's documents from which a term's impacts are also kept as a whole row, and how
-#: many queries sum such rows together.
-DENSE, TOGETHER = 0.2, 64
 
 _SPACES = bytes(c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 65 <= c <= 90 and c + 32 or 32 for c in range(256))
 
@@ -64,13 +66,16 @@ class _Hashes(dict):
 
 
 def _shard(ids: pa.Array, found: list[tuple[np.ndarray, np.ndarray]], number: int) -> list:
-    """A shard's index as one row."""
+    """A shard's index as one row; like documents become neighbours."""
+    common = np.array([t[np.argmax(n)] if len(t) else 0 for t, n in found])
+    lens = np.array([n.sum() for _, n in found], np.uint32)
+    order = np.lexsort((np.arange(len(found)), lens, common))
+    ids, lens, found = ids.take(pa.array(order)), lens[order], [found[k] for k in order]
     sizes = [len(t) for t, _ in found]
     terms, tfs = np.concatenate([t for t, _ in found]), np.concatenate([n for _, n in found])
     docs = np.repeat(np.arange(len(found), dtype=np.uint16), sizes)
     order = np.argsort(terms, kind="stable")  # documents stay in order within a term
     terms, starts = np.unique(terms[order], return_index=True)
-    lens = np.array([n.sum() for _, n in found], np.uint32)
     return [number, ids, lens.tobytes(), terms.tobytes(), starts.astype(np.uint32).tobytes(), docs[order].tobytes(), tfs[order].astype(np.uint32).tobytes()]
 
 
@@ -83,7 +88,7 @@ def index(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, number = _Hashes(), TaskContext.get().partitionId() << 24
-        ids, found, kinds = [], [], None
+        ids, found, kinds, size = [], [], None, 0
 
         def made() -> pa.RecordBatch:
             row = _shard(pa.concat_arrays(ids), found, number)
@@ -95,10 +100,11 @@ def index(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFr
                 words = terms_of(bodies[i].as_py())
                 terms, counts = np.unique(np.fromiter(map(hashes.__getitem__, words), np.int64, len(words)), return_counts=True)
                 found.append((terms, counts.astype(np.uint32)))
-                if len(found) == SHARD:
+                size += len(terms)
+                if len(found) == SHARD or size >= POSTINGS:
                     ids.append(kinds.slice(at, i + 1 - at))
                     yield made()
-                    ids, found, at, number = [], [], i + 1, number + 1
+                    ids, found, at, number, size = [], [], i + 1, number + 1, 0
             ids.append(kinds.slice(at))
         if found:
             yield made()
@@ -118,9 +124,11 @@ class Shard:
     blocks: np.ndarray
     tops: np.ndarray
     firsts: np.ndarray
-    #: impacts of terms that many documents have, a row each; the row of each term, or -1
-    dense: np.ndarray
-    row_of: np.ndarray
+    #: place of each document in the order of ids, null first
+    order: np.ndarray
+    #: blocks whose documents were scored, and blocks in all, over all queries
+    scored: int = 0
+    bounded: int = 0
 
     @classmethod
     def of(cls, row: dict, mean: float) -> Shard:
@@ -134,64 +142,45 @@ class Shard:
         entries = np.flatnonzero(new)
         tops = np.maximum.reduceat(impacts, entries) if len(entries) else impacts
         firsts = np.searchsorted(entries, starts)
-        starts = np.append(starts, len(docs))
-        common = np.flatnonzero(np.diff(starts) >= max(DENSE * len(lens), 2))
-        dense, row_of = np.zeros((len(common), len(lens))), np.full(len(terms), -1)
-        row_of[common] = np.arange(len(common))
-        for k, t in enumerate(common):
-            dense[k, docs[starts[t] : starts[t + 1]]] = impacts[starts[t] : starts[t + 1]]
-        return cls(row["ids"], terms, starts, docs, impacts, np.append(entries, len(docs)), docs[entries] // BLOCK, tops, np.append(firsts, len(entries)), dense, row_of)
+        order = np.empty(len(lens), np.int64)
+        order[pc.array_sort_indices(row["ids"], null_placement="at_start").to_numpy()] = np.arange(len(lens))
+        return cls(row["ids"], terms, np.append(starts, len(docs)), docs, impacts, np.append(entries, len(docs)), docs[entries] // BLOCK, tops, np.append(firsts, len(entries)), order)
 
     def search(self, queries: list[tuple[int, np.ndarray, np.ndarray]], k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """(query, documents, scores) of each query; common terms are summed for ``TOGETHER`` queries at once."""
-        for start in range(0, len(queries), TOGETHER):
-            part, found = queries[start : start + TOGETHER], []
-            heavy = np.zeros((len(part), len(self.dense)))
-            for q, (_, terms, weights) in enumerate(part):
-                at = np.searchsorted(self.terms, terms)
-                at[at == len(self.terms)] = 0
-                there = self.terms[at] == terms if len(self.terms) else np.zeros(len(terms), bool)
-                at, weights = at[there], weights[there]
-                row = self.row_of[at]
-                heavy[q, row[row >= 0]] = weights[row >= 0]
-                found.append((at[row < 0], weights[row < 0]))
-            base = heavy @ self.dense
-            for q, (name, _, _) in enumerate(part):
-                yield name, *self.top(*found[q], k, base[q])
-
-    def top(self, at: np.ndarray, weights: np.ndarray, k: int, sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The k best documents that share a term, and their scores; equal scores all stay.
-
-        ``at`` are the places of the terms that are not dense, by falling weight; ``sums`` those of the dense ones.
-        """
+        """(query, documents, scores) of each query."""
+        for name, terms, weights in queries:
+            at = np.searchsorted(self.terms, terms)
+            at[at == len(self.terms)] = 0
+            there = self.terms[at] == terms if len(self.terms) else np.zeros(len(terms), bool)
+            yield name, *self.top(at[there], weights[there], k)
+
+    def top(self, at: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """The k best documents that share a term, best first, and their rounded scores; ``at`` are the places of the query's terms."""
         n = len(self.ids)
-        n_blocks = (n + BLOCK - 1) // BLOCK
-        bounds, spans = [], np.searchsorted(-weights, [-s for s in STEPS], side="right")
-        spans = [0, *spans.tolist(), len(at)]
-        for a, b in zip(spans, spans[1:], strict=False):
-            e, w = _ranges(self.firsts[at[a:b]], self.firsts[at[a:b] + 1], weights[a:b])
-            bounds.append(np.bincount(self.blocks[e], self.tops[e] * w, n_blocks))
-        ahead = np.cumsum(bounds[::-1], axis=0)[::-1]  # of this step and those after it
-        alive = None
-        for step, (a, b) in enumerate(zip(spans, spans[1:], strict=False)):
-            if a == b:
-                continue
-            if n > k and sums.any():
+        e, w = _ranges(self.firsts[at], self.firsts[at + 1], weights)
+        blocks = self.blocks[e]
+        bounds = np.bincount(blocks, self.tops[e] * w, (n + BLOCK - 1) // BLOCK)
+        ahead = np.argsort(-bounds, kind="stable")
+        ahead = ahead[: np.count_nonzero(bounds > 0)]
+        self.bounded += len(bounds)
+        sums, least = np.zeros(n), 0.0
+        for wave in (*WAVES, len(ahead)):
+            now, ahead = ahead[:wave], ahead[wave:]
+            if not len(now):
+                break
+            chosen = np.zeros(len(bounds), bool)
+            chosen[now] = True
+            live = chosen[blocks]
+            p, v = _ranges(self.entries[e[live]], self.entries[e[live] + 1], w[live])
+            sums += np.bincount(self.docs[p], self.impacts[p] * v, n)
+            self.scored += len(now)
+            if n > k:
                 least = np.partition(sums, n - k)[n - k]
-                best = np.maximum.reduceat(sums, np.arange(0, n, BLOCK))
-                alive = best + ahead[step] * (1 + 1e-9) >= least if least > 0 else None
-            if alive is None or alive.all():
-                p, w = _ranges(self.starts[at[a:b]], self.starts[at[a:b] + 1], weights[a:b])
-            else:
-                e, w = _ranges(self.firsts[at[a:b]], self.firsts[at[a:b] + 1], weights[a:b])
-                live = alive[self.blocks[e]]
-                p, w = _ranges(self.entries[e[live]], self.entries[e[live] + 1], w[live])
-            sums += np.bincount(self.docs[p], self.impacts[p] * w, n)
-        if alive is not None:
-            sums[~np.repeat(alive, BLOCK)[:n]] = 0
-        least = np.partition(sums, n - k)[n - k] if n > k else 0.0
-        hit = np.flatnonzero((sums >= least - 1e-9) & (sums > 0))
-        return hit, sums[hit]
+            ahead = ahead[bounds[ahead] * (1 + 1e-9) >= least - SLACK]
+        hit = np.flatnonzero((sums >= least - SLACK) & (sums > 0))
+        scores = np.floor(sums[hit] * 1e6 + 0.5) / 1e6
+        best = np.lexsort((self.order[hit], -scores))[:k]
+        return hit[best], scores[best]
 
 
 def _ranges(starts: np.ndarray, stops: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -278,9 +267,8 @@ def top_k(docs: DataFrame, queries: DataFrame, k: int = 10, text: str = "text",
             block, size = [], 0
     if block or not parts:
         parts.append(found(block) if block else spark.createDataFrame([], schema))
-    best = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("rounded"), "doc_id"))
-    hits = reduce(DataFrame.union, parts).withColumn("rounded", F.round("score", 6)).withColumn("rank", best)
-    return hits.where(F.col("rank") <= k).select("query_id", "rank", "doc_id", F.col("rounded").alias("score"))
+    best = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id"))
+    return reduce(DataFrame.union, parts).withColumn("rank", best).where(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score")
 
 
 SEARCH_SQL = """

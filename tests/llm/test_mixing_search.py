@@ -4,6 +4,8 @@ import re
 from collections import Counter
 
 import duckdb
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -140,6 +142,38 @@ def test_search_against_all_documents(spark, monkeypatch, shard, block):
     assert [g[3] for g in got] == pytest.approx([w[3] for w in want], abs=2e-6)
 
 
+@pytest.mark.parametrize("waves", [(1, 2), (8, 64)])
+def test_blocks_below_the_threshold_are_not_read(monkeypatch, waves):
+    monkeypatch.setattr(search, "BLOCK", 4)
+    monkeypatch.setattr(search, "WAVES", waves)
+    rows = [(k, f"topic{k % 40} " * 3 + words(k % 40, 12) + " " + words(500 + k, 6)) for k in range(400)]
+    hashes = search._Hashes()
+    found = [tuple(np.unique([hashes[w] for w in search.terms_of(t)], return_counts=True)) for _, t in rows]
+    mean = sum(int(n.sum()) for _, n in found) / len(rows)
+    packed = search._shard(pa.array([i for i, _ in rows]), found, 0)
+    shard = search.Shard.of(dict(zip(("ids", "lens", "terms", "starts", "docs", "tfs"), packed[1:], strict=True)), mean)
+    df = Counter(t for terms, _ in found for t in terms.tolist())
+    queries = [(k, found[k][0], np.array([math.log(1 + (len(rows) - df[t] + 0.5) / (df[t] + 0.5)) for t in found[k][0].tolist()])) for k in range(0, 400, 20)]
+    got = [(name, rank + 1, shard.ids[int(d)].as_py()) for name, hit, _ in shard.search(queries, 3) for rank, d in enumerate(hit)]
+    assert sorted(got) == [w[:3] for w in plain_search(rows, [(k, rows[k][1]) for k in range(0, 400, 20)], 3)]
+    assert shard.scored < 0.6 * shard.bounded
+
+
+def test_no_shard_gives_more_than_k(spark):
+    docs = spark.createDataFrame([(k, "one two three") for k in range(500)], "doc_id long, text string").coalesce(1)
+    got = search.top_k(docs, spark.createDataFrame([(q, "one two") for q in range(4)], "query_id long, text string"), k=3)
+    assert sorted(tuple(r)[:3] for r in got.collect()) == [(q, k + 1, k) for q in range(4) for k in range(3)]
+    assert sum(spark.read.parquet(f).count() for f in {f.rsplit("/", 1)[0] for f in got.inputFiles() if "search-hits" in f}) == 12
+
+
+def test_ties_are_those_of_rounded_scores():
+    scores = {3: 1.0000004, 2: 1.0000001, 1: 0.9999999}
+    order = np.array([0, 1, 2])
+    s = search.Shard(pa.array([3, 2, 1]), np.array([7]), np.array([0, 3]), order, np.array([scores[i] for i in (3, 2, 1)]), np.array([0, 3]), np.array([0]), np.array([1.0000004]), np.array([0, 1]), np.array([2, 1, 0]))
+    hit, score = s.top(np.array([0]), np.array([1.0]), 1)
+    assert hit.tolist() == [2] and score.tolist() == [1.0]
+
+
 def test_search_in_blocks_of_queries(spark, monkeypatch):
     monkeypatch.setattr(search, "SENT", 500)
     rows = [(k, words(k % 9, 20)) for k in range(60)]

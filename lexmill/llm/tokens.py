@@ -1,9 +1,10 @@
 """Token counts by a map-side two-tier lookup.
 
-A text is split into pre-tokens. The first tier is a broadcast table of the pre-tokens
-that the vocabulary itself holds whole (at most its size, so its bound is known before any
-data are read). The second tier is a cache in each Python worker, of bounded size, filled by
-encoding what the table misses. No pre-token ever crosses a shuffle.
+A text is split into pre-tokens. The first tier is a broadcast table of the lengths of frequent
+pre-tokens, at most ``FREQUENT`` of them, counted over a sample of about ``SAMPLE`` documents; it
+only saves work, and no result depends on which pre-tokens it holds. The second tier is a cache
+in each Python worker, of bounded size, filled by encoding what the table misses. No pre-token
+ever crosses a shuffle.
 
 A byte-level BPE never joins bytes across a single space between two other characters, so
 such spaces cut the text into pre-tokens that encode independently. Texts with any other
@@ -14,11 +15,13 @@ from __future__ import annotations
 
 import base64
 import json
+from collections import Counter
 from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,6 +29,8 @@ from pyspark.sql import functions as F
 #: Pre-tokens longer than this are encoded each time, so that the cache's size in bytes is bounded too.
 LONGEST = 80
 CACHED, CACHED_WORDS = 3 << 18, 1 << 17
+#: Documents that the table of frequent pre-tokens is counted over, its entries, and how many are counted at once.
+SAMPLE, FREQUENT, COUNTED = 1 << 12, 1 << 16, 1 << 20
 
 
 # The word pattern of byte-level vocabularies, and the letters that stand for bytes
@@ -155,14 +160,32 @@ def values(text: str, cache: Cache) -> list | None:
     return out
 
 
-def vocabulary_lengths(path: str) -> dict[str, int]:
-    """Pre-tokens (without their leading space) that are vocabulary entries -> number of tokens."""
+def _most_frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pre-tokens that come more than once in these texts, the most frequent first."""
+    seen: Counter[str] = Counter()
+    for batch in batches:
+        for body in batch.column(0):
+            seen.update(w for w in (body.as_py() or "").split(" ")[1:] if 0 < len(w) <= LONGEST)
+            if len(seen) > COUNTED:
+                seen = Counter({w: n for w, n in seen.items() if n > 1})
+    best = [w for w, n in sorted(seen.items(), key=lambda kv: (-kv[1], kv[0])) if n > 1 and not (w[0].isspace() or w[-1].isspace())]
+    yield pa.RecordBatch.from_arrays([pa.array(best[:FREQUENT], pa.string())], names=["word"])
+
+
+def frequent_lengths(docs: DataFrame, path: str, text: str = "text", seed: int = 11) -> dict[str, int]:
+    """Frequent pre-tokens (without their leading space) -> number of tokens; empty for vocabularies that do not split at spaces.
+
+    One task counts the sample; that bounds it, whatever the table's size.
+    """
     enc = encoder(path)
     if not enc.splits:
         return {}
-    words = {enc.piece(i) for i in enc.vocabulary().values()}
-    words = {w[1:] for w in words if len(w) > 1 and w[0] == " " and not w[1].isspace() and not w[-1].isspace() and "�" not in w}
-    return {w: len(enc.chunk_ids(w)) for w in sorted(words)}
+    n = docs.count()
+    texts = docs.select(F.col(text).alias("text")).where("text is not null")
+    if n > SAMPLE:
+        texts = texts.sample(False, min(1.0, SAMPLE / n), seed)
+    words = texts.limit(2 * SAMPLE).mapInArrow(_most_frequent, "word string").toArrow()["word"].to_pylist()
+    return {w: len(enc.chunk_ids(w)) for w in words}
 
 
 _caches: dict[str, Cache] = {}
@@ -175,15 +198,19 @@ def length_of(text: str | None, cache: Cache) -> int:
     return len(cache.enc.ids(text)) if found is None else sum(found)
 
 
-def token_lengths(spark: SparkSession, path: str):
-    """A vectorised function text -> number of tokens; null and empty texts have none."""
-    table = spark.sparkContext.broadcast(vocabulary_lengths(path))
+def token_lengths(spark: SparkSession, path: str, frequent: dict[str, int] | None = None):
+    """A vectorised function text -> number of tokens; null and empty texts have none.
+
+    ``frequent`` has the lengths of pre-tokens that need not be encoded (see ``frequent_lengths``).
+    """
+    table = spark.sparkContext.broadcast(frequent or {})
 
     @F.pandas_udf("long")
     def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         if path not in _caches:
-            _caches[path] = Cache(encoder(path), len, table.value)
+            _caches[path] = Cache(encoder(path), len)
         cache = _caches[path]
+        cache.first = table.value
         for texts in batches:
             yield pd.Series(np.fromiter((length_of(t, cache) for t in texts), np.int64, len(texts)))
 
@@ -200,5 +227,5 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int = 512, text: str =
     return docs.select(
         F.col(doc_id).alias("doc_id"),
         F.octet_length(body).cast("long").alias("n_bytes"),
-        token_lengths(docs.sparkSession, tokenizer)(F.col(text)).alias("n_tokens"),
+        token_lengths(docs.sparkSession, tokenizer, frequent_lengths(docs, tokenizer, text))(F.col(text)).alias("n_tokens"),
     ).withColumn("over_limit", F.col("n_tokens") > limit)

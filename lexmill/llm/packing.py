@@ -2,8 +2,10 @@
 
 Each task reads its documents in order, encodes them and lays the ids end to end. Where a
 window may end is a set of cut positions: the end of a document costs nothing, the end of a
-sentence a small truncation penalty, and, in stretches without either, every ``stride`` ids a
-larger one. The program chooses the cuts that minimise padding plus penalties:
+sentence a small truncation penalty. Only where more than ``stretch`` ids have neither, a window
+may also end within, at every ``stride`` ids, for as large a penalty as so much padding; so a
+window breaks a sentence only where else it would stay emptier than that. The program chooses
+the cuts that minimise padding plus penalties:
 
     best[j] = penalty[j] + min over i with pos[j] - pos[i] <= window of best[i] + padding(i, j)
 
@@ -32,12 +34,13 @@ from lexmill.llm.tokens import encoder
 #: Ids solved at once.
 RUN = 1 << 19
 
-def cuts(ids: np.ndarray, ends: np.ndarray, opens: np.ndarray, stride: int, sentence: float, hard: float) -> tuple[np.ndarray, np.ndarray]:
+
+def cuts(ids: np.ndarray, ends: np.ndarray, opens: np.ndarray, stretch: int, stride: int, sentence: float, hard: float) -> tuple[np.ndarray, np.ndarray]:
     """Cut positions inside and at the end of one document, and their penalties."""
     n = len(ids)
     at = np.flatnonzero(ends[ids[:-1]] & opens[ids[1:]]) + 1
     edges = np.concatenate(([0], at, [n]))
-    if (wide := np.flatnonzero(np.diff(edges) > stride)).size:
+    if (wide := np.flatnonzero(np.diff(edges) > stretch)).size:
         more = np.concatenate([np.arange(edges[k] + stride, edges[k + 1], stride) for k in wide])
     else:
         more = np.empty(0, np.int64)
@@ -125,7 +128,8 @@ def pack(
     window: int = 2048,
     end_id: int | None = 1,
     sentence_penalty: float = 1.0,
-    hard_penalty: float = 6.0,
+    hard_penalty: float = 128.0,
+    stretch: int = 128,
     stride: int = 16,
     text: str = "text",
     doc_id: str = "doc_id",
@@ -176,7 +180,7 @@ def pack(
                 ids = np.concatenate((enc.array(body), tail)).astype("<u4", copy=False) if body else tail
                 if not len(ids):
                     continue
-                stream.add(key, ids, *cuts(ids, ends, opens, stride, sentence_penalty, hard_penalty))
+                stream.add(key, ids, *cuts(ids, ends, opens, min(stretch, window), stride, sentence_penalty, hard_penalty))
                 if stream.n >= RUN:
                     yield from rows(stream.take(False))
         yield from rows(stream.take(True))

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from lexmill.llm.packing import pack, solve
+from lexmill.llm.packing import cuts, pack, solve
 from lexmill.llm.tokens import Cache, encoder, length_of, token_counts
 from tests.llm.helpers import empty_docs, odd_docs, odd_rows, with_clashes
 
@@ -122,6 +122,32 @@ def test_program_finds_the_least_cost():
         assert cost(cuts, pos, pen, 512) == pytest.approx(brute(pos, pen, 512))
 
 
+def test_sentences_are_broken_only_in_long_stretches():
+    ends, opens = np.zeros(10, bool), np.zeros(10, bool)
+    ends[3], opens[4] = True, True
+    ids = np.array([1, 3, 4, *[2] * 20, 3, 4, *[2] * 8, 1], "<u4")
+    pos, pen = cuts(ids, ends, opens, stretch=12, stride=5, sentence=1.0, hard=9.0)
+    assert pos.tolist() == [2, 7, 12, 17, 22, 24, len(ids)] and pen.tolist() == [1, 9, 9, 9, 9, 1, 0]
+
+
+def test_windows_end_with_sentences(spark):
+    text = " ".join("The boats came in early and had fish." if k % 3 else "All of them, and the market opened at noon!" for k in range(900))
+    rows = pack(spark.createDataFrame([(1, text)], "doc_id long, text string"), RANKS).collect()
+    last = [TOK.decode(np.frombuffer(bytes(r["ids"]), "<u4").tolist(), skip_special_tokens=False) for r in rows]
+    assert len(last) > 3 and all(t.rstrip()[-1] in ".!" for t in last[:-1])
+
+
+def test_frequent_pre_tokens_change_no_count(spark):
+    from lexmill.llm import tokens
+
+    docs = odd_docs(spark).unionByName(odd_docs(spark))
+    table = tokens.frequent_lengths(docs, JSON)
+    assert table and all(n == len(exact(" " + w)) for w, n in table.items()) and len(set(table.values())) > 3
+    count = lambda first: sorted(map(str, docs.select(tokens.token_lengths(spark, JSON, first)("text")).collect()))
+    assert count(table) == count(None)
+    assert tokens.frequent_lengths(empty_docs(spark), JSON) == {} == tokens.frequent_lengths(docs, public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def test_little_padding_and_checksums(spark):
     from lexmill.llm.queries import op2_packing
 

@@ -54,10 +54,10 @@ NUMBER = r"\d+(?:[.,]\d+)*"
 WARNING = r"(?i)\b(?:warning|caution|danger|must|never|voltage|password)\b"
 
 
-def severity(a: Column, b: Column) -> Column:
-    """high if warnings or numbers changed, medium if words did, else low."""
+def severity(a: Column, b: Column, warning: str = WARNING) -> Column:
+    """high if warnings (a pattern) or numbers changed, medium if words did, else low."""
     numbers = lambda c: F.array_sort(F.regexp_extract_all(X.text_of(c), F.lit(NUMBER), 0))
-    warned = X.text_of(a).rlike(WARNING) | X.text_of(b).rlike(WARNING)
+    warned = X.text_of(a).rlike(warning) | X.text_of(b).rlike(warning)
     return F.when(warned | (numbers(a) != numbers(b)), "high").when(X.tokens(a) != X.tokens(b), "medium").otherwise("low")
 
 

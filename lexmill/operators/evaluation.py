@@ -75,3 +75,26 @@ def trigger_counts(rules: DataFrame, hits: DataFrame, key: str, ts: str) -> Data
     """Rules with how often they fired and when last; rules that never did keep 0 and null."""
     found = hits.groupBy(key).agg(F.count("*").alias("triggers"), F.max(ts).alias("last_triggered"))
     return rules.join(found, key, "left").fillna(0, ["triggers"])
+
+
+def suite(annotations: DataFrame, issues: DataFrame, key: str, allowed: Sequence[str], false_positives: Sequence[str], markers: Sequence[str]) -> DataFrame:
+    """A row for each key: annotations kept and ignored (allowed to be missed), issues kept and ignored (known
+    false positives), empty and idle suggestions, and issues that hold each marker.
+
+    annotations (key, selected, comment); issues (key, rule, category, original_text, suggestion).
+    """
+    any_of = lambda c, words: F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(X.compact(c), X.compact(w))) if words else F.lit(False)
+    blob = F.concat_ws(" ", "rule", "category", "original_text", "suggestion")
+    missed = any_of(F.concat_ws(" ", "selected", "comment"), allowed)
+    gold = annotations.groupBy(key).agg(F.count_if(~missed).alias("annotations"), F.count_if(missed).alias("allowed_misses"))
+    known = any_of(blob, false_positives)
+    same = X.letters_digits(F.col("original_text")) == X.letters_digits(F.col("suggestion"))
+    empty = F.trim(X.text_of(F.col("suggestion"))) == ""
+    found = issues.groupBy(key).agg(
+        F.count_if(~known).alias("issues"),
+        F.count_if(known).alias("false_positives"),
+        F.count_if(empty).alias("empty_suggestions"),
+        F.count_if(~empty & same).alias("idle_suggestions"),
+        *(F.count_if(F.contains(F.lower(blob), F.lit(m.lower()))).alias(f"has_{m}") for m in markers),
+    )
+    return gold.join(found, key, "full").fillna(0)

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from lexmill.functions import text as X
 from lexmill.operators.graph import components
-from lexmill.operators.spread import cut
+from lexmill.operators.spread import cut, join_spread
 
 
 def ratio(a: Column | str, b: Column | str) -> Column:
@@ -76,7 +76,9 @@ def candidates(a: DataFrame, b: DataFrame, block: str, text: str = "text", least
     left, right = whole(a, "a"), whole(b, "b")
     slim = [block, "side", "idx", F.length("text").alias("len"), F.size("grams").alias("m"), F.explode("grams").alias("gram")]
     dealt = left.select(*slim).unionByName(right.select(*slim))
-    rare = dealt.join(dealt.groupBy(block, "gram").agg(F.count("*").alias("df")), [block, "gram"])
+    df = cut(dealt.groupBy(block, "gram").agg(F.count("*").alias("df")), "gram-counts")
+    total = df.agg(F.coalesce(F.sum("df"), F.lit(0))).first()[0]
+    rare = join_spread(dealt, df, [block, "gram"], "df", total)
     rank = F.row_number().over(Window.partitionBy(block, "side", "idx").orderBy("df", "gram"))
     rare = rare.withColumn("_r", rank).where(F.col("_r") <= F.col("m") - F.ceil(F.col("m") * least_jaccard) + 1)
     side = lambda s: rare.where(F.col("side") == s).select(block, "gram", F.col("idx").alias(f"{s}_idx"), F.col("len").alias(f"{s}_len"), F.col("m").alias(f"{s}_m"))

@@ -26,6 +26,7 @@ class Grammar:
 
 @dataclass(frozen=True)
 class Weights:
+    # Weights of the structured and of the whole score.
     pair: float = 0.28
     condition: float = 0.18
     action: float = 0.14
@@ -135,6 +136,34 @@ def candidates(sentences: DataFrame, templates: DataFrame, g: Grammar = Grammar(
     return rows.select(F.col("a_idx").alias("sentence_id"), F.col("b_idx").alias("template_id"), "score", "edit", "penalty", F.transform("p", lambda x: x["reason"]).alias("reasons"), "tier")
 
 
+# How a template was found, and the score of the first two ways.
+LEVELS = (("L1", 1.0), ("L1.5", 0.95), ("L2", None), ("L3", None), ("NONE", None))
+
+
+def levels(sentences: DataFrame, templates: DataFrame, scored: DataFrame, synonyms: dict[str, str], least: float = 0.75, hint: float = 0.5) -> DataFrame:
+    """(idx, template_id, score, level) of each sentence: equal letters and digits, equal after synonyms, or its best score.
+
+    sentences and templates (idx, text); scored (a_idx, b_idx, score) are candidates with scores, from
+    ``least`` L2 and from ``hint`` L3. Of equal templates the first counts.
+    """
+
+    def same(c: Column) -> Column:
+        out = F.lower(X.collapsed(c))
+        for word, standard in sorted(synonyms.items()):
+            out = F.regexp_replace(out, rf"(^|[^\p{{L}}\p{{N}}]){word}([^\p{{L}}\p{{N}}]|$)", f"$1{standard}$2")
+        return X.letters_digits(out)
+
+    plain = lambda c: X.letters_digits(c)
+    rows = sentences.select("idx", plain(F.col("text")).alias("k1"), same(F.col("text")).alias("k2"))
+    first = lambda key, name, found: templates.select(key(F.col("text")).alias(name), F.col("idx").alias("t")).where(F.col(name) != "").groupBy(name).agg(F.min("t").alias(found))
+    rows = rows.join(first(plain, "k1", "t1"), "k1", "left").join(first(same, "k2", "t2"), "k2", "left")
+    best = scored.groupBy("a_idx").agg(F.max(F.struct("score", (-F.col("b_idx")).alias("first"))).alias("best"))
+    rows = rows.join(best.withColumnRenamed("a_idx", "idx"), "idx", "left")
+    score = F.when(F.col("t1").isNotNull(), LEVELS[0][1]).when(F.col("t2").isNotNull(), LEVELS[1][1]).otherwise(F.coalesce("best.score", F.lit(0.0)))
+    level = F.when(F.col("t1").isNotNull(), "L1").when(F.col("t2").isNotNull(), "L1.5").when(F.col("best.score") >= least, "L2").when(F.col("best.score") >= hint, "L3").otherwise("NONE")
+    return rows.select("idx", F.coalesce("t1", "t2", -F.col("best.first")).alias("template_id"), score.alias("score"), level.alias("level"))
+
+
 def kept(rows: DataFrame, pending: float = 0.50, show: float = 0.65, severe: float = 0.18, k: int = 5) -> DataFrame:
     """Candidates to show: exact ones go (nothing to change), low ones go, the rest by score, flagged below ``show``."""
     value = F.greatest("score", "edit")

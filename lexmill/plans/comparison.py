@@ -69,7 +69,12 @@ def tm_fuzzy(t):
     return T.fuzzy_tail(left, bank, 0.8)
 
 
-@query()
+@query(rf"""
+WITH q AS (SELECT doc_id * {NTH} + i - 1 AS query_id, ' ' || array_to_string(regexp_extract_all(lower(x), '[\p{{L}}\p{{N}}]+'), ' ') || ' ' AS line FROM (SELECT doc_id, unnest(s) AS x, unnest(range(1, len(s) + 1)) AS i FROM (SELECT doc_id, {_SENT} AS s FROM documents))),
+m AS (SELECT item_id * {NTH} + i - 1 AS entry_ord, x, regexp_extract_all(lower(x), '[\p{{L}}\p{{N}}]+') AS w FROM (SELECT item_id, unnest(s) AS x, unnest(range(1, len(s) + 1)) AS i FROM (SELECT item_id, {_SENT} AS s FROM benchmark))),
+j AS (SELECT query_id, entry_ord, CAST(len(w) AS INTEGER) AS words, 't:' || x AS translated FROM q JOIN m ON len(w) >= 4 AND contains(line, ' ' || array_to_string(w, ' ') || ' '))
+SELECT * FROM j QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY words DESC, entry_ord) = 1
+""")
 def tm_contained(t):
     return T.contained(_asked(t), _memory(t), least_words=4)
 

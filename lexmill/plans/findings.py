@@ -170,20 +170,31 @@ def consistency_vs_previous(t):
     return S.consistency(runs, "document", "run", "rules", "n")
 
 
+FLAGGED = "stupid|idiot|moron|trash|clown|loser|scum|pathetic|worthless|disgusting"
+
+
 @query("""
-WITH p AS (SELECT d.doc_id, l.toxic, regexp_matches(lower(d.text), '\\b(?:stupid|idiot|moron|trash|clown|loser|scum|pathetic|worthless|disgusting)\\b')::INT AS flagged, d.lang FROM documents d JOIN labels l USING (doc_id))
+WITH p AS (SELECT d.doc_id, l.toxic, regexp_matches(lower(d.text), '\\b(?:FLAGGED)\\b')::INT AS flagged, d.lang FROM documents d JOIN labels l USING (doc_id))
 SELECT lang, count(*) AS n, sum(CASE WHEN toxic = 1 AND flagged = 1 THEN 1 ELSE 0 END)::BIGINT AS tp, sum(CASE WHEN toxic = 0 AND flagged = 1 THEN 1 ELSE 0 END)::BIGINT AS fp, sum(CASE WHEN toxic = 1 AND flagged = 0 THEN 1 ELSE 0 END)::BIGINT AS fn,
   round(sum(CASE WHEN toxic = 1 AND flagged = 1 THEN 1 ELSE 0 END)::DOUBLE / nullif(sum(flagged), 0)::DOUBLE * 100::DOUBLE, 1) AS hit_precision,
   round(sum(CASE WHEN toxic = 1 AND flagged = 1 THEN 1 ELSE 0 END)::DOUBLE / nullif(sum(toxic), 0)::DOUBLE * 100::DOUBLE, 1) AS hit_recall FROM p GROUP BY lang
-""")
+""".replace("FLAGGED", FLAGGED))
 def label_evaluation(t):
-    flagged = F.lower("text").rlike(r"\b(?:stupid|idiot|moron|trash|clown|loser|scum|pathetic|worthless|disgusting)\b")
+    flagged = F.lower("text").rlike(rf"\b(?:{FLAGGED})\b")
     rows = t.documents.select("doc_id", "lang", flagged.alias("flagged")).join(t.labels, "doc_id")
     toxic = F.col("toxic") == 1
     out = rows.groupBy("lang").agg(F.count("*").alias("n"), F.count_if(toxic & F.col("flagged")).alias("tp"), F.count_if(~toxic & F.col("flagged")).alias("fp"), F.count_if(toxic & ~F.col("flagged")).alias("fn"))
     return out.withColumns({"hit_precision": S.rate(F.col("tp"), F.col("tp") + F.col("fp"), empty=None), "hit_recall": S.rate(F.col("tp"), F.col("tp") + F.col("fn"), empty=None)})
 
 
-@query()
+def _spans_sql() -> str:
+    """Places of matches: what stands before the k-th is the parts up to it and the matches before it."""
+    size = lambda xs: f"coalesce(list_sum(list_transform({xs}, lambda z: length(z))), 0)"
+    one = "SELECT doc_id, '{r}' AS rule, h, string_split_regex(text, '{p}') AS parts, unnest(range(1, len(h) + 1)) AS k FROM (SELECT doc_id, text, regexp_extract_all(text, '{p}') AS h FROM documents)"
+    every = " UNION ALL ".join(one.format(r=r.rule, p=r.pattern) for r in RULES)
+    return f"SELECT doc_id, rule, CAST(start AS INTEGER) AS start, CAST(start + length(x) AS INTEGER) AS \"end\", x AS original_text FROM (SELECT doc_id, rule, h[k] AS x, {size('parts[1:k]')} + {size('h[1:k - 1]')} AS start FROM ({every}))"
+
+
+@query(_spans_sql())
 def rule_spans(t):
     return I.detect_spans(t.documents, RULES)

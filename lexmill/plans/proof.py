@@ -47,9 +47,12 @@ def article_usage(t):
     return P.wrong_articles(t.documents.where("lang = 'en'"))
 
 
-@query()
+@query(r"""
+WITH a AS (SELECT doc_id, text AS t0, regexp_replace(text, ' \| ', ' ', 'g') AS t1 FROM documents), b AS (SELECT *, regexp_replace(t1, '[!?]{2,}', '!', 'g') AS t2 FROM a), c AS (SELECT *, replace(t2, '(', '[') AS t3 FROM b)
+SELECT doc_id, md5(t3) AS text_md5, CAST(regexp_matches(t0, ' \| ') AS INTEGER) + CAST(regexp_matches(t1, '[!?]{2,}') AS INTEGER) + CAST(contains(t2, '(') AS INTEGER) + CAST(regexp_matches(t3, '(?:^|[^\p{L}])\p{Lu}{4,}(?:[^\p{L}]|$)') AS INTEGER) AS n_applied FROM c
+""")
 def rules_in_order(t):
-    return P.rewritten(t.documents, [P.Rewrite(1, r"[!?]{2,}", "!", 5), P.Rewrite(2, r" \| ", " ", 9), P.Rewrite(3, "(", "[", 1), P.Rewrite(4, r"\b\p{Lu}{4,}\b", None, 0)]).select("doc_id", F.md5("text").alias("text_md5"), F.size("applied").alias("n_applied"))
+    return P.rewritten(t.documents, [P.Rewrite(1, r"[!?]{2,}", "!", 5), P.Rewrite(2, r" \| ", " ", 9), P.Rewrite(3, "(", "[", 1), P.Rewrite(4, r"(?:^|[^\p{L}])\p{Lu}{4,}(?:[^\p{L}]|$)", None, 0)]).select("doc_id", F.md5("text").alias("text_md5"), F.size("applied").alias("n_applied"))
 
 
 @query("SELECT conv_id, turn, CASE WHEN regexp_matches(text, '[?]') THEN 'question' WHEN regexp_matches(text, '[0-9]') THEN 'figures' WHEN length(text) < 80 THEN 'short' ELSE 'other' END AS kind FROM conversations")

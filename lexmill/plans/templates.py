@@ -34,7 +34,13 @@ def tm_simple_lookup(t):
     return T.simple_lookup(asked, bank)
 
 
-@query()
+@query("""
+WITH RECURSIVE r AS (SELECT conv_id, turn, length(text) AS size, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM conversations),
+f AS (SELECT conv_id, turn, size, k, CAST(0 AS BIGINT) AS bin, 1 AS items, size AS used FROM r WHERE k = 1
+  UNION ALL SELECT r.conv_id, r.turn, r.size, r.k, CASE WHEN f.items = 3 OR f.used + r.size > 1500 THEN f.bin + 1 ELSE f.bin END, CASE WHEN f.items = 3 OR f.used + r.size > 1500 THEN 1 ELSE f.items + 1 END, CASE WHEN f.items = 3 OR f.used + r.size > 1500 THEN r.size ELSE f.used + r.size END
+  FROM f JOIN r ON r.conv_id = f.conv_id AND r.k = f.k + 1)
+SELECT conv_id, turn, size, bin FROM f
+""")
 def translation_batches(t):
     rows = t.conversations.select("conv_id", "turn", F.length("text").alias("size"))
     return L.bins(rows, "conv_id", "turn", "size", most_items=3, most_size=1500)

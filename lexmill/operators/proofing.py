@@ -55,19 +55,28 @@ def unknown_words(docs: DataFrame, dictionary: DataFrame, whitelist: DataFrame,
 
 
 def corrections(unknown: DataFrame, dictionary: DataFrame, most: int = 3, distance: int = 2) -> DataFrame:
-    """(word, suggestion, distance, rank): dictionary words within a few edits of each distinct word.
+    """(word, suggestion, distance, rank): dictionary words within a few edits of each distinct word, with its first letter.
 
-    Candidates meet on their first letter and length band, then by bounded edit distance.
+    Two words so near become equal when at most ``distance`` letters are left out of each, so they
+    meet on these shortened forms; words that are merely of like length never do.
     """
     words = unknown.select(F.lower("word").alias("w")).distinct()
-    bands = F.explode(F.sequence(F.length("w") - distance, F.length("w") + distance)).alias("len")
-    asked = words.select("w", F.left("w", F.lit(1)).alias("first"), bands)
-    known = dictionary.select(F.lower("word").alias("suggestion")).distinct().select("suggestion", F.left("suggestion", F.lit(1)).alias("first"), F.length("suggestion").alias("len"))
-    near = asked.join(known, ["first", "len"]).withColumn("distance", F.levenshtein("w", "suggestion", distance)).where("distance >= 0")
+    known = dictionary.select(F.lower("word").alias("suggestion")).distinct()
+    met = words.select("w", F.explode(shortened(F.col("w"), distance)).alias("form")).join(known.select("suggestion", F.explode(shortened(F.col("suggestion"), distance)).alias("form")), "form")
+    near = met.select("w", "suggestion").distinct().withColumn("distance", F.levenshtein("w", "suggestion", distance)).where("distance >= 0")
     rank = F.row_number().over(Window.partitionBy("w").orderBy("distance", "suggestion"))
     return near.withColumn("rank", rank).where(F.col("rank") <= most).select(F.col("w").alias("word"), "suggestion", "distance", "rank")
 
 
+def shortened(c: Column, most: int) -> Column:
+    """A word without up to ``most`` of its letters after the first, each form once."""
+    one_less = lambda w: F.when(F.length(w) < 2, F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(2), F.greatest(F.length(w), F.lit(2))), lambda i: F.concat(F.left(w, i - 1), F.substring(w, i + 1, F.length(w)))))
+    forms = F.array(c)
+    for _ in range(most):
+        forms = F.array_distinct(F.concat(forms, F.flatten(F.transform(forms, one_less))))
+    return forms
+
+
 AN = r"(?i)\ban\s+(?:[bcdfgjklmnpqrstvwxyz]|uni|use|eu)\w*"
 A = r"(?i)\ba\s+(?:[aeio]|un[^i]|hour|honest)\w*"
 

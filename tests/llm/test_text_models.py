@@ -383,3 +383,29 @@ def test_rare_grams_meet_their_probabilities(spark, monkeypatch):
         assert len(model.keys) <= max(most, 1)
         got = {r["doc_id"]: r["score"] for r in ctw.score(docs, model, words).collect()}
         assert got == {i: pytest.approx(log10_of(t.encode()), rel=1e-6) for i, t in rows}
+
+
+def test_very_long_texts(spark):
+    """A text of a million characters beside short ones, through every operator that reads texts."""
+    import public_tokenizers
+
+    from lexmill.llm import packing, search, simhash, tokens
+    from tests.llm.helpers import words
+
+    long = " ".join(words(k % 50, 400) for k in range(450))
+    assert len(long) > 900_000
+    docs = spark.createDataFrame([(1, long), (2, "short text"), (3, long)], "doc_id long, text string")
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    counts = {r["doc_id"]: r["n_tokens"] for r in tokens.token_counts(docs, path).collect()}
+    assert counts[1] == counts[3] == len(tokens.encoder(path).ids(long)) > 100_000
+    assert sum(r["length"] for r in packing.pack(docs, public_tokenizers.path("byte_bpe_50k.tiktoken")).collect()) == sum(counts.values()) + 3
+    assert {r["component_id"] for r in simhash.simhash_classes(docs).where("doc_id <> 2").collect()} == {1}
+    named = docs.withColumn("lang", F.lit("en"))
+    assert {r["lang_pred"] for r in language.identify(docs, language.learn(named)).collect()} == {"en"}
+    lexicon = toxicity.Lexicon({" be": 1.0}, [" bed "])
+    assert all(0 <= r["score"] <= 1 for r in toxicity.score_toxicity(docs, lexicon).collect())
+    model, counted = ctw.learn(docs)
+    scored = {r["doc_id"]: r for r in ctw.score(docs, model, counted).collect()}
+    assert scored[1]["n_tokens"] == len(long.split()) + 1 and scored[1]["score"] == pytest.approx(scored[3]["score"])
+    hits = search.top_k(docs, docs.select(F.col("doc_id").alias("query_id"), "text"), k=2).where("query_id = 1").collect()
+    assert [r["doc_id"] for r in hits] == [1, 3]

@@ -248,6 +248,43 @@ def topics(files: DataFrame) -> DataFrame:
     return exploded_files(files, map_topics, "ord int, href string, navtitle string, way array<string>")
 
 
+def archive_members(files: DataFrame) -> DataFrame:
+    """(path, member, content) of the files in archives."""
+
+    def parse(data: bytes) -> list[tuple[str, bytes]]:
+        with _members(data) as z:
+            return [(n, z.read(n)) for n in sorted(z.namelist()) if not n.endswith("/")]
+
+    return exploded_files(files, parse, "member string, content binary")
+
+
+def package_topics(files: DataFrame) -> DataFrame:
+    """(path, ord, member, navtitle, way, text) of packages: the topics of an archive's maps in their order, with their texts.
+
+    A reference is read from its map's folder; topics that the archive lacks have a null text.
+    """
+    members = archive_members(files)
+    maps = members.where(F.lower("member").endswith(".ditamap")).select(F.to_json(F.struct("path", "member")).alias("path"), "content")
+    at = F.from_json("path", "path string, member string")
+    found = topics(maps).withColumn("map", at).withColumn("target", F.concat(F.regexp_extract("map.member", r"^(.*/)?", 0), F.regexp_replace("href", r"#.*$", "")))
+    named = members.where(F.lower("member").endswith(".dita")).select(F.concat_ws("\n", "path", "member").alias("path"), "content")
+    texts = parse_files(named).select(F.split("path", "\n").alias("of"), "text").select(F.col("of")[0].alias("_path"), F.col("of")[1].alias("_member"), "text")
+    rows = found.join(texts, (F.col("map.path") == F.col("_path")) & (F.col("target") == F.col("_member")), "left")
+    return rows.select(F.col("map.path").alias("path"), "ord", F.col("target").alias("member"), "navtitle", "way", "text")
+
+
+def workbook_terms(files: DataFrame) -> DataFrame:
+    """(bad, good) of the first two columns of workbooks below their first rows; equal and blank pairs go, the first of a term stays."""
+    cell = lambda k: F.trim(F.coalesce(F.get("cells", F.lit(k)), F.lit("")))
+    rows = workbook_rows(files).where("row > 1").select("path", "sheet", "row", cell(0).alias("bad"), cell(1).alias("good")).where("bad <> '' and good <> '' and bad <> good")
+    return rows.groupBy("bad").agg(F.min_by("good", F.struct("path", "sheet", "row")).alias("good"))
+
+
+def seed_rules(rows: DataFrame, number: str = "id", prefix: str = "EXT-") -> DataFrame:
+    """Rules of an outside list with rule_no, the prefix and their number: what ``sinks.import_plan`` takes as its key."""
+    return rows.withColumn("rule_no", F.concat(F.lit(prefix), F.col(number).cast("string"))).where(F.col(number).isNotNull())
+
+
 HEADING = r"^(?:chapter\s+\d+|appendix\s+[a-z]|\d+(?:\.\d+)*\.?)\s+\p{L}.{0,80}$"
 
 

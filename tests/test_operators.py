@@ -277,6 +277,17 @@ def test_workbooks_maps_and_comments(spark):
     assert text["w.docx"] == "One\n| a | b |" and text["m.xlsx"] == "Source\t\ttarget\nlid\t4.5\tDeckel"
 
 
+def test_packages_terms_and_seeds(spark):
+    package = zipped({"p/m.ditamap": '<map><topicref href="a.dita" navtitle="A"/><topicref href="sub/b.dita#x" navtitle="B"/><topicref href="none.dita"/></map>', "p/a.dita": "<topic><title>One</title></topic>", "p/sub/b.dita": "<topic><p>Two</p></topic>"})
+    files = spark.createDataFrame([("x/k.zip", package), ("bad.zip", bytearray(b"no"))], "path string, content binary")
+    got = [tuple(r) for r in readers.package_topics(files).orderBy("ord").collect()]
+    assert [(g[0], g[2], g[3], g[5]) for g in got] == [("x/k.zip", "p/a.dita", "A", "One"), ("x/k.zip", "p/sub/b.dita", "B", "Two"), ("x/k.zip", "p/none.dita", "", None)]
+    sheet = '<s><d><row r="1"><c r="A1" t="inlineStr"><is><t>bad</t></is></c></row>' + "".join(f'<row r="{k}"><c r="A{k}" t="inlineStr"><is><t>{a}</t></is></c><c r="B{k}" t="inlineStr"><is><t>{b}</t></is></c></row>' for k, (a, b) in enumerate([("colour", "color"), ("colour", "other"), ("same", "same")], 2)) + "</d></s>"
+    book = zipped({"xl/workbook.xml": '<w xmlns:r="r"><sheets><sheet name="S" r:id="i"/></sheets></w>', "xl/_rels/workbook.xml.rels": '<R><Relationship Id="i" Target="/xl/worksheets/s.xml"/></R>', "xl/worksheets/s.xml": sheet})
+    assert [tuple(r) for r in readers.workbook_terms(spark.createDataFrame([("t.xlsx", book)], "path string, content binary")).collect()] == [("colour", "color")]
+    assert [r["rule_no"] for r in readers.seed_rules(spark.createDataFrame([(7,), (None,)], "id int")).collect()] == ["EXT-7"]
+
+
 def test_archives_of_topic_files(spark, tmp_path):
     sections = spark.createDataFrame([(1, 0, 1, "T <1>", "a\n\nb & c"), (1, 1, 2, "U", "d")], "doc_id int, ord int, level int, title string, content string")
     made = {r["path"]: r["content"] for r in sinks.topic_files(sections, kind="dita").collect()}

@@ -91,7 +91,7 @@ def hits(text: str, automaton) -> list[tuple[int, int, float]]:
             spared[start] = max(end + 1, spared.get(start, 0))
         elif start not in best or best[start][1] < weight:
             best[start] = end + 1, weight
-    if not spared:
+    if not spared or not best:
         return [(s, e, w) for s, (e, w) in best.items()]
     out, reach, ahead, k = [], 0, sorted(spared), 0
     for s in sorted(best):  # an exception that began before covers a match if it also ends after it
@@ -202,13 +202,18 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", text: str =
         return out
 
     spared = _counted(rows, phrases).where(F.col("clean") >= max(3, n_clean // 2000)).collect() if weights else []
-    exceptions = sorted(r["feature"] for r in spared if _odds(r["toxic"], r["clean"], n_toxic, n_clean)[0] < 0.5)
+    exceptions = needed({r["feature"] for r in spared if _odds(r["toxic"], r["clean"], n_toxic, n_clean)[0] < 0.5}, a)
 
     lexicon = Lexicon(weights, exceptions)
     seen = rows.select(_features(lexicon, F.col("text")).alias("f"), "toxic").select("f.*", "toxic").toPandas()
     return Lexicon(weights, exceptions, fit_curve(seen[["damped", "dense"]].to_numpy(), seen["toxic"].to_numpy().astype(float)))
 
 
+def needed(exceptions: set[str], automaton) -> list[str]:
+    """Exceptions without the phrases whose words that hold an entry are all exceptions by themselves: these spare nothing more."""
+    return sorted(e for e in exceptions if len(ws := e.split()) < 2 or any(f" {w} " not in exceptions and hits(f" {w} ", automaton) for w in ws))
+
+
 def _features(lexicon: Lexicon, text: Column) -> Column:
     @F.pandas_udf("damped double, dense double")
     def measure(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:

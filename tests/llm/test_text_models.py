@@ -136,6 +136,19 @@ def test_matches_against_a_plain_search(seed):
         assert sorted((s, w) for s, _, w in toxicity.hits(text, a)) == plain_hits(text, weights, exceptions if len(weights) else [])
 
 
+def test_exceptions_that_spare_nothing_more_go():
+    weights = {" bad": 1.0, " vile ": 2.0}
+    a = toxicity.Lexicon(weights).automaton()
+    every = {" badge ", " badge shop ", " old badge ", " bad day ", " vile badge ", " badly ", " badly badge "}
+    kept = toxicity.needed(every, a)
+    assert kept == [" bad day ", " badge ", " badly ", " vile badge "]
+    few, all_ = (toxicity.Lexicon(weights, sorted(x)).automaton() for x in (kept, every))
+    r = random.Random(2)
+    for _ in range(300):
+        text = toxicity.folded(" ".join(r.choice(["badge", "shop", "old", "bad", "day", "vile", "badly", "x"]) for _ in range(12)))
+        assert toxicity.hits(text, few) == toxicity.hits(text, all_)
+
+
 def test_matching_is_linear():
     import time
 

@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexmill.llm._common import small_batches, train_remainder
+from lexmill.llm.exact import EXACT_SQL
 from lexmill.llm.mixing import MIX_SQL
 from lexmill.llm.search import SEARCH_SQL
+from lexmill.llm.trie import TRIE_SQL
 
 
 def bpe_path(kind: str = "json") -> str:
@@ -95,6 +97,26 @@ def op10_ctw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out, "n_tokens", "n_known", "train_tokens", "base_score", "score", "n_bytes", "bits_per_byte")
 
 
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexmill.llm.exact import exact_duplicates
+
+    return exact_duplicates(_table(spark, sf_dir, "documents"))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexmill.llm.trie import numbered_turns, prefix_trie, with_shared_heads
+
+    turns, members = with_shared_heads(numbered_turns(_table(spark, sf_dir, "conversations")), every=100, at_most=6)
+    return prefix_trie(turns, members)
+
+
+def op13_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexmill.llm.importance import importance_sample
+
+    docs, target = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")
+    return importance_sample(docs, target, buckets=10_000, percent=5, least_words=20, seed=42)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_embedding_classes": op1_embedding_classes,
     "op2_packing": op2_packing,
@@ -106,6 +128,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_search": op8_search,
     "op9_toxicity": op9_toxicity,
     "op10_ctw": op10_ctw,
+    "op11_exact_dedup": op11_exact_dedup,
+    "op12_prefix_trie": op12_prefix_trie,
+    "op13_importance": op13_importance,
 }
 
-ORACLE_SQL: dict[str, str] = {"op7_mixing": MIX_SQL, "op8_search": SEARCH_SQL}
+ORACLE_SQL: dict[str, str] = {"op7_mixing": MIX_SQL, "op8_search": SEARCH_SQL, "op11_exact_dedup": EXACT_SQL, "op12_prefix_trie": TRIE_SQL}

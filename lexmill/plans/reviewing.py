@@ -71,7 +71,7 @@ def review_selection(t):
     return V.select(_found(t), POLICY, TOPICS, shadowed=("privacy",)).select("doc_id", "rule", "nth", "score", "dedupe_key")
 
 
-CHECKS = V.Checks(no_change="no change needed", basis="style guide", protected=(("thatin", "thitan"),), rewriting=("ensure",), label_report="button label", label_text="^en", control_report="missing icon", control_text="^th", swaps=(("der", "die"),))
+CHECKS = V.Checks(no_change="no change needed", basis="style guide", protected=(("thatin", "thitan"),), rewriting=("ensure",), fillers=("so", "the"), dangling=r"\b(?:the|die)$", label_report="button label", label_text="^en", control_report="missing icon", control_text="^th", swaps=(("der", "die"),))
 
 
 def _proposed(t):
@@ -107,7 +107,7 @@ w AS (SELECT *, instr(c, o) AS at_, list_distinct(regexp_extract_all(o, '[a-z][a
   regexp_matches(o, '\b\d+(?:\.\d+)?(?:ml|mm|cm|kg|mg|min|gb|mb)\b') AND regexp_matches(s, '\b\d+(?:\.\d+)?\s+(?:ml|mm|cm|kg|mg|min|gb|mb)\b') AS unit_fixed FROM r),
 y AS (SELECT *, list_filter(ws, lambda z: NOT list_contains(wo, z)) AS fresh, list_filter(wo, lambda z: NOT list_contains(ws, z)) AS gone, list_distinct(list_filter(po, lambda z: length(z) > 1)) AS so, list_distinct(list_filter(ps, lambda z: length(z) > 1)) AS ss FROM w),
 z AS (SELECT *, len(fresh) = len(gone) AND len(fresh) BETWEEN 1 AND 2 AND len(list_filter(fresh, lambda y: len(list_filter(gone, lambda x: {_LIKE})) = 0)) = 0 AS small, coalesce({_JAC.format(a='wo', b='ws')}, 0) AS jac, length(s)::DOUBLE / greatest(length(o), 1) AS size,
-  len(list_filter(list_concat(list_filter(so, lambda q: NOT list_contains(ss, q)), list_filter(ss, lambda q: NOT list_contains(so, q))), lambda q: q NOT IN ('and', 'as', 'at', 'by', 'from', 'in', 'of', 'on', 'to', 'with'))) AS moved FROM y)
+  len(list_filter(list_concat(list_filter(so, lambda q: NOT list_contains(ss, q)), list_filter(ss, lambda q: NOT list_contains(so, q))), lambda q: q NOT IN ('so', 'the'))) AS moved FROM y)
 SELECT conv_id, turn, idx, CASE WHEN o = '' THEN 'missing_original_text' WHEN s = '' AND d = '' THEN 'missing_suggestion_and_description' WHEN regexp_matches(concat_ws(' ', o, s, d), 'no change needed') THEN 'explicit_no_change'
   WHEN regexp_matches(concat_ws(' ', o, s, d), 'style guide') THEN 'audit_basis_leak' WHEN at_ = 0 THEN 'original_text_not_found'
   WHEN regexp_matches(left(o, 1), '^\p{{L}}$') AND at_ > 1 AND regexp_matches(substr(c, at_ - 1, 1), '^\p{{L}}$') OR regexp_matches(right(o, 1), '^\p{{L}}$') AND regexp_matches(substr(c, at_ + length(o), 1), '^\p{{L}}$') THEN 'truncated_word_fragment'
@@ -115,7 +115,7 @@ SELECT conv_id, turn, idx, CASE WHEN o = '' THEN 'missing_original_text' WHEN s
   WHEN s <> '' AND regexp_matches(s, '\b\d+(?:\.\d+)?(?:ml|mm|cm|kg|mg|min|gb|mb)\b') AND NOT unit_fixed THEN 'number_unit_spacing_regression'
   WHEN s <> '' AND (len(no) > 0 AND len(ns) > 0 AND no <> ns OR contains(o, 'thatin') AND contains(s, 'thitan') AND NOT contains(s, 'thatin')) THEN 'protected_meaning_changed'
   WHEN s <> '' AND o <> s AND NOT small AND len(wo) + len(ws) > 0 AND (jac < 0.5 AND size BETWEEN 0.55 AND 1.9 OR jac < 0.55 AND size < 0.72 OR len(fresh) + len(gone) >= 5 AND list_contains(fresh, 'ensure') AND jac < 0.9) THEN 'aggressive_rewrite'
-  WHEN s <> '' AND starts_with(s, o) AND s <> o AND (regexp_matches(o, '\b(?:of|to|with|for|by|into|from|been|is|are|was|were)$') AND length(s) >= length(o) + 8 OR length(o) <= 40 AND length(s) >= 2 * length(o)) THEN 'speculative_completion'
+  WHEN s <> '' AND starts_with(s, o) AND s <> o AND (regexp_matches(o, '\b(?:the|die)$') AND length(s) >= length(o) + 8 OR length(o) <= 40 AND length(s) >= 2 * length(o)) THEN 'speculative_completion'
   WHEN regexp_matches(concat_ws(' ', '', '', d, s), 'button label') AND regexp_matches(o, '^en') THEN 'low_value_ui_bracket_labeling' WHEN regexp_matches(concat_ws(' ', '', '', d, s), 'missing icon') AND regexp_matches(o, '^th') THEN 'visual_control_ambiguity'
   WHEN s <> '' AND contains(o, 'der') AND contains(s, 'die') AND replace(o, 'der', '') = replace(s, 'die', '') THEN 'low_value_cn_term_swap'
   WHEN s <> '' AND NOT small AND (len(po) > 0 AND po = ps OR len(so) > 0 AND len(ss) > 0 AND coalesce({_JAC.format(a='so', b='ss')}, 0) >= 0.6 AND moved <= 3

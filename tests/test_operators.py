@@ -160,7 +160,7 @@ def test_every_reason_of_rejection(spark):
         ("red pump", "red pumps", "d", "accepted"),
     ]
     table = spark.createDataFrame([(k, *r[:3], content) for k, r in enumerate(rows)], "k int, original_text string, suggestion string, description string, content string").selectExpr("*", "'' rule", "'' category", "'' chapter", "'' audit_basis")
-    checks = review.Checks(no_change="no change needed", basis="style guide", protected=(("thatin", "thitan"),), label_report="button label", label_text="^mark", control_report="missing icon", control_text="^click", swaps=(("der", "die"),))
+    checks = review.Checks(no_change="no change needed", basis="style guide", protected=(("thatin", "thitan"),), fillers=("in", "a"), dangling=r"\bof$", label_report="button label", label_text="^mark", control_report="missing icon", control_text="^click", swaps=(("der", "die"),))
     got = {r["k"]: r["reason"] for r in review.checked(table, checks).collect()}
     assert [got[k] for k in range(len(rows))] == [r[3] for r in rows]
     assert {r[3] for r in rows} == {*review.REASONS, "accepted"}

@@ -6,6 +6,7 @@ take the highest ratio first and, of equals, the earliest pair; optimal choices
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Callable, Iterator, Sequence
 from difflib import SequenceMatcher
 
@@ -97,144 +98,336 @@ def scored(pairs: DataFrame, least: float, score: Column | None = None) -> DataF
 
 #: Rows of a side that a piece of work compares with as many of the other.
 CHUNK = 512
+#: Longest text (the shorter of two) that is compared with many others at once.
+LANES = 256
+#: Pairs compared at once, which bounds a task's memory.
+TOGETHER = 1 << 16
 
 
-def _letters(texts: list[str], names: dict[str, int]) -> np.ndarray:
-    """How often each text has each character."""
-    out = np.zeros((len(names), len(texts)), np.int32)
-    for k, t in enumerate(texts):
-        for c in t:
-            out[names[c], k] += 1
+def _codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of all texts end to end, and where each begins."""
+    ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))
+    return np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32), np.concatenate([[0], ends])
+
+
+def common_letters(a: list[str], b: list[str]) -> np.ndarray:
+    """For each text of a and of b how many characters they have in common, in any order."""
+    x, x_at = _codes(a)
+    y, y_at = _codes(b)
+    both = np.intersect1d(x, y)
+    common = np.zeros((len(a), len(b)), np.int32)
+
+    def counts(codes, at, n):
+        where = np.searchsorted(both, codes)
+        held = (where < len(both)) & (both[np.minimum(where, len(both) - 1)] == codes)
+        row = np.repeat(np.arange(n), np.diff(at))
+        return np.bincount(where[held] * n + row[held], minlength=len(both) * n).reshape(len(both), n)
+
+    if len(both):
+        for p, q in zip(counts(x, x_at, len(a)), counts(y, y_at, len(b)), strict=True):
+            rows, cols = np.flatnonzero(p), np.flatnonzero(q)
+            common[np.ix_(rows, cols)] += np.minimum.outer(p[rows], q[cols]).astype(np.int32)
+    return common
+
+
+def common_in_order(a: list[str], b: list[str], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Length of the longest common subsequence of a[i] and b[j] for each of the pairs.
+
+    Bit-parallel: a bit for each character of the shorter text, a step for each of the longer
+    one, all pairs at once; of two texts over ``LANES`` one pair at a time.
+    """
+    la, lb = np.fromiter(map(len, a), np.int64, len(a)), np.fromiter(map(len, b), np.int64, len(b))
+    out = np.zeros(len(i), np.int64)
+    left = la[i] <= lb[j]
+    for flag, (short, long, p, q) in ((True, (a, b, i, j)), (False, (b, a, j, i))):
+        chosen = np.flatnonzero(left == flag)
+        size = (la if flag else lb)[p[chosen]]
+        few = chosen[size <= LANES]
+        for k in range(0, len(few), TOGETHER):
+            at = few[k : k + TOGETHER]
+            out[at] = _lanes(short, long, p[at], q[at])
+        for k in chosen[size > LANES]:
+            out[k] = _long(short[p[k]], long[q[k]])
+    return out
+
+
+def _long(a: str, b: str) -> int:
+    masks: dict[str, int] = {}
+    for k, c in enumerate(a):
+        masks[c] = masks.get(c, 0) | 1 << k
+    full = (1 << len(a)) - 1
+    v = full
+    for c in b:
+        u = v & masks.get(c, 0)
+        v = ((v + u) | (v - u)) & full
+    return len(a) - v.bit_count()
+
+
+def _lanes(a: list[str], b: list[str], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    rows, i = np.unique(i, return_inverse=True)
+    cols, j = np.unique(j, return_inverse=True)
+    a, b = [a[k] for k in rows], [b[k] for k in cols]
+    x, x_at = _codes(a)
+    y, y_at = _codes(b)
+    la, lb = np.diff(x_at), np.diff(y_at)
+    words = max(1, -(-int(la.max()) // 64))
+    letters = np.unique(x)
+    mask = np.zeros((len(letters) + 1, len(a), words), np.uint64)  # the last letter is any that a has not
+    place = np.arange(len(x)) - np.repeat(x_at[:-1], la)
+    np.bitwise_or.at(mask, (np.searchsorted(letters, x), np.repeat(np.arange(len(a)), la), place // 64), np.uint64(1) << (place % 64).astype(np.uint64))
+    where = np.minimum(np.searchsorted(letters, y), len(letters) - 1) if len(letters) else np.zeros(len(y), np.int64)
+    where = np.where(letters[where] == y, where, len(letters)) if len(letters) else where
+    padded = np.full((int(lb.max()) if len(lb) else 0, len(b)), len(letters))
+    padded[np.arange(len(y)) - np.repeat(y_at[:-1], lb), np.repeat(np.arange(len(b)), lb)] = where
+    order = np.argsort(-lb[j], kind="stable")
+    i, j = i[order], j[order]
+    n_at = np.searchsorted(-lb[j], -np.arange(len(padded)), side="left")  # pairs whose longer text has a step's character
+    v = np.full((words, len(i)), np.iinfo(np.uint64).max, np.uint64)
+    for step in range(len(padded)):
+        n = int(n_at[step])
+        m = mask[padded[step, j[:n]], i[:n]]
+        carry = np.zeros(n, np.uint64)
+        for w in range(words):
+            old = v[w, :n]
+            u = old & m[:, w]
+            total = old + u
+            over = total < old
+            total += carry
+            over |= total < carry
+            v[w, :n] = total | (old - u)
+            carry = over.astype(np.uint64)
+    found = np.zeros(len(i), np.int64)
+    for w in range(words):
+        bits = np.clip(la[i] - 64 * w, 0, 64)
+        live = np.where(bits == 64, np.iinfo(np.uint64).max, (np.uint64(1) << np.minimum(bits, 63).astype(np.uint64)) - np.uint64(1))
+        found += np.bitwise_count(~v[w] & live)
+    out = np.empty(len(i), np.int64)
+    out[order] = found
     return out
 
 
-def near(a: list[str], b: list[str], least: float, score: Callable[[str, str], float] | None = None) -> list[tuple[int, int, float]]:
+Score = Callable[[str, str], float]
+#: Which pairs of two lists of texts a score can bring to a least value: rows by columns.
+May = Callable[[list[str], list[str], float], np.ndarray]
+
+
+def near(a: list[str], b: list[str], least: float, score: Score | None = None, may: May | None = None) -> list[tuple[int, int, float]]:
     """All pairs of texts whose ratio is ``least`` or more.
 
-    A ratio is at most twice the characters in common, in any order, over both lengths; pairs
-    that this rules out are not compared. ``score`` may raise a ratio, and is tried on all pairs.
+    A ratio is at most twice the characters in common, in any order, over both lengths, and at
+    most twice the longest common subsequence; both rule pairs out before a ratio is computed,
+    and equal texts are compared once. ``score`` may raise a ratio; it is tried where ``may``
+    says that it can, else on all pairs.
     """
     if not a or not b:
         return []
-    names = {c: i for i, c in enumerate(sorted(set("".join(a)) & set("".join(b))))}
-    common = np.zeros((len(a), len(b)), np.int32)
-    for x, y in zip(_letters([[c for c in t if c in names] for t in a], names), _letters([[c for c in t if c in names] for t in b], names), strict=True):
-        rows, cols = np.flatnonzero(x), np.flatnonzero(y)
-        common[np.ix_(rows, cols)] += np.minimum.outer(x[rows], y[cols])
-    both = np.fromiter(map(len, a), np.int64)[:, None] + np.fromiter(map(len, b), np.int64)
-    able = 2.0 * common >= least * both - 1e-9
-    out = []
-    for j in range(len(b)):
-        m = SequenceMatcher(None, "", b[j])
-        for i in range(len(a)) if score else np.flatnonzero(able[:, j]):
-            best = score(a[i], b[j]) if score else 0.0
-            if able[i, j] and best < 1.0:
-                m.set_seq1(a[i])
+    (xs, x_of), (ys, y_of) = (np.unique(np.array(t, object), return_inverse=True) for t in (a, b))
+    xs, ys = xs.tolist(), ys.tolist()
+    lx, ly = (np.fromiter(map(len, t), np.int64, len(t)) for t in (xs, ys))
+    both = lx[:, None] + ly
+    able = 2.0 * common_letters(xs, ys) >= least * both - 1e-9
+    i, j = np.nonzero(able)
+    kept = 2.0 * common_in_order(xs, ys, i, j) >= least * both[i, j] - 1e-9
+    able[i[~kept], j[~kept]] = False
+    tried = able if score is None else able | (may(xs, ys, least) if may else np.True_)
+    found: dict[tuple[int, int], float] = {}
+    for k in np.flatnonzero(tried.any(0)):
+        m = SequenceMatcher(None, "", ys[k])
+        for r in np.flatnonzero(tried[:, k]):
+            best = score(xs[r], ys[k]) if score else 0.0
+            if able[r, k] and best < 1.0:
+                m.set_seq1(xs[r])
                 best = max(best, m.ratio())
             if best >= least:
-                out.append((int(i), j, best))
-    return out
+                found[int(r), int(k)] = best
+    at_x, at_y = _places(x_of), _places(y_of)
+    return [(p, q, s) for (r, k), s in found.items() for p in at_x[r] for q in at_y[k]]
+
 
+def _places(of: np.ndarray) -> list[list[int]]:
+    order = np.argsort(of, kind="stable")
+    return [x.tolist() for x in np.split(order, np.cumsum(np.bincount(of))[:-1])]
 
-def alike(a: DataFrame, b: DataFrame, block: str, least: float, text: str = "text", score: Callable[[str, str], float] | None = None) -> DataFrame:
+
+def alike(a: DataFrame, b: DataFrame, block: str, least: float, text: str = "text", score: Score | None = None, may: May | None = None, factor: float | None = None) -> DataFrame:
     """(block, a_idx, b_idx, score): every pair of one block with a ratio of ``least`` or more.
 
-    A block is two documents, or as much as is to be compared with each other. Its rows meet in
-    pieces of at most about ``CHUNK`` rows of each side, so a large block is spread over the tasks.
+    A ratio of r means that neither text is over (2 - r) / r times as long as the other, so rows
+    of a block of over ``CHUNK`` rows are dealt to bands of length that grow by that factor (or
+    by ``factor``, where a ``score`` allows more), and only equal and neighbouring bands meet, as
+    a join. They meet in pieces of at most about ``CHUNK`` rows of each side, so that a large
+    band is spread over the tasks; ``near`` compares a piece.
     """
-    parts = lambda rows, name: rows.groupBy(block).agg(F.ceil(F.count("*") / CHUNK).cast("int").alias(name))
-    sizes = parts(a, "_na").join(parts(b, "_nb"), block)
+    grows = factor if score else (2 - least) / least if least > 0.05 else None
+    length = F.length("text")
+    band = F.lit(0) if grows is None else F.when(length == 0, -9).otherwise(F.floor(F.log(length.cast("double")) / float(np.log(max(1.001 * grows, 1.05))))).cast("int")
+    side = lambda rows: rows.select(block, F.col("idx").cast("long").alias("idx"), X.text_of(F.col(text)).alias("text")).withColumn("_band", band)
+    count = lambda rows, s: rows.groupBy(block).agg(F.count("*").alias(f"_all{s}"))
+    sizes = count(a, "a").join(count(b, "b"), block)
+    small = (F.col("_alla") <= CHUNK) & (F.col("_allb") <= CHUNK)
+    banded = lambda rows: side(rows).join(sizes, block).withColumn("_band", F.when(small, 0).otherwise(F.col("_band"))).drop("_alla", "_allb")
+    left, right = banded(a), banded(b)
+    parts = lambda rows, s: rows.groupBy(block, "_band").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias(f"_n{s}")).withColumnRenamed("_band", f"_band{s}")
+    met = parts(left, "a").join(parts(right, "b"), block).where(F.abs(F.col("_banda") - F.col("_bandb")) <= 1)
 
     def dealt(rows: DataFrame, mine: str, other: str, i: str, j: str) -> DataFrame:
-        rows = rows.select(block, F.col("idx").cast("long").alias("idx"), X.text_of(F.col(text)).alias("text")).join(sizes, block)
-        own = F.pmod(F.xxhash64("idx"), F.col(mine)).cast("int")
-        return rows.select(block, "idx", "text", own.alias(i), F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias(j))
+        rows = rows.withColumnRenamed("_band", f"_band{mine}").join(met, [block, f"_band{mine}"])
+        own = F.pmod(F.xxhash64("idx"), F.col(f"_n{mine}")).cast("int")
+        return rows.select(block, "idx", "text", "_banda", "_bandb", own.alias(i), F.explode(F.sequence(F.lit(0), F.col(f"_n{other}") - 1)).alias(j))
 
     def meet(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("idx")
         left, right = rows[rows["_side"] == 0], rows[rows["_side"] == 1]
-        found = near(left["text"].tolist(), right["text"].tolist(), least, score)
+        found = near(left["text"].tolist(), right["text"].tolist(), least, score, may)
         x, y = left["idx"].to_numpy(), right["idx"].to_numpy()
         key = pd.Series([rows[block].iloc[0]] * len(found), dtype=None if found and rows[block].dtype.kind in "iuf" else object)
         return pd.DataFrame({block: key, "a_idx": [x[i] for i, _, _ in found], "b_idx": [y[j] for _, j, _ in found], "score": [s for _, _, s in found]})
 
-    left, right = dealt(a, "_na", "_nb", "_i", "_j"), dealt(b, "_nb", "_na", "_j", "_i")
-    both = left.withColumn("_side", F.lit(0)).unionByName(right.withColumn("_side", F.lit(1)))
+    both = dealt(left, "a", "b", "_i", "_j").withColumn("_side", F.lit(0)).unionByName(dealt(right, "b", "a", "_j", "_i").withColumn("_side", F.lit(1)))
     schema = f"`{block}` {a.schema[block].dataType.simpleString()}, a_idx long, b_idx long, score double"
-    return both.groupBy(block, "_i", "_j").applyInPandas(meet, schema)
+    return both.groupBy(block, "_banda", "_bandb", "_i", "_j").applyInPandas(meet, schema)
 
 
-def _by_component(pairs: DataFrame, block: str, choose: Callable[[pd.DataFrame], pd.DataFrame]) -> DataFrame:
-    """``choose`` on each connected component of the pairs: pairs that share no row, over any steps, do not compete."""
-    rows = cut(pairs.select(block, "a_idx", "b_idx", "score"), "pairs")
-    node = lambda side: F.xxhash64(F.col(block), F.lit(side), F.col(f"{side}_idx"))
-    rows_at = rows.withColumn("_node", node("a"))
-    roots = components(rows.select(node("a").alias("a"), node("b").alias("b")))
-    named = rows_at.join(roots.select(F.col("node").alias("_node"), F.col("root").alias("_root")), "_node").drop("_node")
-    return named.groupBy("_root").applyInPandas(lambda g: choose(g.drop(columns="_root")).astype({block: object} if g[block].dtype.kind not in "iuf" else {}), rows.schema)
+#: Pairs of a block that one task chooses among; blocks of more are chosen in rounds.
+GROUP = 1 << 14
 
 
-def greedy(pairs: DataFrame, block: str) -> DataFrame:
-    """One-to-one pairs of each block, best score first, then the earliest indexes."""
+def _grouped(rows: DataFrame, by: list[str], block: str, choose: Callable[[pd.DataFrame], pd.DataFrame]) -> DataFrame:
+    kind = rows.schema[block].dataType.simpleString()
+    schema = f"`{block}` {kind}, a_idx long, b_idx long, score double"
+    plain = kind in ("tinyint", "smallint", "int", "bigint", "float", "double")
+    return rows.groupBy(*by).applyInPandas(lambda g: choose(g[[block, "a_idx", "b_idx", "score"]]).astype({} if plain else {block: object}), schema)
 
-    def choose(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["score", "a_idx", "b_idx"], ascending=[False, True, True], kind="stable")
-        used, keep = set(), []
-        for i, k, a, b in zip(rows.index, rows[block], rows["a_idx"], rows["b_idx"], strict=True):
-            if (k, "a", a) not in used and (k, "b", b) not in used:
-                used |= {(k, "a", a), (k, "b", b)}
-                keep.append(i)
-        return rows.loc[keep]
 
-    return _by_component(pairs, block, choose)
+def _first_free(rows: pd.DataFrame) -> pd.DataFrame:
+    """Pairs of one block taken in order of score, then indexes, where both rows are free."""
+    rows = rows.sort_values(["score", "a_idx", "b_idx"], ascending=[False, True, True], kind="stable")
+    used_a, used_b, keep = set(), set(), []
+    for k, (a, b) in enumerate(zip(rows["a_idx"], rows["b_idx"], strict=True)):
+        if a not in used_a and b not in used_b:
+            used_a.add(a)
+            used_b.add(b)
+            keep.append(k)
+    return rows.iloc[keep]
+
+
+def _split(rows: DataFrame, block: str) -> tuple[DataFrame, DataFrame, bool]:
+    """Rows of blocks of at most ``GROUP`` pairs, the others, and whether there are others."""
+    sizes = cut(rows.groupBy(block).agg(F.count("*").alias("_n")).where(F.col("_n") > GROUP).select(block), "large-blocks")
+    if sizes.isEmpty():
+        return rows, rows.limit(0), False
+    return rows.join(sizes, block, "left_anti"), rows.join(sizes, block, "left_semi"), True
+
+
+def greedy(pairs: DataFrame, block: str) -> DataFrame:
+    """One-to-one pairs of each block, best score first, then the earliest indexes.
+
+    Blocks of at most ``GROUP`` pairs are chosen in a task each. In the others each round takes
+    every pair that comes first for both of its rows, and besides what the block's first
+    ``GROUP`` pairs give in order; both are pairs that the order would take. Then the pairs of
+    rows that are taken go, until none is left.
+    """
+    rows = cut(pairs.where("a_idx is not null and b_idx is not null").select(block, "a_idx", "b_idx", "score"), "pairs")
+    few, many, more = _split(rows, block)
+    out = _grouped(few, [block], block, _first_free)
+    order = [F.desc("score"), F.asc("a_idx"), F.asc("b_idx")]
+    key = F.struct((-F.col("score")).alias("s"), "a_idx", "b_idx")
+    while more:
+        first = lambda side: many.groupBy(block, f"{side}_idx").agg(F.min(key).alias("k")).select(block, "k.a_idx", "k.b_idx", (-F.col("k.s")).alias("score"))  # noqa: B023, E731
+        best = first("a").join(first("b").drop("score"), [block, "a_idx", "b_idx"])
+        head = many.withColumn("_r", F.row_number().over(Window.partitionBy(block).orderBy(*order))).where(F.col("_r") <= GROUP)
+        taken = cut(best.select(block, "a_idx", "b_idx", "score").unionByName(_grouped(head, [block], block, _first_free)).dropDuplicates([block, "a_idx", "b_idx"]), "taken")
+        out = out.unionByName(taken)
+        old, many = many, cut(many.join(taken.select(block, "a_idx"), [block, "a_idx"], "left_anti").join(taken.select(block, "b_idx"), [block, "b_idx"], "left_anti"), "pairs-left")
+        few, many, more = _split(many, block)
+        out = out.unionByName(_grouped(few, [block], block, _first_free))
+    return out
 
 
 def optimal(pairs: DataFrame, block: str) -> DataFrame:
-    """One-to-one pairs of each block with the greatest sum of scores; unpaired rows score nothing."""
+    """One-to-one pairs of each block with the greatest sum of scores; unpaired rows score nothing.
 
-    def choose(rows: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for name, part in rows.groupby(block):
-            a, b = sorted(part["a_idx"].unique()), sorted(part["b_idx"].unique())
-            at_a, at_b = {x: i for i, x in enumerate(a)}, {x: i for i, x in enumerate(b)}
-            gain = np.zeros((len(a), len(b)))
-            for x, y, s in zip(part["a_idx"], part["b_idx"], part["score"], strict=True):
-                gain[at_a[x], at_b[y]] = max(gain[at_a[x], at_b[y]], s)
-            out += [(name, a[i], b[j], gain[i, j]) for i, j in assignment(gain) if gain[i, j] > 0]
-        return pd.DataFrame(out, columns=[block, "a_idx", "b_idx", "score"])
-
-    return _by_component(pairs, block, choose)
-
-
-def assignment(gain: np.ndarray) -> list[tuple[int, int]]:
-    """Row and column pairs of a matrix with the greatest sum: shortest augmenting paths with potentials."""
-    if gain.shape[0] > gain.shape[1]:
-        return sorted((i, j) for j, i in assignment(gain.T))
-    cost = gain.max() - gain if gain.size else gain
-    n, m = cost.shape
-    u, v, mate = np.zeros(n), np.zeros(m), np.full(m, -1)
-    for i in range(n):
-        dist, back, done = cost[i] - u[i] - v, np.full(m, -1), np.zeros(m, bool)
-        while True:
-            j = int(np.argmin(np.where(done, np.inf, dist)))
-            done[j] = True
-            if mate[j] < 0:
+    Where the smaller side of a block has m rows, some best choice uses only the m best pairs of
+    each row of either side, so the others go: what meets is bounded by the square of the smaller
+    side, however large the other. Blocks of over ``GROUP`` pairs that are left fall apart into
+    connected components first; each component is chosen by augmenting paths over its pairs.
+    """
+    rows = cut(pairs.where("score > 0 and a_idx is not null and b_idx is not null").groupBy(block, "a_idx", "b_idx").agg(F.max("score").alias("score")), "pairs")
+    few, many, more = _split(rows, block)
+    if not more:
+        return _grouped(few, [block], block, _best_sum)
+    side = many.groupBy(block).agg(F.least(F.count_distinct("a_idx"), F.count_distinct("b_idx")).alias("_m"))
+    for one, other in (("a_idx", "b_idx"), ("b_idx", "a_idx")):
+        rank = F.row_number().over(Window.partitionBy(block, one).orderBy(F.desc("score"), other))
+        many = many.withColumn("_r", rank).join(side, block).where(F.col("_r") <= F.col("_m")).drop("_r", "_m")
+    many = cut(many, "best-pairs")
+    node = lambda s: F.xxhash64(F.col(block), F.lit(s), F.col(f"{s}_idx"))
+    roots = components(many.select(node("a").alias("a"), node("b").alias("b")))
+    named = many.withColumn("_node", node("a")).join(roots.select(F.col("node").alias("_node"), F.col("root").alias("_root")), "_node")
+    return _grouped(few, [block], block, _best_sum).unionByName(_grouped(named, ["_root", block], block, _best_sum))
+
+
+def _best_sum(rows: pd.DataFrame) -> pd.DataFrame:
+    a, at_a = np.unique(rows["a_idx"].to_numpy(), return_inverse=True)
+    b, at_b = np.unique(rows["b_idx"].to_numpy(), return_inverse=True)
+    chosen = assignment(len(a), at_a, at_b, rows["score"].to_numpy())
+    return rows.iloc[sorted(chosen)]
+
+
+def assignment(n: int, a: np.ndarray, b: np.ndarray, gain: np.ndarray) -> list[int]:
+    """Of pairs (a, b) with a positive gain those, one to one, with the greatest sum.
+
+    Rows 0 to n - 1 of a enter one by one, each by the shortest augmenting path (reduced costs,
+    potentials, a heap) over the pairs alone; a row may also stay without a partner for nothing.
+    Memory is that of the pairs, and a step looks only at what its path reaches.
+    """
+    of: list[list[tuple[int, float, int]]] = [[] for _ in range(n)]
+    for k, (i, j, g) in enumerate(zip(a.tolist(), b.tolist(), gain.tolist(), strict=True)):
+        of[i].append((j, g, k))
+    u = [-max((g for _, g, _ in e), default=0.0) for e in of]
+    v: dict[int, float] = {}
+    owner: dict[int, int] = {}
+    pair: list[int | None] = [None] * n  # the pair that a row has, None for none
+    for start in range(n):
+        # distances of rows; a column is reached over the pair that names it
+        at_row, at_col, over = {start: 0.0}, {}, {}
+        u[start] = min([0.0, *(-g - v.get(j, 0.0) for j, g, _ in of[start])])
+        heap, end, length = [(0.0, 0, start)], None, 0.0
+        done: list[int] = []
+        while heap:
+            d, what, x = heapq.heappop(heap)
+            if what:
+                end, length = (what, x), d
                 break
-            k = mate[j]
-            other = dist[j] + cost[k] - u[k] - v - (cost[k, j] - u[k] - v[j])
-            nearer = ~done & (other < dist)
-            dist[nearer], back[nearer] = other[nearer], j
-        far = dist[j]
-        for c in np.flatnonzero(done):
-            if c != j and mate[c] >= 0:
-                u[mate[c]] += far - dist[c]
-                v[c] -= far - dist[c]
-        u[i] += far
-        while back[j] >= 0:
-            mate[j] = mate[back[j]]
-            j = back[j]
-        mate[j] = i
-    return sorted((int(i), int(j)) for j, i in enumerate(mate) if i >= 0)
+            if d > at_row[x]:
+                continue
+            done.append(x)
+            heapq.heappush(heap, (d - u[x], 1, x))  # x stays alone
+            for j, g, k in of[x]:
+                far = d - g - u[x] - v.get(j, 0.0)
+                if k != pair[x] and far < at_col.get(j, np.inf) - 1e-15:
+                    at_col[j], over[j] = far, (x, k)
+                    if j not in owner:
+                        heapq.heappush(heap, (far, 2, j))
+                    elif far < at_row.get(owner[j], np.inf):
+                        at_row[owner[j]] = far
+                        heapq.heappush(heap, (far, 0, owner[j]))
+        for x in done:
+            u[x] += length - at_row[x]
+        for j, d in at_col.items():
+            if d < length and j in owner:
+                v[j] = v.get(j, 0.0) - (length - d)
+        what, x = end
+        if what == 1:  # x gives its column to the one before it on the path
+            j = None if x == start else next(c for c, _, k in of[x] if k == pair[x])
+            pair[x] = None
+        else:
+            j = x
+        while j is not None:
+            x, k = over[j]
+            left = None if x == start else next(c for c, _, q in of[x] if q == pair[x])
+            owner[j], pair[x] = x, k
+            j = left
+    return [k for k in pair if k is not None]
 
 
 def exact_pairs(a: DataFrame, b: DataFrame, block: str, text: str = "text") -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -60,6 +61,23 @@ def name_likeness(a: str, b: str) -> float:
     return max(prefix, 1.0 - row[-1] / longer)
 
 
+def name_may(a: list[str], b: list[str], least: float) -> np.ndarray:
+    """Which names ``name_likeness`` can bring to ``least``: two first characters in common, or short with enough in common."""
+    a, b = [x.casefold() for x in a], [x.casefold() for x in b]
+    longer = np.maximum.outer([len(x) for x in a], [len(x) for x in b])
+    start = np.array([x[:2] for x in a])[:, None] == np.array([x[:2] for x in b])
+    return start | ((longer <= 15) & (M.common_letters(a, b) >= least * longer - 1e-9))
+
+
+def name_factor(least: float) -> float | None:
+    """How many times as long as another a name may be: of ``least`` over .60 the common beginning tells.
+
+    Case folding makes up to three characters of one.
+    """
+    share = min(max(4 * (least - 0.60), 0.3), least / (2 - least))
+    return 3 / share if least > 0.60 else None
+
+
 def compare(a: DataFrame, b: DataFrame, key: str, least: float = 0.70) -> DataFrame:
     """(key, name_a, name_b, value_a, value_b, status) of two sides' parameters (key, ord, name, value).
 
@@ -73,7 +91,7 @@ def compare(a: DataFrame, b: DataFrame, key: str, least: float = 0.70) -> DataFr
     exact = both.where("ord_a is not null and ord_b is not null")
     left = both.where("ord_b is null").select(key, F.col("ord_a").alias("idx"), F.col("name_a").alias("text"), "value_a")
     right = both.where("ord_a is null").select(key, F.col("ord_b").alias("idx"), F.col("name_b").alias("text"), "value_b")
-    pairs = M.greedy(M.alike(left, right, key, least, score=name_likeness), key)
+    pairs = M.greedy(M.alike(left, right, key, least, score=name_likeness, may=name_may, factor=name_factor(least)), key)
     fuzzy = pairs.join(left.select(key, F.col("idx").alias("a_idx"), F.col("text").alias("name_a"), "value_a"), [key, "a_idx"]).join(right.select(key, F.col("idx").alias("b_idx"), F.col("text").alias("name_b"), "value_b"), [key, "b_idx"])
     only_a = left.join(pairs.select(key, F.col("a_idx").alias("idx")), [key, "idx"], "left_anti").select(key, F.col("text").alias("name_a"), "value_a")
     only_b = right.join(pairs.select(key, F.col("b_idx").alias("idx")), [key, "idx"], "left_anti").select(key, F.col("text").alias("name_b"), "value_b")

@@ -70,7 +70,7 @@ def lost_proper_nouns(t):
 
 
 def _versions(t):
-    """The k-th document of a source beside the k-th of the next source."""
+    """The first and the second document of each pair of documents."""
     rows = t.documents.select((F.col("doc_id") / 2).cast("long").alias("pair"), (F.col("doc_id") % 2).alias("side"), "text")
     return rows.where("side = 0").select("pair", "text"), rows.where("side = 1").select("pair", "text")
 
@@ -169,7 +169,6 @@ def rule_trigger_counts(t):
 
 @query()
 def gold_assignment(t):
-    """The sentences of a conversation's user are its gold rows, those of the assistant what was found."""
-    rows = G.exploded(t.conversations.withColumn("key", F.struct("conv_id", "turn", "role")), X.sentences(F.col("text"), 5), "key")
-    rows = rows.select("key.conv_id", "key.role", (F.col("key.turn").cast("long") * NTH + F.col("idx")).alias("idx"), "text")
-    return E.gold_assignment(rows.where("role = 'user'"), rows.where("role = 'assistant'"), "conv_id", 0.6)
+    """The sentences of the benchmark's passages are gold rows; those of all documents are what was found."""
+    rows = lambda d, i: G.exploded(d, X.sentences(F.col("text"), 5), i).select(F.lit(0).alias("all"), (F.col(i).cast("long") * NTH + F.col("idx")).alias("idx"), "text")
+    return E.gold_assignment(rows(t.benchmark, "item_id"), rows(t.documents, "doc_id"), "all", 0.6).drop("all")

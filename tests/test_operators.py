@@ -175,6 +175,39 @@ def sentences_of(seed, n):
     return base + [changed(t) for t in base] + ["", "a"]
 
 
+def plain_lcs(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        left = 0
+        for j, y in enumerate(b, 1):
+            left, row[j] = row[j], left + 1 if x == y else max(row[j], row[j - 1])
+    return row[-1]
+
+
+@pytest.mark.parametrize("lanes", [256, 20])
+def test_bounds_of_a_ratio(monkeypatch, lanes):
+    monkeypatch.setattr(matching, "LANES", lanes)
+    monkeypatch.setattr(matching, "TOGETHER", 50)
+    r = random.Random(4)
+    text = lambda: "".join(r.choice("abcdeü😀 ") for _ in range(r.choice([0, 1, 5, 63, 64, 65, 129, 200])))
+    a, b = [text() for _ in range(20)], [text() for _ in range(25)]
+    i, j = (x.ravel() for x in np.indices((20, 25)))
+    assert matching.common_in_order(a, b, i, j).tolist() == [plain_lcs(a[p], b[q]) for p, q in zip(i, j, strict=True)]
+    letters = [[sum(min(x.count(c), y.count(c)) for c in set(x)) for y in b] for x in a]
+    assert matching.common_letters(a, b).tolist() == letters
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_names_that_may_be_alike(seed):
+    r = random.Random(seed)
+    name = lambda: "".join(r.choice("aAbBcß ") for _ in range(r.randint(0, 18)))
+    a, b = [name() for _ in range(60)], [name() for _ in range(60)]
+    want = {(i, j): s for i, x in enumerate(a) for j, y in enumerate(b) if (s := max(params.name_likeness(x, y), SequenceMatcher(None, x, y).ratio())) >= 0.7}
+    found = {(i, j): s for i, j, s in matching.near(a, b, 0.7, params.name_likeness, params.name_may)}
+    assert found == {k: pytest.approx(v) for k, v in want.items()}
+    assert all(max(len(a[i]), len(b[j])) <= params.name_factor(0.7) * min(len(a[i]), len(b[j])) for i, j in want)
+
+
 @pytest.mark.parametrize("least", [0.5, 0.8])
 def test_alike_finds_every_pair(spark, monkeypatch, least):
     monkeypatch.setattr(matching, "CHUNK", 7)
@@ -194,9 +227,12 @@ def plain_greedy(pairs):
     return out
 
 
-def test_greedy_by_component(spark):
+@pytest.mark.parametrize("group", [1 << 14, 7])
+@pytest.mark.parametrize("digits", [2, 0])
+def test_greedy_in_rounds(spark, monkeypatch, group, digits):
+    monkeypatch.setattr(matching, "GROUP", group)
     r = random.Random(9)
-    pairs = [(i, j, round(r.random(), 2)) for i in range(25) for j in range(25) if r.random() < 0.08]
+    pairs = [(i, j, round(r.random(), digits)) for i in range(25) for j in range(25) if r.random() < 0.08]
     rows = spark.createDataFrame([("k", *p) for p in pairs] + [("other", 0, 0, 0.5)], "b string, a_idx long, b_idx long, score double")
     got = {(p["a_idx"], p["b_idx"]) for p in matching.greedy(rows, "b").where("b = 'k'").collect()}
     assert got == plain_greedy(pairs)
@@ -312,10 +348,50 @@ def test_assignment_is_optimal(seed):
     r = np.random.default_rng(seed)
     gain = np.round(r.random((r.integers(1, 6), r.integers(1, 6))), 2)
     n, m = gain.shape
+    gain[gain < 0.2] = 0  # pairs that are not there; the best sum over all pairs may use them for nothing
     best = max(sum(gain[i, j] for i, j in zip(rows, cols, strict=True)) for rows in itertools.combinations(range(n), min(n, m)) for cols in itertools.permutations(range(m), min(n, m)))
-    pairs = matching.assignment(gain)
-    assert len({i for i, _ in pairs}) == len({j for _, j in pairs}) == len(pairs) == min(n, m)
-    assert sum(gain[i, j] for i, j in pairs) == pytest.approx(best)
+    a, b = np.nonzero(gain)
+    chosen = matching.assignment(n, a, b, gain[a, b])
+    assert len({a[k] for k in chosen}) == len({b[k] for k in chosen}) == len(chosen)
+    assert sum(gain[a[k], b[k]] for k in chosen) == pytest.approx(best)
+
+
+def dense_best_sum(gain):
+    """Shortest augmenting paths over a whole matrix, row by row, as a reference for larger cases."""
+    n, m = gain.shape
+    if n > m:
+        return dense_best_sum(gain.T)
+    cost, u, v, mate = -gain, np.zeros(n + 1), np.zeros(m + 1), np.zeros(m + 1, int)
+    for i in range(1, n + 1):
+        mate[0], j0, least, used, way = i, 0, np.full(m + 1, np.inf), np.zeros(m + 1, bool), np.zeros(m + 1, int)
+        while mate[j0]:
+            used[j0] = True
+            i0, delta, j1 = mate[j0], np.inf, 0
+            for j in range(1, m + 1):
+                if not used[j]:
+                    c = cost[i0 - 1, j - 1] - u[i0] - v[j]
+                    if c < least[j]:
+                        least[j], way[j] = c, j0
+                    if least[j] < delta:
+                        delta, j1 = least[j], j
+            u[mate[used]] += delta
+            v[used] -= delta
+            least[~used] -= delta
+            j0 = j1
+        while j0:
+            mate[j0], j0 = mate[way[j0]], way[j0]
+    return sum(gain[mate[j] - 1, j - 1] for j in range(1, m + 1) if mate[j])
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_assignment_of_larger_sparse_graphs(seed):
+    r = np.random.default_rng(seed)
+    gain = np.round(r.random((r.integers(20, 60), r.integers(20, 60))), 1 + seed % 3) * (r.random() < 0.7)
+    gain = np.where(np.random.default_rng(seed + 99).random(gain.shape) < 0.15, gain, 0)
+    a, b = np.nonzero(gain)
+    chosen = matching.assignment(gain.shape[0], a, b, gain[a, b])
+    assert len({a[k] for k in chosen}) == len({b[k] for k in chosen}) == len(chosen)
+    assert sum(gain[a[k], b[k]] for k in chosen) == pytest.approx(dense_best_sum(gain))
 
 
 def test_greedy_and_optimal(spark):
@@ -480,7 +556,9 @@ def test_streams(spark, tmp_path):
     assert len(got) == 2
 
 
-def test_optimal_by_component_equals_the_whole_matrix(spark):
+@pytest.mark.parametrize("group", [1 << 14, 5])
+def test_optimal_by_component_equals_the_whole_matrix(spark, monkeypatch, group):
+    monkeypatch.setattr(matching, "GROUP", group)
     r = random.Random(5)
     rows = [("k", i, j, round(r.random(), 3) + 0.01) for i in range(14) for j in range(14) if r.random() < 0.12]
     gain = np.zeros((14, 14))
@@ -488,7 +566,7 @@ def test_optimal_by_component_equals_the_whole_matrix(spark):
         gain[i, j] = s
     got = matching.optimal(spark.createDataFrame(rows, "b string, a_idx long, b_idx long, score double"), "b").collect()
     assert len({p["a_idx"] for p in got}) == len({p["b_idx"] for p in got}) == len(got)
-    assert sum(p["score"] for p in got) == pytest.approx(sum(gain[i, j] for i, j in matching.assignment(gain)))
+    assert sum(p["score"] for p in got) == pytest.approx(dense_best_sum(gain))
 
 
 def test_lines_greedy_compare_takes_every_turn_and_the_next_but_one(spark):
@@ -503,8 +581,13 @@ def test_lines_greedy_compare_takes_every_turn_and_the_next_but_one(spark):
 
 def test_gold_assignment_finds_passages_in_documents_of_any_label(spark):
     from lexmill.plans import all_queries
+    from lexmill.plans.registry import NTH
 
     sf = "/root/testdata/sf0.001"
     toxic = {r["doc_id"] for r in spark.read.parquet(f"{sf}/labels.parquet").where("toxic = 1").collect()}
-    got = {r["b_idx"] // 10000 for r in all_queries().QUERIES["gold_assignment"](spark, sf).collect()}
-    assert got - toxic
+    known = {r["doc_id"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    items = {r["item_id"] for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()}
+    rows = all_queries().QUERIES["gold_assignment"](spark, sf).collect()
+    found = {r["b_idx"] // NTH for r in rows}
+    assert found <= known and found - toxic and {r["a_idx"] // NTH for r in rows} <= items
+    assert len({r["a_idx"] for r in rows}) == len({r["b_idx"] for r in rows}) == len(rows) > len(items) / 2

@@ -7,7 +7,8 @@ take the highest ratio first and, of equals, the earliest pair; optimal choices
 from __future__ import annotations
 
 import heapq
-from collections.abc import Callable, Iterator, Sequence
+import itertools
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from difflib import SequenceMatcher
 
 import numpy as np
@@ -100,8 +101,10 @@ def scored(pairs: DataFrame, least: float, score: Column | None = None) -> DataF
 CHUNK = 512
 #: Longest text (the shorter of two) that is compared with many others at once.
 LANES = 256
-#: Pairs compared at once, which bounds a task's memory.
-TOGETHER = 1 << 16
+#: Pairs that one sweep compares, all of like length.
+TOGETHER = 1 << 13
+#: Pairs whose letters allow a ratio, of several pieces of work, that are compared together.
+WAITING = 1 << 16
 
 
 def _codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -143,6 +146,7 @@ def common_in_order(a: list[str], b: list[str], i: np.ndarray, j: np.ndarray) ->
         chosen = np.flatnonzero(left == flag)
         size = (la if flag else lb)[p[chosen]]
         few = chosen[size <= LANES]
+        few = few[np.argsort((lb if flag else la)[q[few]], kind="stable")]
         for k in range(0, len(few), TOGETHER):
             at = few[k : k + TOGETHER]
             out[at] = _lanes(short, long, p[at], q[at])
@@ -211,6 +215,9 @@ Score = Callable[[str, str], float]
 May = Callable[[list[str], list[str], float], np.ndarray]
 
 
+Work = tuple[list[str], list[str]]
+
+
 def near(a: list[str], b: list[str], least: float, score: Score | None = None, may: May | None = None) -> list[tuple[int, int, float]]:
     """All pairs of texts whose ratio is ``least`` or more.
 
@@ -219,29 +226,59 @@ def near(a: list[str], b: list[str], least: float, score: Score | None = None, m
     and equal texts are compared once. ``score`` may raise a ratio; it is tried where ``may``
     says that it can, else on all pairs.
     """
+    return next(near_each([(a, b)], least, score, may))
+
+
+def near_each(work: Iterable[Work], least: float, score: Score | None = None, may: May | None = None) -> Iterator[list[tuple[int, int, float]]]:
+    """``near`` of each piece of work; the pairs of several are compared together."""
+    waiting, size = [], 0
+    for a, b in work:
+        waiting.append(_able(a, b, least))
+        size += len(waiting[-1][-1])
+        if size >= WAITING:
+            yield from _finish(waiting, least, score, may)
+            waiting, size = [], 0
+    yield from _finish(waiting, least, score, may)
+
+
+def _able(a: list[str], b: list[str], least: float):
+    """Distinct texts of both sides, which each row has, and the pairs whose lengths and letters allow the ratio."""
     if not a or not b:
-        return []
-    (xs, x_of), (ys, y_of) = (np.unique(np.array(t, object), return_inverse=True) for t in (a, b))
+        return [], [], None, None, np.empty(0, np.int64), np.empty(0, np.int64)
+    (xs, x_of), (ys, y_of) = (np.unique(np.array([*t, None], object)[:-1], return_inverse=True) for t in (a, b))
     xs, ys = xs.tolist(), ys.tolist()
     lx, ly = (np.fromiter(map(len, t), np.int64, len(t)) for t in (xs, ys))
-    both = lx[:, None] + ly
-    able = 2.0 * common_letters(xs, ys) >= least * both - 1e-9
-    i, j = np.nonzero(able)
-    kept = 2.0 * common_in_order(xs, ys, i, j) >= least * both[i, j] - 1e-9
-    able[i[~kept], j[~kept]] = False
-    tried = able if score is None else able | (may(xs, ys, least) if may else np.True_)
-    found: dict[tuple[int, int], float] = {}
-    for k in np.flatnonzero(tried.any(0)):
-        m = SequenceMatcher(None, "", ys[k])
-        for r in np.flatnonzero(tried[:, k]):
-            best = score(xs[r], ys[k]) if score else 0.0
-            if able[r, k] and best < 1.0:
-                m.set_seq1(xs[r])
-                best = max(best, m.ratio())
-            if best >= least:
-                found[int(r), int(k)] = best
-    at_x, at_y = _places(x_of), _places(y_of)
-    return [(p, q, s) for (r, k), s in found.items() for p in at_x[r] for q in at_y[k]]
+    i, j = np.nonzero(2.0 * common_letters(xs, ys) >= least * (lx[:, None] + ly) - 1e-9)
+    return xs, ys, x_of, y_of, i, j
+
+
+def _finish(waiting: list, least: float, score: Score | None, may: May | None) -> Iterator[list[tuple[int, int, float]]]:
+    if not waiting:
+        return
+    left, right = (list(itertools.chain.from_iterable(w[k] for w in waiting)) for k in (0, 1))
+    at = [np.cumsum([0, *(len(w[k]) for w in waiting)]) for k in (0, 1)]
+    i, j = (np.concatenate([w[4 + k] + at[k][n] for n, w in enumerate(waiting)]) for k in (0, 1))
+    la, lb = (np.fromiter(map(len, t), np.int64, len(t)) for t in (left, right))
+    kept = 2.0 * common_in_order(left, right, i, j) >= least * (la[i] + lb[j]) - 1e-9
+    begin = 0
+    for xs, ys, x_of, y_of, i, j in waiting:
+        able = np.zeros((len(xs), len(ys)), bool)
+        own = kept[begin : begin + len(i)]
+        able[i[own], j[own]] = True
+        begin += len(i)
+        tried = able if score is None or not xs else able | (may(xs, ys, least) if may else np.True_)
+        found: dict[tuple[int, int], float] = {}
+        for k in np.flatnonzero(tried.any(0)):
+            m = SequenceMatcher(None, "", ys[k])
+            for r in np.flatnonzero(tried[:, k]):
+                best = score(xs[r], ys[k]) if score else 0.0
+                if able[r, k] and best < 1.0:
+                    m.set_seq1(xs[r])
+                    best = max(best, m.ratio())
+                if best >= least:
+                    found[int(r), int(k)] = best
+        at_x, at_y = (_places(x_of), _places(y_of)) if found else ([], [])
+        yield [(p, q, s) for (r, k), s in found.items() for p in at_x[r] for q in at_y[k]]
 
 
 def _places(of: np.ndarray) -> list[list[int]]:
@@ -275,16 +312,41 @@ def alike(a: DataFrame, b: DataFrame, block: str, least: float, text: str = "tex
         own = F.pmod(F.xxhash64("idx"), F.col(f"_n{mine}")).cast("int")
         return rows.select(block, "idx", "text", "_banda", "_bandb", own.alias(i), F.explode(F.sequence(F.lit(0), F.col(f"_n{other}") - 1)).alias(j))
 
-    def meet(rows: pd.DataFrame) -> pd.DataFrame:
-        left, right = rows[rows["_side"] == 0], rows[rows["_side"] == 1]
-        found = near(left["text"].tolist(), right["text"].tolist(), least, score, may)
-        x, y = left["idx"].to_numpy(), right["idx"].to_numpy()
-        key = pd.Series([rows[block].iloc[0]] * len(found), dtype=None if found and rows[block].dtype.kind in "iuf" else object)
-        return pd.DataFrame({block: key, "a_idx": [x[i] for i, _, _ in found], "b_idx": [y[j] for _, j, _ in found], "score": [s for _, _, s in found]})
+    group = [block, "_banda", "_bandb", "_i", "_j"]
+
+    def pieces(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """The rows of each group, which lie together but may be cut between two frames."""
+        rest = None
+        for f in frames:
+            f = f if rest is None else pd.concat([rest, f], ignore_index=True)
+            keys = f[group]
+            starts = np.flatnonzero((keys != keys.shift()).any(axis=1).to_numpy())
+            for k, n in zip(starts[:-1], starts[1:], strict=True):
+                yield f.iloc[k:n]
+            rest = f.iloc[starts[-1] :] if len(starts) else f
+        if rest is not None and len(rest):
+            yield rest
+
+    def meet(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names: list[tuple] = []
+
+        def work() -> Iterator[Work]:
+            for rows in pieces(frames):
+                side = rows["_side"].to_numpy()
+                left, right = rows[side == 0], rows[side == 1]
+                names.append((rows[block].iloc[0], left["idx"].to_numpy(), right["idx"].to_numpy()))
+                yield left["text"].tolist(), right["text"].tolist()
+
+        for found in near_each(work(), least, score, may):
+            key, x, y = names.pop(0)
+            if found:
+                yield pd.DataFrame({block: [key] * len(found), "a_idx": [x[i] for i, _, _ in found], "b_idx": [y[j] for _, j, _ in found], "score": [s for _, _, s in found]})
 
     both = dealt(left, "a", "b", "_i", "_j").withColumn("_side", F.lit(0)).unionByName(dealt(right, "b", "a", "_j", "_i").withColumn("_side", F.lit(1)))
     schema = f"`{block}` {a.schema[block].dataType.simpleString()}, a_idx long, b_idx long, score double"
-    return both.groupBy(block, "_banda", "_bandb", "_i", "_j").applyInPandas(meet, schema)
+    # a number of partitions of its own: by their bytes alone the pieces would be put into few tasks
+    tasks = int(a.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return both.repartition(tasks, *group).sortWithinPartitions(*group).mapInPandas(meet, schema)
 
 
 #: Pairs of a block that one task chooses among; blocks of more are chosen in rounds.

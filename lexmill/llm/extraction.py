@@ -63,7 +63,7 @@ class Crf:
         return out[::-1]
 
     def main_text(self, html: str | None) -> str:
-        page = blocks(html)
+        page = blocks(html, known=self.weights)
         return "\n".join(b.text for b, y in zip(page, self.decode(self.scores(page)), strict=True) if y)
 
 

@@ -2,14 +2,18 @@
 
 A leaf block is a run of text between the boundaries of block-level elements, with the open
 elements around it. Character references are decoded and white space becomes single spaces.
+
+Pages are read in one sweep, as browsers read them: nothing that a page holds is an error, a tag
+that nothing ends runs to the end of the page, as does a comment or a script, and every
+declaration that is no comment ends at the next ``>``. The time is in proportion to the page.
 """
 
 from __future__ import annotations
 
+import html as _html
 import re
 from collections import Counter
-from collections.abc import Callable
-from html.parser import HTMLParser
+from collections.abc import Callable, Collection
 
 BLOCK_TAGS = frozenset(
     "address article aside blockquote body button caption center dd details dialog div dl dt fieldset figcaption figure footer form"
@@ -33,19 +37,94 @@ class Block:
         self.text, self.linked, self.tag, self.around, self.mark = text, linked, tag, around, mark
 
 
-class _Parser(HTMLParser):
-    """Collects blocks. ``mark`` is the value of the nearest ``data-main``, which labelled pages carry."""
+#: Elements whose content is no markup.
+RAW_TAGS = frozenset(("script", "style"))
+_TAG = re.compile(r"[^\t\n\f\r />]*")
+_ATTRIBUTE = re.compile(r"""[\s/]*([^\s/>][^\s/>=]*)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]*))?""")
+_GAP = re.compile(r"[\s/]*")
+_RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])", re.IGNORECASE) for t in RAW_TAGS}
+_ZEROS = re.compile(r"(&#[xX]?)0{8,}")
+_LONG_REFERENCE = re.compile(r"&#(?:[0-9]{8,}|[xX][0-9a-fA-F]{8,});?")
+
+
+def decoded(text: str) -> str:
+    """A text with its character references decoded; numbers beyond all characters are U+FFFD."""
+    if "&" not in text:
+        return text
+    return _html.unescape(_LONG_REFERENCE.sub("\ufffd", _ZEROS.sub(r"\g<1>0", text)))
+
+
+class _Reader:
+    """Collects blocks. ``mark`` is the value of the nearest ``data-main``, which labelled pages carry.
 
-    def __init__(self, marks: bool = False):
-        super().__init__(convert_charrefs=True)
+    With ``known``, elements and names that it has not are left out of what is around a block, so
+    that this stays small however deep a page nests.
+    """
+
+    def __init__(self, marks: bool = False, known: Collection[str] | None = None):
         self.blocks: list[Block] = []
-        self.marks = marks
+        self.marks, self.known = marks, known
         # (tag, block tag, features of it and those around it, mark)
         self.stack: list[tuple[str, str, frozenset[str], str | None]] = [("", "", frozenset(), None)]
         self.open: Counter[str] = Counter()
         self.parts: list[str] = []
         self.linked = self.hidden = 0
 
+    def read(self, page: str) -> None:
+        at, end = 0, len(page)
+        while at < end:
+            lt = page.find("<", at)
+            if lt < 0 or lt + 1 == end:
+                self.data(page[at:])
+                break
+            what = page[lt + 1]
+            if what.isascii() and what.isalpha():
+                self.data(page[at:lt])
+                at = self.tag(page, lt)
+            elif what in "/!?":
+                self.data(page[at:lt])
+                at = self.other(page, lt, what)
+            else:
+                self.data(page[at : lt + 1])
+                at = lt + 1
+        self.flush()
+
+    def tag(self, page: str, lt: int) -> int:
+        """Where the start tag at ``lt`` ends; an unfinished one is dropped with the rest of the page."""
+        name = _TAG.match(page, lt + 1)
+        at, attributes = name.end(), []
+        while True:
+            found = _ATTRIBUTE.match(page, at)
+            if not found:
+                break
+            attributes.append((found[1].lower(), found[2]))
+            at = found.end()
+        at = _GAP.match(page, at).end()
+        if at >= len(page):
+            return at
+        tag = name[0].lower()
+        self.start(tag, attributes)
+        at += 1
+        if tag in RAW_TAGS:
+            close = _RAW_END[tag].search(page, at)
+            return close.start() if close else len(page)
+        return at
+
+    def other(self, page: str, lt: int, what: str) -> int:
+        """Where the end tag, comment, declaration or instruction at ``lt`` ends."""
+        if page.startswith("<!--", lt):
+            if page.startswith((">", "->"), lt + 4):
+                return page.index(">", lt) + 1
+            end = page.find("-->", lt + 4)
+            return len(page) if end < 0 else end + 3
+        end = page.find(">", lt)
+        if end < 0:
+            return len(page)
+        name = _TAG.match(page, lt + 2)[0]
+        if what == "/" and name[:1].isascii() and name[:1].isalpha():
+            self.finish(name.lower())
+        return end + 1
+
     def flush(self) -> None:
         if self.parts:
             text = " ".join("".join(self.parts).split())
@@ -64,7 +143,7 @@ class _Parser(HTMLParser):
             if last == tag:
                 return
 
-    def handle_starttag(self, tag: str, attrs) -> None:
+    def start(self, tag: str, attributes: list[tuple[str, str | None]]) -> None:
         if tag == "br":
             self.parts.append(" ")
             return
@@ -79,48 +158,37 @@ class _Parser(HTMLParser):
         above = self.stack[-1]
         around, mark = above[2], above[3]
         own = ["in=" + tag] if tag in BLOCK_TAGS else []
-        for name, value in attrs:
+        for name, value in attributes:
+            value = value[1:-1] if value and value[0] in "\"'" and value[-1] == value[0] and len(value) > 1 else value
             if name in ("class", "id", "role") and value:
-                own += ["named=" + w.lower() for w in _WORD.findall(value)]
+                own += ["named=" + w.lower() for w in _WORD.findall(decoded(value))]
             elif self.marks and name == "data-main":
                 mark = value
-        around = around.union(own) if own else around
-        self.stack.append((tag, tag if tag in BLOCK_TAGS else above[1], around, mark))
+        new = {f for f in own if f not in around and (self.known is None or f in self.known)}
+        self.stack.append((tag, tag if tag in BLOCK_TAGS else above[1], around | new if new else around, mark))
         self.open[tag] += 1
         self.hidden += tag in HIDDEN_TAGS
 
-    def handle_endtag(self, tag: str) -> None:
+    def finish(self, tag: str) -> None:
         if tag in BLOCK_TAGS:
             self.flush()
         self.pop(tag)
 
-    def handle_startendtag(self, tag: str, attrs) -> None:
-        """As in browsers, the slash of ``<div/>`` means nothing; such a script still runs to its end tag."""
-        self.handle_starttag(tag, attrs)
-        if tag in self.CDATA_CONTENT_ELEMENTS:
-            self.set_cdata_mode(tag)
-
-    def parse_comment(self, i: int, report: bool = True) -> int:
-        """A comment that nothing closes runs to the end of the page."""
-        end = super().parse_comment(i, report)
-        return len(self.rawdata) if end < 0 else end
-
-    def handle_data(self, data: str) -> None:
-        if not self.hidden:
-            self.parts.append(data)
+    def data(self, text: str) -> None:
+        if text and not self.hidden:
+            text = decoded(text)
+            self.parts.append(text)
             if self.open["a"] or self.open["button"]:
-                self.linked += len(data.strip())
+                self.linked += len(text.strip())
 
 
-def blocks(html: str | None, marks: bool = False) -> list[Block]:
+def blocks(html: str | None, marks: bool = False, known: Collection[str] | None = None) -> list[Block]:
     """The leaf blocks of a page in order; null and empty pages have none."""
     if not html:
         return []
-    parser = _Parser(marks)
-    parser.feed(html)
-    parser.close()
-    parser.flush()
-    return parser.blocks
+    reader = _Reader(marks, known)
+    reader.read(html)
+    return reader.blocks
 
 
 _SCALE = (10, 25, 60, 140, 400)

@@ -66,6 +66,95 @@ def word_diff(a: Column | str, b: Column | str) -> Column:
     return run(a, b)
 
 
+def edit_script(a: str, b: str) -> list[tuple[str, str]]:
+    """Runs of (equal, delete or insert, text) that turn a into b, with the fewest characters deleted and inserted.
+
+    Halves of a meet the place of b where their longest common subsequences add up to most; the
+    lengths for all places at once are the bits of one number, so memory is linear.
+    """
+    out: list[tuple[str, str]] = []
+
+    def put(tag: str, text: str) -> None:
+        if text:
+            if out and out[-1][0] == tag:
+                out[-1] = (tag, out[-1][1] + text)
+            else:
+                out.append((tag, text))
+
+    work = [(a, b)]
+    while work:
+        a, b = work.pop()
+        if a == b:
+            put("equal", a)
+        elif not a or not b:
+            put("delete", a)
+            put("insert", b)
+        elif len(a) == 1:
+            k = b.find(a)
+            if k < 0:
+                put("delete", a)
+            else:
+                put("insert", b[:k])
+                put("equal", a)
+            put("insert", b[k + 1 :])
+        else:
+            same = next((k for k, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+            if same:
+                put("equal", a[:same])
+                work.append((a[same:], b[same:]))
+                continue
+            half = len(a) // 2
+            ahead, behind = _common_with_starts(a[:half], b), _common_with_starts(a[half:][::-1], b[::-1])[::-1]
+            k = int(np.argmax(ahead + behind))
+            work += [(a[half:], b[k:]), (a[:half], b[:k])]
+    # a deletion goes before the insertion beside it
+    tidy: list[tuple[str, str]] = []
+    for equal, runs in itertools.groupby(out, key=lambda r: r[0] == "equal"):
+        if equal:
+            tidy += runs
+        else:
+            texts = {"delete": "", "insert": ""}
+            for tag, text in runs:
+                texts[tag] += text
+            tidy += [(tag, text) for tag, text in texts.items() if text]
+    return tidy
+
+
+def _common_with_starts(a: str, b: str) -> np.ndarray:
+    """Length of the longest common subsequence of a and the first k characters of b, for k from 0."""
+    masks: dict[str, int] = {}
+    for k, c in enumerate(b):
+        masks[c] = masks.get(c, 0) | 1 << k
+    full = (1 << len(b)) - 1
+    v = full
+    for c in a:
+        u = v & masks.get(c, 0)
+        v = ((v + u) | (v - u)) & full
+    bits = np.unpackbits(np.frombuffer(v.to_bytes(len(b) // 8 + 1, "little"), np.uint8), bitorder="little")[: len(b)]
+    return np.concatenate([[0], np.cumsum(1 - bits.astype(np.int64))])
+
+
+def char_diff(a: Column | str, b: Column | str) -> Column:
+    """Runs of characters that are equal, deleted and inserted between two texts (tag, text); null counts as empty."""
+
+    @F.pandas_udf("array<struct<tag:string,text:string>>")
+    def run(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([[{"tag": t, "text": s} for t, s in edit_script(p or "", q or "")] for p, q in zip(x, y, strict=True)])
+
+    return run(a, b)
+
+
+def marked(diff: Column, delete: tuple[str, str] = ("[-", "-]"), insert: tuple[str, str] = ("{+", "+}")) -> Column:
+    """A diff as one text, what is deleted and inserted between marks."""
+    around = lambda d, m: F.concat(F.lit(m[0]), d["text"], F.lit(m[1]))
+    return F.array_join(F.transform(diff, lambda d: F.when(d["tag"] == "delete", around(d, delete)).when(d["tag"] == "insert", around(d, insert)).otherwise(d["text"])), "")
+
+
+def side_of(diff: Column, other: str) -> Column:
+    """One of the two texts of a diff: all of it but the runs tagged ``other``."""
+    return F.array_join(F.transform(F.filter(diff, lambda d: d["tag"] != other), lambda d: d["text"]), "")
+
+
 def candidates(a: DataFrame, b: DataFrame, block: str, text: str = "text", least_length: float = 0.4, n: int = 3, least_jaccard: float = 0.3) -> DataFrame:
     """Pairs of one block of like length whose n-gram sets have a Jaccard of ``least_jaccard`` or more.
 

@@ -10,9 +10,12 @@ from collections.abc import Callable, Iterator, Sequence
 from typing import Protocol
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import regex
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexmill.operators.spread import cut, join_spread
+
 
 class Provider(Protocol):
     name: str
@@ -54,3 +57,59 @@ def answered(rows: DataFrame, prompt: Column, providers: Sequence[Callable[[], P
 
     once = kept.select("_prompt").distinct().select("_prompt", ask("_prompt").alias("_a"))
     return kept.join(once, "_prompt").select(*rows.columns, "_a.*")
+
+
+class Checker(Protocol):
+    name: str
+
+    def check(self, texts: Sequence[str]) -> list[list[tuple[int, int, str]]]: ...
+
+
+class Repeats:
+    """Finds words said twice and runs of end marks: (start, end, message) in code points."""
+
+    name = "fallback"
+    found = ((regex.compile(r"(?i)\b(\p{L}+)\s+\1\b"), "repeated word"), (regex.compile(r"[!?]{2,}"), "repeated mark"))
+
+    def check(self, texts: Sequence[str]) -> list[list[tuple[int, int, str]]]:
+        return [[(m.start(), m.end(), why) for p, why in self.found for m in p.finditer(t)] for t in texts]
+
+
+def chunked(rows: DataFrame, text: str, size: int, keep: Sequence[str]) -> DataFrame:
+    """keep, chunk (its number), offset and text of pieces that make up each text.
+
+    A piece ends after a sentence or a line, else after white space, at most ``size`` characters
+    on; what has no white space stays whole. Null and empty texts have no pieces.
+    """
+    ends = rf"(?s).{{1,{size}}}(?:(?<=[.!?])(?=\s)|(?<=\n)|\z)|.{{1,{size}}}(?<=\s)|\S+|."
+    pieces = F.regexp_extract_all(F.col(text), F.lit(ends), 0)
+    out = rows.withColumn("_row", F.monotonically_increasing_id()).select("_row", *keep, F.posexplode(pieces).alias("chunk", "piece"))
+    before = F.sum(F.length("piece")).over(Window.partitionBy("_row").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1))
+    return out.select(*keep, "chunk", F.coalesce(before, F.lit(0)).alias("offset"), F.col("piece").alias("text"))
+
+
+def checked(rows: DataFrame, checker: Callable[[], Checker] = Repeats, size: int = 2000, text: str = "text", keep: Sequence[str] = ("doc_id",), batch: int = 64) -> DataFrame:
+    """keep, start, end, message and original_text of what a checker finds in each text.
+
+    The checker sees texts piece by piece (see ``chunked``), each distinct piece once, however
+    many texts hold it; places in a piece are mapped to places in its texts. What a checker finds
+    within a sentence is what it finds in the whole text.
+    """
+    pieces = chunked(rows, text, size, keep).withColumn("_key", F.sha2("text", 256))
+    pieces = cut(pieces, "checked-pieces")
+
+    @F.pandas_udf("array<struct<start:int,end:int,message:string>>")
+    def ask(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        service = checker()
+        for texts in batches:
+            out: list = []
+            for k in range(0, len(texts), batch):
+                out += [[{"start": s, "end": e, "message": m} for s, e, m in found] for found in service.check(texts.iloc[k : k + batch].tolist())]
+            yield pd.Series(out)
+
+    once = pieces.groupBy("_key").agg(F.first("text").alias("_text"), F.count("*").alias("_n"))
+    found = cut(once.select("_key", "_n", ask("_text").alias("_found")).where(F.size("_found") > 0), "checked-answers")
+    met = join_spread(pieces, found, ["_key"], "_n", pieces.count())
+    met = met.select(*keep, "offset", "text", F.inline("_found"))
+    place = lambda c: (F.col("offset") + F.col(c)).cast("int").alias(c)
+    return met.select(*keep, place("start"), place("end"), "message", F.substring("text", F.col("start") + 1, F.col("end") - F.col("start")).alias("original_text"))

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("usage", "texts", "findings", "comparison", "sources", "proof", "templates", "extras", "scalars", "reviewing", "wider", "more")
+MODULES = ("usage", "texts", "findings", "comparison", "sources", "proof", "templates", "extras", "scalars", "reviewing", "wider", "more", "pages")
 
 
 def all_queries():

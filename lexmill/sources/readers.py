@@ -303,13 +303,13 @@ def chapters(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", headin
 
 
 def pdf_text(data: bytes) -> str:
-    """Pages between form feeds, the blocks of a page from top to bottom."""
-    try:
-        import fitz
-    except ImportError as e:
-        raise RuntimeError("PDF files need the PyMuPDF library") from e
-    with fitz.open(stream=data, filetype="pdf") as doc:
-        return "\f".join("\n".join(b[4].strip() for b in sorted(page.get_text("blocks"), key=lambda b: (round(b[1] / 4), b[0])) if b[4].strip()) for page in doc)
+    """Pages between form feeds, lines from top to bottom; ``operators.layout`` tells columns, tables and chapters apart."""
+    from lexmill.sources.pdf import page_spans
+
+    pages: dict[int, dict[int, list[tuple[float, str]]]] = {}
+    for page, _, x0, _, y, _, _, text, *_ in page_spans(data):
+        pages.setdefault(page, {}).setdefault(round(y / 3), []).append((x0, text.strip()))
+    return "\f".join("\n".join(" ".join(t for _, t in sorted(line)) for _, line in sorted(pages.get(k, {}).items())) for k in range(max(pages, default=-1) + 1))
 
 
 PARSERS |= {

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from lexmill.llm._common import cut, field, free_name, positions
 
 #: Characters of text that one run of the SQL sees; a longer text comes in pieces.
-PIECE = 1 << 22
+PIECE = 1 << 20
 #: Longest run of words that is a feature.
 GRAMS = 3
 

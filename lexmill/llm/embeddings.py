@@ -7,10 +7,14 @@ swap one hash for its second largest coordinate. Vectors that share a bucket are
 every candidate pair is verified by cosine in double precision.
 
 Rows get keys of their own, so ids may repeat or be null. Equal vectors are one row with a
-count. Buckets of one vector go before any vector is moved. A bucket of many is cut into chunks and each pair of chunks is a piece of work of its own, so
-no task holds a whole bucket. Pairs are never written: a piece of work yields, for each vector,
-the links it found and one neighbour of its component there. A pair that meets in several
-buckets counts in the first of them only.
+count. Buckets of one vector go before any vector is moved. A bucket of many is cut into chunks
+and each pair of chunks is a piece of work of its own, so no task holds a whole bucket. Pairs are
+never written: a piece of work yields, for each vector, the links it found and one neighbour of
+its component there. A pair that meets in several buckets counts in the first of them only.
+
+Close copies of one vector share most of their buckets. Each vector has a home, the first of its
+hot buckets; in its other hot buckets it is not compared with vectors of the same home, which it
+has met there. So a large group of copies is compared about once, not once in each bucket.
 """
 
 from __future__ import annotations
@@ -29,6 +33,8 @@ from lexmill.operators.graph import components
 #: Vectors of one bucket that a piece of work compares with each other or with as many others: an
 #: eighth of the bucket between these, so that the pieces of a large bucket spread over the tasks.
 SMALLEST, CHUNK = 64, 1024
+#: The same of hot buckets, those of more than ``CHUNK`` vectors.
+HOT_CHUNK = 2048
 SALTS = 16
 
 
@@ -101,19 +107,41 @@ def _least_shared(a: np.ndarray, b: np.ndarray, probes: int) -> np.ndarray:
     return out
 
 
+def _met_before(a: np.ndarray, b: np.ndarray, bucket: int) -> np.ndarray:
+    """Which rows of codes of a and of b share a bucket before this one, by products of what they hold."""
+    both = np.intersect1d(a[a < bucket], b[b < bucket])
+    out = np.zeros((len(a), len(b)), bool)
+
+    def held(codes: np.ndarray, some: np.ndarray) -> np.ndarray:
+        at = np.minimum(np.searchsorted(some, codes), len(some) - 1)
+        rows, places = np.nonzero(some[at] == codes)
+        m = np.zeros((len(codes), len(some)), np.float32)
+        m[rows, at[rows, places]] = 1
+        return m
+
+    for k in range(0, len(both), 1 << 10):
+        some = both[k : k + (1 << 10)]
+        out |= held(a, some) @ held(b, some).T > 0
+    return out
+
+
 def _linked(ids: np.ndarray, counts: np.ndarray, codes: np.ndarray, x: np.ndarray, side: np.ndarray, bucket: int, least: float, probes: int) -> pd.DataFrame:
     """Links among the vectors of a piece of work: a row for each linked vector."""
     left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
     found = x[left] @ x[right].T >= least
+    dense = np.count_nonzero(found) > 16 * (len(left) + len(right))
+    if dense:  # the least bucket that both have is where the pair counts
+        found &= ~_met_before(codes[left], codes[right], bucket)
     a, b = np.nonzero(found)
     a, b = left[a], right[b]
     ahead = (side[a] != side[b]) | (a < b)  # within one chunk both orders were found
     a, b = a[ahead], b[ahead]
-    first = np.empty(len(a), bool)
-    for k in range(0, len(a), 1 << 14):  # the least bucket that both have is where the pair counts
-        part = slice(k, k + (1 << 14))
-        first[part] = _least_shared(codes[a[part]], codes[b[part]], probes) == bucket
-    a, b = a[first], b[first]
+    if not dense:
+        first = np.empty(len(a), bool)
+        for k in range(0, len(a), 1 << 14):
+            part = slice(k, k + (1 << 14))
+            first[part] = _least_shared(codes[a[part]], codes[b[part]], probes) == bucket
+        a, b = a[first], b[first]
     links = np.bincount(a, counts[b], len(ids)) + np.bincount(b, counts[a], len(ids))
     root = np.arange(len(ids))
     while True:  # least position over the links found here
@@ -164,6 +192,38 @@ def _compare(least: float, probes: int):
     return run
 
 
+def _pieces(met: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, rep, i, j, side) of the pieces of work of buckets (keys, rep, m): chunks i and j, all with all."""
+    chunk = F.greatest(F.lit(min(SMALLEST, CHUNK)), F.least(F.lit(CHUNK), F.ceil(F.col("m") / 8)))
+    met = met.withColumn("chunks", F.ceil(F.col("m") / chunk).cast("int")).withColumn("c", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("long"))
+    met = met.select(*keys, "rep", "c", F.explode(F.sequence(F.lit(0).cast("long"), (F.col("chunks") - 1).cast("long"))).alias("o"))
+    return met.select(*keys, "rep", *_ends())
+
+
+def _ends():
+    own = F.when(F.col("c") == F.col("o"), 2).otherwise((F.col("c") > F.col("o")).cast("int"))
+    return F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j"), own.alias("side")
+
+
+def _hot_pieces(met: DataFrame, keys: list[str]) -> DataFrame:
+    """The same of hot buckets: chunks of vectors of one other home are not paired with each other.
+
+    Homes with few vectors in a bucket share their chunks with those at home there.
+    """
+    homes = met.groupBy("rep").agg(F.min("bucket").alias("home"))
+    met = met.join(homes, "rep")
+    sizes = met.groupBy(*keys, "home").agg(F.count("*").alias("at_home"))
+    apart = (F.col("home") != F.col("bucket")) & (F.col("at_home") >= HOT_CHUNK // 2)
+    sizes = sizes.withColumn("part", F.when(apart, F.col("home")).otherwise(F.lit(-1).cast("long")))
+    parts = sizes.groupBy(*keys, "part").agg(F.ceil(F.sum("at_home") / HOT_CHUNK).cast("int").alias("chunks"))
+    named = sizes.select(*keys, "home", "part").join(parts, [*keys, "part"])
+    met = met.join(named, [*keys, "home"]).withColumn("n", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int"))
+    others = parts.select(*keys, F.col("part").alias("other"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("k"))
+    met = met.select(*keys, "rep", "part", "n").join(others, keys).where((F.col("part") != F.col("other")) | (F.col("part") == -1))
+    met = met.select(*keys, "rep", F.xxhash64("part", "n").alias("c"), F.xxhash64("other", "k").alias("o"))
+    return met.select(*keys, "rep", *_ends())
+
+
 def embedding_classes(
     table: DataFrame, least: float = 0.93, tables: int = 8, functions: int = 3, seed: int = 7, vec_id: str = "vec_id", embedding: str = "embedding", label: str = "label"
 ) -> DataFrame:
@@ -192,14 +252,8 @@ def embedding_classes(
     sizes = cut(dealt.groupBy(*keys).agg(F.count("*").alias("m")).where("m > 1"), "embedding-sizes")
     shared = sizes.agg(F.coalesce(F.sum("m"), F.lit(0))).first()[0]
     met = cut(join_spread(dealt, sizes, keys, "m", shared), "embedding-buckets")
-    chunk = F.greatest(F.lit(min(SMALLEST, CHUNK)), F.least(F.lit(CHUNK), F.ceil(F.col("m") / 8)))
-    chunks = F.ceil(F.col("m") / chunk).cast("int")
-    met = met.withColumn("chunks", chunks).withColumn("c", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("o")
-    met = met.select(*keys, "rep", "c", other).select(
-        *keys, "rep", F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j"), F.when(F.col("c") == F.col("o"), 2).otherwise((F.col("c") > F.col("o")).cast("int")).alias("side")
-    )
-    work = met.join(hashed.select("rep", "n", "vector", "codes"), "rep")
+    pieces = _pieces(met.where(F.col("m") <= CHUNK), keys).unionByName(_hot_pieces(met.where(F.col("m") > CHUNK), keys))
+    work = pieces.join(hashed.select("rep", "n", "vector", "codes"), "rep")
     order = [*keys, "i", "j"]
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     found = work.select(*order, "side", "rep", "n", "codes", "vector").repartition(parts, *order).sortWithinPartitions(*order).mapInArrow(_compare(least, functions + 1), "rep long, links long, near long")

@@ -193,3 +193,26 @@ def test_hadamard_keeps_lengths():
     x = np.random.default_rng(0).standard_normal((5, 16))
     y = embeddings.hadamard(x)
     assert np.allclose(np.linalg.norm(x, axis=1), np.linalg.norm(y, axis=1)) and np.allclose(embeddings.hadamard(y), x)
+
+
+@pytest.mark.parametrize("hot", [8, 40])
+def test_hot_buckets_link_each_pair_once(spark, monkeypatch, hot):
+    """Groups of close copies that share most of their buckets: all links of all pairs, each counted once."""
+    monkeypatch.setattr(embeddings, "CHUNK", 10)
+    monkeypatch.setattr(embeddings, "HOT_CHUNK", hot)
+    r = np.random.default_rng(4)
+    centres = r.normal(size=(3, 32))
+    x = np.concatenate([centres[0] + r.normal(size=(150, 32)) * 0.1, centres[1] + r.normal(size=(90, 32)) * 0.25, (centres[0] + centres[2])[None] + r.normal(size=(40, 32)) * 0.3])
+    rows = [(k, v.tolist(), 1) for k, v in enumerate(x)]
+    got = {g["vec_id"]: g for g in embeddings.embedding_classes(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    true = (u @ u.T >= 0.93).sum(axis=1) - 1
+    found = np.array([got[k]["n_links"] for k in range(len(x))])
+    assert (found <= true).all() and found[:150].sum() == true[:150].sum() and found.sum() >= 0.97 * true.sum()
+
+
+def test_pairs_met_before():
+    r = np.random.default_rng(1)
+    a, b = r.integers(0, 60, (30, 8)), r.integers(0, 60, (40, 8))
+    want = [[bool({c for c in x if c < 35} & {c for c in y if c < 35}) for y in b.tolist()] for x in a.tolist()]
+    assert embeddings._met_before(a, b, 35).tolist() == want

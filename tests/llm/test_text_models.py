@@ -1,6 +1,8 @@
+import itertools
 import math
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -205,6 +207,77 @@ def test_blocks():
     assert len(blocks("<div>" * 3000 + "deep")) == 1
 
 
+BROKEN = {
+    "<p>a</p><![foo b</p>c": ["a", "c"], "<p>x</p><![ ": ["x"], "<p>x</p><![3 you": ["x"], "<![CDATA[a>b]]>c": ["b]]>c"], "<!-->a<!--->b": ["ab"], "a<!-- b": ["a"], "a</>b</ c>d": ["abd"], "a<?php x ?>b": ["ab"], "a < b <3 c": ["a < b <3 c"],
+    "<p>cut <a href='x": ["cut"], "<p>a</p": ["a"], "x<script>if (a</b) '</p>'": ["x"], "&#00000000065;&#x110000;&#99999999999;&amp;&nosuch;": ["A\ufffd\ufffd&&nosuch;"], "<P CLASS=A>b</P\n>c": ["b", "c"], "<div a=\"x>y\" b='>'>z": ["z"], "<": ["<"], "a<": ["a<"],
+}
+
+
+def test_broken_pages():
+    for html, want in BROKEN.items():
+        assert [b.text for b in blocks(html)] == want, html
+
+
+@pytest.mark.parametrize(
+    "html",
+    ["<a " * 200_000, "<p>x</p>" + "<a " * 200_000 + ">y", "".join(f'<e{k} class="n{k}">t' for k in range(50_000)), "&#" + "9" * 100_000 + ";", "<" * 300_000, "<a b='" * 100_000, "</" * 200_000, "<!--" * 200_000, "<script>" * 100_000, "<p>" * 200_000, "<a " + "/ " * 300_000],
+    ids=range(11),
+)
+def test_strange_pages_take_time_in_proportion(html):
+    began = time.process_time()
+    default_model().main_text(html)
+    assert time.process_time() - began < 20
+
+
+def plain_main_text(model, html):
+    """Blocks by the standard library's parser, labels by trying all of them on short pages."""
+    from html.parser import HTMLParser
+
+    from lexmill.llm import html_blocks as H
+
+    reader = H._Reader()
+
+    class Plain(HTMLParser):
+        def handle_starttag(self, tag, attrs):
+            reader.start(tag, [(k, v) for k, v in attrs])
+
+        handle_startendtag = handle_starttag
+
+        def handle_endtag(self, tag):
+            reader.finish(tag)
+
+        def handle_data(self, data):
+            if data and not reader.hidden:
+                reader.parts.append(data)
+                reader.linked += len(data.strip()) if reader.open["a"] or reader.open["button"] else 0
+
+    parser = Plain(convert_charrefs=True)
+    parser.feed(html or "")
+    parser.close()
+    reader.flush()
+    page = reader.blocks
+    weight = [sum(model.weights.get(f, 0.0) for f in sorted(H.features(page)[k])) for k in range(len(page))]
+    best, found = None, ()
+    for labels in itertools.product((0, 1), repeat=len(page)):
+        score = sum(w for w, y in zip(weight, labels, strict=True) if y) + sum(model.step[a][b] for a, b in itertools.pairwise(labels)) + (model.start[labels[0]] if labels else 0)
+        if best is None or score > best:
+            best, found = score, labels
+    return "\n".join(b.text for b, y in zip(page, found, strict=True) if y)
+
+
+def test_pages_against_a_plain_version(spark):
+    from lexmill.llm.extraction import extract_pages
+
+    short = [h for h in labelled_pages(60, seed=3) if len(blocks(h)) <= 12][:12]
+    short += [None, "", "<p>One long paragraph of an article that says a lot, and then more.</p>", "<nav><a href=a>Home</a><a href=b>News</a></nav><article><h1>Title</h1><p>Text of the &lt;article&gt;, long enough to be one.</p></article><footer>© 2020</footer>"]
+    bad = list(BROKEN)
+    rows = [(k, "u", h) for k, h in enumerate([*short, *bad])]
+    got = {r["page_id"]: r for r in extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert len(got) == len(rows) and len(short) > 8
+    for k, h in enumerate(short):
+        assert got[k]["text"] == plain_main_text(default_model(), h) and got[k]["n_chars"] == len(got[k]["text"])
+
+
 def test_labelled_pages_held_out():
     model = default_model()
     right = total = 0

@@ -161,3 +161,20 @@ def test_little_padding_and_checksums(spark):
     for r in first:
         ids = np.array([*exact(texts[r["doc_id"]]), 1], "<u4")
         assert zlib.crc32(ids.tobytes()) == r["ids_crc32"]
+
+
+def test_long_runs_of_white_space(spark):
+    """Texts that the faster library refuses are packed with the ids of the other, and do not lose their neighbours."""
+    import public_tokenizers
+
+    from lexmill.llm import packing, tokens
+
+    texts = ["x" + " " * 2_000_000 + "y", "\n" * 1_000_000, "plain text", " \n\t" * 50_000, "a" + " " * 99_999 + "b"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    exact = tokens.encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    pieces = packing.pack(docs, public_tokenizers.path("byte_bpe_50k.tiktoken")).collect()
+    for k, t in enumerate(texts):
+        own = sorted((p for p in pieces if p["doc_id"] == k), key=lambda p: p["start"])
+        assert np.frombuffer(b"".join(p["ids"] for p in own), "<u4").tolist() == [*exact.ids(t), 1]
+    counts = {r["doc_id"]: r["n_tokens"] for r in tokens.token_counts(docs, public_tokenizers.path("byte_bpe_50k.json")).collect()}
+    assert counts == {k: len(exact.ids(t)) for k, t in enumerate(texts)}

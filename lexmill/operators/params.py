@@ -23,24 +23,25 @@ def value_key(c: Column) -> Column:
 VALUE = r"^[<>≤≥±~]?\s*\d"
 
 
-def extract(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", longest_name: int = 40, two_lines: bool = False) -> DataFrame:
+def extract(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", longest_name: int | None = None, two_lines: bool = False) -> DataFrame:
     """(doc_id, ord, name, value): ``name: value`` lines, those of lists too, and two-cell rows of pipe tables.
 
     With ``two_lines``, also a line without digits, colon or bar over one that begins with a number.
-    Longer names than ``longest_name`` are sentences, not names.
+    Longer names than ``longest_name``, if it is given, are sentences, not names.
     """
     rows = docs.select(doc_id, F.posexplode(X.lines(F.col(text))).alias("ord", "line"))
     bullet = r"^\s*(?:[-*•+]|\d+[.)])\s+"
     below = F.lead("line").over(Window.partitionBy(doc_id).orderBy("ord")) if two_lines else F.lit(None).cast("string")
     rows = rows.withColumns({"line": F.regexp_replace("line", bullet, ""), "below": F.trim(below)})
-    pair = F.regexp_extract_all("line", F.lit(r"^\s*([^:|]{1,200}?)\s*:\s*(\S.*?)\s*$"), 1), F.regexp_extract("line", r"^\s*([^:|]{1,200}?)\s*:\s*(\S.*?)\s*$", 2)
+    pair = F.regexp_extract_all("line", F.lit(r"^\s*([^:|]+?)\s*:\s*(\S.*?)\s*$"), 1), F.regexp_extract("line", r"^\s*([^:|]+?)\s*:\s*(\S.*?)\s*$", 2)
     cell = F.regexp_extract("line", r"^\s*\|?\s*([^|]+?)\s*\|\s*([^|]+?)\s*\|?\s*$", 1), F.regexp_extract("line", r"^\s*\|?\s*([^|]+?)\s*\|\s*([^|]+?)\s*\|?\s*$", 2)
     name = F.when(F.size(pair[0]) > 0, pair[0][0]).otherwise(cell[0])
     value = F.when(F.size(pair[0]) > 0, pair[1]).otherwise(cell[1])
     over = ~F.col("line").rlike(r"[\d:|]") & F.col("below").rlike(VALUE)
     name, value = F.when((name == "") & over, F.trim("line")).otherwise(name), F.when((name == "") & over, F.col("below")).otherwise(value)
     rows = rows.select(doc_id, "ord", name.alias("name"), value.alias("value"))
-    return rows.where((F.col("name") != "") & (F.col("value") != "") & (F.length("name") <= longest_name) & ~F.col("value").rlike(r"^[-=\s]+$"))
+    rows = rows.where((F.col("name") != "") & (F.col("value") != "") & ~F.col("value").rlike(r"^[-=\s]+$"))
+    return rows if longest_name is None else rows.where(F.length("name") <= longest_name)
 
 
 def name_likeness(a: str, b: str) -> float:

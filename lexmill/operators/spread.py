@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -26,7 +27,14 @@ def shared_dir(spark: SparkSession) -> str:
     return at
 
 
-_scopes: list[list[str]] = []
+class _Scopes(threading.local):
+    """The open scratch scopes of this thread; what another thread writes is not theirs."""
+
+    def __init__(self):
+        self.open: list[list[str]] = []
+
+
+_scopes = _Scopes()
 
 
 def cut(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
@@ -38,16 +46,18 @@ def cut(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lexmill-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    if _scopes and not keep:
-        _scopes[-1].append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    if _scopes.open and not keep:
+        _scopes.open[-1].append(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
 
 
 def discard(*written: DataFrame | None) -> None:
-    """Delete what ``cut`` wrote, once nothing reads it any more."""
+    """Delete what ``cut`` wrote and returned, once nothing reads it any more."""
     for df in written:
-        if df is not None:
-            _delete(df.sparkSession, sorted({f.rsplit("/", 1)[0] for f in df.inputFiles()}))
+        if (path := getattr(df, "written_to", None)) is not None:
+            _delete(df.sparkSession, [path])
 
 
 def _delete(spark: SparkSession, paths: list[str]) -> None:
@@ -64,11 +74,11 @@ def scratch(spark: SparkSession) -> Iterator[None]:
 
     Their results are read lazily, so write them elsewhere before.
     """
-    _scopes.append([])
+    _scopes.open.append([])
     try:
         yield
     finally:
-        _delete(spark, _scopes.pop())
+        _delete(spark, _scopes.open.pop())
 
 
 #: Keys that hold more than one in so many of all rows are heavy; there are fewer than that of them.

@@ -104,8 +104,9 @@ def optimal_assignment(t):
 
 @query()
 def aligned_turns(t):
-    rows = t.conversations.select("conv_id", F.col("turn").alias("idx"), "role", "text")
-    return M.aligned_in_order(rows.where("role = 'user'"), rows.where("role = 'assistant'"), "conv_id", least=0.3)
+    """The first and third turns of each four, of whatever role, against the second and fourth."""
+    rows = t.conversations.select("conv_id", F.col("turn").alias("idx"), "text")
+    return M.aligned_in_order(rows.where("idx % 2 = 0"), rows.where("idx % 2 = 1"), "conv_id", least=0.3)
 
 
 def _neighbours(t):
@@ -137,14 +138,14 @@ def similarity_buckets(t):
 @query(r"""
 WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS raw, unnest(range(0, len(string_split(text, chr(10))))) AS ord FROM documents),
 m AS (SELECT doc_id, ord, regexp_replace(raw, '^\s*(?:[-*•+]|\d+[.)])\s+', '') AS line, trim(lead(raw) OVER (PARTITION BY doc_id ORDER BY ord), ' ') AS below FROM l),
-x AS (SELECT doc_id, ord, line, below, regexp_extract(line, '^\s*([^:|]{1,200}?)\s*:\s*(\S.*?)\s*$', 1) AS n1, regexp_extract(line, '^\s*([^:|]{1,200}?)\s*:\s*(\S.*?)\s*$', 2) AS v1,
-  regexp_extract(line, '^\s*\|?\s*([^|]+?)\s*\|\s*([^|]+?)\s*\|?\s*$', 1) AS n2, regexp_extract(line, '^\s*\|?\s*([^|]+?)\s*\|\s*([^|]+?)\s*\|?\s*$', 2) AS v2, regexp_matches(line, '^\s*([^:|]{1,200}?)\s*:\s*(\S.*?)\s*$') AS colon FROM m),
+x AS (SELECT doc_id, ord, line, below, regexp_extract(line, '^\s*([^:|]+?)\s*:\s*(\S.*?)\s*$', 1) AS n1, regexp_extract(line, '^\s*([^:|]+?)\s*:\s*(\S.*?)\s*$', 2) AS v1,
+  regexp_extract(line, '^\s*\|?\s*([^|]+?)\s*\|\s*([^|]+?)\s*\|?\s*$', 1) AS n2, regexp_extract(line, '^\s*\|?\s*([^|]+?)\s*\|\s*([^|]+?)\s*\|?\s*$', 2) AS v2, regexp_matches(line, '^\s*([^:|]+?)\s*:\s*(\S.*?)\s*$') AS colon FROM m),
 y AS (SELECT *, CASE WHEN colon THEN n1 ELSE n2 END AS n3, CASE WHEN colon THEN v1 ELSE v2 END AS v3, NOT regexp_matches(line, '[\d:|]') AND regexp_matches(coalesce(below, ''), '^[<>≤≥±~]?\s*\d') AS over_ FROM x),
 z AS (SELECT doc_id, ord, CASE WHEN n3 = '' AND over_ THEN trim(line, ' ') ELSE n3 END AS name, CASE WHEN n3 = '' AND over_ THEN below ELSE v3 END AS value FROM y)
 SELECT doc_id, ord, name, value FROM z WHERE name <> '' AND value <> '' AND length(name) <= 40 AND NOT regexp_matches(value, '^[-=\s]+$')
 """)
 def param_extraction(t):
-    return P.extract(t.documents, two_lines=True).withColumn("ord", F.col("ord").cast("long"))
+    return P.extract(t.documents, longest_name=40, two_lines=True).withColumn("ord", F.col("ord").cast("long"))
 
 
 @query()

@@ -196,7 +196,7 @@ SELECT node, depth, path FROM tree
 """)
 def folder_tree_recursive(t):
     c = lambda p, k: F.concat(F.lit(p), k)
-    root = t.region.limit(1).select(F.lit("all").alias("node"), F.lit(None).cast("string").alias("parent"))
+    root = t.region.agg(F.lit("all").alias("node"), F.lit(None).cast("string").alias("parent"))
     nodes = (
         root.union(t.region.select(c("r", "r_regionkey"), F.lit("all")))
         .union(t.nation.select(c("n", "n_nationkey"), c("r", "n_regionkey")))

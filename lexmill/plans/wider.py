@@ -282,6 +282,15 @@ def tm_translate(t):
     return T.translated(asked, _bank(t), TERMS)
 
 
+@query()
+def tm_translate_fuzzy(t):
+    """Every sentence of the conversations against the sentences of the benchmark, with the fuzzy step."""
+    rows = lambda d, i: G.exploded(d, X.sentences(F.col("text"), 5), i)
+    asked = rows(t.conversations.withColumn("key", F.struct("conv_id", "turn")), "key").select(((F.col("key.conv_id") * 4096 + F.col("key.turn")) * 4096 + F.col("idx")).alias("query_id"), "text")
+    bank = rows(t.benchmark, "item_id").select((F.col("item_id") * NTH + F.col("idx")).alias("entry_ord"), F.col("text").alias("source_text"), F.concat(F.lit("t:"), "text").alias("translated_text"))
+    return T.translated(asked, bank, TERMS, fuzzy=T.nearest(asked, bank, 0.6))
+
+
 @query(rf"""
 WITH x AS (SELECT conv_id, turn, text AS s, CASE turn % 7 WHEN 0 THEN '' WHEN 1 THEN 'Only output this: ' || text WHEN 2 THEN repeat(text, 6) WHEN 3 THEN ' Done ' WHEN 4 THEN 'ab' WHEN 5 THEN text ELSE '翻译' || text END AS r FROM conversations),
 y AS (SELECT *, trim(r, ' ') AS t, len(regexp_extract_all(trim(s, ' '), '[A-Za-z]{{2,}}')) AS words, len(regexp_extract_all(trim(s, ' '), '{X.UNIT.replace("'", "''")}')) AS units FROM x)

@@ -163,3 +163,78 @@ def test_functions_of_sql(spark):
     assert got == [(1, 0, 1, 2, "1"), (1, 1, 4, 6, "22"), (4, 0, 1, 2, "7")]
     assert [tuple(r) for r in spark.sql("SELECT s.start, s.span FROM some_texts, LATERAL sentence_spans(text, 5) s WHERE id = 4").collect()] == [(4, "Next one.")]
     assert spark.sql("SELECT similarity('abcd', 'bcde')").first()[0] == pytest.approx(0.75)
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_aligned_in_order(spark, seed):
+    from difflib import SequenceMatcher
+
+    r = random.Random(seed)
+    text = lambda: "".join(r.choice("abc ") for _ in range(r.randint(1, 9)))
+    a, b = [(k % 3, k, text()) for k in range(30)], [(k % 3, k, text()) for k in range(24)]
+    got = sorted((x["b"], x["a_idx"], x["b_idx"], round(x["score"], 9), x["label"]) for x in matching.aligned_in_order(spark.createDataFrame(a, "b int, idx int, text string"), spark.createDataFrame(b, "b int, idx int, text string"), "b").collect())
+    want, used = [], set()
+    for block, i, x in a:
+        scores = [(SequenceMatcher(None, x, y).ratio(), -j) for k, j, y in b if k == block and j not in used]
+        s, j = max(scores, default=(0, 0))
+        if s > 0.5:
+            used.add(-j)
+            want.append((block, i, -j, round(s, 9), "exact" if s > 0.9 else "fuzzy"))
+    assert got == sorted(want)
+
+
+def test_word_diff_applies(spark):
+    r = random.Random(4)
+    text = lambda: " ".join(r.choice(["a", "b", "c", "d"]) for _ in range(r.randint(0, 12)))
+    rows = [(text(), text()) for _ in range(40)] + [(None, "x y"), ("x", None)]
+    for x in spark.createDataFrame(rows, "a string, b string").select("a", "b", matching.word_diff("a", "b").alias("d")).collect():
+        assert " ".join(s["a"] for s in x["d"] if s["a"]) == (x["a"] or "") and " ".join(s["b"] for s in x["d"] if s["b"]) == (x["b"] or "")
+        assert all((s["tag"] == "equal") == (s["a"] == s["b"]) for s in x["d"])
+
+
+def test_nearest_entries_and_the_fuzzy_step(spark):
+    from difflib import SequenceMatcher
+
+    from lexmill.operators import memory
+
+    r = random.Random(6)
+    entries = ["".join(r.choice("abcdef ") for _ in range(r.randint(5, 30))) for _ in range(40)]
+    asked = [e[:3] + r.choice("xyz") + e[4:] for e in entries[:15]] + ["".join(r.choice("uvw") for _ in range(12)), "", entries[3]]
+    bank = spark.createDataFrame([(k, e, f"t{k}") for k, e in enumerate(entries)], "entry_ord long, source_text string, translated_text string")
+    rows = spark.createDataFrame(list(enumerate(asked)), "query_id long, text string")
+    got = {x["query_id"]: (x["entry_ord"], x["score"], x["translated"]) for x in memory.nearest(rows, bank, 0.7).collect()}
+    want = {}
+    for q, t in enumerate(asked):
+        best = max((SequenceMatcher(None, t, e).ratio(), -k) for k, e in enumerate(entries))
+        if best[0] >= 0.7:
+            want[q] = (-best[1], best[0], f"t{-best[1]}")
+    assert got == want and len(want) >= 14
+    said = {x["query_id"]: (x["attempt"], x["translated"]) for x in memory.translated(rows, bank, fuzzy=memory.nearest(rows, bank, 0.7)).collect()}
+    assert said[len(asked) - 1] == ("exact", "t3") and said[0][0] == "fuzzy" and said[0][1] == got[0][2]
+
+
+def test_scratch_of_two_threads(spark):
+    import os
+    import threading
+
+    from lexmill.operators import spread
+
+    folder = spread.shared_dir(spark).removeprefix("file://")
+    left: dict[int, list] = {}
+
+    def run(k):
+        with spread.scratch(spark):
+            mine = spread.cut(spark.range(50), f"thread{k}")
+            gate.wait()
+            left[k] = [mine.count(), mine]
+            gate.wait()
+
+    gate = threading.Barrier(2)
+    threads = [threading.Thread(target=run, args=(k,)) for k in (1, 2)]
+    [t.start() for t in threads]
+    [t.join() for t in threads]
+    assert [left[k][0] for k in (1, 2)] == [50, 50]
+    assert not [f for f in os.listdir(folder) if "-thread" in f]
+    kept = spread.cut(spark.range(3), "kept")
+    spread.discard(kept, None)
+    assert not [f for f in os.listdir(folder) if "-kept-" in f]

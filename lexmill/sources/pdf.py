@@ -380,8 +380,7 @@ def outline_entries(data: bytes) -> list[tuple]:
         node = get(node)
         while isinstance(node, dict) and id(node) not in seen and level < 60:
             seen.add(id(node))
-            title, at = get(node.get("Title")) or b"", place(node)
-            title = title[2:].decode("utf-16-be", "replace") if title[:2] == b"\xfe\xff" else title.decode("utf-8-sig" if title[:3] == b"\xef\xbb\xbf" else "cp1252", "replace")
+            title, at = _said(get(node.get("Title"))), place(node)
             if at:
                 out.append((len(out), level, " ".join(title.split()), *at))
             walk(node.get("First"), level + 1)
@@ -391,6 +390,51 @@ def outline_entries(data: bytes) -> list[tuple]:
     return out
 
 
+def _said(v) -> str:
+    """A text string: UTF-16 or UTF-8 with its mark, else of the Western code page."""
+    if not isinstance(v, bytes):
+        return ""
+    if v[:2] in (b"\xfe\xff", b"\xff\xfe"):
+        return v.decode("utf-16", "replace")
+    return v.decode("utf-8-sig" if v[:3] == b"\xef\xbb\xbf" else "cp1252", "replace")
+
+
+COMMENTS = "page int, ord int, kind string, author string, date string, text string, marked string"
+
+
+def page_comments(data: bytes) -> list[tuple]:
+    """The comments on all pages (see ``COMMENTS``): notes, marks and free texts, with the words that a mark covers."""
+    pdf, out = Pdf(data), []
+    get, spans = pdf.get, None
+    for n, page in enumerate(pdf.pages):
+        for k, a in enumerate(get(page.get("Annots")) or []):
+            a = get(a)
+            if not isinstance(a, dict) or get(a.get("Subtype")) in ("Link", "Popup", "Widget"):
+                continue
+            marked = ""
+            if quads := get(a.get("QuadPoints")):
+                spans = page_spans(data) if spans is None else spans
+                height = next((s[9] for s in spans if s[0] == n), 0.0)
+                quads = [float(get(x)) for x in quads]
+                boxes = [(min(q[::2]), max(q[::2]), height - max(q[1::2]), height - min(q[1::2])) for q in zip(*[iter(quads)] * 8, strict=False)]
+                marked = " ".join(w for x0, x1, top, low in boxes for s in spans if s[0] == n and top <= s[4] <= low for w in _within(s, x0, x1))
+            text = " ".join(_said(get(a.get("Contents"))).split())
+            if text or marked:
+                out.append((n, k, str(get(a.get("Subtype")) or ""), _said(get(a.get("T"))), _said(get(a.get("M"))), text, marked))
+    return out
+
+
+def _within(span: tuple, x0: float, x1: float) -> list[str]:
+    """The words of a span whose middle lies between two places, letters counting as equally wide."""
+    text, wide = span[7], (span[3] - span[2]) / max(1, len(span[7]))
+    return [m[0] for m in re.finditer(r"\S+", text) if x0 <= span[2] + wide * (m.start() + m.end()) / 2 <= x1]
+
+
+def pdf_comments(files: DataFrame) -> DataFrame:
+    """path and comments of binary files (path, content)."""
+    return exploded_files(files, page_comments, COMMENTS)
+
+
 def pdf_spans(files: DataFrame) -> DataFrame:
     """path and spans of binary files (path, content); files that cannot be read give none."""
     return exploded_files(files, page_spans, SPANS)

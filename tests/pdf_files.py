@@ -3,8 +3,11 @@
 import zlib
 
 
-def pdf_file(pages, outline=(), packed=False, hex_font=False, encrypted=False):
-    """pages: lists of (x, y from the top, size, bold, text); outline: (level, title, page, y from the top or None)."""
+def pdf_file(pages, outline=(), packed=False, comments=(), hex_font=False, encrypted=False):
+    """pages: lists of (x, y from the top, size, bold, text); outline: (level, title, page, y from the top or None).
+
+    comments: (page, kind, author, text, marked box (x0, x1, top, low) or None).
+    """
     objects = {1: "<< /Type /Catalog /Pages 2 0 R" + (" /Outlines 5 0 R" if outline else "") + " >>", 3: None, 4: None}
     kids, n = [], 10
     if hex_font:
@@ -25,7 +28,12 @@ def pdf_file(pages, outline=(), packed=False, hex_font=False, encrypted=False):
         body = "".join(f"BT /{'B' if bold else 'R'} {size} Tf 1 0 0 1 {x} {800 - y} Tm {show(text)} Tj ET\n" for x, y, size, bold, text in page)
         raw = zlib.compress(body.encode("cp1252"))
         objects[n + 1] = (f"<< /Length {len(raw)} /Filter /FlateDecode >>", raw)
-        objects[n] = f"<< /Type /Page /Parent 2 0 R /Contents {n + 1} 0 R >>"
+        notes = ""
+        for at, kind, author, text, box in comments:
+            if at == len(kids):
+                quad = "" if box is None else f" /QuadPoints [{box[0]} {800 - box[2]} {box[1]} {800 - box[2]} {box[0]} {800 - box[3]} {box[1]} {800 - box[3]}]"
+                notes += f"<< /Type /Annot /Subtype /{kind} /T ({author}) /M (D:20240101) /Contents <feff{text.encode('utf-16-be').hex()}>{quad} >> "
+        objects[n] = f"<< /Type /Page /Parent 2 0 R /Contents {n + 1} 0 R{f' /Annots [{notes}]' if notes else ''} >>"
         kids.append(n)
         n += 2
     objects[2] = f"<< /Type /Pages /Count {len(kids)} /MediaBox [0 0 600 800] /Resources << /Font << /R 3 0 R /B 4 0 R >> >> /Kids [{' '.join(f'{k} 0 R' for k in kids)}] >>"

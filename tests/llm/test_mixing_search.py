@@ -20,7 +20,8 @@ SF = "/root/testdata/sf0.001"
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_sql_gives_the_same_rows(spark, name):
     duck = duckdb.connect()
-    duck.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    for t in ("documents", "conversations"):
+        duck.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     cursor = duck.execute(ORACLE_SQL[name])
     df = QUERIES[name](spark, SF)
     assert canonical_rows(df.columns, df.collect()) == canonical_rows([d[0] for d in cursor.description], cursor.fetchall())

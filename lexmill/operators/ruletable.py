@@ -1,8 +1,9 @@
 """Rules as a table: thousands of literals and patterns tried in one pass over the texts.
 
-Each rule is reduced to texts of which one must occur wherever it matches. These make one
-automaton, built once for each Python worker, that reads a text once; only the rules whose texts
-it meets are then tried. What comes out is what each pattern alone would find.
+Literals, whole words or not, are found by one automaton that reads a text once. Each other rule
+is reduced to texts of which one must occur wherever it matches; these make a second automaton,
+and only the rules whose texts it meets are then tried. Both are built once for each Python
+worker. What comes out is what each pattern alone would find.
 """
 
 from __future__ import annotations
@@ -69,37 +70,99 @@ def needles(pattern: str) -> list[str] | None:
         return None
 
 
+def literal(pattern: str) -> tuple[str, bool, bool] | None:
+    """The text that a pattern is, and whether a word must begin or end at its ends; None for other patterns."""
+    try:
+        with warnings.catch_warnings():
+            warnings.simplefilter("ignore")
+            parsed = parser.parse(pattern)
+    except Exception:
+        return None
+    items = list(parsed)
+    bound = (C.AT, C.AT_BOUNDARY)
+    left, right = bool(items) and items[0] == bound, len(items) > 1 and items[-1] == bound
+    body = items[left : len(items) - right]
+    if not body or parsed.state.flags != C.SRE_FLAG_UNICODE or any(op is not C.LITERAL for op, _ in body):
+        return None
+    return "".join(chr(v) for _, v in body), left, right
+
+
+_WORD = regex.compile(r"\w")
+#: Compiled patterns that a worker keeps.
+COMPILED = 4096
+
+
 class Automaton:
     def __init__(self, rules: Sequence[tuple[str, str, bool]]):
         """rules: name, pattern, and whether case does not matter."""
         self.rules = rules
         self.compiled: dict[int, regex.Pattern] = {}
+        self.in_word: dict[str, bool] = {}
         self.always: list[int] = []
+        plain: dict[str, list[tuple[int, bool, bool]]] = {}
         of: dict[str, list[int]] = {}
-        for k, (_, pattern, _) in enumerate(rules):
+        for k, (_, pattern, any_case) in enumerate(rules):
+            if not any_case and (found := literal(pattern)):
+                plain.setdefault(found[0], []).append((k, *found[1:]))
+                continue
             found = needles(pattern)
             for n in {folded(n) for n in found} if found else ():
                 of.setdefault(n, []).append(k)
             if not found:
                 self.always.append(k)
-        self.words = ahocorasick.Automaton()
-        for n, which in of.items():
-            self.words.add_word(n, which)
-        if of:
-            self.words.make_automaton()
-        self.some = bool(of)
+        self.literals, self.words = self._made(plain), self._made(of)
+
+    @staticmethod
+    def _made(words: dict[str, list]):
+        out = ahocorasick.Automaton()
+        for w, which in words.items():
+            out.add_word(w, (len(w), which))
+        if not words:
+            return None
+        out.make_automaton()
+        return out
+
+    def _edge(self, text: str, at: int) -> bool:
+        """Whether a word begins or ends at a place."""
+        inside = []
+        for k in (at - 1, at):
+            c = text[k] if 0 <= k < len(text) else ""
+            if c not in self.in_word:
+                if len(self.in_word) > 1 << 16:
+                    self.in_word.clear()
+                self.in_word[c] = bool(_WORD.match(c))
+            inside.append(self.in_word[c])
+        return inside[0] != inside[1]
 
     def spans(self, text: str) -> list[tuple[str, int, int, str]]:
+        out = []
+        if self.literals is not None:
+            free: dict[int, int] = {}  # where a rule's last match ended
+            for last, (size, which) in self.literals.iter(text):
+                start, end = last + 1 - size, last + 1
+                left = right = None
+                for k, at_start, at_end in which:
+                    if start < free.get(k, 0):
+                        continue
+                    if at_start:
+                        left = self._edge(text, start) if left is None else left
+                    if at_end:
+                        right = self._edge(text, end) if right is None else right
+                    if (at_start and not left) or (at_end and not right):
+                        continue
+                    free[k] = end
+                    out.append((self.rules[k][0], start, end, text[start:end]))
         tried = set(self.always)
-        if self.some:
-            for _, which in self.words.iter(folded(text)):
+        if self.words is not None:
+            for _, (_, which) in self.words.iter(folded(text)):
                 tried.update(which)
-        out = []
         for k in sorted(tried):
             name, pattern, any_case = self.rules[k]
             p = self.compiled.get(k)
             if p is None:
-                p = self.compiled[k] = regex.compile(pattern, regex.IGNORECASE if any_case else 0)
+                if len(self.compiled) >= COMPILED:
+                    self.compiled.clear()
+                p = self.compiled[k] = regex.compile(pattern, regex.IGNORECASE if any_case else 0, cache_pattern=False)
             out += [(name, m.start(), m.end(), m[0]) for m in p.finditer(text) if m[0]]
         return out
 

@@ -49,12 +49,13 @@ def test_marked_diff(spark):
 PATTERNS = [
     ("lit", r"\bvalve\b", False), ("case", r"\bPump\b", True), ("any", r"[!?]{2,}", False), ("alt", r"(?:red|green) light", False), ("opt", r"colou?r", False), ("rep", r"(?:ab)+c", False), ("look", r"(?<=x)y+", False),
     ("flag", r"(?i)straße", False), ("back", r"\b(\w+) \1\b", False), ("dotted", r"\p{Lu}{3,}", False), ("long s", "mess", True), ("empty", r"z*", False), ("class", r"[0-9]+ (?:mm|cm)", False),
+    ("twice", "the the", False), ("over", "abab", False), ("part", "alv", False), ("begins", r"\bval", False), ("ends", r"lve\b", False), ("mark", r"\b!!", False), ("mark end", r"!!\b", False), ("not i", r"(?i)VALVE", False), ("odd", "😀", False), ("a b", r"\bthe the\b", False),
 ]
 
 
 def test_rule_table_equals_single_patterns(spark):
     r = random.Random(3)
-    words = ["valve", "VALVE", "pump", "PUMP", "red light", "green light", "blue light", "color", "colour", "ababc", "xyy", "Straße", "STRASSE", "the the", "ABCD", "meſſ", "5 mm", "77 cm", "!!", "?!", "zz", "İ", "😀"]
+    words = ["valve", "VALVE", "pump", "PUMP", "red light", "green light", "blue light", "color", "colour", "ababc", "xyy", "Straße", "STRASSE", "the the", "the the the the", "abababab", "x!!x", "!!", "ABCD", "meſſ", "5 mm", "77 cm", "!!", "?!", "zz", "İ", "😀"]
     texts = [None, "", *(" ".join(r.choice(words) for _ in range(r.randint(1, 12))) for _ in range(150))]
     more = [(f"w{k}", rf"\b{w}{k % 90}\b", False) for k in range(5000) for w in ["part"]]
     texts += ["part17 part4 part89 part5000"]
@@ -74,6 +75,11 @@ def test_rule_table_in_several_passes(spark, monkeypatch):
     assert sorted(map(tuple, ruletable.hits(docs, rules).collect())) == whole and len(whole) == 4
 
 
+def test_literals():
+    assert ruletable.literal(r"\bpump\b") == ("pump", True, True) and ruletable.literal(r"a\.b") == ("a.b", False, False) and ruletable.literal(r"\bé") == ("é", True, False)
+    assert [ruletable.literal(p) for p in (r"(?i)a", "a|b", "a?", r"\b", "^a", r"\B1", "[", "[ab]")] == [None] * 8
+
+
 def test_needles():
     assert ruletable.needles(r"\bpump\b") == ["pump"]
     assert ruletable.needles(r"(?:red|green) li") == [" li"] or ruletable.needles(r"(?:red|green) li") == ["red", "green"]

@@ -202,24 +202,41 @@ def _codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32), np.concatenate([[0], ends])
 
 
+#: Numbered characters that one product of matrices takes.
+COLUMNS = 2048
+
+
+def _numbered(codes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The text of each character, and the character with its number in the text: the first e, the second e, ..."""
+    row = np.repeat(np.arange(len(at) - 1), np.diff(at))
+    key = row.astype(np.int64) << 21 | codes
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    fresh = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.empty(0, np.int64)
+    number = np.arange(len(key)) - np.repeat(fresh, np.diff(np.concatenate([fresh, [len(key)]])))
+    return row[order], (key & ((1 << 21) - 1)) << 32 | number
+
+
 def common_letters(a: list[str], b: list[str]) -> np.ndarray:
-    """For each text of a and of b how many characters they have in common, in any order."""
-    x, x_at = _codes(a)
-    y, y_at = _codes(b)
+    """For each text of a and of b how many characters they have in common, in any order.
+
+    That is how many numbered characters both have: a product of matrices of zeros and ones.
+    """
+    (x_row, x), (y_row, y) = (_numbered(*_codes(t)) for t in (a, b))
     both = np.intersect1d(x, y)
-    common = np.zeros((len(a), len(b)), np.int32)
-
-    def counts(codes, at, n):
-        where = np.searchsorted(both, codes)
-        held = (where < len(both)) & (both[np.minimum(where, len(both) - 1)] == codes)
-        row = np.repeat(np.arange(n), np.diff(at))
-        return np.bincount(where[held] * n + row[held], minlength=len(both) * n).reshape(len(both), n)
-
-    if len(both):
-        for p, q in zip(counts(x, x_at, len(a)), counts(y, y_at, len(b)), strict=True):
-            rows, cols = np.flatnonzero(p), np.flatnonzero(q)
-            common[np.ix_(rows, cols)] += np.minimum.outer(p[rows], q[cols]).astype(np.int32)
-    return common
+    common = np.zeros((len(a), len(b)), np.float32)
+
+    def held(row: np.ndarray, keys: np.ndarray, some: np.ndarray, n: int) -> np.ndarray:
+        place = np.minimum(np.searchsorted(some, keys), len(some) - 1)
+        here = some[place] == keys
+        m = np.zeros((n, len(some)), np.float32)
+        m[row[here], place[here]] = 1
+        return m
+
+    for k in range(0, len(both), COLUMNS):
+        some = both[k : k + COLUMNS]
+        common += held(x_row, x, some, len(a)) @ held(y_row, y, some, len(b)).T
+    return common.astype(np.int32)
 
 
 def common_in_order(a: list[str], b: list[str], i: np.ndarray, j: np.ndarray) -> np.ndarray:

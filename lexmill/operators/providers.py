@@ -96,20 +96,20 @@ def checked(rows: DataFrame, checker: Callable[[], Checker] = Repeats, size: int
     within a sentence is what it finds in the whole text.
     """
     pieces = chunked(rows, text, size, keep).withColumn("_key", F.sha2("text", 256))
-    pieces = cut(pieces, "checked-pieces")
+    places = cut(pieces.select(*keep, "offset", "_key"), "checked-pieces")
 
-    @F.pandas_udf("array<struct<start:int,end:int,message:string>>")
+    @F.pandas_udf("array<struct<start:int,end:int,message:string,original_text:string>>")
     def ask(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         service = checker()
         for texts in batches:
             out: list = []
             for k in range(0, len(texts), batch):
-                out += [[{"start": s, "end": e, "message": m} for s, e, m in found] for found in service.check(texts.iloc[k : k + batch].tolist())]
+                part = texts.iloc[k : k + batch].tolist()
+                out += [[{"start": s, "end": e, "message": m, "original_text": t[s:e]} for s, e, m in found] for t, found in zip(part, service.check(part), strict=True)]
             yield pd.Series(out)
 
     once = pieces.groupBy("_key").agg(F.first("text").alias("_text"), F.count("*").alias("_n"))
     found = cut(once.select("_key", "_n", ask("_text").alias("_found")).where(F.size("_found") > 0), "checked-answers")
-    met = join_spread(pieces, found, ["_key"], "_n", pieces.count())
-    met = met.select(*keep, "offset", "text", F.inline("_found"))
+    met = join_spread(places, found, ["_key"], "_n", places.count()).select(*keep, "offset", F.inline("_found"))
     place = lambda c: (F.col("offset") + F.col(c)).cast("int").alias(c)
-    return met.select(*keep, place("start"), place("end"), "message", F.substring("text", F.col("start") + 1, F.col("end") - F.col("start")).alias("original_text"))
+    return met.select(*keep, place("start"), place("end"), "message", "original_text")

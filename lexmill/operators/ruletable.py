@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Characters of patterns that one pass takes; a longer table is taken in several.
-PASS = 1 << 24
+PASS = 1 << 21
 
 
 def folded(text: str) -> str:

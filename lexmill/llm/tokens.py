@@ -1,8 +1,9 @@
 """Token counts by a map-side two-tier lookup.
 
-A text is split into pre-tokens. The first tier is a broadcast table of the lengths of frequent
-pre-tokens, at most ``FREQUENT`` of them, counted over a sample of about ``SAMPLE`` documents; it
-only saves work, and no result depends on which pre-tokens it holds. The second tier is a cache
+A text is split into pre-tokens. The first tier is a broadcast hash table (flat arrays, see
+``Lengths``) of the lengths of frequent pre-tokens, at most ``FREQUENT`` of them, counted over a
+sample of bounded size (see ``frequent_lengths``); it only saves work, and no result depends on
+which pre-tokens it holds. The second tier is a cache
 in each Python worker, of bounded size, filled by encoding what the table misses. No pre-token
 ever crosses a shuffle.
 
@@ -16,8 +17,10 @@ from __future__ import annotations
 import base64
 import json
 import re
+import zlib
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Mapping
+from itertools import pairwise
 from pathlib import Path
 
 import numpy as np
@@ -30,8 +33,9 @@ from pyspark.sql import functions as F
 #: Pre-tokens longer than this are encoded each time, so that the cache's size in bytes is bounded too.
 LONGEST = 80
 CACHED, CACHED_WORDS = 3 << 18, 1 << 17
-#: Documents that the table of frequent pre-tokens is counted over, its entries, and how many are counted at once.
-SAMPLE, FREQUENT, COUNTED = 1 << 12, 1 << 16, 1 << 20
+#: Parts of the table that frequent pre-tokens are counted in, characters of each part, its entries that are looked at,
+#: entries of the table of all, and how many pre-tokens a task counts at once.
+PARTS, PART_CHARS, PART_FREQUENT, FREQUENT, COUNTED = 16, 1 << 22, 1 << 14, 1 << 16, 1 << 20
 
 
 # The word pattern of byte-level vocabularies, and the letters that stand for bytes
@@ -138,9 +142,9 @@ def encoder(path: str) -> Encoder:
 class Cache(dict):
     """Pre-token -> value, made from its ids where it is missing. Emptied when full."""
 
-    def __init__(self, enc: Encoder, value: Callable[[list[int]], object], first: dict | None = None):
+    def __init__(self, enc: Encoder, value: Callable[[list[int]], object], first: Lengths | None = None):
         super().__init__()
-        self.enc, self.value, self.first = enc, value, first or {}
+        self.enc, self.value, self.first = enc, value, first if first is not None else Lengths({})
 
     def __missing__(self, chunk: str):
         known = self.first.get(chunk)
@@ -170,32 +174,73 @@ def values(text: str, cache: Cache) -> list | None:
     return out
 
 
+class Lengths(Mapping):
+    """Pre-token -> number of tokens as an open-addressed hash table of flat arrays; texts are compared, so it never errs.
+
+    An entry takes its bytes and 14 to 22 more. A pre-token of ``LONGEST`` characters fits 16 bits.
+    """
+
+    def __init__(self, lengths: dict[str, int]):
+        words = [w.encode() for w in lengths]
+        self.text = b"".join(words)
+        self.ends = np.cumsum([0, *map(len, words)], dtype=np.uint32)
+        self.tokens = np.fromiter(lengths.values(), np.uint16, len(words))
+        self.slots = np.full(1 << max(2 * len(words), 1).bit_length(), -1, np.int32)
+        mask = len(self.slots) - 1
+        for k, word in enumerate(words):
+            at = zlib.crc32(word) & mask
+            while self.slots[at] >= 0:
+                at = (at + 1) & mask
+            self.slots[at] = k
+
+    def __len__(self) -> int:
+        return len(self.tokens)
+
+    def __iter__(self) -> Iterator[str]:
+        return (self.text[a:b].decode() for a, b in pairwise(self.ends))
+
+    def __getitem__(self, word: str) -> int:
+        key, mask = word.encode(), len(self.slots) - 1
+        at = zlib.crc32(key) & mask
+        while (k := self.slots[at]) >= 0:
+            if self.text[self.ends[k] : self.ends[k + 1]] == key:
+                return int(self.tokens[k])
+            at = (at + 1) & mask
+        raise KeyError(word)
+
+
 def _most_frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The pre-tokens that come more than once in these texts, the most frequent first."""
+    """One row: the most frequent pre-tokens of this part's first ``PART_CHARS`` characters that come more than once, and how often."""
     seen: Counter[str] = Counter()
+    left = PART_CHARS
     for batch in batches:
-        for body in batch.column(0):
-            seen.update(w for w in (body.as_py() or "").split(" ")[1:] if 0 < len(w) <= LONGEST)
+        for body in batch.column(0) if left > 0 else ():
+            text = body.as_py() or ""
+            seen.update(w for w in text.split(" ")[1:] if 0 < len(w) <= LONGEST)
             if len(seen) > COUNTED:
                 seen = Counter({w: n for w, n in seen.items() if n > 1})
-    best = [w for w, n in sorted(seen.items(), key=lambda kv: (-kv[1], kv[0])) if n > 1 and not (w[0].isspace() or w[-1].isspace())]
-    yield pa.RecordBatch.from_arrays([pa.array(best[:FREQUENT], pa.string())], names=["word"])
+            left -= len(text)
+            if left <= 0:
+                break
+    best = [(w, n) for w, n in seen.items() if n > 1 and not (w[0].isspace() or w[-1].isspace())]
+    best = sorted(best, key=lambda kv: (-kv[1], kv[0]))[:PART_FREQUENT]
+    yield pa.RecordBatch.from_arrays([pa.array([[w for w, _ in best]], pa.list_(pa.string())), pa.array([[n for _, n in best]], pa.list_(pa.int64()))], names=["words", "n"])
 
 
-def frequent_lengths(docs: DataFrame, path: str, text: str = "text", seed: int = 11) -> dict[str, int]:
-    """Frequent pre-tokens (without their leading space) -> number of tokens; empty for vocabularies that do not split at spaces.
+def frequent_lengths(docs: DataFrame, path: str, text: str = "text") -> Lengths:
+    """Frequent pre-tokens (without their leading space) and their numbers of tokens; none for vocabularies that do not split at spaces.
 
-    One task counts the sample; that bounds it, whatever the table's size.
+    Each task counts its own part and gives one row of at most ``PART_FREQUENT`` pre-tokens. Spark
+    starts tasks until ``PARTS`` rows are there, so what is read, counted and sent to the driver does not grow with the table.
     """
     enc = encoder(path)
     if not enc.splits:
-        return {}
-    n = docs.count()
-    texts = docs.select(F.col(text).alias("text")).where("text is not null")
-    if n > SAMPLE:
-        texts = texts.sample(False, min(1.0, SAMPLE / n), seed)
-    words = texts.limit(2 * SAMPLE).mapInArrow(_most_frequent, "word string").toArrow()["word"].to_pylist()
-    return {w: len(enc.chunk_ids(w)) for w in words}
+        return Lengths({})
+    seen: Counter[str] = Counter()
+    for row in docs.select(F.col(text).alias("text")).mapInArrow(_most_frequent, "words array<string>, n array<long>").take(PARTS):
+        seen.update(dict(zip(row["words"], row["n"], strict=True)))
+    best = sorted(seen.items(), key=lambda kv: (-kv[1], kv[0]))[:FREQUENT]
+    return Lengths({w: len(enc.chunk_ids(w)) for w, _ in best})
 
 
 _caches: dict[str, Cache] = {}
@@ -208,12 +253,12 @@ def length_of(text: str | None, cache: Cache) -> int:
     return len(cache.enc.ids(text)) if found is None else sum(found)
 
 
-def token_lengths(spark: SparkSession, path: str, frequent: dict[str, int] | None = None):
+def token_lengths(spark: SparkSession, path: str, frequent: Lengths | None = None):
     """A vectorised function text -> number of tokens; null and empty texts have none.
 
     ``frequent`` has the lengths of pre-tokens that need not be encoded (see ``frequent_lengths``).
     """
-    table = spark.sparkContext.broadcast(frequent or {})
+    table = spark.sparkContext.broadcast(frequent if frequent is not None else Lengths({}))
 
     @F.pandas_udf("long")
     def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

@@ -1,3 +1,4 @@
+import pickle
 import random
 import zlib
 from collections import defaultdict
@@ -9,7 +10,8 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from lexmill.llm.packing import cuts, pack, solve
-from lexmill.llm.tokens import Cache, encoder, length_of, token_counts
+from lexmill.llm import tokens
+from lexmill.llm.tokens import Cache, Lengths, encoder, frequent_lengths, length_of, token_counts
 from tests.llm.helpers import empty_docs, odd_docs, odd_rows, with_clashes
 
 JSON = public_tokenizers.path("byte_bpe_50k.json")
@@ -39,6 +41,32 @@ def test_counts_of_strange_texts():
         assert length_of(t, cache) == len(exact(t)), repr(t)
 
 
+def test_table_of_lengths_equals_a_dictionary(monkeypatch):
+    words = {w: 1 + k % 300 for k, w in enumerate({w for t in strange(4000, seed=5) for w in t.split(" ")})}
+    known = dict(list(words.items())[::2])
+    table = Lengths(known)
+    assert len(table) == len(known) and len(pickle.dumps(table)) < sum(len(w.encode()) for w in known) + 30 * len(known) + 1000
+    assert all(table.get(w) == known.get(w) for w in words)
+    assert Lengths({}).get("a") is None
+    # all keys in one chain of slots
+    monkeypatch.setattr(tokens.zlib, "crc32", lambda key: 7)
+    few = dict(list(words.items())[:60])
+    table = Lengths(few)
+    assert all(table.get(w) == few.get(w) for w in words)
+
+
+def test_frequent_words_of_a_bounded_sample(spark, monkeypatch):
+    docs = spark.range(4000, numPartitions=40).selectExpr("id AS doc_id", "concat('x ', 'often ', 'word', id % 7, ' once', id) AS text")
+    table = frequent_lengths(docs, JSON)
+    assert table.get("often") == len(exact(" often")) and table.get("word3") == len(exact(" word3"))
+    assert table.get("once5") is None and len(table) == 8
+    assert len(frequent_lengths(docs, RANKS)) == 0
+    # a part of too many characters is left off early, and counts stay the same
+    monkeypatch.setattr(tokens, "PART_CHARS", 10)
+    assert len(frequent_lengths(docs, JSON)) <= 8
+    assert token_counts(docs, JSON).where("doc_id = 3").first()["n_tokens"] == len(exact("x often word3 once3"))
+
+
 def test_both_vocabulary_files_give_the_same_ids():
     for t in strange(3000, seed=9):
         assert encoder(RANKS).array(t).tolist() == exact(t), repr(t)

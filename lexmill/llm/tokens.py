@@ -18,9 +18,10 @@ import base64
 import json
 import re
 import zlib
+from array import array
 from collections import Counter
 from collections.abc import Callable, Iterator, Mapping
-from itertools import pairwise
+from itertools import accumulate, pairwise
 from pathlib import Path
 
 import numpy as np
@@ -183,9 +184,9 @@ class Lengths(Mapping):
     def __init__(self, lengths: dict[str, int]):
         words = [w.encode() for w in lengths]
         self.text = b"".join(words)
-        self.ends = np.cumsum([0, *map(len, words)], dtype=np.uint32)
-        self.tokens = np.fromiter(lengths.values(), np.uint16, len(words))
-        self.slots = np.full(1 << max(2 * len(words), 1).bit_length(), -1, np.int32)
+        self.ends = array("I", accumulate(map(len, words), initial=0))
+        self.tokens = array("H", lengths.values())
+        self.slots = array("i", [-1]) * (1 << max(2 * len(words), 1).bit_length())
         mask = len(self.slots) - 1
         for k, word in enumerate(words):
             at = zlib.crc32(word) & mask
@@ -200,13 +201,18 @@ class Lengths(Mapping):
         return (self.text[a:b].decode() for a, b in pairwise(self.ends))
 
     def __getitem__(self, word: str) -> int:
+        if (n := self.get(word)) is None:
+            raise KeyError(word)
+        return n
+
+    def get(self, word: str, default: int | None = None) -> int | None:
         key, mask = word.encode(), len(self.slots) - 1
         at = zlib.crc32(key) & mask
         while (k := self.slots[at]) >= 0:
             if self.text[self.ends[k] : self.ends[k + 1]] == key:
-                return int(self.tokens[k])
+                return self.tokens[k]
             at = (at + 1) & mask
-        raise KeyError(word)
+        return default
 
 
 def _most_frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

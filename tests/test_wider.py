@@ -244,3 +244,32 @@ def test_scratch_of_two_threads(spark):
     kept = spread.cut(spark.range(3), "kept")
     spread.discard(kept, None)
     assert not [f for f in os.listdir(folder) if "-kept-" in f]
+
+
+def test_simple_lookup_by_rounds_equals_all_pairs(spark):
+    import random
+
+    from lexmill.operators import memory
+
+    r = random.Random(8)
+    letters = ["abcdefgh", "hijklmno", "opqrstuv", "xyz XYZ", "abcdefghijklmnopqrstuvwxyz "]
+    text = lambda: "".join(r.choices(r.choice(letters), k=r.randint(1, 60)))
+    bank = [(k * 7 - 300, text(), f"t{k}") for k in range(400)] + [(-5000, "x" * 30, "far"), (2501, None, "none"), (None, "y" * 30, "no place")]
+    asked = [(k, text()) for k in range(200)] + [(3, text()), (900, "x" * 31), (901, None), (None, text()), (902, f"  {bank[7][1]} "), (903, "q" * 40), (904, "y" * 30)]
+
+    def near(q, s):
+        a, b = (q, s) if len(q) < len(s) else (s, q)
+        return sum(c in b for c in a) / len(b) > 0.7
+
+    def answer(i):
+        texts = [q for k, q in asked if k == i and q is not None]
+        known = [e for e in bank if e[0] is not None and e[1] is not None]
+        exact = [e for e in bank if e[1] is not None and any(q.strip(" ") == e[1].strip(" ") for q in texts)]
+        close = [e for e in known if any(len(q) > 20 and near(q, e[1]) for q in texts)]
+        return min(exact, key=lambda e: e[0] if e[0] is not None else 10**9)[2] if any(e[0] is not None for e in exact) else max(close)[2] if close else None
+
+    want = sorted(((i, answer(i)) if i is not None else (None, None) for i, _ in asked), key=str)
+    q, m = spark.createDataFrame(asked, "query_id long, text string"), spark.createDataFrame(bank, "entry_ord long, source_text string, translated_text string")
+    for latest in (3, 50, 1000):
+        assert sorted(map(tuple, memory.simple_lookup(q, m, latest=latest).collect()), key=str) == want
+    assert {r["translated"] for r in memory.simple_lookup(q, m.where("false")).collect()} == {None}

@@ -241,9 +241,10 @@ def test_scratch_of_two_threads(spark):
     [t.join() for t in threads]
     assert [left[k][0] for k in (1, 2)] == [50, 50]
     assert not [f for f in os.listdir(folder) if "-thread" in f]
-    kept = spread.cut(spark.range(3), "kept")
+    kept = spread.cut(spark.range(3), "three-rows")
+    assert [f for f in os.listdir(folder) if "-three-rows-" in f]
     spread.discard(kept, None)
-    assert not [f for f in os.listdir(folder) if "-kept-" in f]
+    assert not [f for f in os.listdir(folder) if "-three-rows-" in f]
 
 
 def test_simple_lookup_by_rounds_equals_all_pairs(spark):

@@ -11,7 +11,7 @@ from lexmill.operators import issues as I
 from lexmill.operators import proofing as P
 from lexmill.operators import segments as G
 from lexmill.plans.findings import RULES, _rules_sql
-from lexmill.plans.registry import NTH, query
+from lexmill.plans.registry import BEGIN, NTH, query
 
 
 @query(r"""
@@ -42,7 +42,7 @@ def loose_keys_and_clauses(t):
     return t.documents.select("doc_id", F.md5(P.aggressive(F.col("text"))).alias("key"), F.size(P.clauses(F.col("text"))).cast("long").alias("clauses"))
 
 
-@query(r"SELECT doc_id, unnest(list_concat(regexp_extract_all(text, '(?i)\ban\s+(?:[bcdfgjklmnpqrstvwxyz]|uni|use|eu)[a-z]*'), regexp_extract_all(text, '(?i)\ba\s+(?:[aeio]|un[^i]|hour|honest)[a-z]*'))) AS phrase FROM documents WHERE lang = 'en'")
+@query(rf"SELECT doc_id, unnest(list_concat(regexp_extract_all(text, '(?i){BEGIN}(an\s+(?:[bcdfgjklmnpqrstvwxyz]|uni|use|eu)\w*)', 1), regexp_extract_all(text, '(?i){BEGIN}(a\s+(?:[aeio]|un[^i]|hour|honest)\w*)', 1))) AS phrase FROM documents WHERE lang = 'en'")
 def article_usage(t):
     return P.wrong_articles(t.documents.where("lang = 'en'"))
 

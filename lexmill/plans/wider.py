@@ -19,7 +19,7 @@ from lexmill.operators import stats as S
 from lexmill.plans.comparison import _SENT
 from lexmill.plans.findings import RULES, SCORING, _rules_sql
 from lexmill.plans.findings import _SCORE as SCORE
-from lexmill.plans.registry import NTH, query
+from lexmill.plans.registry import BEGIN, NTH, ascii_words, query
 from lexmill.sources import readers, sinks
 from lexmill.streaming import logs
 
@@ -131,7 +131,7 @@ GROUPS = {"one": ("any", ("the", "der")), "two": ("none", ("ing", "ich")), "thre
 
 
 def _entities_sql(a: str, b: str) -> str:
-    found = lambda c, p: f"list_distinct(regexp_extract_all(lower({c}), '{p}'))"
+    found = lambda c, p: f"list_distinct(regexp_extract_all({ascii_words(f'lower({c})')}, '{p}'))"
     return "(" + " AND ".join(f"(len({found(a, p)}) = 0 OR len(list_intersect({found(a, p)}, {found(b, p)})) > 0)" for p in LABELS.values()) + ")"
 
 
@@ -153,7 +153,7 @@ def _turns(t):
 
 @query(rf"""
 WITH p AS ({_PAIR}), q AS (SELECT *, {_L.format('a')} AS la, {_L.format('b')} AS lb FROM p WHERE b IS NOT NULL)
-SELECT conv_id, turn, regexp_matches(trim(b, ' '), '\b[A-Z]\d+\s*(?:=|->)\s*\w+') OR length(lb) >= 15 AND (regexp_matches(trim(b, ' '), '[.!?;。！？；]$') OR regexp_matches(trim(b, ' '), '[:：]') AND regexp_matches(trim(b, ' '), '@[A-Za-z0-9.-]+')) AS valid,
+SELECT conv_id, turn, regexp_matches(trim(b, ' '), '{BEGIN}[A-Z]\d+\s*(?:=|->)\s*\w+') OR length(lb) >= 15 AND (regexp_matches(trim(b, ' '), '[.!?;。！？；]$') OR regexp_matches(trim(b, ' '), '[:：]') AND regexp_matches(trim(b, ' '), '@[A-Za-z0-9.-]+')) AS valid,
   la = '' OR lb = '' OR length(lb)::DOUBLE / greatest(length(la), 1) < 0.65 OR length(lb)::DOUBLE / greatest(length(la), 1) > CASE WHEN length(la) <= 18 THEN 2.35 WHEN length(la) <= 26 THEN 1.9 ELSE 1.55 END
     OR length(lb)::DOUBLE / greatest(length(la), 1) < 0.78 AND (contains(la, lb) OR contains(lb, la)) AS fragment,
   {_entities_sql('a', 'b')} AS entities, {_anchors_sql('a', 'b')} AS anchors FROM q

@@ -26,7 +26,7 @@ from lexmill.streaming import logs
 MIXED = {"end": (r"\bthe\b", r"\bThe\b"), "joined": (r"\band\b", r"\bund\b", r"\by\b"), "sum": ("[0-9],[0-9]", "[0-9][.][0-9]")}
 
 
-@query("SELECT doc_id, name, unnest(f).form AS form, unnest(f).n AS n FROM (" + " UNION ALL ".join(f"SELECT doc_id, '{name}' AS name, list_filter([{', '.join('{{form: {0}, n: len(regexp_extract_all(text, {0}))}}'.format(chr(39) + p + chr(39)) for p in forms)}], lambda z: z.n > 0) AS f FROM documents" for name, forms in MIXED.items()) + ") WHERE len(f) >= 2")
+@query("SELECT doc_id, name, unnest(f).form AS form, unnest(f).n AS n FROM (" + " UNION ALL ".join(f"SELECT doc_id, '{name}' AS name, list_filter([{', '.join('{{form: {0}, n: len(regexp_extract_all({1}, {0}))}}'.format(chr(39) + p + chr(39), ascii_words('text')) for p in forms)}], lambda z: z.n > 0) AS f FROM documents" for name, forms in MIXED.items()) + ") WHERE len(f) >= 2")
 def mixed_terms(t):
     return N.mixed_terms(t.documents, MIXED)
 

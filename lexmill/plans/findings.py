@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lexmill.functions import text as X
 from lexmill.operators import issues as I
 from lexmill.operators import stats as S
-from lexmill.plans.registry import query
+from lexmill.plans.registry import BEGIN, query
 
 RULES = (
     I.Rule("R001", r"[!?]{2,}", "punctuation", "suggestion", suggestion="one mark"),
@@ -119,8 +119,8 @@ def unit_spacing_issues(t):
     return I.detect(t.documents, [I.Rule("unit", r"\b\d+(?:mm|cm|kg|ml|GB|MB)\b")]).select("doc_id", "original_text")
 
 
-@query(r"""
-SELECT doc_id, number FROM (SELECT doc_id, unnest(list_distinct(regexp_extract_all(lower(text), '\bth([a-f])', 1))) AS number, list_distinct(regexp_extract_all(lower(text), '\ben([a-f])', 1)) AS defined FROM documents) WHERE NOT list_contains(defined, number)
+@query(rf"""
+SELECT doc_id, number FROM (SELECT doc_id, unnest(list_distinct(regexp_extract_all(lower(text), '{BEGIN}th([a-f])', 1))) AS number, list_distinct(regexp_extract_all(lower(text), '{BEGIN}en([a-f])', 1)) AS defined FROM documents) WHERE NOT list_contains(defined, number)
 """)
 def reference_integrity(t):
     rows = t.documents.withColumn("text", F.lower("text"))

@@ -17,7 +17,7 @@ TEXTS = (
     "éA1 = x and action 7. A1 = x",
     "nationé 7 words here that end in a mark.",
 )
-NAMES = ("article_usage", "cat_guards", "language_by_script", "mixed_terms")
+NAMES = ("article_usage", "cat_guards", "language_by_script", "mixed_terms", "reference_integrity")
 
 
 @pytest.fixture(scope="module")

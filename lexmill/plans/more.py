@@ -73,7 +73,7 @@ def manual_pages_topk(t):
     rows = t.conversations.select(F.struct("conv_id", F.col("turn").alias("page_num")).alias("page"), "text")
     chunks = G.exploded(rows, X.chunks(F.col("text"), 600, 150, 80), "page").select("page.*", "idx", "text")
     asked = t.benchmark.select(F.col("item_id").alias("question_id"), F.col("text").alias("question"))
-    return Q.best(Q.term_scores(chunks, asked, ["conv_id", "page_num", "idx"]), "question_id", [F.desc("score"), "conv_id", "page_num", "idx"], 10).select("question_id", "conv_id", "page_num", "idx", "score", "rank")
+    return Q.top_scores(chunks, asked, ["conv_id", "page_num", "idx"], 10).select("question_id", "conv_id", "page_num", "idx", "score", "rank")
 
 
 def _ld(c: str) -> str:

@@ -22,3 +22,11 @@ def test_both_ways_agree(spark, monkeypatch, few, members, n):
     names = ["b", "a_idx", "b_idx", "a_text", "b_text"]
     want = matching.candidates(a, b, "b", n=n, least_jaccard=0.25).select(names).collect()
     assert sorted(found.select(names).collect()) == sorted(want) and len(want) > 20
+
+
+def test_rows_of_one_id_stay_apart(spark):
+    """Sentences of several turns can share an id; their n-grams are not put together."""
+    a = spark.createDataFrame([("x", 1, "abcdefgh"), ("x", 1, "stuvwxyz"), ("x", 1, "klmnopqr" * 9)], "b string, idx long, text string")
+    b = spark.createDataFrame([("x", 7, "abcdefgz")], "b string, idx long, text string")
+    found = matching.candidates(a, b, "b").collect()
+    assert [(r["a_text"], r["b_text"]) for r in found] == [("abcdefgh", "abcdefgz")]

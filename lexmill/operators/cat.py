@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexmill.functions import text as X
+from lexmill.operators import matching as M
 from lexmill.operators import templates as L
 
 # Weights of segments and the least weight that their sum is divided by.
@@ -125,10 +126,7 @@ def recalled(rows: DataFrame, per: str, score: str, order: Sequence[str], slots:
 def aligned_clauses(a: Column, b: Column, marks: str = r"[,;，；]") -> Column:
     """Mean over the clauses of a of the best bigram Jaccard with a clause of b."""
     clauses = lambda c: F.filter(F.transform(F.split(X.text_of(c), marks), lambda p: X.compact(p)), lambda p: p != "")
-    like = lambda x, y: F.when(x == y, 1.0).when(F.contains(x, y) | F.contains(y, x), 0.95).otherwise(X.jaccard(X.char_ngrams(x), X.char_ngrams(y)))
-    best = F.transform(clauses(a), lambda x: F.coalesce(F.array_max(F.transform(clauses(b), lambda y: like(x, y))), F.lit(0.0)))
-    n = F.size(clauses(a))
-    return F.when(n == 0, 0.0).otherwise(F.aggregate(best, F.lit(0.0), lambda s, v: s + v) / F.greatest(n, F.lit(1)))
+    return M.best_of_each(clauses(a), clauses(b))
 
 
 def sentence_similarity(a: Column, b: Column, lcs: Column, longest_common: Column, g: L.Grammar = L.Grammar()) -> Column:
@@ -139,7 +137,7 @@ def sentence_similarity(a: Column, b: Column, lcs: Column, longest_common: Colum
     x, y = X.compact(a), X.compact(b)
     words = X.overlap(F.array_distinct(X.tokens(a)), F.array_distinct(X.tokens(b)))
     order = L.in_order(L.intent(a, g)["actions"], L.intent(b, g)["actions"])
-    base = 0.3 * X.jaccard(X.char_ngrams(x), X.char_ngrams(y)) + 0.3 * lcs + 0.2 * order + 0.2 * words
+    base = 0.3 * M.ngram_likeness(x, y)["jaccard"] + 0.3 * lcs + 0.2 * order + 0.2 * words
 
     def raised(p: Column) -> Column:
         base, clause = p["base"], p["clause"]

@@ -7,7 +7,10 @@ from difflib import SequenceMatcher
 
 import pyarrow as pa
 
-from lexmill.operators import matching
+from pyspark.sql import functions as F
+
+from lexmill.functions import text as X
+from lexmill.operators import cat, matching
 
 
 def _texts(seed, letters="abcé😀 "):
@@ -59,3 +62,22 @@ def test_char_diff_holds_few_objects(spark):
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 2 << 20  # half of what dictionaries of the runs of all rows take
+
+
+def test_likeness_of_ngrams_as_by_arrays(spark):
+    texts = [t for t in _texts(7, "ab é😀") if max(map(len, t)) < 60][:80]
+    rows = spark.createDataFrame(texts, "a string, b string")
+    grams = F.array_distinct(F.concat(*(X.char_ngrams(F.col("a"), n) for n in (2, 3, 4))))
+    covered = F.size(F.filter(grams, lambda g: F.contains("b", g))) / F.greatest(F.size(grams), F.lit(1))
+    found = matching.ngram_likeness(F.col("a"), F.col("b"))
+    out = rows.select(found["jaccard"], X.jaccard(X.char_ngrams(F.col("a")), X.char_ngrams(F.col("b"))), found["covered"], covered).collect()
+    assert len(out) > 50 and all(r[0] == r[1] and r[2] == r[3] for r in out)
+    for like in (matching.clause_similarity(F.col("a"), F.col("b"), F.lit(0.5)), cat.aligned_clauses(F.col("a"), F.col("b"))):
+        plan = rows.select(like)._jdf.queryExecution().optimizedPlan().toString()
+        assert "array_distinct" not in plan and "array_intersect" not in plan  # these compare all pairs of n-grams
+
+
+def test_best_clause_of_each(spark):
+    rows = spark.createDataFrame([("abcd, x", "abce; abcd"), ("", "a"), ("a", ""), (None, None), ("abcd,abxy", "bcda,zzab")], "a string, b string")
+    found = [r[0] for r in rows.select(cat.aligned_clauses(F.col("a"), F.col("b"))).collect()]
+    assert found == [0.5, 0.0, 0.0, 0.0, (0.5 + 0.2) / 2]

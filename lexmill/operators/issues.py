@@ -194,13 +194,15 @@ def _is(word: str):
     return lambda w: w == word
 
 
-def normalized_candidates(candidates: DataFrame, key: str, order: str, least: int = 70) -> DataFrame:
+def normalized_candidates(candidates: DataFrame, key: str, order: str, least: int = 70, content: Column | None = None) -> DataFrame:
     """Model findings worth keeping: confident, with text that the content has, each text once.
 
-    candidates (key, order, original_text, confidence, content); confidence is cut to 0..100.
+    candidates (key, order, original_text, confidence, content); confidence is cut to 0..100. A caller
+    that has made ``X.compact`` of a content once for its many findings gives it as ``content`` instead.
     """
+    content = X.compact(F.col("content")) if content is None else content
     c = F.greatest(F.lit(0), F.least(F.lit(100), F.coalesce("confidence", F.lit(0))))
-    rows = candidates.withColumn("confidence", c).where((F.col("confidence") >= least) & (F.trim("original_text") != "") & F.contains(X.compact(F.col("content")), X.compact(F.col("original_text"))))
+    rows = candidates.withColumn("confidence", c).where((F.col("confidence") >= least) & (F.trim("original_text") != "") & F.contains(content, X.compact(F.col("original_text"))))
     first = F.row_number().over(Window.partitionBy(key, X.compact(F.col("original_text"))).orderBy(order))
     return rows.withColumn("_n", first).where("_n = 1").drop("_n")
 

@@ -44,9 +44,9 @@ WITH h AS ({_rules_sql('doc_id, text', 'doc_id, text')}), c AS (SELECT * FROM h
 SELECT doc_id, rule, nth FROM c QUALIFY row_number() OVER (PARTITION BY doc_id, lower(regexp_replace(original_text, '\\s+', '', 'g')) ORDER BY rule, nth) = 1
 """)
 def model_findings_normalized(t):
-    rows = I.detect(t.documents, RULES).join(t.documents.select("doc_id", F.col("text").alias("content")), "doc_id")
+    rows = I.detect(t.documents, RULES).join(t.documents.select("doc_id", X.compact(F.col("text")).alias("compact")), "doc_id")
     rows = rows.withColumn("order", F.struct("rule", "nth"))
-    return I.normalized_candidates(rows, "doc_id", "order", least=88).select("doc_id", "rule", F.col("nth").cast("long").alias("nth"))
+    return I.normalized_candidates(rows, "doc_id", "order", least=88, content=F.col("compact")).select("doc_id", "rule", F.col("nth").cast("long").alias("nth"))
 
 
 @query(r"""

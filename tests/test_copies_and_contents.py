@@ -2,6 +2,10 @@
 
 from types import SimpleNamespace
 
+from pyspark.sql import functions as F
+
+from lexmill.functions import text as X
+from lexmill.operators import issues
 from lexmill.plans import texts
 
 
@@ -20,3 +24,11 @@ def test_copies_of_a_name_are_not_paired_with_each_other(spark):
     assert pairs == {(0, 1): 0.6667, (0, 2): 0.0, (0, 3): None, (1, 2): 0.0, (1, 3): None, (2, 3): 0.0}
     assert of == {k: k % 4 for k in range(4, 400)}
     assert {(r["a_key"], r["similarity"]) for r in found if r["copy"]} == {(0, 1.0), (1, 1.0), (2, 0.0), (3, None)}
+
+
+def test_content_made_comparable_by_the_caller(spark):
+    rows = [(1, k, t, 90, "Some Text\nof words") for k, t in enumerate(["some text", "SOMETEXT", "of  words", "none", "", None])] + [(2, 9, "a", 60, "a"), (2, 10, "a", 90, None)]
+    found = spark.createDataFrame(rows, "doc long, nth int, original_text string, confidence int, content string")
+    want = issues.normalized_candidates(found, "doc", "nth").select("doc", "nth").collect()
+    given = found.withColumn("made", X.compact(F.col("content"))).drop("content")
+    assert sorted(issues.normalized_candidates(given, "doc", "nth", content=F.col("made")).select("doc", "nth").collect()) == sorted(want) == [(1, 0), (1, 2)]

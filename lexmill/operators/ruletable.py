@@ -15,7 +15,8 @@ import warnings
 from collections.abc import Iterator, Sequence
 
 import ahocorasick
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 import regex
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
@@ -87,7 +88,7 @@ def literal(pattern: str) -> tuple[str, bool, bool] | None:
     return "".join(chr(v) for _, v in body), left, right
 
 
-_WORD = regex.compile(r"\w")
+_WORD, _WORDS = regex.compile(r"\w"), regex.compile(r"\w+")
 #: Compiled patterns that a worker keeps.
 COMPILED = 4096
 
@@ -99,11 +100,15 @@ class Automaton:
         self.compiled: dict[int, regex.Pattern] = {}
         self.in_word: dict[str, bool] = {}
         self.always: list[int] = []
+        self.whole: dict[str, list[int]] = {}  # literals that are one whole word: the words of a text are looked up
         plain: dict[str, list[tuple[int, bool, bool]]] = {}
         of: dict[str, list[int]] = {}
         for k, (_, pattern, any_case) in enumerate(rules):
             if not any_case and (found := literal(pattern)):
-                plain.setdefault(found[0], []).append((k, *found[1:]))
+                if found[1] and found[2] and _WORDS.fullmatch(found[0]):
+                    self.whole.setdefault(found[0], []).append(k)
+                else:
+                    plain.setdefault(found[0], []).append((k, *found[1:]))
                 continue
             found = needles(pattern)
             for n in {folded(n) for n in found} if found else ():
@@ -136,6 +141,10 @@ class Automaton:
 
     def spans(self, text: str) -> list[tuple[str, int, int, str]]:
         out = []
+        if self.whole:
+            for m in _WORDS.finditer(text):
+                if (which := self.whole.get(m[0])) is not None:
+                    out += [(self.rules[k][0], *m.span(), m[0]) for k in which]
         if self.literals is not None:
             free: dict[int, int] = {}  # where a rule's last match ended
             for last, (size, which) in self.literals.iter(text):
@@ -178,16 +187,28 @@ def _automaton(key: str, rules: Sequence[tuple[str, str, bool]]) -> Automaton:
     return _automata[key]
 
 
+#: Texts whose spans are Python objects at the same time.
+TEXTS = 64
+
+
 def _spans(key: str, shared: Broadcast):
-    @F.pandas_udf("array<struct<rule:string,start:int,end:int,original_text:string>>")
-    def spans(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("array<struct<rule:string,start:int,end:int,original_text:string>>")
+    def spans(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         automaton = _automaton(key, shared.value)
         for texts in batches:
-            yield pd.Series([[dict(zip(("rule", "start", "end", "original_text"), s, strict=True)) for s in automaton.spans(t)] if t else [] for t in texts])
+            yield pa.concat_arrays([_columns(automaton, texts.slice(k, TEXTS).to_pylist()) for k in range(0, max(len(texts), 1), TEXTS)])
 
     return spans
 
 
+def _columns(automaton: Automaton, texts: list[str | None]) -> pa.ListArray:
+    found = [automaton.spans(t) if t else [] for t in texts]
+    rule, start, end, text = zip(*(s for each in found for s in each), strict=True) if any(found) else ((), (), (), ())
+    columns = [pa.array(c, kind) for c, kind in ((rule, pa.string()), (start, pa.int32()), (end, pa.int32()), (text, pa.string()))]
+    ends = np.cumsum([0, *map(len, found)])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(columns, ["rule", "start", "end", "original_text"]))
+
+
 def word_rules(words: DataFrame, word: str, rule: str | None = None) -> DataFrame:
     """(rule, pattern, ignore_case) of literals that are whole words; ``rule`` names them, else the words do."""
     special = r"([\\.^$*+?{}\[\]|()\-#&~ ])"

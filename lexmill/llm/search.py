@@ -6,13 +6,17 @@ so that neighbours are alike; postings by term are cut into blocks of ``BLOCK``
 with its greatest impact. Document frequencies, the number of documents and their mean length are
 summed over all shards, so every shard scores with global statistics.
 
-Search. The WAND bound of a block of documents is the sum over the query's terms of weight times
-the greatest impact in the block. Blocks are taken in falling order of their bounds, in ``WAVES``;
-their documents are scored whole, and the k-th best score so far is the threshold that the next
-blocks' bounds must reach. The postings of a block that stays below it are never read. So each
-shard's top k is exact, and so is their merge. Scores are rounded to six digits, so that equal
-documents tie; a tie goes to the smaller id within a shard already, and no shard gives a query
-more than k hits.
+Search. The WAND bound of a block of documents is the sum over the query's frequent terms of weight
+times the greatest impact in the block, and the best that its other terms give one of the block's
+documents. Blocks are taken in falling order of their bounds, in ``WAVES``; their documents are
+scored whole, and the k-th best score so far is the threshold that the next blocks' bounds must
+reach. A block that stays below it is never scored. ``BATCH`` queries go together: the impacts of a
+shard's frequent terms in a block are a matrix of float32, and a product with the weights of the
+queries that the block is live for scores it for all of them. The error of such sums has a bound
+(all are of positive numbers), which widens every comparison; what may be among the best k is then
+scored in double precision from its own terms. So each shard's top k is exact, and so is their
+merge. Scores are rounded to six digits, so that equal documents tie; a tie goes to the smaller id
+within a shard already, and no shard gives a query more than k hits.
 
 Queries reach the shards in blocks of at most ``SENT`` bytes, each broadcast in turn.
 """
@@ -43,6 +47,10 @@ WAVES = (8, 64)
 #: A score this much below another may be equal to it when both are rounded.
 SLACK = 1.000001e-6
 SENT = 32 << 20
+#: Terms that one in so many documents of a shard have, so many at most, are frequent: columns of its matrices.
+FREQUENT, COLUMNS = 32, 512
+#: Queries that are scored together, and documents whose terms are looked at together.
+BATCH, EXACT = 256, 256
 
 _SPACES = bytes(c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 65 <= c <= 90 and c + 32 or 32 for c in range(256))
 
@@ -119,66 +127,112 @@ class Shard:
     starts: np.ndarray
     docs: np.ndarray
     impacts: np.ndarray
-    #: first posting of each (term, block), its block and greatest impact; first entry of each term
-    entries: np.ndarray
-    blocks: np.ndarray
-    tops: np.ndarray
-    firsts: np.ndarray
+    #: first posting of each (term, block), its block and greatest impact; first entry of each term: not needed for a search
+    entries: np.ndarray | None
+    blocks: np.ndarray | None
+    tops: np.ndarray | None
+    firsts: np.ndarray | None
     #: place of each document in the order of ids, null first
     order: np.ndarray
     #: blocks whose documents were scored, and blocks in all, over all queries
     scored: int = 0
     bounded: int = 0
 
+    def __post_init__(self) -> None:
+        n, df = len(self.ids), np.diff(self.starts)
+        often = np.flatnonzero(df * FREQUENT >= n)
+        often = np.sort(often[np.argsort(-df[often], kind="stable")[:COLUMNS]])
+        #: column of each frequent term, -1 for the others
+        self.column = np.full(len(df), -1, np.int32)
+        self.column[often] = np.arange(len(often))
+        size = (n + BLOCK - 1) // BLOCK
+        #: impacts of frequent terms by block, column and document of the block, and their greatest by column and block
+        self.matrix = np.zeros((size, len(often), BLOCK), np.float32)
+        for c, term in enumerate(often):
+            p = slice(self.starts[term], self.starts[term + 1])
+            self.matrix[self.docs[p] // BLOCK, c, self.docs[p] % BLOCK] = self.impacts[p]
+        self.greatest = self.matrix.max(2).T.copy()
+        #: postings by document: where each document's begin, their places and terms
+        self.begins = np.concatenate([[0], np.cumsum(np.bincount(self.docs, minlength=n))])
+        self.postings = np.argsort(self.docs.astype(np.uint16), kind="stable").astype(np.int32)
+        self.terms_of = np.repeat(np.arange(len(df), dtype=np.int32), df)[self.postings]
+        self.weights = np.zeros(len(df))
+
     @classmethod
     def of(cls, row: dict, mean: float) -> Shard:
         lens, tfs = np.frombuffer(row["lens"], np.uint32), np.frombuffer(row["tfs"], np.uint32)
         terms, starts = np.frombuffer(row["terms"], np.int64), np.frombuffer(row["starts"], np.uint32).astype(np.int64)
-        docs = np.frombuffer(row["docs"], np.uint16).astype(np.int64)
-        impacts = tfs * (K1 + 1) / (tfs + (K1 * (1 - B + B * lens / max(mean, 1e-9)))[docs])
-        new = np.zeros(len(docs), bool)
-        new[starts] = True
-        new[1:] |= docs[1:] // BLOCK != docs[:-1] // BLOCK
-        entries = np.flatnonzero(new)
-        tops = np.maximum.reduceat(impacts, entries) if len(entries) else impacts
-        firsts = np.searchsorted(entries, starts)
+        docs = np.frombuffer(row["docs"], np.uint16).astype(np.int32)
+        impacts, below = tfs * (K1 + 1), (K1 * (1 - B + B * lens / max(mean, 1e-9)))[docs]
+        below += tfs
+        impacts /= below
         order = np.empty(len(lens), np.int64)
         order[pc.array_sort_indices(row["ids"], null_placement="at_start").to_numpy()] = np.arange(len(lens))
-        return cls(row["ids"], terms, np.append(starts, len(docs)), docs, impacts, np.append(entries, len(docs)), docs[entries] // BLOCK, tops, np.append(firsts, len(entries)), order)
+        return cls(row["ids"], terms, np.append(starts, len(docs)), docs, impacts, None, None, None, None, order)
 
     def search(self, queries: list[tuple[int, np.ndarray, np.ndarray]], k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """(query, documents, scores) of each query."""
-        for name, terms, weights in queries:
-            at = np.searchsorted(self.terms, terms)
-            at[at == len(self.terms)] = 0
-            there = self.terms[at] == terms if len(self.terms) else np.zeros(len(terms), bool)
-            yield name, *self.top(at[there], weights[there], k)
+        for first in range(0, len(queries), BATCH):
+            batch, own = queries[first : first + BATCH], []
+            for _, terms, weights in batch:
+                at = np.searchsorted(self.terms, terms)
+                at[at == len(self.terms)] = 0
+                there = self.terms[at] == terms if len(self.terms) else np.zeros(len(terms), bool)
+                own.append((at[there], weights[there]))
+            for (name, _, _), found in zip(batch, self.top_each(own, k), strict=True):
+                yield name, *found
 
     def top(self, at: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """The k best documents that share a term, best first, and their rounded scores; ``at`` are the places of the query's terms."""
-        n = len(self.ids)
-        e, w = _ranges(self.firsts[at], self.firsts[at + 1], weights)
-        blocks = self.blocks[e]
-        bounds = np.bincount(blocks, self.tops[e] * w, (n + BLOCK - 1) // BLOCK)
-        ahead = np.argsort(-bounds, kind="stable")
-        ahead = ahead[: np.count_nonzero(bounds > 0)]
-        self.bounded += len(bounds)
-        sums, least = np.zeros(n), 0.0
-        for wave in (*WAVES, len(ahead)):
-            now, ahead = ahead[:wave], ahead[wave:]
-            if not len(now):
+        return self.top_each([(at, weights)], k)[0]
+
+    def top_each(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """``top`` of each of some queries."""
+        n, (size, columns, _) = len(self.ids), self.matrix.shape
+        frequent = np.zeros((len(queries), columns), np.float32)
+        sums = np.zeros((len(queries), size * BLOCK), np.float32)
+        for q, (at, w) in enumerate(queries):
+            column = self.column[at]
+            rare = column < 0
+            frequent[q, column[~rare]] = w[~rare]
+            p, v = _ranges(self.starts[at[rare]], self.starts[at[rare] + 1], w[rare])
+            sums[q] = np.bincount(self.docs[p], self.impacts[p] * v, size * BLOCK)
+        of_block = sums.reshape(len(queries), size, BLOCK)
+        bounds = frequent @ self.greatest + of_block.max(2)
+        error = (np.count_nonzero(frequent, axis=1, keepdims=True) + 16) * 2.0**-23  # of a sum, as a part of it
+        place = np.empty(bounds.shape, np.int64)
+        np.put_along_axis(place, np.argsort(-bounds, axis=1, kind="stable"), np.arange(size)[None, :], 1)
+        done, least, first = np.zeros(bounds.shape, bool), np.zeros(len(queries)), 0
+        self.bounded += bounds.size
+        for wave in (*WAVES, size):
+            live = (place >= first) & (place < first + wave) & (bounds > 0) & (bounds * (1 + error) >= least[:, None] - SLACK)
+            if not live.any():
                 break
-            chosen = np.zeros(len(bounds), bool)
-            chosen[now] = True
-            live = chosen[blocks]
-            p, v = _ranges(self.entries[e[live]], self.entries[e[live] + 1], w[live])
-            sums += np.bincount(self.docs[p], self.impacts[p] * v, n)
-            self.scored += len(now)
+            first += wave
+            for b in np.flatnonzero(live.any(0)):
+                some = np.flatnonzero(live[:, b])
+                of_block[some, b] += frequent[some] @ self.matrix[b]
+            done |= live
+            self.scored += int(np.count_nonzero(live))
             if n > k:
-                least = np.partition(sums, n - k)[n - k]
-            ahead = ahead[bounds[ahead] * (1 + 1e-9) >= least - SLACK]
-        hit = np.flatnonzero((sums >= least - SLACK) & (sums > 0))
-        scores = np.floor(sums[hit] * 1e6 + 0.5) / 1e6
+                for q in np.flatnonzero(live.any(1)):
+                    scores = of_block[q, done[q]].ravel()
+                    if len(scores) > k:
+                        least[q] = np.partition(scores, len(scores) - k)[len(scores) - k] * (1 - error[q, 0])
+        return [self._exact(of_block[q], done[q], least[q] - SLACK, error[q, 0], *queries[q], k) for q in range(len(queries))]
+
+    def _exact(self, sums: np.ndarray, done: np.ndarray, least: float, error: float, at: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """The k best of the documents whose sums, known but for an error, may be ``least`` or more."""
+        b, i = np.nonzero((sums > 0) & (sums * (1 + error) >= least) & done[:, None])
+        hit = b * BLOCK + i
+        self.weights[at] = weights
+        exact = np.zeros(len(hit))
+        for k0 in range(0, len(hit), EXACT):
+            some = hit[k0 : k0 + EXACT]
+            p, own = _ranges(self.begins[some], self.begins[some + 1], np.arange(len(some)))
+            exact[k0 : k0 + EXACT] = np.bincount(own, self.impacts[self.postings[p]] * self.weights[self.terms_of[p]], len(some))
+        self.weights[at] = 0.0
+        scores = np.floor(exact * 1e6 + 0.5) / 1e6
         best = np.lexsort((self.order[hit], -scores))[:k]
         return hit[best], scores[best]
 
@@ -247,13 +301,14 @@ def top_k(docs: DataFrame, queries: DataFrame, k: int = 10, text: str = "text",
             for batch in batches:
                 for i in range(batch.num_rows):
                     row = {name: batch.column(j)[i] for j, name in enumerate(("ids", "lens", "terms", "starts", "docs", "tfs"))}
-                    shard = Shard.of({name: x.values if name == "ids" else x.as_py() for name, x in row.items()}, mean)
+                    shard = Shard.of({name: x.values if name == "ids" else x.as_buffer() for name, x in row.items()}, mean)
                     who, hits, scores = [], [], []
                     for query, hit, score in shard.search(sent.value, k):
                         who.append(np.full(len(hit), query))
                         hits.append(hit)
                         scores.append(score)
                     ids = shard.ids.take(pa.array(np.concatenate(hits)))
+                    row = shard = None  # before the next one is made
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(who), pa.int64()), ids, pa.array(np.concatenate(scores), pa.float64())], names=schema.names)
 
         return cut(shards.select("ids", "lens", "terms", "starts", "docs", "tfs").mapInArrow(run, schema), "search-hits")

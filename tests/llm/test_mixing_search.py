@@ -175,6 +175,27 @@ def test_ties_are_those_of_rounded_scores():
     assert hit.tolist() == [2] and score.tolist() == [1.0]
 
 
+@pytest.mark.parametrize("columns", [0, 3, 512])
+def test_queries_scored_together_have_the_best_by_double_precision(monkeypatch, columns):
+    """Scores that float32 cannot tell apart: the order is that of all postings summed in double precision."""
+    monkeypatch.setattr(search, "BLOCK", 4)
+    monkeypatch.setattr(search, "COLUMNS", columns)
+    rng = np.random.default_rng(5)
+    tf = np.where(rng.random((300, 40)) < 0.6, 5000 + rng.integers(0, 2, (300, 40)), 0)
+    found = [(np.flatnonzero(r), r[r > 0].astype(np.uint32)) for r in tf]
+    packed = search._shard(pa.array(range(300)), found, 0)
+    shard = search.Shard.of(dict(zip(("ids", "lens", "terms", "starts", "docs", "tfs"), packed[1:], strict=True)), float(tf.sum() / 300))
+    queries = [(rng.choice(len(shard.terms), 12, replace=False), 300 * rng.random(12)) for _ in range(9)]
+    for (at, w), (hit, score) in zip(queries, shard.top_each(queries, 5), strict=True):
+        sums = np.zeros(300)
+        for a, x in zip(at, w, strict=True):
+            p = slice(shard.starts[a], shard.starts[a + 1])
+            sums[shard.docs[p]] += x * shard.impacts[p]
+        scores = np.round(sums, 6)
+        assert hit.tolist() == np.lexsort((shard.order, -scores))[:5].tolist()
+        assert score.tolist() == pytest.approx(scores[hit].tolist(), abs=2e-6)
+
+
 def test_search_in_blocks_of_queries(spark, monkeypatch):
     monkeypatch.setattr(search, "SENT", 500)
     rows = [(k, words(k % 9, 20)) for k in range(60)]

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lexmill.functions import text as X
 from lexmill.operators import matching as M
 from lexmill.operators import segments as G
+from lexmill.operators.spread import cut
 
 PAGE_MARK = r"(?m)^\s*(?:page|第)\s*\d+\s*(?:页|of \d+)?\s*$"
 
@@ -31,7 +32,7 @@ def document_pairs(a: DataFrame, b: DataFrame, key: str, least: float = 0.80, te
 
 def compare_documents(a: DataFrame, b: DataFrame, key: str, least: float = 0.80, text: str = "text") -> DataFrame:
     """Similarity, coverage, counts of differences and verdict of two versions of each document."""
-    left, right = segments(a, key, text), segments(b, key, text)
+    left, right = (cut(segments(d, key, text), "segments") for d in (a, b))
     pairs = M.with_exact(left, right, key, least)
     changed = pairs.groupBy(key).agg(F.count_if(F.col("score") < 1).alias("modified"))
     out = M.fuzzy_jaccard(pairs, left, right, key).join(changed, key, "left").fillna(0, ["modified"])

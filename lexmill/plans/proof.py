@@ -10,6 +10,7 @@ from lexmill.operators import evaluation as E
 from lexmill.operators import issues as I
 from lexmill.operators import proofing as P
 from lexmill.operators import segments as G
+from lexmill.operators.spread import cut
 from lexmill.plans.findings import RULES, _rules_sql
 from lexmill.plans.registry import BEGIN, NTH, query
 
@@ -82,7 +83,7 @@ def document_compare(t):
 
 @query()
 def document_differences(t):
-    a, b = (C.segments(v, "pair") for v in _versions(t))
+    a, b = (cut(C.segments(v, "pair"), "segments") for v in _versions(t))
     from lexmill.operators import matching as M
 
     return C.differences(a, b, M.with_exact(a, b, "pair", 0.8), "pair")

@@ -81,3 +81,30 @@ def test_best_clause_of_each(spark):
     rows = spark.createDataFrame([("abcd, x", "abce; abcd"), ("", "a"), ("a", ""), (None, None), ("abcd,abxy", "bcda,zzab")], "a string, b string")
     found = [r[0] for r in rows.select(cat.aligned_clauses(F.col("a"), F.col("b"))).collect()]
     assert found == [0.5, 0.0, 0.0, 0.0, (0.5 + 0.2) / 2]
+
+
+def test_ratios_that_end_early_are_those_of_difflib():
+    rng = random.Random(11)
+    for size in (0, 1, 7, 60, 260):
+        for _ in range(60):
+            a, b = ("".join(rng.choice("abcd e") for _ in range(rng.randint(size // 2, size))) for _ in range(2))
+            b = b if rng.random() < 0.5 else a[: len(a) // 2] + b[len(a) // 2 :]
+            m = SequenceMatcher(None, a, b)
+            assert matching._ratio(m, 0.0) == m.ratio()
+            for least in (0.4, 0.6, m.ratio(), 0.8):
+                assert matching._ratio(m, least) in ((m.ratio(),) if m.ratio() >= least else (m.ratio(), 0.0))
+
+
+def test_sentences_of_both_sides_are_made_once(spark):
+    """The text is taken apart once for both sides, not for each count and join of the comparison."""
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def made(text):
+        seen.add(1)
+        return text
+
+    rows = [(p, i, f"line {i} of the pair {p} " + "xyz" * (i % 3)) for p in range(3) for i in range(5)]
+    side = lambda: spark.createDataFrame(rows, "pair long, idx long, text string").select("pair", "idx", made("text").alias("text"))
+    assert matching.with_exact(side(), side(), "pair", 0.8).count() == 15
+    assert seen.value == 30

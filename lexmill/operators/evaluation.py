@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lexmill.functions import text as X
 from lexmill.operators import matching as M
+from lexmill.operators.spread import cut
 from lexmill.operators.stats import rate
 
 
@@ -35,8 +36,35 @@ def gold_hits(gold: DataFrame, issues: DataFrame, key: str, context: int = 40) -
 
 
 def gold_assignment(gold: DataFrame, issues: DataFrame, key: str, least: float = 0.5) -> DataFrame:
-    """One-to-one pairs of gold texts and issues of each key (key, idx, text) with the greatest total ratio."""
-    return M.optimal(M.alike(gold, issues, key, least), key)
+    """One-to-one pairs of gold texts and issues of each key (key, idx, text) with the greatest total ratio.
+
+    No pair scores more than 1. So gold rows of a text with an equal issue for each of them, and one more for
+    each gold row that is not settled this way and is alike enough to take one, lose nothing to any of these:
+    they take equal issues at the end. Only the others are compared with all issues.
+    """
+    side = lambda rows: rows.where(F.col(key).isNotNull() & F.col("idx").isNotNull()).select(key, F.col("idx").cast("long").alias("idx"), X.text_of(F.col("text")).alias("text"))
+    gold, issues = cut(side(gold), "gold"), side(issues)
+    equal = cut(issues.join(gold.select(key, "text").distinct(), [key, "text"], "left_semi"), "equal-issues")
+    # an id of several rows is one node, which other rows of it can take, so these copies do not count
+    several = lambda rows: rows.groupBy(key, "idx").agg(F.count("*").alias("_n")).where("_n > 1").select(key, "idx")
+    equal = cut(equal.join(several(issues.select(key, "idx").join(equal.select(key, "idx").distinct(), [key, "idx"], "left_semi")), [key, "idx"], "left_anti"), "equal-issues")
+    shared = gold.join(several(gold), [key, "idx"], "left_semi").select(key, "text", F.lit(True).alias("_shared")).distinct()
+    texts = gold.groupBy(key, "text").agg(F.count("*").alias("_n")).join(equal.groupBy(key, "text").agg(F.count("*").alias("_copies")), [key, "text"], "left").join(shared, [key, "text"], "left")
+    texts = cut(texts.fillna(0, ["_copies"]).withColumn("idx", F.monotonically_increasing_id()), "gold-texts")
+    like = cut(M.alike(texts, texts, key, least, few="a"), "gold-alike")
+    settled = like.where("a_idx = b_idx and score = 1").select(key, F.col("a_idx").alias("idx")).join(texts, [key, "idx"]).where("_copies >= _n and _shared is null")
+    while True:
+        settled = cut(settled, "settled")
+        others = texts.join(settled.select(key, "idx"), [key, "idx"], "left_anti")
+        takers = like.join(others.select(key, F.col("idx").alias("a_idx"), "_n"), [key, "a_idx"]).groupBy(key, F.col("b_idx").alias("idx")).agg(F.sum("_n").alias("_takers"))
+        fine = settled.join(takers, [key, "idx"], "left").where("_copies >= _n + coalesce(_takers, 0)").drop("_takers")
+        if fine.count() == settled.count():
+            break
+        settled = fine
+    rest = gold.join(settled.select(key, "text"), [key, "text"], "left_anti")
+    chosen = cut(M.optimal(M.alike(rest, issues, key, least, few="a"), key), "gold-pairs").select(key, "a_idx", "b_idx", "score")
+    left = equal.join(chosen.select(key, F.col("b_idx").alias("idx")), [key, "idx"], "left_anti")
+    return chosen.unionByName(M.exact_pairs(gold.join(settled.select(key, "text"), [key, "text"], "left_semi"), left, key))
 
 
 def scores(rows: DataFrame, by: Sequence[str], truth: Column, guess: Column) -> DataFrame:

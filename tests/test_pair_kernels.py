@@ -108,3 +108,20 @@ def test_sentences_of_both_sides_are_made_once(spark):
     side = lambda: spark.createDataFrame(rows, "pair long, idx long, text string").select("pair", "idx", made("text").alias("text"))
     assert matching.with_exact(side(), side(), "pair", 0.8).count() == 15
     assert seen.value == 30
+
+
+def test_all_in_order_are_the_pairs_one_by_one(monkeypatch):
+    import numpy as np
+
+    calls = []
+    monkeypatch.setattr(matching, "common_letters", lambda *a: calls.append(a))  # letters tell little at 0.6
+    texts = [t for pair in list(_texts(4))[:60] for t in pair] + ["", "x" * 64, "x" * 65, "abcé😀 " * 60]
+    for bits in (40, 1 << 16):
+        monkeypatch.setattr(matching, "BITS", bits)
+        for least in (0.6, 0.3, 0.0):
+            xs, ys, _, _, i, j = matching._able(texts[::2], texts[1::2], least)
+            p, q = (k.ravel() for k in np.meshgrid(range(len(xs)), range(len(ys)), indexing="ij"))
+            size = np.array([len(xs[k]) + len(ys[n]) for k, n in zip(p, q, strict=True)])
+            able = 2.0 * matching.common_in_order(xs, ys, p, q) >= least * size - 1e-9
+            assert sorted(zip(i.tolist(), j.tolist(), strict=True)) == sorted(zip(p[able].tolist(), q[able].tolist(), strict=True)) and 0 < len(i)
+    assert not calls

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexmill.functions import text as X
+from lexmill.operators.spread import cut
 
 
 def nfkc(c: Column) -> Column:
@@ -40,17 +41,23 @@ def clauses(c: Column, least: int = 2) -> Column:
     return F.filter(parts, lambda p: F.length(p) >= least)
 
 
+#: Words of a list that is broadcast at most.
+LISTED = 1 << 20
+
+
 def unknown_words(docs: DataFrame, dictionary: DataFrame, whitelist: DataFrame, doc_id: str = "doc_id", text: str = "text", least: int = 3, most: int | None = None) -> DataFrame:
     """(doc_id, word, n) of words that neither the dictionary (word, any case) nor the whitelist (word, exact) has.
 
-    Each word is looked up once for the whole corpus; occurrences are counted before the joins
-    and reported up to ``most`` if that is given.
+    Known words go before occurrences are counted where the lists are broadcast, which they are up to
+    ``LISTED`` words; else counts are written first (Spark would move the joins below them), and a word is looked up once for a document. Counts are reported
+    up to ``most`` if that is given.
     """
     words = docs.select(doc_id, F.explode(F.regexp_extract_all(X.text_of(F.col(text)), F.lit(r"\p{L}+"), 0)).alias("word")).where(F.length("word") >= least)
-    counts = words.groupBy(doc_id, "word").agg(F.count("*").alias("n"))
-    known = dictionary.select(F.lower("word").alias("_known")).distinct()
-    fine = whitelist.select(F.col("word").alias("_fine")).distinct()
-    left = counts.join(known, F.lower("word") == F.col("_known"), "left_anti").join(fine, F.col("word") == F.col("_fine"), "left_anti")
+    known = cut(dictionary.select(F.lower("word").alias("_known")).where("_known is not null").distinct(), "dictionary")
+    fine = cut(whitelist.select(F.col("word").alias("_fine")).where("_fine is not null").distinct(), "whitelist")
+    counted = lambda rows: rows.groupBy(doc_id, "word").agg(F.count("*").alias("n"))
+    unknown = lambda rows, of: rows.join(of(known), F.lower("word") == F.col("_known"), "left_anti").join(of(fine), F.col("word") == F.col("_fine"), "left_anti")
+    left = counted(unknown(words, F.broadcast)) if max(known.count(), fine.count()) <= LISTED else unknown(cut(counted(words), "word-counts"), lambda rows: rows)
     return left.withColumn("n", F.least("n", F.lit(most))) if most else left
 
 

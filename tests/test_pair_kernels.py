@@ -125,3 +125,22 @@ def test_all_in_order_are_the_pairs_one_by_one(monkeypatch):
             able = 2.0 * matching.common_in_order(xs, ys, p, q) >= least * size - 1e-9
             assert sorted(zip(i.tolist(), j.tolist(), strict=True)) == sorted(zip(p[able].tolist(), q[able].tolist(), strict=True)) and 0 < len(i)
     assert not calls
+
+
+def test_in_turn_indexes_a_text_once(spark, monkeypatch):
+    made = []
+    monkeypatch.setattr(matching, "SequenceMatcher", lambda *a: made.append(a) or SequenceMatcher(*a))
+    r = random.Random(6)
+    left, right = ([(k, "".join(r.choice("ab c") for _ in range(r.randint(0, 220)))) for k in range(12)] for _ in "ab")
+    found = list(matching._in_turn(left, right, 0.0))
+    used, want = set(), []
+    for i, x in left:
+        s, j = max(((SequenceMatcher(None, x, y).ratio(), -j) for j, y in right if j not in used), default=(0.0, 0))
+        if s > 0:
+            used.add(-j)
+            want.append((i, -j, s))
+    assert found == want and len(made) <= len(right)
+    rows = spark.createDataFrame([(None, 0, "ab"), (None, 1, "ab"), ("x", 0, None), ("x", 1, "abc")], "b string, idx int, text string")
+    out = matching.aligned_in_order(rows, rows.where("idx = 1"), "b", least=0.1)
+    assert "CoGroup" not in out._jdf.queryExecution().executedPlan().toString()  # groups are read in a row, not sent one by one
+    assert sorted(map(tuple, out.collect()), key=str) == [("x", 1, 1, 1.0, "exact"), (None, 0, 1, 1.0, "exact")]

@@ -3,6 +3,7 @@
 from itertools import combinations
 from types import SimpleNamespace
 
+from lexmill.operators import templates
 from lexmill.plans import texts
 
 
@@ -22,3 +23,10 @@ def test_all_parts_of_a_kind_are_paired(spark):
     want = {(i, j): like(names[i % 5], names[j % 5]) for i, j in combinations(range(40), 2)}
     assert len(found) == len(want) == 780
     assert {(a, b): s for a, b, s in found} == want
+
+
+def test_all_templates_that_meet_the_threshold_are_kept(spark):
+    rows = [(1, t, 0.5 + t / 100, 0.1, 0.0, "fuzzy") for t in range(12)] + [(2, 0, 0.9, 0.9, 0.0, "exact"), (2, 1, 0.3, 0.2, 0.0, "reference")]
+    found = spark.createDataFrame(rows, "sentence_id long, template_id long, score double, edit double, penalty double, tier string")
+    assert [(r["template_id"], r["rank"]) for r in templates.kept(found).orderBy("rank").collect()] == [(11 - k, k + 1) for k in range(12)]
+    assert templates.kept(found, k=5).count() == 5

@@ -12,16 +12,20 @@ import hashlib
 import re._constants as C
 import re._parser as parser
 import warnings
+from collections import Counter
 from collections.abc import Iterator, Sequence
 
 import ahocorasick
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexmill.operators.spread import cut
+
 #: Characters of patterns that one pass takes; a longer table is taken in several.
 PASS = 1 << 21
 
@@ -89,6 +93,18 @@ def literal(pattern: str) -> tuple[str, bool, bool] | None:
 
 
 _WORD, _WORDS = regex.compile(r"\w"), regex.compile(r"\w+")
+#: A whole word without any sign that patterns give a meaning.
+_PLAIN = regex.compile(r"\\b(\w+)\\b")
+
+
+def whole_word(pattern: str) -> str | None:
+    """The word that a pattern is, if it is a literal of one whole word."""
+    if plain := _PLAIN.fullmatch(pattern):
+        return plain[1]
+    found = literal(pattern)
+    return found[0] if found and found[1] and found[2] and _WORDS.fullmatch(found[0]) else None
+
+
 #: Compiled patterns that a worker keeps.
 COMPILED = 4096
 
@@ -216,6 +232,19 @@ def word_rules(words: DataFrame, word: str, rule: str | None = None) -> DataFram
     return words.select(F.col(rule or word).alias("rule"), pattern.alias("pattern"), F.lit(False).alias("ignore_case"))
 
 
+def _tables(rules: DataFrame) -> list[tuple[str, Broadcast]]:
+    """The rules that have a pattern, in broadcast parts of at most ``PASS`` characters, each with a name."""
+    slim = rules.where("pattern <> '' and rule is not null").select(F.col("rule").cast("string").alias("rule"), "pattern", F.coalesce("ignore_case", F.lit(False)).alias("ignore_case"))
+    size = slim.agg(F.coalesce(F.sum(F.length("pattern") + F.length("rule")), F.lit(0))).first()[0]
+    passes = -(-size // PASS) or 1
+    out = []
+    for k in range(passes):
+        part = slim if passes == 1 else slim.where(F.pmod(F.xxhash64("rule", "pattern"), F.lit(passes)) == k)
+        table = [tuple(r) for r in part.collect()]
+        out.append((hashlib.sha256(repr(table).encode()).hexdigest(), rules.sparkSession.sparkContext.broadcast(table)))
+    return out
+
+
 def hits(docs: DataFrame, rules: DataFrame, text: str = "text", keep: Sequence[str] = ("doc_id",)) -> DataFrame:
     """keep, rule, start, end (code points) and original_text of every match of every rule, and the rules' other columns.
 
@@ -224,20 +253,73 @@ def hits(docs: DataFrame, rules: DataFrame, text: str = "text", keep: Sequence[s
     in parts of at most ``PASS`` characters, each a pass over the texts. Rules without a pattern
     and empty matches go; null texts match nothing.
     """
-    spark = docs.sparkSession
-    slim = rules.where("pattern <> '' and rule is not null").select(F.col("rule").cast("string").alias("rule"), "pattern", F.coalesce("ignore_case", F.lit(False)).alias("ignore_case"))
-    size = slim.agg(F.coalesce(F.sum(F.length("pattern") + F.length("rule")), F.lit(0))).first()[0]
-    passes = -(-size // PASS) or 1
-    found = None
-    for k in range(passes):
-        part = slim if passes == 1 else slim.where(F.pmod(F.xxhash64("rule", "pattern"), F.lit(passes)) == k)
-        table = [tuple(r) for r in part.collect()]
-        key, shared = hashlib.sha256(repr(table).encode()).hexdigest(), spark.sparkContext.broadcast(table)
-
+    tables, found = _tables(rules), None
+    for key, shared in tables:
         one = docs.select(*keep, F.inline(_spans(key, shared)(F.col(text))))
         found = one if found is None else found.unionByName(one)
     others = [c for c in rules.columns if c not in ("rule", "pattern", "ignore_case")]
     if not others:
         return found
     about = rules.select(F.col("rule").cast("string").alias("rule"), *others)
-    return found.join(F.broadcast(about) if passes == 1 else about, "rule").select(*keep, "rule", "start", "end", "original_text", *others)
+    return found.join(F.broadcast(about) if len(tables) == 1 else about, "rule").select(*keep, "rule", "start", "end", "original_text", *others)
+
+
+#: Ids of several rows that tasks hold; of more, every id goes on with its counts.
+REPEATED = 1 << 14
+#: Words or rules that a task counts before it sends the counts on, and rows that are sent together.
+COUNTED, ROWS = 1 << 18, 1 << 13
+
+
+def counted(docs: DataFrame, rules: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(rule, docs, hits): in how many different keys each rule of ``hits`` matches, and how often, for those that match.
+
+    A task adds up what its rows with a key of their own hold; only keys of several rows go on one by one.
+    Words of the texts are counted whatever the rules are, and then meet the rules that are whole words in a join.
+    """
+    spark = docs.sparkSession
+    several = docs.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n")).where("_n > 1").select(key)
+    ids = [r[0] for r in several.limit(REPEATED + 1).collect()]
+    repeated = None if len(ids) > REPEATED else spark.sparkContext.broadcast(frozenset(ids))
+    kind = docs.schema[key].dataType.simpleString()
+
+    def tallied(found_in, column: str) -> DataFrame:
+        """Counts of what ``found_in()`` finds in a text, under the name ``column``."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            find, own, n_docs, n_hits, out, of_key = found_in(), None if repeated is None else repeated.value, Counter(), Counter(), [], None
+
+            def sent(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+                types = (pa.string(), of_key, pa.int64(), pa.int64())
+                for k in range(0, len(rows), ROWS):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[k : k + ROWS], strict=True), types, strict=True)], [column, key, "docs", "hits"])
+
+            for batch in batches:
+                of_key = batch.schema.field(0).type
+                for k, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                    found = find(t) if (t := t.as_py()) else []
+                    if k is not None and (own is None or k in own):
+                        out += [(name, k, 1, n) for name, n in Counter(found).items()]
+                    else:
+                        n_hits.update(found)
+                        n_docs.update(set(found) if k is not None else ())
+                    if len(n_hits) >= COUNTED or len(out) >= COUNTED:
+                        yield from sent(out + [(name, None, n_docs[name], n) for name, n in n_hits.items()])
+                        n_docs, n_hits, out = Counter(), Counter(), []
+            yield from sent(out + [(name, None, n_docs[name], n) for name, n in n_hits.items()])
+
+        return docs.select(key, text).mapInArrow(run, f"{column} string, `{key}` {kind}, docs long, hits long")
+
+    @F.pandas_udf("string")
+    def word(patterns: pd.Series, any_case: pd.Series) -> pd.Series:
+        return pd.Series([None if i else whole_word(p) for p, i in zip(patterns, any_case, strict=True)], dtype=object)
+
+    some = rules.where("pattern <> '' and rule is not null").select(F.col("rule").cast("string").alias("rule"), "pattern", F.coalesce("ignore_case", F.lit(False)).alias("ignore_case"))
+    # few bytes are much work, so they get a number of partitions of their own
+    known = cut(some.repartition(int(spark.conf.get("spark.sql.shuffle.partitions"))).withColumn("_word", word("pattern", "ignore_case")), "rules")
+    found = tallied(lambda: _WORDS.findall, "_word").join(known.where("_word is not null").select("rule", "_word"), "_word").drop("_word")
+    others = known.where("_word is null").drop("_word")
+    for name, shared in [] if others.isEmpty() else _tables(others):
+        spans = lambda name=name, shared=shared: lambda t, a=_automaton(name, shared.value): [s[0] for s in a.spans(t)]
+        found = found.unionByName(tallied(spans, "rule"))
+    each = found.groupBy("rule", key).agg(F.sum("docs").alias("docs"), F.sum("hits").alias("hits"))
+    return each.groupBy("rule").agg(F.sum(F.when(F.col(key).isNull(), F.col("docs")).otherwise(1)).alias("docs"), F.sum("hits").alias("hits"))
